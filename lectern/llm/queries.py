@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.jaccard_join import jaccard_components
+from lectern.llm.line_dedup import dedup_lines
+from lectern.llm.packing import pack
+from lectern.llm.quality import quality_scores
 from lectern.session import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 #: Words and 3-word shingles of the documents, as op3 defines them.
 _OP3_SQL = r"""
 WITH RECURSIVE words AS (
@@ -41,9 +57,33 @@ LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) r USING (doc_i
 """
 
 
+_OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, p - 1 AS pos, l[p] AS w1, l[p + 1] AS w2, l[p + 2] AS w3, len(l) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(p)),
+windows AS (
+  SELECT doc_id, pos, w1 || chr(10) || w2 || chr(10) || w3 AS w FROM lines
+  WHERE pos + 3 <= n AND regexp_matches(w1 || w2 || w3, '\S')),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) AS o(k))
+SELECT d.doc_id,
+       coalesce(string_agg(l.w1, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text,
+       CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.pos) AS BIGINT) AS n_removed
+FROM documents d JOIN lines l USING (doc_id) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+GROUP BY d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+    return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op9_line_dedup": op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": _OP3_SQL}
+    return {"op3_ngram_jaccard_join": _OP3_SQL, "op9_line_dedup": _OP9_SQL}
