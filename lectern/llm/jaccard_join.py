@@ -10,9 +10,10 @@ reaches `percent` / 100. The join is exact; every pruning step is a bound.
    are verified against the group's first member; those that don't link with it form groups of their own.
 4. Leaders: for each of the first LEAD shingles of a prefix, the group links with the smallest
    group there, if their sets say so. Large clusters become one component from a linear number of pairs.
-5. Group pairs from different components that share a prefix shingle, fit in size and pass the
-   exact prefix-difference bound are verified; where the triangle inequality leaves room for a link
-   between members, the pair expands into its members and these are verified.
+5. Group pairs from different components that share a prefix shingle are filtered by size and by a lower
+   bound of their difference: 512 parity bits of each set (each differing shingle flips one), and for
+   large sets the prefixes themselves. Survivors are verified; where the triangle inequality leaves
+   room for a link between members, the pair expands into its members and these are verified.
 6. Components of all verified links, then back to all documents.
 
 doc_id is the key: null doc_ids link with nothing; rows that repeat a doc_id count as one
@@ -33,11 +34,16 @@ from lectern.llm.graph import components
 from lectern.storage import Scratch
 
 #: How many frequent shingles at most are put last in the order; a broadcast of 8 bytes each.
-FREQUENT = 50_000
+FREQUENT = 200_000
 #: A shingle counts as frequent in a batch from so many documents on.
-OFTEN = 4
+OFTEN = 2
 #: Prefix shingles by which a group looks for its leaders.
 LEAD = 8
+#: 64-bit words of parity bits for a set. From LARGE shingles on they say too little, and prefixes are compared too.
+PARITY = 8
+LARGE = 1500
+#: Most bits of the filter that selects documents whose sets are built.
+FILTER_BITS = 1 << 28
 _HEAVY = np.uint64(1 << 62)
 
 
@@ -106,6 +112,55 @@ def _verify(pairs: DataFrame, sets: DataFrame, extra: list[str]) -> DataFrame:
     return joined.mapInArrow(compared, f"{kinds}, n_a long, n_b long, common long")
 
 
+def _parity(keys: np.ndarray) -> np.ndarray:
+    """PARITY words, of which bit h(key) tells whether the number of keys there is odd."""
+    place = np.bincount((H.mixed(keys) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(place.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of ids(doc_id), FILTER_BITS at most."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+
+    def marked(batches):
+        found = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for row in ids.repartition(4).mapInArrow(marked, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return total
+
+
+def _places(ids: np.ndarray, bits: int):
+    h = H.mixed(ids.astype(np.int64).view(np.uint64))
+    for shift in (0, 17, 34):
+        yield ((h >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, heavy: np.ndarray, size: int) -> DataFrame:
+    """(doc_id, keys) of at least the documents in ids: their whole sets, from their texts."""
+    found = _filter(ids)
+    bits = 8 * len(found)
+
+    def full(batches):
+        for batch in batches:
+            known = batch.filter(pa.array(batch.column(0).is_valid()))
+            ok = np.ones(known.num_rows, dtype=bool)
+            for at in _places(known.column(0).to_numpy(zero_copy_only=False), bits):
+                ok &= (found[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            known = known.filter(pa.array(ok))
+            for at in range(0, known.num_rows, 500):
+                part = known.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_ordered(v, heavy).tobytes() for _, v in _documents(part, size)], pa.binary())], ["doc_id", "keys"])
+
+    sets = docs.mapInArrow(full, "doc_id long, keys binary")
+    return sets if bits < FILTER_BITS else sets.join(ids, "doc_id", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id.
 
@@ -113,15 +168,16 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
     doc_id links with nothing and has a null component_id. Repeated rows come out as often as they came
     in. Columns other than doc_id and text aren't read, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heavy = frequent_shingles(docs, shingle)
     linked = f"100 * common >= {percent} * (n_a + n_b - common)"
+    apart = "n_a + n_b - 2 * common"
+    bits = [f"b{k}" for k in range(PARITY)]
 
     def signed(batches):
         for batch in batches:
-            sizes, signs, groups, prefixes, many = [], [], [], [], []
+            sizes, signs, groups, prefixes, parity = [], [], [], [], []
             for _, values in _documents(batch, shingle):
                 keys = _ordered(values, heavy)
                 n = len(keys)
@@ -130,92 +186,91 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
                 signs.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest() if n else None)
                 groups.append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest() if n else None)
                 prefixes.append(prefix.astype(np.int64))
-                many.append(len(prefix))
+                parity.append(_parity(keys))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(groups, pa.binary()), H.lists(flat, many)], ["doc_id", "n", "sig", "grp", "prefix"])
+            words = np.array(parity, np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(groups, pa.binary()), H.lists(flat, [len(x) for x in prefixes]), *(pa.array(words[:, k]) for k in range(PARITY))],
+                ["doc_id", "n", "sig", "grp", "prefix", *bits],
+            )
 
-    signed_docs = scratch.save(docs.mapInArrow(signed, "doc_id long, n long, sig binary, grp binary, prefix array<long>"), "signed")
+    signed_docs = scratch.save(docs.mapInArrow(signed, "doc_id long, n long, sig binary, grp binary, prefix array<long>, " + ", ".join(f"{b} long" for b in bits)), "signed")
     whole = signed_docs.where("n > 0 and doc_id is not null")
 
-    # classes of equal sets
-    classes = scratch.save(whole.groupBy("sig").agg(F.min("doc_id").alias("class")), "classes")
-    firsts = whole.join(classes.select(F.col("class").alias("doc_id"), F.col("sig").alias("class_sig")), "doc_id").where("sig = class_sig").select("doc_id", "n", "grp", "prefix").distinct()
-    firsts = scratch.save(firsts, "firsts")
-
-    # groups of equal prefix and size
-    heads = scratch.save(firsts.groupBy("grp").agg(F.min("doc_id").alias("head")), "heads")
-    member = scratch.save(firsts.select("doc_id", "n", "grp").join(heads, "grp").select("doc_id", "n", "head"), "member")
-
-    # shared prefix shingles, with the smallest group head of each
-    posts = firsts.join(heads.select(F.col("head").alias("doc_id"), F.col("grp").alias("g")), "doc_id").where("grp = g").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("uses"), F.min("doc_id").alias("leader")).where("uses > 1").select("token", "leader")
-    shared = scratch.save(shared, "shared")
-    posts = scratch.save(posts.join(shared, "token").select("token", "doc_id", "n", "pos", "leader"), "posts")
+    # classes of equal sets, groups of classes with equal prefix and size
+    classes = scratch.save(whole.groupBy("sig", "grp", "n").agg(F.min("doc_id").alias("class")), "classes")
+    heads = scratch.save(classes.groupBy("grp", "n").agg(F.min("class").alias("head"), F.count("*").alias("classes")), "heads")
+    head_rows = whole.join(heads.select(F.col("head").alias("doc_id"), F.col("grp").alias("g")), "doc_id").where("grp = g").select("doc_id", "n", "prefix", *bits).distinct()
+    head_rows = scratch.save(head_rows, "head_rows")
+    member = classes.join(heads.where("classes > 1").select("grp", "head"), "grp").select(F.col("class").alias("doc_id"), "n", "head")
+    member = scratch.save(member.distinct(), "member")
 
-    # the full sets of all documents that a pair can hold
-    pool = posts.select(F.col("doc_id").alias("head")).distinct()
-    pool = member.join(pool, "head", "left_semi").select("doc_id").union(member.where("doc_id != head").select("doc_id")).union(member.where("doc_id != head").select("head")).distinct()
-    pool = scratch.save(pool, "pool")
-
-    def full(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(_ordered(v, heavy)).tobytes() for _, v in _documents(batch, shingle)], pa.binary())], ["doc_id", "keys"])
-
-    wanted = docs.join(pool.hint("shuffle_hash"), "doc_id", "left_semi") if _can_hash(spark) else docs.join(pool, "doc_id", "left_semi")
-    sets = scratch.save(wanted.mapInArrow(full, "doc_id long, keys binary"), "sets")
+    # prefix shingles that groups share, with the smallest group head of each
+    posts = head_rows.select("doc_id", F.posexplode("prefix").alias("pos", "token"))
+    shared = scratch.save(posts.groupBy("token").agg(F.count("*").alias("uses"), F.min("doc_id").alias("leader")).where("uses > 1").select("token", "leader"), "shared")
+    posts = scratch.save(posts.join(shared, "token").select("token", "doc_id", "leader", (F.col("pos") < LEAD).alias("early")), "posts")
 
     # members against heads, groups against leaders
-    prefixes = firsts.select("doc_id", "n", "prefix")
-    near_leader = posts.where(f"pos < {LEAD} and leader != doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near_leader = _near(near_leader, prefixes, percent)
+    sized = head_rows.select("doc_id", "n", *bits)
+    led = posts.where("early and leader != doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    led = led.join(sized.toDF("a", "xn", *(f"x{b}" for b in bits)), "a").join(sized.toDF("b", "yn", *(f"y{b}" for b in bits)), "b")
+    led = scratch.save(led.where(_close("0", percent)).select("a", "b", F.greatest("xn", "yn").alias("most")), "led")
+    led = _near(led, head_rows, percent)
     in_group = member.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    first_pairs = scratch.save(near_leader.withColumn("inner", F.lit(False)).union(in_group.withColumn("inner", F.lit(True))), "first_pairs")
-    first = scratch.save(_verify(first_pairs, sets, ["inner"]).withColumn("linked", F.expr(linked)), "first")
+    pairs = scratch.save(led.withColumn("inner", F.lit(False)).union(in_group.withColumn("inner", F.lit(True))), "pairs")
+
+    if not pairs.isEmpty():
+        sets = scratch.save(_sets(docs, _ends(pairs), heavy, shingle), "sets1")
+        first = _verify(pairs, sets, ["inner"])
+    else:
+        first = pairs.selectExpr("*", "0L as n_a", "0L as n_b", "0L as common")
+    first = scratch.save(first.withColumn("linked", F.expr(linked)), "first")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     start = components(links, scratch, "cc1")
 
-    # groups as they stand: members that don't link with their head are heads of their own
-    held = first.where("inner and linked").groupBy(F.col("b").alias("doc_id"), F.col("a").alias("at")).agg(F.max(F.expr("1 - common / (n_a + n_b - common)")).alias("far"))
-    unit = member.join(held.withColumnRenamed("at", "head"), ["doc_id", "head"], "left").select("doc_id", F.when(F.col("far").isNotNull() | (F.col("doc_id") == F.col("head")), F.col("head")).otherwise(F.col("doc_id")).alias("unit"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    unit = scratch.save(unit, "unit")
-    units = unit.groupBy("unit").agg(F.max("far").alias("far"), F.count("*").alias("members"))
-    units = units.join(start.select(F.col("id").alias("unit"), "root"), "unit", "left").select("unit", "far", "members", F.coalesce("root", "unit").alias("root"))
-    units = scratch.save(units, "units")
-
-    # pairs of groups from different components
-    apart = unit.where("doc_id = unit").select(F.col("doc_id")).join(member, "doc_id").where("doc_id != head").select("doc_id")
-    own = prefixes.join(apart, "doc_id", "left_semi").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "n", "pos")
-    inside = member.join(member.where("doc_id != head").select("head").distinct().withColumnRenamed("head", "doc_id"), "doc_id", "left_semi").select("doc_id")
-    again = prefixes.join(inside, "doc_id", "left_semi").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "n", "pos")
-    lists = posts.select("token", "doc_id", "n", "pos").union(own).union(again).distinct()
-    lists = lists.join(units.select(F.col("unit").alias("doc_id"), "root"), "doc_id").select("token", "doc_id", "n", "root")
-    lists = scratch.save(lists, "lists")
+    # units: a head with the members that link with it; far: the largest set difference to one of them
+    held = first.where("inner and linked").groupBy(F.col("b").alias("doc_id"), F.col("a").alias("head")).agg(F.max(F.expr(apart)).alias("far"))
+    member = member.join(held, ["doc_id", "head"], "left").select("doc_id", F.when(F.col("far").isNotNull() | (F.col("doc_id") == F.col("head")), F.col("head")).otherwise(F.col("doc_id")).alias("unit"), F.coalesce("far", F.lit(0)).alias("far"), "head")
+    member = scratch.save(member, "units")
+    far = member.groupBy(F.col("unit").alias("doc_id")).agg(F.max("far").alias("far"))
+    loose = scratch.save(member.where("unit = doc_id and unit != head").select("doc_id").distinct(), "loose")  # heads of their own
+    rows, lists = head_rows, posts.select("token", "doc_id")
+    if not loose.isEmpty():
+        rows = scratch.save(rows.union(whole.join(loose, "doc_id", "left_semi").select(*rows.columns)).distinct(), "unit_rows")
+        again = member.select(F.col("head").alias("doc_id")).union(loose).distinct()
+        lists = lists.union(rows.join(again, "doc_id", "left_semi").select(F.explode("prefix").alias("token"), "doc_id")).distinct()
+    rooted = rows.select("doc_id", "n", *bits).join(start.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(far, "doc_id", "left")
+    rooted = scratch.save(rooted.select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.coalesce("far", F.lit(0)).alias("far"), *bits), "rooted")
+
+    # pairs of units from different components
+    lists = scratch.save(lists.join(rooted, "doc_id"), "lists")
     mixed = scratch.save(lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"), "mixed")
-    lists = scratch.save(lists.join(mixed, "token", "left_semi"), "mixed_lists")
-    x = lists.select("token", F.col("doc_id").alias("a"), F.col("n").alias("xn"), F.col("root").alias("ra"))
-    y = lists.select("token", F.col("doc_id").alias("b"), F.col("n").alias("yn"), F.col("root").alias("rb"))
-    crossed = x.join(y, "token").where(f"a < b and ra != rb and 100 * xn >= {percent} * yn and 100 * yn >= {percent} * xn").select("a", "b").distinct()
-    crossed = scratch.save(_near(crossed, prefixes, percent), "crossed")
-    compared = scratch.save(_verify(crossed, sets, []), "compared")
-    second = compared.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    # members of group pairs whose distance leaves room for a link
-    ua = units.select(F.col("unit").alias("a"), F.col("far").alias("fa"), F.col("members").alias("ma"))
-    ub = units.select(F.col("unit").alias("b"), F.col("far").alias("fb"), F.col("members").alias("mb"))
-    # every such pair, also where the prefixes of the heads ruled a link out: members have the same prefix, so it rules theirs out too
-    open_pairs = compared.where(f"not ({linked})").join(ua, "a").join(ub, "b").where(f"ma + mb > 2 and 1 - common / (n_a + n_b - common) <= {(100 - percent) / 100}D + fa + fb + 1e-9").select("a", "b")
-    open_pairs = scratch.save(open_pairs, "open")
-    if not open_pairs.isEmpty():
-        ma = unit.select(F.col("unit").alias("a"), F.col("doc_id").alias("da"))
-        mb = unit.select(F.col("unit").alias("b"), F.col("doc_id").alias("db"))
-        spread = open_pairs.join(ma, "a").join(mb, "b").where("a != da or b != db").select(F.col("da").alias("a"), F.col("db").alias("b"))
-        second = second.union(_verify(spread, sets, []).where(linked).select("a", "b"))
-    second = scratch.save(second, "second")
+    lists = lists.join(mixed, "token", "left_semi")
+    x = lists.select("doc_id", "token", "n", "root", "far", *bits).toDF("a", "token", "xn", "xroot", "xfar", *(f"x{b}" for b in bits))
+    y = lists.select("doc_id", "token", "n", "root", "far", *bits).toDF("b", "token", "yn", "yroot", "yfar", *(f"y{b}" for b in bits))
+    crossed = x.join(y, "token").where("a < b and xroot != yroot and " + _close("xfar + yfar", percent))
+    crossed = scratch.save(crossed.select("a", "b", F.greatest("xn", "yn").alias("most"), F.expr("xfar + yfar").alias("reach")).distinct(), "crossed")
+    crossed = scratch.save(_near(crossed, rows, percent, ["reach"]), "near")
+    second = None
+    if not crossed.isEmpty():
+        sets = scratch.save(_sets(docs, _ends(crossed), heavy, shingle), "sets2")
+        compared = scratch.save(_verify(crossed, sets, ["reach"]), "compared")
+        second = compared.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        # members of unit pairs whose distance leaves room for a link
+        room = f"n_a + n_b - 2 * {_least_overlap('n_a', 'n_b', percent)}"
+        wide = scratch.save(compared.where(f"not ({linked}) and reach > 0 and {apart} - reach <= {room}").select("a", "b"), "wide")
+        if not wide.isEmpty():
+            crew = member.select(F.col("unit"), "doc_id").union(wide.select("a", "a")).union(wide.select("b", "b")).distinct()
+            spread = wide.join(crew.toDF("a", "da"), "a").join(crew.toDF("b", "db"), "b").where("a != da or b != db").select(F.col("da").alias("a"), F.col("db").alias("b"))
+            spread = scratch.save(spread, "spread")
+            sets = scratch.save(_sets(docs, _ends(spread), heavy, shingle), "sets3")
+            second = second.union(_verify(spread, sets, []).where(linked).select("a", "b"))
+        second = scratch.save(second, "second")
 
     reached = start
-    if not second.isEmpty():
+    if second is not None and not second.isEmpty():
         reached = components(links.union(second), scratch, "cc2")
-    scratch.drop("posts", "shared", "lists", "mixed_lists", "sets")
+    scratch.drop("head_rows", "posts", "shared", "lists", "sets1", "sets2", "unit_rows", "rooted")
     classes = classes.join(reached.select(F.col("id").alias("class"), "root"), "class", "left").select("sig", F.coalesce("root", "class").alias("root"))
     classes = scratch.save(classes, "classes_out")
     slim = signed_docs.select("doc_id", "n", "sig")
@@ -224,23 +279,29 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
     return out.union(alone)
 
 
-def _can_hash(spark) -> bool:
-    """The key side of a semi-join by hash stays small in a partition only if there are enough of them."""
-    return spark.conf.get("spark.sql.adaptive.enabled", "true") == "true"
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _close(reach: str, percent: int) -> str:
+    """SQL on x.. and y..: sizes fit, and the parity bits leave room for a link, given the reach of members."""
+    differ = " + ".join(f"bit_count(xb{k} ^ yb{k})" for k in range(PARITY))
+    return f"100 * xn >= {percent} * yn and 100 * yn >= {percent} * xn and {differ} <= xn + yn - 2 * {_least_overlap('xn', 'yn', percent)} + {reach}"
 
 
-def _near(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose prefixes do not already differ by more than linked sets may.
+def _near(pairs: DataFrame, rows: DataFrame, percent: int, extra: list[str] = []) -> DataFrame:
+    """Pairs (a, b) without those of LARGE sets whose prefixes already differ by more than linked sets may.
 
-    Below the smaller of the two last prefix keys, both prefixes show all that the sets hold.
+    Below the smaller of the two last prefix keys, both prefixes show all that the sets hold. Members
+    of a unit have the prefix of its head, so what rules out the heads rules out the members.
     """
-    pa_, pb = (prefixes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
-    joined = pairs.join(pa_, "a").join(pb, "b").withColumn("lim", F.expr("least(element_at(pa, -1), element_at(pb, -1))"))
+    small = pairs.where(f"most < {LARGE}").select("a", "b", *extra)
+    large = rows.where(f"n >= {LARGE // 2}")
+    x, y = (large.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
+    joined = pairs.where(f"most >= {LARGE}").join(x, "a").join(y, "b").withColumn("lim", F.expr("least(element_at(pa, -1), element_at(pb, -1))"))
     room = f"na + nb - 2 * {_least_overlap('na', 'nb', percent)}"
-    return joined.where(
-        f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na and "
-        f"size(filter(pa, x -> x <= lim)) + size(filter(pb, x -> x <= lim)) - 2 * size(array_intersect(pa, pb)) <= {room}"
-    ).select("a", "b")
+    ruled = f"size(filter(pa, x -> x <= lim)) + size(filter(pb, x -> x <= lim)) - 2 * size(array_intersect(pa, pb)) <= {room}"
+    return small.union(joined.where(ruled).select("a", "b", *extra))
 
 
 def kept_documents(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> DataFrame:
