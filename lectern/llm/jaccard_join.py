@@ -67,7 +67,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
     top = docs.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    return np.sort(np.array([r.shingle for r in top.select("shingle").collect()], np.uint64))
+    return np.sort(top.select("shingle").toArrow().column(0).to_numpy().astype(np.uint64))
 
 
 def _ordered(values: np.ndarray, heavy: np.ndarray) -> np.ndarray:

@@ -7,10 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from lectern.llm import chat_format, sentencepiece_fst
+from lectern.llm.ann import nearest
+from lectern.llm.embedding_dedup import near_duplicates
 from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.line_dedup import dedup_lines
+from lectern.llm.lm_score import lm_scores
 from lectern.llm.packing import pack
 from lectern.llm.quality import quality_scores
+from lectern.llm.warc import archived_pages
 from lectern.session import table
 
 
@@ -22,6 +29,35 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows.where("vec_id % 50 = 0"), rows, k=5)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    read = chat_format.read_back(chat_format.segments(turns))
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op10_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.coding_digest(table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
@@ -76,14 +112,86 @@ GROUP BY d.doc_id
 """
 
 
+_OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS bytes FROM pages),
+newest AS (SELECT html, max(page_id) AS newest FROM p WHERE bytes >= 1000 GROUP BY html)
+SELECT p.page_id, CAST(p.bytes AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN n.newest > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n.newest > p.page_id THEN n.newest END AS refers_to
+FROM p LEFT JOIN newest n ON p.html = n.html
+"""
+
+_OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+ok AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+WHERE rank <= 5
+"""
+
+_OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM (VALUES (0), (1)) AS x(i)),
+f AS (
+  SELECT *, lag(role) OVER w AS before, lead(turn) OVER w IS NULL AS last,
+         regexp_replace(replace(text, '\', '\\'), '(### |</turn>|###)', '\\\1', 'g') AS escaped
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + length('### : ') + length(role) + length(' </turn>x')) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user'
+                     WHEN before = 'user' THEN role = 'assistant' ELSE role = 'user' END
+                AND (NOT last OR role = 'assistant')) AS valid
+FROM f GROUP BY conv_id
+"""
+
+_OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT u, v FROM links UNION SELECT r.a, l.v FROM reach r JOIN links l ON r.b = l.u),
+n AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY 1),
+c AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_warc_transactions": op2_warc_transactions,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_lm_scoring": op4_lm_scoring,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_chat_formatting": op7_chat_formatting,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_line_dedup": op9_line_dedup,
+        "op10_sentencepiece_coding": op10_sentencepiece_coding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": _OP3_SQL, "op9_line_dedup": _OP9_SQL}
+    return {
+        "op2_warc_transactions": _OP2_SQL,
+        "op3_ngram_jaccard_join": _OP3_SQL,
+        "op5_nearest_neighbours": _OP5_SQL,
+        "op7_chat_formatting": _OP7_SQL,
+        "op8_embedding_near_dedup": _OP8_SQL,
+        "op9_line_dedup": _OP9_SQL,
+    }
