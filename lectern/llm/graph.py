@@ -49,3 +49,20 @@ def components(links: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
         kind = links.schema["u"].dataType
         return links.select(F.col("u").cast(kind).alias("id"), F.col("v").cast(kind).alias("root"))
     return total
+
+
+def most_frequent(counts: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows of counts with the largest `by`: all that reach a threshold, at most `most` rows.
+
+    The threshold comes from a histogram of a few thousand bins, so no task and no driver sorts all
+    rows; rows tied at the threshold come all or, where they'd exceed `most`, not at all.
+    """
+    n = F.col(by)
+    place = F.when(n < 1024, n).otherwise(F.lit(1024) + F.floor((F.log2(n.cast("double")) - 10) * 64)).cast("long")
+    total, edge = 0, None
+    for row in counts.groupBy(place.alias("bin")).agg(F.count("*").alias("rows")).orderBy(F.desc("bin")).collect():
+        total += row.rows
+        if total > most:
+            break
+        edge = row.bin
+    return counts.where(place >= edge) if edge is not None else counts.where("false")

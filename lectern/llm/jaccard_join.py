@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import hashing as H
-from lectern.llm.graph import components
+from lectern.llm.graph import components, most_frequent
 from lectern.storage import Scratch
 
 #: How many frequent shingles at most are put last in the order; a broadcast of 8 bytes each.
@@ -56,8 +56,8 @@ def _documents(batch: pa.RecordBatch, size: int):
         yield i, H.distinct(H.shingles(words[per[i] : per[i + 1]], size) >> np.uint64(2))
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the FREQUENT shingles that most documents share, as far as batches show."""
+def frequent_shingles(docs: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
+    """Sorted hashes of the shingles that most documents share, as far as batches show; FREQUENT at most."""
 
     def counted(batches):
         for batch in batches:
@@ -66,8 +66,10 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
             often = counts >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
-    top = docs.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    return np.sort(top.select("shingle").toArrow().column(0).to_numpy().astype(np.uint64))
+    counts = scratch.save(docs.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 3"), "frequent")
+    top = most_frequent(counts, "n", FREQUENT).select("shingle").toArrow().column(0)
+    scratch.drop("frequent")
+    return np.sort(top.to_numpy().astype(np.uint64))
 
 
 def _ordered(values: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -170,7 +172,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    heavy = frequent_shingles(docs, shingle)
+    heavy = frequent_shingles(docs, shingle, scratch)
     linked = f"100 * common >= {percent} * (n_a + n_b - common)"
     apart = "n_a + n_b - 2 * common"
     bits = [f"b{k}" for k in range(PARITY)]
