@@ -13,6 +13,7 @@ place up in the plan.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -33,6 +34,27 @@ CACHE = 1_000_000
 END = 1
 
 
+#: First bytes of characters from U+0180 on, whose lower case may depend on their neighbours.
+_BEYOND = re.compile(rb"[\xc6-\xff]")
+#: Kinds of bytes: a for letters, digits and white space, . for comma and stop, x for all others.
+_KIND = bytearray(b"x" * 256)
+for _c in range(256):
+    if chr(_c).isalnum() and _c < 128 or _c in b" \t\n\r\v\f" or _c >= 0x80 and _c not in (0x97, 0xB7):
+        _KIND[_c] = ord("a")
+_KIND[ord(".")] = _KIND[ord(",")] = ord(".")
+
+
+def _apart(text: bytes) -> bytes:
+    """The text with single commas and stops apart from the words they follow, as the tokenizer takes them.
+
+    Texts with other runs of marks before them, or marks of U+0080 to U+00BF, stay as they are.
+    """
+    kinds = text.translate(_KIND)
+    if b".." in kinds or b"x." in kinds or b"\xc2" in text:
+        return text
+    return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
+
+
 class WordIds:
     """Ids of texts from a tokenizer file, one run of visible characters at a time.
 
@@ -57,8 +79,9 @@ class WordIds:
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if text.isascii() and b"<|" not in text:  # the tokenizer lower-cases; its special strings are case-sensitive
-            text = text.lower()
+        if b"<|" not in text and not _BEYOND.search(text):
+            # the tokenizer lower-cases by itself; its special strings are case-sensitive
+            text = _apart(text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode())
         words = text.split()
         ids = self.ids
         new = list(set(words).difference(ids))
@@ -66,13 +89,21 @@ class WordIds:
             if len(ids) > CACHE:
                 ids.clear()
                 new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    ids[word] = np.array(found.ids, "<u4").tobytes()
+            for at in range(0, len(new), 2048):
+                self._add([w.decode("utf-8", "replace") for w in new[at : at + 2048]], new[at : at + 2048])
         return b"".join([ids[w] for w in words])
 
 
+    def _add(self, texts: list[str], words: list[bytes]) -> None:
+        """Encodes runs in one go; a token belongs to the run in which it starts."""
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = np.searchsorted([o[0] for o in found.offsets], begin)
+        data = np.array(found.ids, "<u4").tobytes()
+        for word, lo, hi in zip(words, cut[:-1].tolist(), cut[1:].tolist()):
+            self.ids[word] = data[4 * lo : 4 * hi]
+
+
 def pieces(docs: DataFrame, *, tokenizer: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of docs(doc_id, text); a null text is empty."""
 
