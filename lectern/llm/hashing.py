@@ -32,6 +32,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """The batch in slices of about `most` bytes of text, a row at least, so that working arrays stay small."""
+    _, offsets = text_buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -49,18 +49,21 @@ _HEAVY = np.uint64(1 << 62)
 
 def _documents(batch: pa.RecordBatch, size: int):
     """(row, distinct shingle hashes) of the documents of a batch of (doc_id, text)."""
-    data, offsets = H.text_buffers(batch.column(1))
-    starts, ends, per = H.word_spans(data, offsets)
-    words = H.word_hashes(data, starts, ends)
-    for i in range(batch.num_rows):
-        yield i, H.distinct(H.shingles(words[per[i] : per[i + 1]], size) >> np.uint64(2))
+    row = 0
+    for part in H.parts(batch, 1):
+        data, offsets = H.text_buffers(part.column(1))
+        starts, ends, per = H.word_spans(data, offsets)
+        words = H.word_hashes(data, starts, ends)
+        for i in range(part.num_rows):
+            yield row + i, H.distinct(H.shingles(words[per[i] : per[i + 1]], size) >> np.uint64(2))
+        row += part.num_rows
 
 
 def frequent_shingles(docs: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
     """Sorted hashes of the shingles that most documents share, as far as batches show; FREQUENT at most."""
 
     def counted(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in H.parts(whole, 1, 16 << 20)):
             sets = [s for _, s in _documents(batch, size)]
             values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             often = counts >= OFTEN
@@ -178,7 +181,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
     bits = [f"b{k}" for k in range(PARITY)]
 
     def signed(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in H.parts(whole, 1, 16 << 20)):
             sizes, signs, groups, prefixes, parity = [], [], [], [], []
             for _, values in _documents(batch, shingle):
                 keys = _ordered(values, heavy)

@@ -29,7 +29,7 @@ from lectern.storage import Scratch
 #: Pieces in a numbering bucket, on average.
 BUCKET = 5_000
 #: Words that a worker keeps the ids of, about 150 bytes each.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Id that ends each document.
 END = 1
 

@@ -45,6 +45,11 @@ N_STATS = _CLASS.shape[1] + 12
 
 def statistics(column: pa.Array) -> np.ndarray:
     """N_STATS numbers for each text; all zero for one without words."""
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    return np.vstack([np.zeros((0, N_STATS)), *(_statistics(part.column(0)) for part in H.parts(batch, 0))])
+
+
+def _statistics(column: pa.Array) -> np.ndarray:
     data, offsets = H.text_buffers(column)
     starts, ends, per = H.word_spans(data, offsets)
     words = H.word_hashes(data, starts, ends)

@@ -31,7 +31,7 @@ from lectern.session import ship
 
 MARK = "▁"
 #: Runs and pairs of pieces that a worker remembers.
-KEPT = 600_000
+KEPT = 400_000
 
 
 def _fields(data: bytes):
