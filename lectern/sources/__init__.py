@@ -1 +1 @@
-
+"""Where documents and libraries come from and where decks go."""
