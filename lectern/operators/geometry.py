@@ -5,10 +5,14 @@ Rectangles are four columns x0, y0, x1, y1. Joins always carry the page, so a pa
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lectern.functions import text as T
 from lectern.session import ship
@@ -62,18 +66,52 @@ def caption_pairs(figures: DataFrame, captions: DataFrame, most: float = CAPTION
     return pairs.where(F.col("gap") <= most).select(*PAGE, "figure_id", "caption_id", "gap")
 
 
+def page_folds(rows: DataFrame, order: list[str], fold, schema: str) -> DataFrame:
+    """Applies fold(list of rows as dicts) -> rows as tuples to each page, its rows in order.
+
+    Pages stream by, many to an Arrow batch, so a corpus of small pages costs no call per page.
+    """
+    ship(rows.sparkSession)
+    names = rows.columns
+    kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
+
+    def folded(batches):
+        page, last, out = [], None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                row = dict(zip(names, row))
+                key = tuple(row[c] for c in PAGE)
+                if page and key != last:
+                    out += fold(page)
+                    page = []
+                page.append(row)
+                last = key
+            if len(out) >= 10_000:
+                yield filled(out)
+                out = []
+        yield filled(out + (fold(page) if page else []))
+
+    def filled(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds.values())], list(kinds))
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(folded, schema)
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def matched_captions(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs, greedily by (gap, figure_id, caption_id) on each page; a page's pairs are few."""
-    ship(pairs.sparkSession)
+    """One-to-one pairs, greedily by (gap, figure_id, caption_id) on each page."""
 
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
+    def greedy(page: list[dict]) -> list[tuple]:
         figures, captions, kept = set(), set(), []
-        for row in page.sort_values(["gap", "figure_id", "caption_id"]).itertuples():
-            if row.figure_id not in figures and row.caption_id not in captions:
-                figures.add(row.figure_id), captions.add(row.caption_id), kept.append(row.Index)
-        return page.loc[kept]
+        for row in page:
+            if row["figure_id"] not in figures and row["caption_id"] not in captions:
+                figures.add(row["figure_id"]), captions.add(row["caption_id"]), kept.append(tuple(row.values()))
+        return kept
 
-    return pairs.groupBy(*PAGE).applyInPandas(greedy, pairs.schema)
+    return page_folds(pairs, ["gap", "figure_id", "caption_id"], greedy, _schema(pairs))
 
 
 def paired_figures(figures: DataFrame, captions: DataFrame, most: float = CAPTION_GAP) -> DataFrame:
@@ -93,28 +131,26 @@ def panel_links(regions: DataFrame, gap: float = PANEL_GAP) -> DataFrame:
 
 
 def panel_components(regions: DataFrame, gap: float = PANEL_GAP) -> DataFrame:
-    """regions with component: the smallest region_id of all panels reachable; a page's panels are few."""
-    ship(regions.sparkSession)
-
-    def merged(page: pd.DataFrame) -> pd.DataFrame:
-        box = page[["x0", "y0", "x1", "y1"]].to_numpy()
-        label = page["region_id"].to_numpy().copy()
-        close = (pd.Series(range(len(box))).map(lambda i: [
-            j for j in range(len(box))
-            if max(box[i][0], box[j][0]) - min(box[i][2], box[j][2]) <= gap and max(box[i][1], box[j][1]) - min(box[i][3], box[j][3]) <= gap
-        ])).tolist()
-        moved = True
-        while moved:
-            moved = False
-            for i, near in enumerate(close):
-                least = label[near].min()
-                if least < label[i]:
-                    label[i], moved = least, True
-        return page.assign(component=label)
+    """regions with component: the smallest region_id of all panels reachable."""
+
+    def near(a: dict, b: dict) -> bool:
+        return max(a["x0"], b["x0"]) - min(a["x1"], b["x1"]) <= gap and max(a["y0"], b["y0"]) - min(a["y1"], b["y1"]) <= gap
+
+    def merged(page: list[dict]) -> list[tuple]:
+        # rows come by region_id: whoever isn't reached yet begins a component
+        out, left = [], page
+        while left:
+            reached, left = left[:1], left[1:]
+            least = reached[0]["region_id"]
+            while reached:
+                row = reached.pop()
+                out.append((*row.values(), least))
+                reached += [x for x in left if near(row, x)]
+                left = [x for x in left if not near(row, x)]
+        return out
 
     kind = regions.schema["region_id"].dataType.simpleString()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in regions.schema) + f", component {kind}"
-    return regions.groupBy(*PAGE).applyInPandas(merged, schema)
+    return page_folds(regions, ["region_id"], merged, f"{_schema(regions)}, component {kind}")
 
 
 def merged_panels(regions: DataFrame, gap: float = PANEL_GAP) -> DataFrame:
@@ -144,33 +180,28 @@ def scan_captions(blocks: DataFrame) -> DataFrame:
     caption ends it; a hyphen at the end of a part joins words. Each step depends on the one
     before, so a page is one ordered fold.
     """
-    ship(blocks.sparkSession)
-    import re
-
     opening = re.compile(r"^(fig\.?|figure|chart|table)\b", re.IGNORECASE)
+    box = ("x0", "y0", "x1", "y1")
 
-    def folded(page: pd.DataFrame) -> pd.DataFrame:
+    def folded(page: list[dict]) -> list[tuple]:
         out: list[dict] = []
         open_: dict | None = None
-        for b in page.sort_values("ord").itertuples():
-            text = (b.text or "").strip()
-            if b.kind != 0:
+        for b in page:
+            text = (b["text"] or "").strip()
+            if b["kind"] != 0:
                 open_ = None
             elif opening.match(text):
-                open_ = {"doc_id": b.doc_id, "page": b.page, "caption_ord": b.ord, "text": text, "x0": b.x0, "y0": b.y0, "x1": b.x1, "y1": b.y1}
+                open_ = {"doc_id": b["doc_id"], "page": b["page"], "caption_ord": b["ord"], "text": text, **{c: b[c] for c in box}}
                 out.append(open_)
+            elif open_ is not None and b["y0"] - open_["y1"] > CONTINUATION_GAP:
+                open_ = None
             elif open_ is not None:
-                if b.y0 - open_["y1"] > CONTINUATION_GAP:
-                    open_ = None
-                    continue
                 open_["text"] = open_["text"][:-1] + text if open_["text"].endswith("-") else f"{open_['text']} {text}"
-                open_["x0"], open_["y0"] = min(open_["x0"], b.x0), min(open_["y0"], b.y0)
-                open_["x1"], open_["y1"] = max(open_["x1"], b.x1), max(open_["y1"], b.y1)
-        frame = pd.DataFrame(out, columns=["doc_id", "page", "caption_ord", "text", "x0", "y0", "x1", "y1"])
-        return frame.assign(text=frame["text"].str.strip())
+                open_ |= {"x0": min(open_["x0"], b["x0"]), "y0": min(open_["y0"], b["y0"]), "x1": max(open_["x1"], b["x1"]), "y1": max(open_["y1"], b["y1"])}
+        return [tuple((c | {"text": c["text"].strip()}).values()) for c in out]
 
     key, page, order = (blocks.schema[c].dataType.simpleString() for c in ("doc_id", "page", "ord"))
-    return blocks.groupBy(*PAGE).applyInPandas(folded, f"doc_id {key}, page {page}, caption_ord {order}, text string, x0 double, y0 double, x1 double, y1 double")
+    return page_folds(blocks, ["ord"], folded, f"doc_id {key}, page {page}, caption_ord {order}, text string, x0 double, y0 double, x1 double, y1 double")
 
 
 def figure_regions(captions: DataFrame, drawings: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -256,7 +256,7 @@ def table_check(spark, d):
 
 
 _CLEAN = {
-    1: _TABLES[0][1], 2: "[TABLE]\nafter", 3: _TABLES[2][1], 4: "Table 2. empty\n[TABLE: Table 2. empty]\n", 5: "[TABLE: Chart 3 below]\nChart 3 below\n",
+    1: _TABLES[0][1], 2: "[TABLE]\nafter", 3: _TABLES[2][1], 4: _TABLES[3][1], 5: "[TABLE: Chart 3 below]\nChart 3 below\n",
 }
 
 
@@ -549,8 +549,8 @@ def writer_batches(spark, d):
 
 @query(
     """WITH w AS (SELECT conv_id, turn, string_split(role, 't') AS parts, text FROM conversations),
-u AS (SELECT conv_id, parts[i] AS p, min((turn, i)) AS at FROM w, unnest(range(1, len(parts) + 1)) AS t(i) GROUP BY ALL)
-SELECT c.conv_id, CAST(l.roles AS VARCHAR[]) AS roles, c.first_role FROM (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY 1) c JOIN (SELECT conv_id, list(p ORDER BY at) AS roles FROM u GROUP BY 1) l USING (conv_id)"""
+u AS (SELECT conv_id, parts[i] AS p, min((turn, i)) AS pos FROM w, unnest(range(1, len(parts) + 1)) AS t(i) GROUP BY ALL)
+SELECT c.conv_id, CAST(l.roles AS VARCHAR[]) AS roles, c.first_role FROM (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY 1) c JOIN (SELECT conv_id, list(p ORDER BY pos) AS roles FROM u GROUP BY 1) l USING (conv_id)"""
 )
 def merge_array(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.split("role", "t").alias("roles"), F.col("role").alias("first_role"))
@@ -655,13 +655,14 @@ def bbox_union(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE r AS (SELECT {_RECT} FROM lineitem),
+    f"""WITH RECURSIVE r AS (SELECT doc_id, page, region_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT {_RECT} FROM lineitem) GROUP BY ALL),
 e AS (SELECT a.doc_id, a.page, a.region_id AS a, b.region_id AS b FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.page = b.page AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 18 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 18),
 t(doc_id, page, a, b) AS (SELECT doc_id, page, a, b FROM e UNION SELECT t.doc_id, t.page, t.a, e.b FROM t JOIN e ON e.doc_id = t.doc_id AND e.page = t.page AND e.a = t.b)
 SELECT doc_id, page, a AS region_id, min(b) AS component FROM t GROUP BY ALL"""
 )
 def panel_components(spark, d):
-    return geometry.panel_components(_rects(spark, d)).select("doc_id", "page", "region_id", "component")
+    r = geometry.bounding_boxes(_rects(spark, d), "doc_id", "page", "region_id")
+    return geometry.panel_components(r).select("doc_id", "page", "region_id", "component")
 
 
 @query(f"SELECT doc_id, page, region_id, x0 * 0.75 AS x0, y0 * 0.75 AS y0, confidence FROM (SELECT {_RECT.replace('l_discount', 'CASE WHEN l_linenumber = 1 THEN 1.0 ELSE l_discount * 8 END')} FROM lineitem) WHERE confidence >= 0.5")
