@@ -20,8 +20,8 @@ DECK = ["doc_id", "deck_id"]
 
 
 def outline_of(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, position, level, heading from the `#` lines of the texts."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l")).where(F.col("l").rlike(r"^#{1,6}\s+\S"))
+    """doc_id, ord, position, level, heading from the `#` and `##` lines of the texts; position is the ordinal."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l")).where(F.col("l").rlike(r"^#{1,2}\s+\S"))
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("line")) - 1
     return lines.select("doc_id", order.cast("long").alias("ord"), order.cast("long").alias("position"), F.length(F.regexp_extract("l", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("l", r"^#+\s+", "")).alias("heading"))
 
@@ -34,13 +34,17 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings()) -> D
     """
     scratch = Scratch(docs.sparkSession, "decks")
     docs = docs.where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    outline = scratch.save(outline_of(docs), "outline")
     chunks = scratch.save(chunking.chunk_sections(docs, settings.chunk_size, settings.overlap_size), "chunks")
+    outline = outline_of(docs)
+    if not settings.ordinal_positions:
+        firsts = chunks.where("section > 0").groupBy("doc_id", (F.col("section") - 1).alias("ord")).agg(F.min("chunk_idx").alias("_at"))
+        outline = outline.join(firsts, ["doc_id", "ord"], "left").withColumn("position", F.coalesce("_at", "position")).drop("_at")
+    outline = scratch.save(outline, "outline")
     tops = outline.where("level = 1").groupBy("doc_id").agg(F.count("*").alias("chapters"))
     chars = chunks.groupBy("doc_id").agg(F.sum(F.char_length("chunk").cast("long")).alias("total_chars"))
     routes = sections.routed(chars.join(tops, "doc_id", "left").withColumn("chapters", F.coalesce("chapters", F.lit(0))), most_chapters=settings.chapters_for_multi, most_chars=settings.chars_for_multi)
     titles = sections.skeleton(outline, docs.select("doc_id", F.lit(None).cast("string").alias("title")))
-    placed = sections.chapter_of(chunks.join(routes.select("doc_id", "mode"), "doc_id"), outline)
+    placed = sections.chapter_of(chunks.drop("section").join(routes.select("doc_id", "mode"), "doc_id"), outline)
     placed = placed.withColumn("deck", F.when(F.col("mode") == "multi", F.col("chapter")).otherwise(F.lit("")))
     number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("_first")) - 1
     firsts = placed.groupBy("doc_id", "deck").agg(F.min("chunk_idx").alias("_first")).withColumn("deck_id", number.cast("long")).drop("_first")

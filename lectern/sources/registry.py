@@ -37,6 +37,8 @@ class Settings:
     review_cycles: int = 3
     writer_batch: int = 5
     max_slides: int = 20
+    #: Chapters begin at the chunk with their heading; or, as an ordinal compared to chunk numbers, elsewhere.
+    ordinal_positions: bool = False
     duplicate_policy: str = "overwrite"
     provider: str = "anthropic"
     model: str = "claude-sonnet-4-20250514"
