@@ -178,7 +178,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     records = read_archives(spark, scratch.path("archive"), payloads=False)
     records = scratch.save(records.drop("payload"), "records")
     captures = transactions(records).select(
-        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
+        F.col("metadata.fields")["page-id"].try_cast("long").alias("page_id"),
         F.col("response.record_type").alias("record_type"),
         F.col("response.bytes").alias("bytes"),
         F.col("response.digest").alias("digest"),
