@@ -349,3 +349,20 @@ def test_library_manifest_missing_or_corrupt(spark, tmp_path):
     assert readers.library(spark, f"{tmp_path}/none.json").count() == 0
     (tmp_path / "bad.json").write_text("{[")
     assert readers.library(spark, f"{tmp_path}/bad.json").count() == 0
+
+
+def test_blank_images(spark):
+    from lectern.functions.images import is_blank
+
+    df = spark.createDataFrame([(1, bytearray(b"\xff" * 3000), 3), (2, bytearray(b"\xff" * 2997 + b"\x00" * 3000), 3), (3, None, 3), (4, bytearray(b"\xfa" * 4), 1)], "id int, px binary, n int")
+    assert {r.id: r.b for r in df.select("id", is_blank(F.col("px"), F.col("n")).alias("b")).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lectern.__main__ import main
+
+    (tmp_path / "a.txt").write_text("# One\n" + "word " * 400)
+    main(["estimate", str(tmp_path)])
+    assert "claude-sonnet" in capsys.readouterr().out
+    main(["run", str(tmp_path), "--fast"])
+    assert "single" in capsys.readouterr().out
