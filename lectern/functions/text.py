@@ -1,9 +1,8 @@
-"""Scalar functions on columns. All run in the JVM but `slug` of non-ASCII text and `table_markdown`."""
+"""Scalar functions on columns. All run in the JVM but `slug` of non-ASCII text."""
 
 from __future__ import annotations
 
 import unicodedata
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -120,51 +119,31 @@ def substitute(template: Column | str, values: dict[str, Column]) -> Column:
     return out
 
 
-class _Cells(HTMLParser):
-    """Rows of cell texts of an HTML table; a colspan gives empty cells after its own."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[list[str]] = []
-        self.row: list[str] | None = None
-        self.cell: list[str] | None = None
-        self.span = 1
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        elif tag in {"td", "th"}:
-            said = dict(attrs).get("colspan") or "1"
-            self.cell, self.span = [], max(1, int(said)) if said.strip().lstrip("+-").isdigit() else 1
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-
-    def handle_endtag(self, tag):
-        if tag == "tr" and self.row is not None:
-            self.rows, self.row = self.rows + [self.row], None
-        elif tag in {"td", "th"} and self.cell is not None and self.row is not None:
-            self.row += [" ".join("".join(self.cell).split())] + [""] * (self.span - 1)
-            self.cell = None
-
-
-def _table(html: str | None) -> str:
-    cells = _Cells()
-    cells.feed(html or "")
-    rows = [r for r in cells.rows if r]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(c.replace("|", "\\|") for c in r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+# Character references that are resolved, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def table_markdown(c: Column) -> Column:
-    """A pipe table of an HTML table; empty without rows."""
-
-    @F.pandas_udf("string")
-    def made(s: pd.Series) -> pd.Series:
-        return s.map(_table)
-
-    return made(c)
+    """A pipe table of an HTML table; empty without rows.
+
+    Cells lose their tags and runs of white space, a colspan gives empty cells after its own, rows are filled
+    up to the longest, and rows without cells are dropped.
+    """
+
+    def plain(cell: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(cell, r"(?s)^<[^>]*>|</t[dh]\s*>$", ""), r"(?s)<[^>]*>", "")
+        for mark, char in ENTITIES:
+            text = F.replace(text, F.lit(mark), F.lit(char))
+        return F.replace(strip(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("|"), F.lit("\\|"))
+
+    def spread(cell: Column) -> Column:
+        span = F.regexp_extract(cell, r"""(?is)^<t[dh][^>]*\bcolspan\s*=\s*["']?(\d+)""", 1).try_cast("int")
+        return F.concat(F.array(plain(cell)), F.array_repeat(F.lit(""), F.greatest(F.coalesce(span, F.lit(1)), F.lit(1)) - 1))
+
+    rows = F.regexp_extract_all(c, F.lit(r"(?is)(<tr\b[^>]*>.*?</tr\s*>)"), 1)
+    cells = F.transform(rows, lambda r: F.flatten(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)(<t[dh]\b[^>]*>.*?</t[dh]\s*>)"), 1), spread)))
+    cells = F.filter(cells, lambda r: F.size(r) > 0)
+    width = F.array_max(F.transform(cells, F.size))
+    lines = F.transform(cells, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    return F.when(F.size(cells) > 0, F.concat_ws("\n", F.try_element_at(lines, F.lit(1)), rule, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))))).otherwise(F.lit(""))
