@@ -31,7 +31,8 @@ GROUP = 32
 TABLES = 4
 DESCENTS = 2
 PASSES = 5
-BLOCK = 512
+#: Vectors of a component in a block: a sixteenth of it, within these bounds.
+BLOCK, MOST_BLOCK = 128, 2048
 AUDIT = 256
 RECALL = 0.98
 _CODED = "id long, dim int, codes binary, step double, lost double"
@@ -177,7 +178,8 @@ def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
 
     Blocks of a component are compared two by two; a member goes to each pair of blocks that holds its own.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    n = F.count("*")
+    sizes = members.groupBy("root").agg(F.ceil(n / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), n / 16))).cast("int").alias("blocks"))
     rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "root", "block", "id", "copies", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "v")
