@@ -135,19 +135,34 @@ def _pair(have: np.ndarray, gap: int) -> tuple[int, int] | None:
     return (gap - int(a[ok[0]]), int(a[ok[0]])) if len(ok) else None
 
 
-def _filling(have: np.ndarray, gap: int, pair_sums: np.ndarray) -> tuple[int, ...] | None:
-    """One to three available lengths that sum up to gap."""
+def _pair_sums(have: np.ndarray) -> np.ndarray:
+    """For each sum, whether two of the available lengths may have it (one of them twice, if need be)."""
+    size = 1 << (2 * len(have)).bit_length()
+    there = np.fft.rfft((have > 0).astype(np.float64), size)
+    return np.fft.irfft(there * there, size)[: len(have)] > 0.5
+
+
+def _filling(have: np.ndarray, gap: int, index: dict) -> tuple[int, ...] | None:
+    """One to three available lengths that sum up to gap.
+
+    index["pairs"] holds the sums that pairs had when it was made; it is made anew as soon as it misleads.
+    """
     if have[gap] > 0:
         return (gap,)
-    if pair_sums[gap] and (two := _pair(have, gap)):
+    if index["pairs"][gap] and (two := _pair(have, gap)):
         return two
     c = np.arange(gap - 2, 0, -1)
-    for third in c[(have[c] > 0) & pair_sums[gap - c]]:
-        have[third] -= 1
-        two = _pair(have, gap - int(third))
-        have[third] += 1
-        if two:
-            return (int(third), *two)
+    for fresh in (False, True):
+        if fresh:
+            index["pairs"] = _pair_sums(have)
+        for third in c[(have[c] > 0) & index["pairs"][gap - c]]:
+            have[third] -= 1
+            two = _pair(have, gap - int(third))
+            have[third] += 1
+            if two:
+                return (int(third), *two)
+            if not fresh:
+                break
     return None
 
 
@@ -160,13 +175,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     if have[capacity]:
         out.append((int(have[capacity]), [(capacity, 1)]))
         have[capacity] = 0
-    there = (have > 0).astype(np.float64)
-    size = 1 << (2 * capacity).bit_length()
-    pair_sums = np.fft.irfft(np.fft.rfft(there, size) ** 2, size)[: capacity + 1] > 0.5  # sums that two lengths had at first; those gone are sorted out on use
+    index = {"pairs": _pair_sums(have)}
     for length in range(capacity - 1, 0, -1):
         while have[length] > 0:
             have[length] -= 1
-            rest = _filling(have, capacity - length, pair_sums)
+            rest = _filling(have, capacity - length, index)
             have[length] += 1
             if not rest:
                 break
