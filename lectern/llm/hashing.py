@@ -8,6 +8,8 @@ memory follows the block and not the longest text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -40,6 +42,16 @@ def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
