@@ -9,10 +9,16 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch on its way to Python, unless the session sets its own; rows of any length stay bounded.
+BATCH_BYTES = 8 << 20
+_DEFAULT_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application."""
+    """Sends this package to the executors, once for each Spark application, and bounds Arrow batches by bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(_DEFAULT_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
