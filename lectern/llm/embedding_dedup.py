@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings by NN-descent.
+"""Near-duplicate embeddings: NN-descent, then all pairs in exact tiles.
 
 1. Equal vectors are one class, whose copies count as links without being compared.
 2. Lists of nearest neighbours start from groups that share a code of random hyperplanes (groups are
@@ -7,10 +7,10 @@
    neighbour are compared with each other, on int8 codes; better ones enter their lists. Lists whose
    last entry still reaches the threshold are saturated, and are doubled.
 4. Entries whose error bound leaves the threshold open are recomputed in double precision; those that
-   reach it link. Within each component of links, all pairs are then compared exactly, in blocks,
-   which completes what a list was too short for and gives every vector's number of links.
-5. An audit compares a sample of AUDIT vectors with all rows by brute force; while recall is under
-   RECALL, steps 2 to 4 run again with other hyperplanes, keeping the lists.
+   reach it link, and components of these links are known.
+5. Lists are short and the descent may miss, so nothing is decided by them: every pair of vectors of
+   one length is compared in tiles, which give each vector's number of links and join known
+   components that a link connects. The descent only spares the tiles links to report.
 """
 
 from __future__ import annotations
@@ -30,11 +30,10 @@ MOST_K = 64
 GROUP = 32
 TABLES = 4
 DESCENTS = 2
-PASSES = 5
-#: Vectors of a component in a block: a sixteenth of it, within these bounds.
-BLOCK, MOST_BLOCK = 128, 2048
-AUDIT = 256
-RECALL = 0.98
+#: Vectors in a block: an eighth of those compared, within these bounds and at most so many numbers.
+BLOCK, MOST_BLOCK, NUMBERS = 128, 8192, 1 << 20
+#: Rows of a tile that are multiplied at once.
+STRIP = 512
 _CODED = "id long, dim int, codes binary, step double, lost double"
 
 
@@ -173,48 +172,81 @@ def _exact(links: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(kept, "u long, v long")
 
 
-def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """id, links: for members(root, id, copies, v), the copies of all others of the component that reach the threshold.
+def _tiled(members: DataFrame, threshold: float) -> DataFrame:
+    """id, other, links: for members(root, known, id, copies, v), all pairs of equal root compared.
 
-    Blocks of a component are compared two by two; a member goes to each pair of blocks that holds its own.
+    Blocks are compared two by two; a member goes to each pair of blocks that holds its own. Rows with
+    null `other` hold the copies linked with id in one tile, the others are links between two known components.
     """
     n = F.count("*")
-    sizes = members.groupBy("root").agg(F.ceil(n / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), n / 16))).cast("int").alias("blocks"))
+    most = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.lit(NUMBERS) / F.max(F.size("v"))))
+    sizes = members.groupBy("root").agg(F.ceil(n / F.least(most, F.greatest(F.lit(BLOCK), n / 8))).cast("int").alias("blocks"))
     rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "root", "block", "id", "copies", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "v")
+    rows = rows.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "root", "known", "block", "id", "copies", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "v")
     rows = rows.repartition("tile", "root", "lo", "hi").sortWithinPartitions("tile", "root", "lo", "hi")
 
-    def counted(batches):
-        done: list = []
-        for root, block, ids, copies, lo, hi, v in _tiles(batches):
+    def compared(batches):
+        for known, block, ids, copies, lo, hi, v in _tiles(batches):
             raw = np.array(v, np.float64).reshape(len(ids), -1)
-            x = ann.unit(raw)
-            left = np.flatnonzero(block == lo[0])
+            x = ann.unit(raw).astype(np.float32)
+            # rounding of the numbers and of sums in single precision, each at most 2 ** -24 of the lengths
+            slack = (raw.shape[1] + 8) * 2.0**-23
             right = np.flatnonzero(block == hi[0])
-            c = x[left] @ x[right].T
-            near = np.abs(c - threshold) < 1e-9
-            linked = c >= threshold
-            if near.any():
-                a, b = np.nonzero(near)
-                linked[a, b] = ann.cosines(raw[left[a]], raw[right[b]]) >= threshold
-            if lo[0] == hi[0]:
-                np.fill_diagonal(linked, False)
-                done.append((ids[left], linked @ copies[right]))
-            else:
-                done.append((ids[left], linked @ copies[right]))
-                done.append((ids[right], linked.T @ copies[left]))
-            if len(done) >= 1000:
-                yield _counts(done)
-                done = []
-        if done:
-            yield _counts(done)
-
-    return rows.mapInArrow(counted, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-
-
-def _counts(done: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[0] for d in done])), pa.array(np.concatenate([d[1] for d in done]).astype(np.int64))], ["id", "links"])
+            links = np.zeros(len(ids))
+            joined = np.zeros((0, 2), np.int64)
+            left = np.flatnonzero(block == lo[0])
+            for at in range(0, len(left), STRIP):
+                some = left[at : at + STRIP]
+                c = x[some] @ x[right].T
+                a, b = np.nonzero(c >= threshold - slack)
+                open_ = np.flatnonzero(c[a, b] <= threshold + slack)
+                a, b = some[a], right[b]
+                keep = a != b
+                for i in range(0, len(open_), 65536):
+                    o = open_[i : i + 65536]
+                    keep[o] &= ann.cosines(raw[a[o]], raw[b[o]]) >= threshold
+                a, b = a[keep], b[keep]
+                links += np.bincount(a, copies[b], len(ids))
+                if lo[0] != hi[0]:
+                    links += np.bincount(b, copies[a], len(ids))
+                new = known[a] != known[b]
+                if new.any():
+                    joined = _forest(np.concatenate([joined, np.stack([known[a[new]], known[b[new]]], 1)]))
+            hit = np.flatnonzero(links)
+            none = pa.nulls(len(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), none, pa.array(links[hit].astype(np.int64))], ["id", "other", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(joined[:, 0]), pa.array(joined[:, 1]), pa.array(np.zeros(len(joined), np.int64))], ["id", "other", "links"])
+
+    return rows.mapInArrow(compared, "id long, other long, links long")
+
+
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Each label of the links with the smallest one reachable from it, where that is another."""
+    labels, ends = np.unique(links, return_inverse=True)
+    ends = ends.reshape(links.shape)
+    root = np.arange(len(labels))
+    while True:
+        low = root[ends].min(1)
+        new = root.copy()
+        for k in (0, 1):
+            np.minimum.at(new, ends[:, k], low)
+            np.minimum.at(new, root[ends[:, k]], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(labels)))
+    return np.stack([labels[moved], labels[root[moved]]], 1)
+
+
+def _summed(tiled: DataFrame) -> DataFrame:
+    return tiled.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
+    """id, links: for members(root, id, copies, v), the copies of all others of the same root that reach the threshold."""
+    return _summed(_tiled(members.withColumn("known", F.lit(0).cast("long")), threshold))
 
 
 def _tiles(batches):
@@ -225,7 +257,7 @@ def _tiles(batches):
     def whole():
         t = pa.Table.from_batches(held)
         named = {n: c for n, c in zip(t.schema.names, t.columns)}
-        return [named[n].to_numpy() for n in ("root", "block", "id", "copies", "lo", "hi")] + [named["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)]
+        return [named[n].to_numpy() for n in ("known", "block", "id", "copies", "lo", "hi")] + [named["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)]
 
     for batch in batches:
         if not batch.num_rows:
@@ -244,35 +276,13 @@ def _tiles(batches):
         yield whole()
 
 
-def _true_links(vectors: DataFrame, sample: list, threshold: float) -> DataFrame:
-    """id, links of the sample (id, v), against all of vectors(id, copies, v), by brute force."""
-    ids = np.array([r.id for r in sample], np.int64)
-    raw = [np.array(r.v, np.float64) for r in sample]
-
-    def counted(batches):
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                mine = [i for i, v in enumerate(raw) if len(v) == d]
-                if not mine:
-                    continue
-                x = ann.unit(ann.matrix(batch.column(2).take(pa.array(at)), len(at)))
-                other = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                linked = (ann.unit(np.stack([raw[i] for i in mine])) @ x.T >= threshold) & (ids[mine][:, None] != other[None, :])
-                total[mine] += linked @ batch.column(1).to_numpy(zero_copy_only=False)[at]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "links"])
-
-    return vectors.select("id", "copies", "v").mapInArrow(counted, "id long, links long").groupBy("id").agg(F.sum("links").alias("truth"))
-
-
 def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, report: dict | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vec_id of rows(vec_id, embedding, ...).
 
     Null, zero and non-finite vectors link with nothing; vectors only link with vectors of their length.
     Of rows that repeat a vec_id the smallest usable vector counts. Rows with a null vec_id are one
-    row with null component_id and kept. Other columns aren't read. `report` gets recall and passes.
+    row with null component_id and kept. Other columns aren't read. `report` gets recall (1: every pair is
+    compared), and how many links between vectors the descent confirmed and how many there are.
     """
     scratch = Scratch(rows.sparkSession, "neardup")
     single = ann.usable(rows).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -281,32 +291,31 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, report: dict | N
     vectors = scratch.save(single.join(classes.select(F.col("id").alias("vec_id"), "copies"), "vec_id").select(F.col("vec_id").alias("id"), "copies", "v"), "vectors")
     coded = scratch.save(_coded(vectors), "coded")
     total = vectors.count()
-    sample = vectors.orderBy(F.xxhash64(F.lit(9), "id")).limit(AUDIT).collect()
-    truth = scratch.save(_true_links(vectors, sample, threshold), "truth")
 
     state = scratch.save(coded.where("false").selectExpr("id", "cast(0 as int) as k", "0D as bar"), "state0")
     lists, step = None, 0
-    for run in range(PASSES):
-        for descent in range(DESCENTS + 1):
-            groups = _hyperplane_groups(coded, total, run + 1, scratch) if descent == 0 else _around(lists, step)
-            step += 1
-            lists = scratch.save(_updated(lists, _compared(groups, coded, state), state), f"lists{step}")
-            state = scratch.save(_states(lists, state, threshold), f"state{step}")
-            if step > 1:
-                scratch.drop(f"lists{step - 1}", f"state{step - 1}")
-        near = lists.where(f"sim + slack >= {threshold}").select(F.least("id", "near").alias("u"), F.greatest("id", "near").alias("v"), "sim", "slack").dropDuplicates(["u", "v"])
-        near = scratch.save(near, f"near{run}")
-        sure = near.where(f"sim - slack >= {threshold}").select("u", "v")
-        links = scratch.save(sure.union(_exact(near.where(f"sim - slack < {threshold}").select("u", "v"), vectors, threshold)), f"links{run}")
-        roots = components(links, scratch, f"cc{run}").toDF("id", "root")
-        members = vectors.join(roots, "id").select("root", "id", "copies", "v")
-        counts = scratch.save(_link_counts(members, threshold), f"counts{run}")
-        got = truth.join(counts, "id", "left").select(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("found")).first()
-        recall = got.found / got.truth if got.truth else 1.0
-        if report is not None:
-            report.update(recall=recall, passes=run + 1, audited=len(sample), true_links=got.truth)
-        if recall >= RECALL:
-            break
+    for descent in range(DESCENTS + 1):
+        groups = _hyperplane_groups(coded, total, 1, scratch) if descent == 0 else _around(lists, step)
+        step += 1
+        lists = scratch.save(_updated(lists, _compared(groups, coded, state), state), f"lists{step}")
+        state = scratch.save(_states(lists, state, threshold), f"state{step}")
+        if step > 1:
+            scratch.drop(f"lists{step - 1}", f"state{step - 1}")
+    near = lists.where(f"sim + slack >= {threshold}").select(F.least("id", "near").alias("u"), F.greatest("id", "near").alias("v"), "sim", "slack").dropDuplicates(["u", "v"])
+    near = scratch.save(near, "near")
+    sure = near.where(f"sim - slack >= {threshold}").select("u", "v")
+    links = scratch.save(sure.union(_exact(near.where(f"sim - slack < {threshold}").select("u", "v"), vectors, threshold)), "links")
+    known = components(links, scratch, "cc")
+    known = scratch.save(vectors.select("id").join(known.toDF("id", "known"), "id", "left").select("id", F.coalesce("known", "id").alias("known")), "known")
+    # numbers that single precision holds travel in it
+    wide = not vectors.where("v != cast(cast(v as array<float>) as array<double>)").isEmpty()
+    members = vectors.join(known, "id").select(F.size("v").alias("root"), "known", "id", "copies", F.col("v").cast(f"array<{'double' if wide else 'float'}>").alias("v"))
+    tiled = scratch.save(_tiled(members, threshold), "tiled")
+    counts = scratch.save(_summed(tiled), "counts")
+    joined = components(tiled.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), scratch, "joined").toDF("known", "over")
+    roots = known.join(joined, "known", "left").select("id", F.coalesce("over", "known").alias("root"))
+    if report is not None:
+        report.update(recall=1.0, descent_links=links.count(), links=(vectors.join(counts, "id").agg(F.sum(F.col("copies") * F.col("links"))).first()[0] or 0) // 2)
     of = classes.join(roots, "id", "left").join(counts, "id", "left")
     of = of.select("h", "g", F.coalesce("root", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of = scratch.save(of, "of")

@@ -357,6 +357,38 @@ def test_near_duplicates(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
+def exact_components(x, threshold):
+    """(links of each row, smallest row of its component) by brute force."""
+    u = ann.unit(x)
+    linked = u @ u.T >= threshold
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(x)).min(1))
+        if (low == root).all():
+            return linked.sum(1), root
+        root = low
+
+
+def deduplicated(spark, x):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    return np.array([got[i].n_links for i in range(len(x))]), np.array([got[i].component_id for i in range(len(x))])
+
+
+def test_near_duplicates_keep_lost_pairs_beside_a_hot_group(spark):
+    """The links of one large group must not hide that isolated pairs are lost."""
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=32) + 0.1 * rng.normal(size=(200, 32))
+    first = ann.unit(rng.normal(size=(150, 32)))
+    off = rng.normal(size=first.shape)
+    off = ann.unit(off - (off * first).sum(1)[:, None] * first)
+    x = np.concatenate([hot, first, 0.905 * first + np.sqrt(1 - 0.905**2) * off, rng.normal(size=(700, 32))]).astype(np.float32).astype(np.float64)
+    links, root = deduplicated(spark, x)
+    want_links, want_root = exact_components(x, 0.9)
+    assert (links == want_links).all() and (root == want_root).all()
+
+
 def test_link_counts_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     rng = np.random.default_rng(1)
