@@ -389,6 +389,18 @@ def test_near_duplicates_keep_lost_pairs_beside_a_hot_group(spark):
     assert (links == want_links).all() and (root == want_root).all()
 
 
+def test_near_duplicates_count_links_beyond_full_lists(spark):
+    """Both ends of the links between groups have more nearer partners than a list holds."""
+    rng = np.random.default_rng(8)
+    middle, sides = ann.unit(rng.normal(size=(1, 48)))[0], np.linalg.qr(rng.normal(size=(48, 3)))[0].T
+    sides = ann.unit(sides - (sides @ middle)[:, None] * middle)
+    groups = np.sqrt(0.915) * middle + np.sqrt(0.085) * sides
+    x = np.repeat(groups, 90, axis=0) + 0.004 * rng.normal(size=(270, 48))
+    links, root = deduplicated(spark, x)
+    want_links, want_root = exact_components(x, 0.9)
+    assert want_links.min() > 89 and (links == want_links).all() and (root == want_root).all()
+
+
 def test_link_counts_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     rng = np.random.default_rng(1)
