@@ -31,8 +31,8 @@ HEAD = 1 << 18
 CLASSES, MEMBERS = 16, 32
 #: Rows of the two weight tables.
 CONTEXTS, PAIRS = 1 << 14, 1 << 14
-#: Each training document gives its gradients at one position in STRIDE (from a start by its hash); each round takes its share of documents.
-STRIDE, ROUNDS = 4, 2
+#: Each training document gives its gradients at every position; each round takes its share of documents.
+ROUNDS = 2
 #: A small corpus is gone over several times, up to about so many positions, PASSES times at most.
 POSITIONS, PASSES = 1_500_000, 3
 STEP, MINI = 0.15, 4096
@@ -168,7 +168,7 @@ def _train(docs: DataFrame, model: Model, positions: int) -> None:
             seen = 0
             for batch in (part for whole in batches for part in H.parts(whole, 0)):
                 h, offsets = tokens(batch.column(0))
-                at = np.concatenate([np.arange(offsets[i] + int(h[offsets[i]] % np.uint64(STRIDE)), offsets[i + 1], STRIDE) for i in range(batch.num_rows)]) if batch.num_rows else np.zeros(0, np.int64)
+                at = np.arange(len(h))
                 _descend(mine, *squares, h, offsets, at)
                 seen += len(at)
             if seen:
@@ -259,7 +259,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     place[ranked] = np.arange(len(ranked))
     model = Model(words, c, place, float(total), float(distinct))
     training = docs.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)).alias("turn"))
-    _train(training, model, total // STRIDE)
+    _train(training, model, total)
 
     def scored(batches):
         from pyspark import TaskContext

@@ -285,6 +285,18 @@ def test_lm_is_a_distribution_and_learns_context(spark):
     assert abs(mass - 1) < 1e-3
 
 
+def test_lm_learns_at_every_position(spark):
+    """Texts shorter than an offset by the hash of their first word are trained on, too."""
+    import pyarrow as pa
+
+    names = [f"w{k}" for k in range(100)]
+    h = [int(lm_score.tokens(pa.array([w]))[0][0]) % 4 for w in names]
+    firsts = [w for w, rest in zip(names, h) if rest == 3][:4]
+    texts = [f"{firsts[i % 4]} then{i % 4}" for i in range(400)]
+    out = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out)
+
+
 def test_lm_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.lm_scores(df).count() == 0
