@@ -33,8 +33,6 @@ CLASSES, MEMBERS = 16, 32
 CONTEXTS, PAIRS = 1 << 14, 1 << 14
 #: Each training document gives its gradients at every position; each round takes its share of documents.
 ROUNDS = 2
-#: A small corpus is gone over several times, up to about so many positions, PASSES times at most.
-POSITIONS, PASSES = 1_500_000, 3
 STEP, MINI = 0.15, 4096
 SLICES = 32
 ALPHA = 0.1
@@ -153,11 +151,10 @@ def _step(w: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], error: np.
     w[hit] -= STEP * g / np.sqrt(squares[hit] + 1.0)
 
 
-def _train(docs: DataFrame, model: Model, positions: int) -> None:
-    """docs(text, turn): rounds of local descent and averaging."""
-    again = int(np.clip(POSITIONS / max(1, positions), 1, PASSES))
-    for turn in range(ROUNDS if again == 1 else again):
-        part = docs.where(F.col("turn") == turn % ROUNDS) if again == 1 else docs
+def _train(docs: DataFrame, model: Model) -> None:
+    """docs(text, turn): rounds of local descent and averaging, each over its share: one pass at every size."""
+    for turn in range(ROUNDS):
+        part = docs.where(F.col("turn") == turn)
 
         def local(batches, model=model):
             import copy
@@ -259,7 +256,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     place[ranked] = np.arange(len(ranked))
     model = Model(words, c, place, float(total), float(distinct))
     training = docs.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)).alias("turn"))
-    _train(training, model, total)
+    _train(training, model)
 
     def scored(batches):
         from pyspark import TaskContext

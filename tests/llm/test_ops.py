@@ -297,6 +297,26 @@ def test_lm_learns_at_every_position(spark):
     assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out)
 
 
+def test_lm_goes_once_over_a_small_corpus(spark):
+    texts = [(i, f"cat{i % 3} dog{i % 3}", i % lm_score.ROUNDS) for i in range(20)]
+    rounds = []
+
+    class Watched:
+        def __init__(self, df):
+            self.df = df
+
+        def where(self, condition):
+            return Watched(self.df.where(condition))
+
+        def select(self, *columns):
+            rounds.append(self.df.count())
+            return self.df.select(*columns)
+
+    model = lm_score.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 60.0, 7.0)
+    lm_score._train(Watched(spark.createDataFrame(texts, "doc_id long, text string, turn int")), model)
+    assert len(rounds) == lm_score.ROUNDS and sum(rounds) == len(texts)
+
+
 def test_lm_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.lm_scores(df).count() == 0
