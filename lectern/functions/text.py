@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and lengths that results depend on.
-HEADING = r"(?m)^#{1,2}\s"
-FIGURE_TAG = r"\[FIGURE_ID:\s*(\d+)\]"
-CAPTION = r"(?i)^(fig\.?|figure|chart|table)\b"
-CAPTION_KEY = r"(?i)^((?:fig\.?\s*|figure\s*|chart\s*|table\s*)\d+)"
-TABLE_RULE = r"^\s*\|[\s\-:|]+\|\s*$"
+# Patterns and lengths that results depend on. White space, digits and word ends are those of Unicode;
+# of lines, only line feeds count.
+HEADING = r"(?mdU)^#{1,2}\s"
+HEADING_AHEAD = r"(?mdU)(?=^#{1,2}\s)"
+FIGURE_TAG = r"(?U)\[FIGURE_ID:\s*([0-9]+)\]"
+CAPTION = r"(?iU)^(fig\.?|figure|chart|table)\b"
+CAPTION_KEY = r"(?iU)^((?:fig\.?\s*|figure\s*|chart\s*|table\s*)\d+)"
+TABLE_RULE = r"(?U)^\s*\|[\s\-:|]+\|\s*$"
 SLUG_LENGTH = 80
 CAPTION_LENGTH = 120
 MOST_HASHES = 6
@@ -68,7 +70,7 @@ def is_caption(c: Column) -> Column:
 def caption_key(c: Column) -> Column:
     """Keyword and number of a caption, lower-case and single-spaced; null without one."""
     key = F.regexp_extract(c, CAPTION_KEY, 1)
-    return F.nullif(F.lower(F.regexp_replace(F.trim(key), r"\s+", " ")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(strip(key), r"(?U)\s+", " ")), F.lit(""))
 
 
 def join_caption(parts: Column) -> Column:

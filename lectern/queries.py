@@ -64,6 +64,23 @@ def chunk_chars_1000(spark, d):
     return _chunked(spark, d, 1000, 200)
 
 
+@query(
+    """WITH RECURSIVE t AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS x FROM documents),
+w(doc_id, x, p, beg, fin) AS (
+  SELECT doc_id, x, -1, 0, 0 FROM t WHERE length(x) > 300
+  UNION ALL
+  SELECT doc_id, x, p + 1, a, CASE WHEN a + 300 < length(x) AND strpos(reverse(substr(x, a + 1, 300)), chr(10) || chr(10)) > 0 THEN a + 300 - strpos(reverse(substr(x, a + 1, 300)), chr(10) || chr(10)) - 1 ELSE a + 300 END
+  FROM (SELECT *, CASE WHEN p < 0 THEN 0 ELSE greatest(fin - 60, beg + 1) END AS a FROM w) WHERE a < length(x)),
+c AS (
+  SELECT doc_id, p, regexp_replace(substr(x, CAST(beg AS BIGINT) + 1, CAST(fin - beg AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS chunk FROM w WHERE p >= 0
+  UNION ALL SELECT doc_id, 0, x FROM t WHERE length(x) <= 300 AND regexp_matches(x, '\\S'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS chunk_idx, md5(chunk) AS chunk_md5 FROM c WHERE chunk <> ''"""
+)
+def chunk_blank_lines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return chunking.chunk_chars(docs, 300, 60).select("doc_id", "chunk_idx", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
 _SIZES = f"WITH chunks AS ({_chunks_sql(8000, 1500)})"
 
 

@@ -68,7 +68,7 @@ def test_null_blank_and_short_texts(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab \n", max_size=200), st.integers(5, 40), st.integers(0, 4))
 def test_windows_cover_the_text(text, size, overlap):
-    spans = chunking.window_starts(text, size, overlap)
+    spans = list(chunking.Snap(text, size, overlap).spans())
     covered = {i for a, b in spans for i in range(a, min(b, len(text)))}
     # where a window begins at a blank line, only its first line feed is passed over
     assert covered >= {i for i, c in enumerate(text) if c != "\n"}
