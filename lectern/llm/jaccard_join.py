@@ -10,10 +10,12 @@ reaches `percent` / 100. The join is exact; every pruning step is a bound.
    are verified against the group's first member; those that don't link with it form groups of their own.
 4. Leaders: for each of the first LEAD shingles of a prefix, the group links with the smallest
    group there, if their sets say so. Large clusters become one component from a linear number of pairs.
-5. Group pairs from different components that share a prefix shingle are filtered by size and by a lower
-   bound of their difference: 512 parity bits of each set (each differing shingle flips one), and for
-   large sets the prefixes themselves. Survivors are verified; where the triangle inequality leaves
-   room for a link between members, the pair expands into its members and these are verified.
+   ROUNDS more rounds (one) give every prefix shingle that still spans components a leader of its own, drawn by
+   hash, and compare all others there with it: dense clusters merge, shingles of two groups are done.
+5. Group pairs from different components that share a prefix shingle, each given once, at the first such shingle,
+   are filtered by size and by a lower bound of their difference: 512 parity bits of each set (each differing
+   shingle flips one), and for large sets the prefixes themselves. Survivors are verified; where the triangle
+   inequality leaves room for a link between members, the pair expands into its members and these are verified.
 6. Components of all verified links, then back to all documents.
 
 doc_id is the key: null doc_ids link with nothing; rows that repeat a doc_id count as one
@@ -23,6 +25,7 @@ document with each of its texts.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,15 @@ FREQUENT = 200_000
 OFTEN = 2
 #: Prefix shingles by which a group looks for its leaders.
 LEAD = 8
+#: Rounds of leaders drawn by hash; they only spare the last join pairs, which is exact after any number of them.
+ROUNDS = 1
 #: 64-bit words of parity bits for a set. From LARGE shingles on they say too little, and prefixes are compared too.
 PARITY = 8
 LARGE = 1500
 #: Most bits of the filter that selects documents whose sets are built.
 FILTER_BITS = 1 << 28
+#: Most tasks that each fill a filter of their own; the driver takes one after the other.
+FILTERS = 32
 _HEAVY = np.uint64(1 << 62)
 
 
@@ -135,7 +142,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["bits"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for row in ids.repartition(4).mapInArrow(marked, "bits binary").toLocalIterator():
+    for row in ids.coalesce(FILTERS).mapInArrow(marked, "bits binary").toLocalIterator():
         total |= np.frombuffer(row.bits, np.uint8)
     return total
 
@@ -244,38 +251,62 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
         rows = scratch.save(rows.union(whole.join(loose, "doc_id", "left_semi").select(*rows.columns)).distinct(), "unit_rows")
         again = member.select(F.col("head").alias("doc_id")).union(loose).distinct()
         lists = lists.union(rows.join(again, "doc_id", "left_semi").select(F.explode("prefix").alias("token"), "doc_id")).distinct()
-    rooted = rows.select("doc_id", "n", *bits).join(start.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(far, "doc_id", "left")
-    rooted = scratch.save(rooted.select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.coalesce("far", F.lit(0)).alias("far"), *bits), "rooted")
-
-    # pairs of units from different components
-    lists = scratch.save(lists.join(rooted, "doc_id"), "lists")
-    mixed = scratch.save(lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"), "mixed")
-    lists = lists.join(mixed, "token", "left_semi")
-    x = lists.select("doc_id", "token", "n", "root", "far", *bits).toDF("a", "token", "xn", "xroot", "xfar", *(f"x{b}" for b in bits))
-    y = lists.select("doc_id", "token", "n", "root", "far", *bits).toDF("b", "token", "yn", "yroot", "yfar", *(f"y{b}" for b in bits))
-    crossed = x.join(y, "token").where("a < b and xroot != yroot and " + _close("xfar + yfar", percent))
-    crossed = scratch.save(crossed.select("a", "b", F.greatest("xn", "yn").alias("most"), F.expr("xfar + yfar").alias("reach")).distinct(), "crossed")
+    facts = rows.select("doc_id", "n", *bits).join(far, "doc_id", "left").select("doc_id", "n", F.coalesce("far", F.lit(0)).alias("far"), *bits)
+    facts = scratch.save(facts, "facts")
+    lists = scratch.save(_rooted(lists, start), "lists0")
+    scratch.drop("posts", "shared", "sets1")
+
+    # further leaders: one for each shingle that spans components, compared with all others there
+    reached, tables = start, []
+    for turn in range(1, ROUNDS + 1):
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "token", "doc_id").alias("turn"), "doc_id", "root")).alias("lead")
+        spans = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("uses"), drawn).where("lo != hi")
+        spans = scratch.save(spans.select("token", "uses", F.col("lead.doc_id").alias("lead"), F.col("lead.root").alias("lead_root")), f"spans{turn}")
+        met = lists.join(spans, "token").where("root != lead_root").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+        met = met.join(_named(facts, "x").withColumnRenamed("xdoc_id", "a"), "a").join(_named(facts, "y").withColumnRenamed("ydoc_id", "b"), "b").where(_close("xfar + yfar", percent))
+        met = scratch.save(met.select("a", "b", F.greatest("xn", "yn").alias("most"), F.expr("xfar + yfar").alias("reach")), f"met{turn}")
+        met = scratch.save(_near(met, rows, percent, ["reach"]), f"near{turn}")
+        if met.isEmpty():
+            break
+        sets = scratch.save(_sets(docs, _ends(met), heavy, shingle), f"sets{turn + 1}")
+        tables.append(scratch.save(_verify(met, sets, ["reach"]).withColumn("linked", F.expr(linked)), f"compared{turn}"))
+        scratch.drop(f"sets{turn + 1}", f"met{turn}", f"near{turn}")
+        more = tables[-1].where("linked")
+        if more.isEmpty():
+            break
+        links = links.union(more.select("a", "b"))
+        reached = components(links, scratch, f"cc1_{turn}")
+        # two alone at a shingle have met, and those of one component need not
+        lists = scratch.save(_rooted(lists.drop("root").join(spans.where("uses > 2").select("token"), "token", "left_semi"), reached), f"lists{turn}")
+        scratch.drop(f"lists{turn - 1}", f"spans{turn}")
+
+    # pairs of units that are still in different components, at their first common shingle
+    open_ = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("uses")).where(f"lo != hi and uses > {2 if ROUNDS else 1}").select("token")
+    own = lists.join(open_, "token", "left_semi").groupBy("doc_id", "root").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    own = scratch.save(own, "own").join(facts, "doc_id").select("*", F.posexplode("tokens").alias("pos", "token"))
+    own = own.select("token", "doc_id", "root", "n", "far", *bits, F.slice("tokens", F.lit(1), F.col("pos")).alias("before"))
+    crossed = _named(own, "x", "token").join(_named(own, "y", "token"), "token")
+    crossed = crossed.where("xdoc_id < ydoc_id and xroot != yroot and " + _close("xfar + yfar", percent) + " and not arrays_overlap(xbefore, ybefore)")
+    crossed = scratch.save(crossed.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b"), F.greatest("xn", "yn").alias("most"), F.expr("xfar + yfar").alias("reach")), "crossed")
     crossed = scratch.save(_near(crossed, rows, percent, ["reach"]), "near")
-    second = None
     if not crossed.isEmpty():
-        sets = scratch.save(_sets(docs, _ends(crossed), heavy, shingle), "sets2")
-        compared = scratch.save(_verify(crossed, sets, ["reach"]), "compared")
-        second = compared.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        # members of unit pairs whose distance leaves room for a link
+        sets = scratch.save(_sets(docs, _ends(crossed), heavy, shingle), "sets0")
+        tables.append(scratch.save(_verify(crossed, sets, ["reach"]).withColumn("linked", F.expr(linked)), "compared0"))
+        links = links.union(tables[-1].where("linked").select("a", "b"))
+
+    # members of unit pairs whose distance leaves room for a link
+    if tables:
+        compared = reduce(DataFrame.union, tables)
         room = f"n_a + n_b - 2 * {_least_overlap('n_a', 'n_b', percent)}"
-        wide = scratch.save(compared.where(f"not ({linked}) and reach > 0 and {apart} - reach <= {room}").select("a", "b"), "wide")
+        wide = scratch.save(compared.where(f"not linked and reach > 0 and {apart} - reach <= {room}").select("a", "b").distinct(), "wide")
         if not wide.isEmpty():
             crew = member.select(F.col("unit"), "doc_id").union(wide.select("a", "a")).union(wide.select("b", "b")).distinct()
             spread = wide.join(crew.toDF("a", "da"), "a").join(crew.toDF("b", "db"), "b").where("a != da or b != db").select(F.col("da").alias("a"), F.col("db").alias("b"))
             spread = scratch.save(spread, "spread")
-            sets = scratch.save(_sets(docs, _ends(spread), heavy, shingle), "sets3")
-            second = second.union(_verify(spread, sets, []).where(linked).select("a", "b"))
-        second = scratch.save(second, "second")
-
-    reached = start
-    if second is not None and not second.isEmpty():
-        reached = components(links.union(second), scratch, "cc2")
-    scratch.drop("head_rows", "posts", "shared", "lists", "sets1", "sets2", "unit_rows", "rooted")
+            sets = scratch.save(_sets(docs, _ends(spread), heavy, shingle), "sets_wide")
+            links = links.union(scratch.save(_verify(spread, sets, []).where(linked).select("a", "b"), "second"))
+        reached = components(links, scratch, "cc2")
+    scratch.drop("head_rows", "sets0", "sets_wide", "unit_rows", "facts", "own", *(f"lists{k}" for k in range(ROUNDS + 1)))
     classes = classes.join(reached.select(F.col("id").alias("class"), "root"), "class", "left").select("sig", F.coalesce("root", "class").alias("root"))
     classes = scratch.save(classes, "classes_out")
     slim = signed_docs.select("doc_id", "n", "sig")
@@ -284,6 +315,16 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
     return out.union(alone)
 
 
+def _rooted(units: DataFrame, roots: DataFrame) -> DataFrame:
+    """units(doc_id, ...) with the root of each in roots(id, root), or itself."""
+    return units.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+
+def _named(rows: DataFrame, prefix: str, key: str | None = None) -> DataFrame:
+    """rows with the prefix before the names of all columns but the key."""
+    return rows.select(*(F.col(c).alias(c if c == key else prefix + c) for c in rows.columns))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
