@@ -1,16 +1,19 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 Tokens are lower-cased words and an end of text. Counts of all training tokens give the smoothed
-unigram model. The frequent words are dealt to classes, all others form one more class; the
-probability of a word is that of its class given the context, times that of the word within
-its class: for frequent words given the context again, for the rest by smoothed counts. Both
-softmaxes sum the weights of hashed features: the word before, the pair before, and single words further
-back (skips). They start from the counts, so an untrained model is the unigram model.
+unigram model. The softmax is factored by classes, in three steps of WIDE branches each: class, subclass, member.
+The SINGLES most frequent words have members of their own. All other words of the vocabulary, whatever its
+size, are dealt to the remaining members: classes are bands of equal frequency mass, subclass and member come from
+the hash; words that share a member are told apart by their smoothed counts. Each step's softmax sums the
+weights of hashed features: the word before, the pair before, and single words further back (skips), joined
+with the branch taken so far. Weights start from zero and biases from the counts, so an untrained
+model is the unigram model.
 
 Training is distributed: every task takes gradient steps over its part of the training documents
-from the weights at hand, the changes of all tasks are averaged in slices, and the next
-round starts from there. Weights, and the table of HEAD frequent words that scoring looks up in numpy,
-have a fixed size; counts of the other words are joined.
+from the weights at hand; of each weight row the changes of all tasks are averaged by how often they met it, in
+slices, and the next round starts from there. The weight table has a row for each ROW_WORDS words of the
+vocabulary, within bounds. Weights, and the table of HEAD frequent words that scoring looks up in numpy,
+have a bounded size; counts of the other words are joined.
 """
 
 from __future__ import annotations
@@ -28,13 +31,18 @@ from lectern.storage import Scratch
 
 #: Words whose counts every task holds (16 bytes each); the others are joined.
 HEAD = 1 << 18
-CLASSES, MEMBERS = 16, 32
-#: Rows of the two weight tables.
-CONTEXTS, PAIRS = 1 << 14, 1 << 14
+#: Branches of each of the three steps; the first OWN classes are made of single words.
+WIDE, OWN = 16, 8
+SINGLES = OWN * WIDE * WIDE
+LEAVES = WIDE**3
+#: Weight rows (64 bytes each): one for each ROW_WORDS words of the vocabulary, within bounds.
+ROW_WORDS, LEAST_ROWS, MOST_ROWS = 2, 1 << 14, 1 << 17
 #: Each training document gives its gradients at every position; each round takes its share of documents.
 ROUNDS = 2
 STEP, MINI = 0.15, 4096
 SLICES = 32
+#: Training tasks for each core at most: each sends its changed rows once, however much it has read.
+TASKS = 4
 ALPHA = 0.1
 _END = H.mixed(np.array([0x656E64], np.uint64))[0]
 _START = H.mixed(np.array([0x7374617274], np.uint64))[0]
@@ -55,104 +63,130 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], stop])
 
 
-def _bucket(h: np.ndarray, salt: int, rows: int) -> np.ndarray:
-    return ((h * _ODD[salt % 8] + np.uint64(salt)) >> np.uint64(40)).astype(np.int64) % rows
+def _hashed_leaf(h: np.ndarray) -> np.ndarray:
+    """Subclass and member, as one number, of words that have no member of their own."""
+    return ((h >> np.uint64(40)) & np.uint64(WIDE * WIDE - 1)).astype(np.int64)
 
 
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes of the HEAD words
     counts: np.ndarray
-    place: np.ndarray  # class * MEMBERS + member, or -1 for words of the rest class
     total: float  # N
     distinct: float  # V
-    class_bias: np.ndarray = field(default=None)
-    word_bias: np.ndarray = field(default=None)
-    rest: float = 0.0
-    class_w: np.ndarray = field(default=None)
-    word_w: np.ndarray = field(default=None)
+    tail: np.ndarray  # sums of count + ALPHA of the training words beyond the head, by hashed leaf
+    leaf: np.ndarray = field(default=None)  # of each head word
+    mass: np.ndarray = field(default=None)  # of each leaf
+    bias: list[np.ndarray] = field(default=None)
+    w: np.ndarray = field(default=None)
 
     def __post_init__(self):
-        z = self.total + ALPHA * (self.distinct + 1)
-        mass = np.zeros(CLASSES * MEMBERS)
-        there = self.place >= 0
-        mass[self.place[there]] = self.counts[there] + ALPHA
-        self.rest = max(z - mass.sum(), ALPHA)
-        mass = mass.reshape(CLASSES, MEMBERS)
+        ranked = np.lexsort((self.words, -self.counts))
+        single = ranked[:SINGLES][self.counts[ranked[:SINGLES]] > 0]
+        rest = ranked[len(single) :]
+        weight = self.counts + ALPHA * (self.counts > 0)
+        run = np.cumsum(weight[rest])
+        bands = WIDE - OWN - 1  # the last class holds what is beyond the head
+        band = np.minimum((run - weight[rest]) / max(run[-1] if len(run) else 1, 1e-9) * bands, bands - 1).astype(np.int64)
+        self.leaf = np.zeros(len(self.words), np.int64)
+        self.leaf[single] = np.arange(len(single))
+        self.leaf[rest] = (OWN + band) * WIDE * WIDE + _hashed_leaf(self.words[rest])
+        self.mass = np.bincount(self.leaf, weight, LEAVES)
+        self.mass[-WIDE * WIDE :] += self.tail
+        self.mass[SINGLES:] += ALPHA  # an unknown word in each
         with np.errstate(divide="ignore"):
-            self.class_bias = np.maximum(np.log(np.append(mass.sum(1), self.rest) / z), -1e9).astype(np.float32)
-            self.word_bias = np.maximum(np.log(mass / np.maximum(mass.sum(1, keepdims=True), 1e-300)), -1e9).astype(np.float32)
-        self.class_w = np.zeros((CONTEXTS, CLASSES + 1), np.float32)
-        self.word_w = np.zeros((PAIRS, MEMBERS), np.float32)
+            logs = [np.log(self.mass.reshape(WIDE ** (k + 1), -1).sum(1)).reshape(-1, WIDE) for k in range(3)]
+            above = [np.log(self.mass.sum()).reshape(1, 1), logs[0].reshape(-1, 1), logs[1].reshape(-1, 1)]
+        self.bias = [np.maximum(np.nan_to_num(x - np.maximum(up, -1e9), nan=-1e9, neginf=-1e9), -1e9).astype(np.float32) for x, up in zip(logs, above)]
+        rows = 1 << max(0, int(self.distinct) // ROW_WORDS).bit_length()
+        self.w = np.zeros((min(max(rows, LEAST_ROWS), MOST_ROWS), WIDE), np.float32)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into the head words or -1, place or -1)."""
+        """(index into the head words or -1, leaf) of words."""
+        beyond = (WIDE - 1) * WIDE * WIDE + _hashed_leaf(h)
         if not len(self.words):
-            none = np.full(len(h), -1)
-            return none, none
+            return np.full(len(h), -1), beyond
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        at = np.where(self.words[at] == h, at, -1)
-        return at, np.where(at >= 0, self.place[at], -1)
+        known = self.words[at] == h
+        return np.where(known, at, -1), np.where(known, self.leaf[at], beyond)
 
     @staticmethod
-    def contexts(h: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """The four words before each of the positions `at`, nearest first."""
-        first = offsets[np.searchsorted(offsets, at, side="right") - 1]
-        return [np.where(at - k >= first, h[np.maximum(at - k, 0)], _START) for k in (1, 2, 3, 4)]
-
-    @staticmethod
-    def class_rows(c: list[np.ndarray]) -> list[np.ndarray]:
-        return [_bucket(c[0], 1, CONTEXTS), _bucket(c[1], 2, CONTEXTS), _bucket(c[2], 3, CONTEXTS), _bucket(c[3], 4, CONTEXTS), _bucket(H.mixed(c[0] * _ODD[5] + c[1]), 5, CONTEXTS)]
-
-    @staticmethod
-    def word_rows(c: list[np.ndarray], kind: np.ndarray) -> list[np.ndarray]:
-        k = H.mixed(kind.astype(np.uint64) + np.uint64(1))
-        return [_bucket(c[0] ^ k, 6, PAIRS), _bucket(c[1] ^ k, 7, PAIRS), _bucket(c[2] ^ k, 8, PAIRS)]
-
-    def class_logs(self, rows: list[np.ndarray]) -> np.ndarray:
-        return _logs(self.class_bias + sum(self.class_w[r] for r in rows))
-
-    def word_logs(self, rows: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
-        return _logs(self.word_bias[kind] + sum(self.word_w[r] for r in rows))
-
-
-def _logs(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _descend(model: Model, class_g: np.ndarray, word_g: np.ndarray, h: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> None:
-    """Adaptive gradient steps on the tokens at positions `at`; class_g and word_g sum squared gradients."""
-    for lo in range(0, len(at), MINI):
-        some = at[lo : lo + MINI]
-        c = model.contexts(h, offsets, some)
-        _, place = model.look_up(h[some])
-        kind = np.where(place >= 0, place // MEMBERS, CLASSES)
-        rows = model.class_rows(c)
-        error = np.exp(model.class_logs(rows))
-        error[np.arange(len(some)), kind] -= 1
-        _step(model.class_w, class_g, rows, error)
-        known = np.flatnonzero(place >= 0)
-        if len(known):
-            rows = model.word_rows([x[known] for x in c], kind[known])
-            error = np.exp(model.word_logs(rows, kind[known]))
-            error[np.arange(len(known)), place[known] % MEMBERS] -= 1
-            _step(model.word_w, word_g, rows, error)
-
-
-def _step(w: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], error: np.ndarray) -> None:
-    every = np.concatenate(rows)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    cut = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-    g = np.add.reduceat(error[order % len(error)], cut, axis=0)
-    hit = every[cut]
-    squares[hit] += g * g
-    w[hit] -= STEP * g / np.sqrt(squares[hit] + 1.0)
+    def contexts(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The three words before each token, nearest first."""
+        out, last = [], h
+        for _ in range(3):
+            back = np.empty_like(h)
+            back[1:] = last[:-1]
+            back[offsets[:-1]] = _START
+            out.append(back)
+            last = back
+        return out
+
+    def features(self, c: list[np.ndarray], leaf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each step: the node that it starts from, the branch taken, and the weight rows, from contexts and leaves."""
+        pair = c[0] * _ODD[6] + (c[1] ^ (c[1] >> np.uint64(31))) * _ODD[7]
+        top, inner = leaf // (WIDE * WIDE), leaf // WIDE
+        shift = np.uint64(64 - (len(self.w) - 1).bit_length())
+
+        def row(x: np.ndarray, salt: int, node: np.ndarray | None = None) -> np.ndarray:
+            x = x + np.uint64(salt) if node is None else x + (node.astype(np.uint64) + np.uint64(salt)) * _ODD[5]
+            x ^= x >> np.uint64(29)
+            return (x * _ODD[salt % 5] >> shift).view(np.int64)
+
+        return [
+            (np.zeros(len(leaf), np.int64), top, [row(c[0], 1), row(c[1], 2), row(c[2], 3), row(pair, 4)]),
+            (top, inner % WIDE, [row(c[0], 1001, top), row(c[1], 2002, top)]),
+            (inner, leaf % WIDE, [row(c[0], 3003, inner), row(pair, 4004, inner)]),
+        ]
+
+    def weights(self, step: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """The exponents of all branches."""
+        z = self.bias[step][node]
+        for r in rows:
+            z += self.w[r]
+        return np.minimum(z, 60, out=z)
+
+    def logs(self, h: np.ndarray, offsets: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Log probability of each token's leaf after the words before it."""
+        out = np.zeros(len(h))
+        c = self.contexts(h, offsets)
+        for lo in range(0, len(h), MINI):
+            some = slice(lo, lo + MINI)
+            for k, (node, branch, rows) in enumerate(self.features([x[some] for x in c], leaf[some])):
+                z = self.weights(k, node, rows)
+                own = z[np.arange(len(z)), branch]
+                out[some] += own - np.log(np.exp(z, out=z) @ _ONES)
+        return out
+
+
+_ONES = np.ones(WIDE, np.float32)
+
+
+def descend(model: Model, squares: np.ndarray, seen: np.ndarray, h: np.ndarray, offsets: np.ndarray) -> None:
+    """Adaptive gradient steps on all tokens of some texts; squares and seen sum up squared gradients and uses by row."""
+    _, leaf = model.look_up(h)
+    c = model.contexts(h, offsets)
+    for lo in range(0, len(h), MINI):
+        some = slice(lo, lo + MINI)
+        for k, (node, branch, rows) in enumerate(model.features([x[some] for x in c], leaf[some])):
+            error = np.exp(model.weights(k, node, rows))
+            error /= (error @ _ONES)[:, None]
+            error[np.arange(len(error)), branch] -= 1
+            every = np.concatenate(rows)
+            order = np.argsort(every)
+            every = every[order]
+            cut = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            g = np.add.reduceat(error[order % len(error)], cut, axis=0)
+            hit = every[cut]
+            s = squares[hit] + g * g
+            squares[hit] = s
+            model.w[hit] -= STEP * g / np.sqrt(s + 1.0)
+            seen[hit] += np.diff(np.append(cut, len(every)))
 
 
 def _train(docs: DataFrame, model: Model) -> None:
     """docs(text, turn): rounds of local descent and averaging, each over its share: one pass at every size."""
+    most = TASKS * docs.sparkSession.sparkContext.defaultParallelism
     for turn in range(ROUNDS):
         part = docs.where(F.col("turn") == turn)
 
@@ -160,59 +194,43 @@ def _train(docs: DataFrame, model: Model) -> None:
             import copy
 
             mine = copy.copy(model)
-            mine.class_w, mine.word_w = model.class_w.copy(), model.word_w.copy()
-            squares = np.zeros_like(mine.class_w), np.zeros_like(mine.word_w)
-            seen = 0
-            for batch in (part for whole in batches for part in H.parts(whole, 0)):
-                h, offsets = tokens(batch.column(0))
-                at = np.arange(len(h))
-                _descend(mine, *squares, h, offsets, at)
-                seen += len(at)
-            if seen:
-                change = np.concatenate([(mine.class_w - model.class_w).ravel(), (mine.word_w - model.word_w).ravel()]) * np.float32(seen)
-                pieces = np.array_split(change, SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([seen] * SLICES, pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in pieces], pa.binary())], ["slice", "seen", "change"])
+            mine.w = model.w.copy()
+            squares, seen = np.zeros_like(mine.w), np.zeros(len(mine.w), np.int64)
+            for batch in (part for whole in batches for part in H.parts(whole, 0, 2 << 20)):
+                descend(mine, squares, seen, *tokens(batch.column(0)))
+            for s in range(SLICES):
+                met = np.flatnonzero(seen[s::SLICES]) * SLICES + s
+                if len(met):
+                    change = (mine.w[met] - model.w[met]) * seen[met, None].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (met, seen[met], change))], ["slice", "rows", "seen", "change"])
 
         def summed(batches):
-            total: dict[int, list] = {}
+            total: dict[int, tuple] = {}
             for batch in batches:
-                for s, n, v in zip(*(c.to_pylist() for c in batch.columns)):
-                    v = np.frombuffer(v, np.float32).astype(np.float64)
-                    if s in total:
-                        total[s][0] += n
-                        total[s][1] += v
-                    else:
-                        total[s] = [n, v]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t[0] for t in total.values()], pa.int64()), pa.array([t[1].tobytes() for t in total.values()], pa.binary())], ["slice", "seen", "change"])
-
-        schema = "slice int, seen long, change binary"
-        changes = part.select("text").mapInArrow(local, schema).repartition(SLICES, "slice").mapInArrow(summed, schema).orderBy("slice").toArrow().to_pydict()
-        if not changes["slice"]:
-            continue
-        change = np.concatenate([np.frombuffer(v) / n for n, v in zip(changes["seen"], changes["change"])])
-        cut = model.class_w.size
-        model.class_w += change[:cut].reshape(model.class_w.shape).astype(np.float32)
-        model.word_w += change[cut:].reshape(model.word_w.shape).astype(np.float32)
-
-
-def _scored(model: Model, text: pa.Array, part: int = 1 << 16):
+                for s, rows, seen, change in zip(*(c.to_pylist() for c in batch.columns)):
+                    if s not in total:
+                        total[s] = np.zeros(len(model.w) // SLICES, np.int64), np.zeros((len(model.w) // SLICES, WIDE))
+                    at = np.frombuffer(rows, np.int64) // SLICES
+                    total[s][0][at] += np.frombuffer(seen, np.int64)
+                    total[s][1][at] += np.frombuffer(change, np.float32).reshape(-1, WIDE)
+            for s, (seen, change) in total.items():
+                mean = (change / np.maximum(seen, 1)[:, None]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["slice", "change"])
+
+        schema = "slice int, rows binary, seen binary, change binary"
+        sent = part.select("text").coalesce(most).mapInArrow(local, schema).repartition(SLICES, "slice")
+        for row in sent.mapInArrow(summed, "slice int, change binary").toLocalIterator():
+            model.w[row.slice :: SLICES] += np.frombuffer(row.change, np.float32).reshape(-1, WIDE)
+
+
+def _scored(model: Model, text: pa.Array):
     """For each text: tokens, known, base and score sums over what the model holds, and the hashes of the other words."""
     h, offsets = tokens(text)
-    at, place = model.look_up(h)
+    at, leaf = model.look_up(h)
     count = np.where(at >= 0, model.counts[at] if len(model.counts) else 0, 0)
     shared = np.where(at >= 0, np.log10(count + ALPHA), 0.0)  # without log10 of the denominators
-    score = np.empty(len(h))
-    for lo in range(0, len(h), part):
-        some = np.arange(lo, min(lo + part, len(h)))
-        c = model.contexts(h, offsets, some)
-        p = place[some]
-        kind = np.where(p >= 0, p // MEMBERS, CLASSES)
-        logs = model.class_logs(model.class_rows(c))[np.arange(len(some)), kind].astype(np.float64)
-        known = np.flatnonzero(p >= 0)
-        if len(known):
-            inner = model.word_logs(model.word_rows([x[known] for x in c], kind[known]), kind[known])
-            logs[known] += inner[np.arange(len(known)), p[known] % MEMBERS]
-        score[some] = logs / np.log(10) + np.where(p >= 0, 0.0, shared[some] - np.log10(model.rest))
+    inside = np.log10(model.mass)[leaf]
+    score = model.logs(h, offsets, leaf) / np.log(10) + shared - inside
     begin, n = offsets[:-1], np.diff(offsets)
     z = np.log10(model.total + ALPHA * (model.distinct + 1))
     known = np.add.reduceat((count > 0).astype(np.int64), begin)
@@ -249,12 +267,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     words, c = head.column("word").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(words)
     words, c = words[order], c[order]
-    ranked = np.lexsort((words, -c))[: CLASSES * MEMBERS]
-    ranked = ranked[c[ranked] > 0]
-    place = np.full(len(words), -1)
-    # by frequency, so that a class holds words about as frequent as each other
-    place[ranked] = np.arange(len(ranked))
-    model = Model(words, c, place, float(total), float(distinct))
+    beyond = counts.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64)}))), "word", "left_anti") if len(words) else counts
+    spot = F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(WIDE * WIDE - 1).cast("long"))
+    tail = np.zeros(WIDE * WIDE)
+    for row in beyond.where("c > 0").groupBy(spot.alias("spot")).agg(F.sum(F.col("c") + F.lit(ALPHA)).alias("mass")).collect():
+        tail[row.spot] = row.mass
+    model = Model(words, c, float(total), float(distinct), tail)
     training = docs.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)).alias("turn"))
     _train(training, model)
 

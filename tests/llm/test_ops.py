@@ -157,10 +157,62 @@ def test_transactions_are_nested_and_whole(spark):
     scratch = Scratch(spark, "t")
     warc.write_archives(spark.createDataFrame([(1, "http://a/", "<html>")], "page_id long, url string, html string"), scratch.path("a"), scratch)
     row = warc.transactions(warc.read_archives(spark, scratch.path("a"))).first()
-    assert bytes(row.response.payload) == b"<html>" and row.request.target_uri == "http://a/" and row.metadata.fields["page-id"] == "1"
+    assert bytes(row.response.payload) == b"<html>" and [r.target_uri for r in row.requests] == ["http://a/"] and [m.fields["page-id"] for m in row.metadata] == ["1"]
     assert row.response.digest == row.response.stated_digest == hashlib.sha1(b"<html>").hexdigest()
 
 
+def warc_record(kind, ident, block=b"", *more, length=None):
+    lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + ident, *more, b"Content-Length: " + (str(len(block)).encode() if length is None else length)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_transactions_follow_both_ways_and_several_names(spark, tmp_path):
+    to = lambda x: b"WARC-Concurrent-To: " + x
+    (tmp_path / "x.warc").write_bytes(
+        warc_record(b"warcinfo", b"<i>", b"software: x")
+        # the request comes first, and the response names it and a metadata record
+        + warc_record(b"request", b"<q1>") + warc_record(b"response", b"<r1>", b"one", to(b"<q1>"), to(b"<m1>")) + warc_record(b"metadata", b"<m1>", b"a: 1\r\n")
+        # two metadata records, one of which names the request only; two names in one record
+        + warc_record(b"response", b"<r2>", b"two") + warc_record(b"request", b"<q2>", b"", to(b"<r2>"), to(b"<nowhere>"))
+        + warc_record(b"metadata", b"<m2>", b"b: 2", to(b"<r2>"), to(b"<r2>")) + warc_record(b"metadata", b"<m3>", b"c: 3", to(b"<q2>"))
+        + warc_record(b"response", b"<r3>", b"three") + warc_record(b"request", b"<q9>", b"", to(b"<nowhere>"))
+    )
+    got = {r.record_id: ([x.record_id for x in r.requests], [x.record_id for x in r.metadata]) for r in warc.transactions(warc.read_archives(spark, str(tmp_path))).collect()}
+    assert got == {"<r1>": (["<q1>"], ["<m1>"]), "<r2>": (["<q2>"], ["<m2>", "<m3>"]), "<r3>": ([], [])}
+    assert warc.transactions(warc.read_archives(spark, str(tmp_path)).where("false")).count() == 0
+
+
+def test_archives_beyond_a_split_and_with_bad_headers(spark, tmp_path):
+    bodies = [(f"line {i}\n" * 700).encode() for i in range(40)]
+    (tmp_path / "a.warc").write_bytes(b"".join(warc_record(b"resource", f"<{i}>".encode(), b) for i, b in enumerate(bodies)))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {r.record_id: bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"<{i}>": b for i, b in enumerate(bodies)}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(
+        warc_record(b"resource", b"<1>", b"lost", length=b"four") + warc_record(b"resource", b"<2>", b"kept") + b"WARC/1.1\r\nno colon here\r\n\r\n" + warc_record(b"resource", b"<3>", b"cut off", length=b"9999")
+    )
+    assert [(r.record_id, bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path / "b")).collect()] == [("<1>", b""), ("<2>", b"kept"), (None, b"")]
+
+
+def test_revisits_name_their_response(spark):
+    scratch = Scratch(spark, "t")
+    html = "x" * 1200
+    warc.write_archives(spark.createDataFrame([(1, "http://a/", html), (2, "http://b/", html)], "page_id long, url string, html string"), scratch.path("a"), scratch)
+    import gzip
+    import pathlib
+
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(scratch.path("a").removeprefix("file:")).glob("*.gz"))
+    revisit = next(x for x in text.split(b"WARC/1.1") if b"WARC-Type: revisit" in x)
+    assert b"WARC-Target-URI: http://a/" in revisit and b"WARC-Refers-To-Target-URI: http://b/" in revisit and b"WARC-Refers-To-Date: " in revisit
+
+
 # ---------------------------------------------------------------- 3 n-gram Jaccard
 
 
@@ -244,77 +296,116 @@ def test_lm_base_counts_are_exact(spark):
 
 
 def test_lm_is_a_distribution_and_learns_context(spark):
-    import pyarrow as pa
-
     rnd = random.Random(2)
     texts = [" ".join(("red blue " if rnd.random() < 0.5 else "cat dog ") * 1 for _ in range(60)) for _ in range(300)]
     out = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
     assert sum(r.score for r in out) > 0.75 * sum(r.base_score for r in out)
-    # probabilities of all words and an unknown one sum up to 1 in any context
-    vocabulary = [f"w{k}" for k in range(700)]
-    h, _ = lm_score.tokens(pa.array([" ".join(vocabulary)]))
-    order = np.argsort(h)
-    c = np.arange(1, len(h) + 1)
-    place = np.full(len(h), -1)
-    place[np.lexsort((h[order], -c))[: lm_score.CLASSES * lm_score.MEMBERS]] = np.arange(min(len(h), lm_score.CLASSES * lm_score.MEMBERS))
-    model = lm_score.Model(h[order], c, place, float(c.sum()), float(len(h)))
-    model.class_w += np.random.default_rng(1).normal(size=model.class_w.shape).astype(np.float32)
-    model.word_w += np.random.default_rng(2).normal(size=model.word_w.shape).astype(np.float32)
-    _, _, _, before, _, _ = lm_score._scored(model, pa.array(["w5 w9"]))
-    mass = 0.0
-    for w in [*vocabulary, "unseen"]:
-        n, _, _, score, tail, _ = lm_score._scored(model, pa.array([f"w5 w9 {w}", "w5 w9"]))
-        # P(w5 w9 w end) / P(w5 w9) needs the prefix alone: score it by hand
-        h2, offsets = lm_score.tokens(pa.array([f"w5 w9 {w}"]))
-        at = np.array([2])
-        ctx = model.contexts(h2, offsets, at)
-        _, p = model.look_up(h2[at])
-        kind = np.where(p >= 0, p // lm_score.MEMBERS, lm_score.CLASSES)
-        logp = model.class_logs(model.class_rows(ctx))[0, kind[0]]
-        if p[0] >= 0:
-            logp += model.word_logs(model.word_rows(ctx, kind), kind)[0, p[0] % lm_score.MEMBERS]
-        else:
-            i, _ = model.look_up(h2[at])
-            logp += np.log((model.counts[i[0]] if i[0] >= 0 else 0) + 0.1) - np.log(model.rest)
-        mass += np.exp(logp)
-    h3, offsets = lm_score.tokens(pa.array(["w5 w9"]))  # the end is a word, too
-    ctx = model.contexts(h3, offsets, np.array([2]))
-    _, p = model.look_up(h3[2:])
-    k = p // lm_score.MEMBERS
-    mass += np.exp(model.class_logs(model.class_rows(ctx))[0, k[0]] + model.word_logs(model.word_rows(ctx, k), k)[0, p[0] % lm_score.MEMBERS]) if p[0] >= 0 else 0
-    assert abs(mass - 1) < 1e-3
-
-
-def test_lm_learns_at_every_position(spark):
-    """Texts shorter than an offset by the hash of their first word are trained on, too."""
-    import pyarrow as pa
-
-    names = [f"w{k}" for k in range(100)]
-    h = [int(lm_score.tokens(pa.array([w]))[0][0]) % 4 for w in names]
-    firsts = [w for w, rest in zip(names, h) if rest == 3][:4]
-    texts = [f"{firsts[i % 4]} then{i % 4}" for i in range(400)]
-    out = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
-    assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out)
 
 
-def test_lm_goes_once_over_a_small_corpus(spark):
-    texts = [(i, f"cat{i % 3} dog{i % 3}", i % lm_score.ROUNDS) for i in range(20)]
-    rounds = []
-
-    class Watched:
-        def __init__(self, df):
-            self.df = df
+def lm_model(texts, seed=None):
+    """A model over the words of some texts, without training; with a seed, its weights are random."""
+    import pyarrow as pa
 
-        def where(self, condition):
-            return Watched(self.df.where(condition))
+    h, offsets = lm_score.tokens(pa.array(texts))
+    words_, counts = np.unique(h, return_counts=True)
+    head = len(words_) // 2  # the others are beyond the head, as in a large corpus
+    tail = np.bincount(lm_score._hashed_leaf(words_[head:]), counts[head:] + 0.1, lm_score.WIDE**2)
+    model = lm_score.Model(words_[:head], counts[:head], float(counts.sum()), float(len(words_)), tail)
+    if seed is not None:
+        model.w += np.random.default_rng(seed).normal(size=model.w.shape).astype(np.float32)
+    return model, h, offsets, dict(zip(words_.tolist(), counts.tolist()))
+
+
+def naive_probabilities(model, h, offsets, leaf, i):
+    """Of the three steps, the distributions over branches at position i, by plain loops."""
+    begin = max(o for o in offsets[:-1] if o <= i)
+    c = [np.array([h[i - k] if i - k >= begin else lm_score._START], np.uint64) for k in (1, 2, 3)]
+    out = []
+    for k, (node, branch, rows) in enumerate(model.features(c, leaf[i : i + 1])):
+        z = [float(model.bias[k][node[0], j]) + sum(float(model.w[r[0], j]) for r in rows) for j in range(lm_score.WIDE)]
+        most = max(z)
+        total = sum(math.exp(v - most) for v in z)
+        out.append(([math.exp(v - most) / total for v in z], int(branch[0]), [int(r[0]) for r in rows]))
+    return out
+
+
+def test_lm_score_is_that_of_plain_loops_and_a_distribution():
+    import pyarrow as pa
 
-        def select(self, *columns):
-            rounds.append(self.df.count())
-            return self.df.select(*columns)
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(9) if rnd.random() < 0.4 else rnd.randrange(6000)}" for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    model, h, offsets, counts = lm_model(texts, seed=1)
+    assert len(counts) > 1.5 * lm_score.SINGLES
+    asked = [texts[0], "w1 unseen w2 w1", ""]
+    h, offsets = lm_score.tokens(pa.array(asked))
+    _, leaf = model.look_up(h)
+    n, _, _, score, tail, sizes = lm_score._scored(model, pa.array(asked))
+    at = 0
+    for d in range(len(asked)):
+        want = 0.0
+        for i in range(offsets[d], offsets[d + 1]):
+            want += sum(math.log10(p[j]) for p, j, _ in naive_probabilities(model, h, offsets, leaf, i))
+            want += math.log10((counts.get(int(h[i]), 0) + 0.1) / model.mass[leaf[i]])
+        got = score[d] + sum(math.log10(counts.get(int(x), 0) + 0.1) for x in tail[at : at + sizes[d]])
+        at += sizes[d]
+        assert abs(got - want) < 1e-3 * max(1, abs(want))
+    # inside each leaf, its words and one unknown word sum up to 1; leaves of single words hold nothing else
+    known = np.array(list(counts), np.uint64)
+    held = np.bincount(model.look_up(known)[1], [counts[int(x)] + 0.1 for x in known], lm_score.LEAVES)
+    unknown = np.where(np.arange(lm_score.LEAVES) >= lm_score.SINGLES, 0.1, 0.0)
+    assert np.allclose(held + unknown, model.mass)
+
+
+def test_lm_gradients_at_every_position_are_those_of_plain_loops():
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))) for _ in range(30)]
+    model, h, offsets, _ = lm_model(texts)
+    assert len(h) < lm_score.MINI
+    _, leaf = model.look_up(h)
+    w = [dict() for _ in range(3)]
+    want = model.w.astype(np.float64).copy()
+    squares = np.zeros_like(want)
+    met = np.zeros(len(want), int)
+    for k in range(3):  # one batch: all positions see the same weights, steps follow each other
+        model_now = lm_score.Model(model.words, model.counts, model.total, model.distinct, model.tail)
+        model_now.w = want.astype(np.float32)
+        g = np.zeros_like(want)
+        for i in range(len(h)):
+            p, branch, rows = naive_probabilities(model_now, h, offsets, leaf, i)[k]
+            for r in rows:
+                met[r] += 1
+                for j in range(lm_score.WIDE):
+                    g[r, j] += p[j] - (j == branch)
+        hit = np.flatnonzero(np.abs(g).sum(1) > 0)
+        squares[hit] += g[hit] ** 2
+        want[hit] -= lm_score.STEP * g[hit] / np.sqrt(squares[hit] + 1)
+    got_squares, seen = np.zeros_like(model.w), np.zeros(len(model.w), np.int64)
+    lm_score.descend(model, got_squares, seen, h, offsets)
+    assert seen.sum() == 8 * len(h) and (seen == met).all()  # eight features for every token, none left out
+    assert np.abs(model.w - want).max() < 1e-3 and np.abs(want).max() > 0.01
+
+
+def test_lm_trains_once_on_each_text_and_averages_by_use(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 9))) for _ in range(40)]
+    one, h, offsets, _ = lm_model(texts)
+    frame_ = spark.createDataFrame([(t, 0) for t in texts], "text string, turn int").repartition(1)
+    lm_score._train(frame_, one)
+    two, h, offsets, _ = lm_model(texts)
+    lm_score.descend(two, np.zeros_like(two.w), np.zeros(len(two.w), np.int64), h, offsets)
+    assert np.abs(one.w - two.w).max() < 1e-5
+    # a row that one of two tasks has met moves by the whole of its change
+    apart = spark.createDataFrame([("a b", 0)], "text string, turn int").coalesce(1).union(spark.createDataFrame([("g h g h", 0)], "text string, turn int").coalesce(1))
+    three, *_ = lm_model(texts)
+    lm_score._train(apart, three)
+    four, *_ = lm_model(texts)
+    import pyarrow as pa
 
-    model = lm_score.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 60.0, 7.0)
-    lm_score._train(Watched(spark.createDataFrame(texts, "doc_id long, text string, turn int")), model)
-    assert len(rounds) == lm_score.ROUNDS and sum(rounds) == len(texts)
+    lm_score.descend(four, np.zeros_like(four.w), seen := np.zeros(len(four.w), np.int64), *lm_score.tokens(pa.array(["a b"])))
+    five, *_ = lm_model(texts)
+    lm_score.descend(five, np.zeros_like(five.w), other := np.zeros(len(five.w), np.int64), *lm_score.tokens(pa.array(["g h g h"])))
+    alone = (seen > 0) & (other == 0)
+    assert alone.any() and np.abs(three.w[alone] - four.w[alone]).max() < 1e-6
 
 
 def test_lm_of_empty_tables(spark):
