@@ -1,17 +1,17 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled to three machines. The normaliser writes a space in front of the text and the
-space mark for every space (the model's own character map must be the identity). The lexicon is a trie
-of all pieces over characters. Byte fallback reads any character that no piece covers and
-writes its UTF-8 bytes as byte pieces.
-
-Of a BPE model, the lattice of an input, composed with the lexicon alone, has many paths, and sums of
-piece scores do not rank them as merging does. So the transducer's states also remember the last
-piece, and an arc to a next piece has weight 0 if merging the two pieces' characters gives back just
-these two, else infinity: a sequence is what merging makes of a text exactly if that holds
-for all its neighbours. The tropical shortest path is then the one path of finite weight, and the
-search for it is depth-first, longest arcs first, with dead states remembered. No piece holds a
-space mark after another character, so inputs are composed run by run, and runs met before are kept.
+The model file is compiled to three machines. The normaliser reads spaces and other characters and writes the
+space mark for spaces, with arcs for the space in front of a text and for extra spaces (the model's own
+character map must be the identity). The lexicon is a trie of all pieces over characters; a piece weighs
+minus its score. Byte fallback reads any character that no piece covers, at a fixed weight, and writes its
+UTF-8 bytes as byte pieces. They are composed with each input as it is read, and the shortest path in the
+tropical semiring (sums of weights, least of all paths) gives the pieces.
+
+The model is a BPE model, and sums of scores alone do not rank segmentations as merging does. So the composed
+machine's states are pairs of position and last piece, and an arc from a state to a piece has infinite weight
+unless merging the two pieces' characters gives back just these two. Merging gives a sequence exactly if that
+holds for all its neighbours: whatever it does inside two neighbours it does to their characters alone as well.
+No piece holds a space mark after another character, so inputs are composed run by run, and runs met before are kept.
 """
 
 from __future__ import annotations
@@ -32,6 +32,36 @@ from lectern.session import ship
 MARK = "▁"
 #: Runs and pairs of pieces that a worker remembers.
 KEPT = 400_000
+#: Characters of a run from which on it isn't remembered.
+LONG = 4096
+#: Weight of a character by byte fallback, beyond that of any piece.
+FALLBACK = 1e6
+
+
+class Normaliser:
+    """arcs: (state, whether a space is read) -> (what is written: the mark, the character), next state.
+
+    States: 0 at the start of a text, 1 after a visible character, 2 after spaces.
+    """
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        if squeeze:  # spaces are written with the character after them, so those at the ends never are
+            self.arcs = {(0, True): (0, 0, 0), (0, False): (int(prefix), 1, 1)} | {(s, True): (0, 0, 2) for s in (1, 2)} | {(s, False): (s - 1, 1, 1) for s in (1, 2)}
+        else:
+            self.arcs = {(s, True): (1 + (prefix and s == 0), 0, 2) for s in (0, 1, 2)} | {(s, False): (int(prefix and s == 0), 1, 1) for s in (0, 1, 2)}
+
+        # where states 1 and 2 write alike, they are one state with an arc for each character
+        same = all(self.arcs[1, x][:2] == self.arcs[2, x][:2] for x in (True, False))
+        self.loop = {ord(" "): MARK * self.arcs[1, True][0]} if same else None
+
+    def written(self, run: str, state: int) -> str:
+        if state and self.loop is not None:
+            return run.translate(self.loop)
+        out = []
+        for c in run:
+            marks, own, state = self.arcs[state, c == " "]
+            out.append(MARK * marks + c * own)
+        return "".join(out)
 
 
 def _fields(data: bytes):
@@ -95,7 +125,7 @@ class Transducer:
         if normaliser.get(2):
             raise ValueError("only models with the identity as their character map are compiled")
         self.prefix = bool(normaliser.get(3, 1))
-        self.squeeze = bool(normaliser.get(4, 1))
+        self.normaliser = Normaliser(self.prefix, bool(normaliser.get(4, 1)))
         if len(self.byte) != 256:
             raise ValueError("byte fallback needs all 256 byte pieces")
         if any(MARK in p.lstrip(MARK) for p in self.id):
@@ -104,13 +134,14 @@ class Transducer:
         cut = "".join(c for c in "\n\t\r" if c not in inner)
         self.run = re.compile(f" *[^ {re.escape(cut)}]+| +" + (f"|[{re.escape(cut)}]" if cut else ""))
         self.trie: dict = {}
-        for p, n in self.id.items():
+        for p in self.id:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = n
+            node[""] = (p, -self.score[p])
         self.runs: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by right piece, then by left
+        self.known = 0
         byte_of = {n: b for b, n in self.byte.items()}
         self.out = [bytes([byte_of[n]]) if n in byte_of else (p.replace(MARK, " ").encode() if p in self.id and self.id[p] == n else b"") for n, p in enumerate(self.pieces)]
 
@@ -127,78 +158,74 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def joins(self, left: str | None, right: str) -> bool:
-        """Whether the arc from a state with piece `left` (None: the start) to piece `right` has finite weight."""
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > KEPT:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged((left or "") + right) == ([right] if left is None else [left, right])
+    def joins(self, left: str, right: str) -> bool:
+        """Whether the arc from a state with piece `left` (empty: the start) to piece `right` has finite weight."""
+        ok = self.pairs.setdefault(right, {})[left] = self.merged(left + right) == ([left, right] if left else [right])
+        self.known += 1
         return ok
 
     def path(self, run: str) -> list[str]:
-        """The pieces (or characters for byte fallback) on the shortest path through a run."""
-        end, dead = len(run), set()
-        path: list[str] = []
-        open_: list = []  # for each piece on the path, the arcs not tried yet
-
-        def arcs(at: int) -> list[str]:
-            node, found = self.trie, [] if run[at] in self.id else [run[at]]
-            for i in range(at, end):
-                node = node.get(run[i])
+        """The pieces (or characters for byte fallback) on the shortest path through what the normaliser wrote.
+
+        A state is (last piece, least weight so far, the state before it); states are grouped by position.
+        """
+        if self.known > KEPT:
+            self.pairs.clear()
+            self.known = 0
+        end = len(run)
+        states: list[list[tuple]] = [[] for _ in range(end + 1)]
+        states[0].append(("", 0.0, None))
+        for at in range(end):
+            here = states[at]
+            if not here:
+                continue
+            node, to = self.trie, at
+            arcs = [] if run[at] in self.id else [(run[at], FALLBACK)]
+            while to < end:
+                node = node.get(run[to])
                 if node is None:
                     break
+                to += 1
                 if "" in node:
-                    found.append(run[at : i + 1])
-            return found
-
-        at = 0
-        open_.append(arcs(0))
-        while at < end:
-            last = path[-1] if path else None
-            todo = open_[-1]
-            while todo:
-                piece = todo.pop()
-                to = at + len(piece)
-                if (to, piece) in dead:
-                    continue
-                if self.joins(last, piece):
-                    path.append(piece)
-                    at = to
-                    open_.append(arcs(at) if at < end else [])
-                    break
-            else:
-                if not path:
-                    return self.merged(run)
-                dead.add((at, last))
-                at -= len(path.pop())
-                open_.pop()
-        return path
-
-    def _ids(self, run: str) -> bytes:
+                    arcs.append(node[""])
+            for piece, weight in arcs:
+                known = self.pairs.get(piece) or self.pairs.setdefault(piece, {})
+                best = None
+                for state in here:
+                    ok = known.get(state[0])
+                    if ok is None:
+                        ok = self.joins(state[0], piece)
+                    if ok and (best is None or state[1] < best[1]):
+                        best = state
+                if best is not None:
+                    states[at + len(piece)].append((piece, best[1] + weight, best))
+        state = min(states[end], key=lambda s: s[1])
+        out = []
+        while state[2] is not None:
+            out.append(state[0])
+            state = state[2]
+        return out[::-1]
+
+    def _ids(self, run: str, state: int) -> bytes:
         ids: list[int] = []
-        for piece in self.path(run.replace(" ", MARK)):
+        for piece in self.path(self.normaliser.written(run, state)):
             n = self.id.get(piece)
             ids += [n] if n is not None else [self.byte[b] for b in piece.encode("utf-8", "replace")]
         return np.array(ids, "<u4").tobytes()
 
-    def normalised(self, text: str) -> str:
-        text = text.replace(MARK, " ")
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return " " + text if self.prefix and text else text
-
     def encode(self, text: str) -> bytes:
         """The piece ids as little-endian unsigned 32-bit numbers."""
         runs = self.runs
         if len(runs) > KEPT:
             runs.clear()
-        found = self.run.findall(self.normalised(text))
-        for run in set(found).difference(runs):
-            if len(run) <= 4096:
-                runs[run] = self._ids(run)
-        return b"".join([runs[r] if len(r) <= 4096 else self._ids(r) for r in found])
+        found = self.run.findall(text.replace(MARK, " "))
+        if not found:
+            return b""
+        first, rest = found[0], found[1:]
+        for run in set(rest).difference(runs):
+            if len(run) <= LONG:
+                runs[run] = self._ids(run, 1)
+        return b"".join([self._ids(first, 0), *(runs[r] if len(r) <= LONG else self._ids(r, 1) for r in rest)])
 
     def decode(self, ids: bytes) -> str:
         """The text of piece ids; ids beyond the model and pieces without text are skipped."""
@@ -244,7 +271,8 @@ def decode(coded: DataFrame, *, model: str) -> DataFrame:
 def coding_digest(docs: DataFrame, *, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, round_trip: each text encoded, and its ids decoded again.
 
-    ids_crc32 is over little-endian unsigned 32-bit ids; round_trip tells whether the decoded text is the text.
+    Null and empty texts have no ids and decode to an empty text. doc_id may be null or repeat, each row is coded by
+    itself; other columns aren't read; an empty table gives none. ids_crc32 is over little-endian unsigned 32-bit ids; round_trip tells whether the decoded text is the text.
     """
     ship(docs.sparkSession)
 
