@@ -1,9 +1,10 @@
 """WARC archives: writing captures as records, reading records back, assembling transactions.
 
-A capture is three records: request, response (or revisit) and metadata. The response is the
-primary one; request and metadata name it in WARC-Concurrent-To. Archives are WARC/1.1 files,
-gzip-compressed as a whole, that Spark writes and reads line by line: a file is one split, so a
-reader holds one record at a time however long the archive is.
+A capture is a response (or revisit) with the requests and metadata records of the same event. Here request and
+metadata name the response in WARC-Concurrent-To; other writers let the response name them, or name several.
+Archives are WARC/1.1 files, gzip-compressed as a whole, that Spark writes and reads line by line: a file is one
+split, so a reader holds one record at a time however long the archive is. Archives without compression, which
+Spark splits, have their lines brought back into order by file first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import ship
 from lectern.storage import Scratch
 
 CRLF = "\r\n"
@@ -45,16 +47,18 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
 
     Of rows with equal payloads of REVISIT_FROM bytes and more, that with the largest page_id is a
     response and the others revisit it; where rows repeat that page_id, each of them is a response.
-    Null html is an empty payload, a null url an empty URI; null page_ids are smaller than any other.
+    Null html is an empty payload, a null url an empty URI; null page_ids are smaller than any other. A revisit
+    names the URI and date of its response, and like it the digest of the payload.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     # line ends in a URI would break the header
     pages = pages.withColumn("url", F.regexp_replace("url", r"[\r\n]", " "))
     payload = F.col("html").cast("binary")
-    hashed = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), F.sha2(payload, 256).alias("sha256"), _bytes(F.col("html")).alias("bytes"))
-    hashed = scratch.save(hashed.where(f"bytes >= {REVISIT_FROM}").select("key", "sha256"), "hashed")
-    newest = scratch.save(hashed.groupBy("sha256").agg(F.max("key").alias("newest"), F.count("*").alias("n")).where("n > 1").select("sha256", "newest"), "newest")
-    again = scratch.save(hashed.join(newest, "sha256").where("key != newest").select("key", "sha256", "newest").distinct(), "again")
+    hashed = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), F.sha2(payload, 256).alias("sha256"), _bytes(F.col("html")).alias("bytes"), "url")
+    hashed = scratch.save(hashed.where(f"bytes >= {REVISIT_FROM}").select("key", "sha256", "url"), "hashed")
+    newest = hashed.groupBy("sha256").agg(F.max(F.struct("key", "url")).alias("newest"), F.count("*").alias("n")).where("n > 1")
+    newest = scratch.save(newest.select("sha256", F.col("newest.key").alias("newest"), F.col("newest.url").alias("first_url")), "newest")
+    again = scratch.save(hashed.drop("url").join(newest, "sha256").where("key != newest").select("key", "sha256", "first_url").distinct(), "again")
     scratch.drop("hashed", "newest")
 
     row = pages.withColumn("key", F.coalesce("page_id", F.lit(-(2**63))))
@@ -73,7 +77,8 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch) -> None:
         first,
         F.col("url"),
         F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html"))),
-        [("Content-Type", F.lit("application/http; msgtype=response")), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(F.col("revisit"), F.lit(_PROFILE)))],
+        [("Content-Type", F.lit("application/http; msgtype=response")), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(F.col("revisit"), F.lit(_PROFILE))),
+         ("WARC-Refers-To-Target-URI", F.when(F.col("revisit"), F.col("first_url"))), ("WARC-Refers-To-Date", F.when(F.col("revisit"), F.lit(_DATE)))],
     )
     request = _record(F.lit("request"), _uuid(F.lit("q"), *key), F.col("url"), ask, [("Content-Type", F.lit("application/http; msgtype=request")), ("WARC-Concurrent-To", first)])
     metadata = _record(F.lit("metadata"), _uuid(F.lit("m"), *key), F.col("url"), note, [("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", first)])
@@ -95,9 +100,10 @@ def _parsed(lines, payloads: bool):
             if text:
                 state[1].append(text)
                 continue
-            state[1] = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in state[1])}
-            state[3] = int(state[1].get("content-length", "0")) or -1
-            if state[3] < 0:
+            state[1] = _headers(state[1])
+            length = state[1].get("content-length", ["0"])[0]
+            state[3] = int(length) if length.isascii() and length.isdigit() else 0  # without a length the block is empty; what follows is passed over up to the next record
+            if not state[3]:
                 yield _row(state[1], b"", payloads)
                 state = [name, None, [], 0]
         else:
@@ -111,30 +117,50 @@ def _parsed(lines, payloads: bool):
                 state[3] -= len(part)
 
 
-def _row(headers: dict, block: bytes, payloads: bool) -> tuple:
-    kind = headers.get("warc-type")
+def _headers(lines: list[bytes]) -> dict[str, list[str]]:
+    """The values of each header, in order."""
+    found: dict[str, list[str]] = {}
+    for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines):
+        found.setdefault(k.strip().lower(), []).append(v.strip())
+    return found
+
+
+def _row(headers: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
+    first = lambda name: headers.get(name, [None])[0]
+    kind = first("warc-type")
     fields, payload = None, block
-    if "application/http" in headers.get("content-type", ""):
+    if "application/http" in (first("content-type") or ""):
         head, _, payload = block.partition(b"\r\n\r\n")
     elif kind == "metadata":
         fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF)) if k}
-    said = headers.get("warc-payload-digest")
+    said = first("warc-payload-digest")
     return (
-        headers.get("warc-record-id"), kind, headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-concurrent-to"), said.removeprefix("sha1:") if said else None,
+        first("warc-record-id"), kind, first("warc-target-uri"), first("warc-date"), headers.get("warc-concurrent-to", []), said.removeprefix("sha1:") if said else None,
         len(payload), hashlib.sha1(payload).hexdigest() if kind in ("response", "resource") else None, list(fields.items()) if fields is not None else None, payload if payloads else None,
     )
 
 
 RECORD = (
-    "record_id string, record_type string, target_uri string, date string, concurrent_to string, stated_digest string, "
+    "record_id string, record_type string, target_uri string, date string, concurrent_to array<string>, stated_digest string, "
     "bytes long, digest string, fields map<string,string>, payload binary"
 )
 
 
 def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
-    """The records of the archives below path, one row each (schema RECORD); digest is taken from the bytes read."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    """The records of the archives below path, one row each (schema RECORD); digest is taken from the bytes read.
+
+    Files whose names end in "z" are read as they are, others may be split and are put in order by file. A header
+    that is missing is null (concurrent_to: empty), a length that isn't a number counts as 0; text between
+    records is passed over, a record cut off by the end of its file is left out, an empty file has none. Repeated
+    records come out as often as they occur.
+    """
+    ship(spark)
+    reader = spark.read.option("lineSep", "\n")
+    whole = reader.option("pathGlobFilter", "*z").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    cut = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*[^z]").text(path)
+    cut = cut.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    cut = cut.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "value")
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def records(batches):
@@ -154,15 +180,33 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
-    return lines.mapInArrow(records, RECORD)
+    return whole.mapInArrow(records, RECORD).union(cut.mapInArrow(records, RECORD))
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, request, response, metadata, joined through concurrent_to."""
+    """One nested row per capture: record_id, response, requests, metadata (arrays in order of record_id).
+
+    A capture is a response or revisit. Requests and metadata belong to it if they name it in concurrent_to, if it
+    names them, or if they and one that belongs to it name each other. Records that belong to no capture,
+    or have no id or type, are left out; of several records with one id any one counts; captures without partners have
+    empty arrays. Columns beyond those of RECORD go along inside the structs.
+    """
     columns = [c for c in records.columns if c not in ("concurrent_to",)]
-    of = lambda kind: records.where(F.col("record_type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct(*columns).alias(kind))
-    main = records.where("record_type in ('response', 'revisit')").select("record_id", F.struct(*columns).alias("response"))
-    return main.join(of("request"), "record_id", "left").join(of("metadata"), "record_id", "left")
+    main = F.col("record_type").isin("response", "revisit")
+    known = records.where("record_id is not null")
+    rest = known.where(F.col("record_type").isin("request", "metadata")).withColumn("record", F.struct(*columns))
+    captures = known.where(main).groupBy(F.col("record_id").alias("main")).agg(F.any_value(F.struct(*columns)).alias("response"))
+    named = rest.select(F.explode("concurrent_to").alias("main"), "record_id", "record")
+    names = known.where(main).select(F.col("record_id").alias("main"), F.explode("concurrent_to").alias("record_id"))
+    links = rest.select(F.col("record_id").alias("x"), F.explode("concurrent_to").alias("y")).join(rest.select(F.col("record_id").alias("y")), "y", "left_semi")
+    links = links.select("x", "y").union(links.select("y", "x"))
+    direct = names.union(named.select("main", "record_id")).join(links.select(F.col("x").alias("record_id"), "y"), "record_id").select("main", F.col("y").alias("record_id"))
+    others = names.union(direct).join(rest.select("record_id", "record"), "record_id").select("main", "record_id", "record")
+    every = captures.join(named.union(others), "main", "left")
+    single = every.groupBy("main", "record_id").agg(F.any_value("response").alias("response"), F.any_value("record").alias("record"))
+    kept = lambda kind: F.collect_list(F.when(F.col("record.record_type") == kind, F.col("record")))
+    order = lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)
+    return single.groupBy(F.col("main").alias("record_id")).agg(F.any_value("response").alias("response"), F.array_sort(kept("request"), order).alias("requests"), F.array_sort(kept("metadata"), order).alias("metadata"))
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
@@ -178,7 +222,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     records = read_archives(spark, scratch.path("archive"), payloads=False)
     records = scratch.save(records.drop("payload"), "records")
     captures = transactions(records).select(
-        F.col("metadata.fields")["page-id"].try_cast("long").alias("page_id"),
+        F.get("metadata", F.lit(0))["fields"]["page-id"].try_cast("long").alias("page_id"),
         F.col("response.record_type").alias("record_type"),
         F.col("response.bytes").alias("bytes"),
         F.col("response.digest").alias("digest"),
