@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lectern.llm import hashing as H
 from lectern.storage import Scratch
 
-#: Pieces in a numbering bucket, on average.
-BUCKET = 5_000
+#: Pieces in a numbering bucket, on average; the sums by bucket and length are few beside so many.
+BUCKET = 50_000
 #: Words that a worker keeps the ids of, about 150 bytes each.
 CACHE = 400_000
 #: Id that ends each document.
@@ -128,42 +128,62 @@ def pieces(docs: DataFrame, *, tokenizer: str, capacity: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _pair(have: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two available lengths that sum up to gap, the larger one as large as can be."""
-    a = np.arange(1, gap // 2 + 1)
-    ok = np.flatnonzero((have[a] > 0) & (have[gap - a] > (a == gap - a)))
-    return (gap - int(a[ok[0]]), int(a[ok[0]])) if len(ok) else None
+class Sums:
+    """Index of what one, two and three available lengths sum up to.
 
-
-def _pair_sums(have: np.ndarray) -> np.ndarray:
-    """For each sum, whether two of the available lengths may have it (one of them twice, if need be)."""
-    size = 1 << (2 * len(have)).bit_length()
-    there = np.fft.rfft((have > 0).astype(np.float64), size)
-    return np.fft.irfft(there * there, size)[: len(have)] > 0.5
-
-
-def _filling(have: np.ndarray, gap: int, index: dict) -> tuple[int, ...] | None:
-    """One to three available lengths that sum up to gap.
-
-    index["pairs"] holds the sums that pairs had when it was made; it is made anew as soon as it misleads.
+    pair[s] is the larger of two lengths with sum s, triple[s] the largest of three; 0 where there are none.
+    Lengths only ever run out, so a 0 stays right; an entry whose lengths have run out is looked for anew.
     """
-    if have[gap] > 0:
-        return (gap,)
-    if index["pairs"][gap] and (two := _pair(have, gap)):
-        return two
-    c = np.arange(gap - 2, 0, -1)
-    for fresh in (False, True):
-        if fresh:
-            index["pairs"] = _pair_sums(have)
-        for third in c[(have[c] > 0) & index["pairs"][gap - c]]:
-            have[third] -= 1
-            two = _pair(have, gap - int(third))
-            have[third] += 1
-            if two:
-                return (int(third), *two)
-            if not fresh:
-                break
-    return None
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        n = len(have)
+        here = np.flatnonzero(have > 0)
+        self.pair, self.triple = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k, a in enumerate(here):
+            sums = a + here[: k + 1]
+            self.pair[sums[sums < n]] = a
+        two = np.flatnonzero(self.pair)
+        for c in here:
+            sums = c + two
+            self.triple[sums[sums < n]] = c
+
+    def two(self, total: int) -> tuple[int, int] | None:
+        a = int(self.pair[total])
+        if a and not self._there(a, total - a):
+            a = self.pair[total] = self._larger(total)
+        return (a, total - a) if a else None
+
+    def three(self, total: int) -> tuple[int, int, int] | None:
+        c = int(self.triple[total])
+        while c:
+            rest = self.two(total - c) if self.have[c] > 0 else None
+            if rest and c in rest:  # the third one may be what the pair needs
+                self.have[c] -= 1
+                a = rest[0] if self._there(*rest) else self._larger(total - c)
+                self.have[c] += 1
+                rest = (a, total - c - a) if a else None
+            if rest:
+                self.triple[total] = c
+                return (c, *rest)
+            lower = np.arange(c - 1, 0, -1)
+            ok = np.flatnonzero((self.have[lower] > 0) & (self.pair[total - lower] > 0))
+            c = int(lower[ok[0]]) if len(ok) else 0
+        self.triple[total] = 0
+        return None
+
+    def _there(self, a: int, b: int) -> bool:
+        return self.have[a] > 0 and self.have[b] > (a == b)
+
+    def _larger(self, total: int) -> int:
+        """The largest of the lengths that make up the sum with another one, or 0."""
+        larger = np.arange(total - 1, (total - 1) // 2, -1)
+        ok = np.flatnonzero((self.have[larger] > 0) & (self.have[total - larger] > (larger == total - larger)))
+        return int(larger[ok[0]]) if len(ok) else 0
+
+    def filling(self, gap: int) -> tuple[int, ...] | None:
+        """One to three available lengths that sum up to gap."""
+        return (gap,) if self.have[gap] > 0 else self.two(gap) or self.three(gap)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -175,11 +195,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     if have[capacity]:
         out.append((int(have[capacity]), [(capacity, 1)]))
         have[capacity] = 0
-    index = {"pairs": _pair_sums(have)}
+    index = Sums(have)
     for length in range(capacity - 1, 0, -1):
         while have[length] > 0:
             have[length] -= 1
-            rest = _filling(have, capacity - length, index)
+            rest = index.filling(capacity - length)
             have[length] += 1
             if not rest:
                 break
@@ -229,7 +249,8 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 4096) -> DataFrame:
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     sums = scratch.save(sums.select("bucket", "length", before.alias("before")), "before")
     place = F.row_number().over(W.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = cut.withColumn("at", place).join(sums, ["bucket", "length"]).withColumn("rank", F.col("before") + F.col("at") - 1)
+    # the window has the rows where the join wants them: only the sums move, and nothing is broadcast
+    ranked = cut.withColumn("at", place).join(sums.hint("merge"), ["bucket", "length"]).withColumn("rank", F.col("before") + F.col("at") - 1)
 
     slots, sequences, taken = [], 0, defaultdict(int)
     for times, runs in plan(counts, capacity):
