@@ -69,6 +69,21 @@ def unique_names(outputs: DataFrame, slug: str, stamp: str, order: str) -> DataF
     return outputs.withColumn("name", F.when(n == 1, base).otherwise(F.concat(base, F.lit("_"), n.cast("string"))))
 
 
+def free_names(outputs: DataFrame, taken: DataFrame, slug: str, stamp: str, order: str) -> DataFrame:
+    """unique_names() that also keeps clear of taken(taken): the first counters that are free, in order.
+
+    Of the names slug_stamp, slug_stamp_2 and so on, a slug with n outputs and m taken names needs no more than n + m.
+    """
+    base = F.concat_ws("_", slug, stamp)
+    rows = outputs.withColumn("_base", base).withColumn("_n", F.row_number().over(W.partitionBy(slug, stamp).orderBy(order)))
+    used = taken.select(F.col("taken").alias("_name"), F.explode(F.array_distinct(F.array("taken", F.regexp_replace("taken", "_[0-9]+$", "")))).alias("_base"))
+    sizes = rows.groupBy("_base").agg(F.count("*").alias("_all")).join(used.groupBy("_base").agg(F.count("*").alias("_used")), "_base", "left")
+    places = sizes.select("_base", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all") + F.coalesce("_used", F.lit(0)))).alias("_k"))
+    places = places.withColumn("_name", F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_k").cast("string")))).join(used, ["_base", "_name"], "left_anti")
+    places = places.withColumn("_n", F.row_number().over(W.partitionBy("_base").orderBy("_k"))).select("_base", "_n", F.col("_name").alias("name"))
+    return rows.join(places, ["_base", "_n"]).drop("_base", "_n")
+
+
 def deck_numbers(chapters: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """chapters(key, chapter, failed) that worked out, with deck_no 01, 02 and so on in order of chapter."""
     n = F.row_number().over(W.partitionBy(key).orderBy("chapter"))

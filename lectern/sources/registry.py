@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,10 @@ def extractor(name: str) -> Extractor:
         raise ValueError(f"unknown extractor {name!r}; there are: {', '.join(sorted(_EXTRACTORS))}") from None
 
 
+# The model of each provider.
+MODELS = {"anthropic": "claude-sonnet-4-20250514", "openai": "gpt-4o", "groq": "llama-3.1-70b-versatile", "ollama": "llama3.1", "google": "gemini-3-flash-preview", "google-fast": "gemma-4-31b-it"}
+
+
 @dataclass(frozen=True)
 class Settings:
     """How documents become decks."""
@@ -41,30 +45,55 @@ class Settings:
     ordinal_positions: bool = False
     duplicate_policy: str = "overwrite"
     provider: str = "anthropic"
-    model: str = "claude-sonnet-4-20250514"
+    models: dict[str, str] = field(default_factory=lambda: dict(MODELS))
     max_concurrent: int = 5
     attempts: int = 6
     timeout: float = 600.0
 
+    @property
+    def model(self) -> str:
+        return self.models[self.provider]
+
 
+#: File name of each task's prompt template.
+PROMPTS = {
+    "analyse": "analyst_chunk", "merge_chapter": "analyst_merge_chapter", "merge_document": "analyst_merge_document", "plan": "planner",
+    "write": "writer", "summarise": "writer_summary", "review": "critic", "refine": "refiner",
+}
 #: Settings with a fixed set of values.
 CHOICES = {"duplicate_policy": ("overwrite", "keep_both")}
 
 
 def settings(path: str | None = None, **changes: Any) -> Settings:
-    """The defaults, overlaid with a JSON file if there is one, then with changes; unknown keys and values raise."""
+    """The defaults, overlaid with a JSON file if there is one, then with changes; unknown keys and values raise.
+
+    In the file, PROVIDER names the provider, MODELS replaces the models as a whole, PIPELINE is merged key by key.
+    """
     said: dict[str, Any] = {}
     if path and os.path.exists(path):
         with open(path) as f:
-            said = json.load(f)
+            try:
+                held = json.load(f)
+            except json.JSONDecodeError as e:
+                raise ValueError(f"{path} is no JSON: {e}") from None
+        said = {name.lower(): held[name] for name in ("PROVIDER", "MODELS") if name in held} | held.get("PIPELINE", {})
+        if odd := sorted(set(held) - {"PROVIDER", "MODELS", "PIPELINE"}):
+            raise ValueError(f"unknown sections: {', '.join(odd)}")
     said |= changes
-    known = {f.name for f in fields(Settings)}
-    if odd := sorted(set(said) - known):
-        raise ValueError(f"unknown settings: {', '.join(odd)}")
-    for key, allowed in CHOICES.items():
-        if key in said and said[key] not in allowed:
+    names = {f.name for f in fields(Settings)}
+    if odd := sorted(set(said) - names):
+        raise ValueError(f"unknown settings: {', '.join(odd)}; there are: {', '.join(sorted(names))}")
+    made = replace(Settings(), **said)
+    for key, allowed in (CHOICES | {"provider": tuple(made.models)}).items():
+        if getattr(made, key) not in allowed:
             raise ValueError(f"{key} must be one of {', '.join(allowed)}")
-    return replace(Settings(), **said)
+    return made
+
+
+def prompts(folder: str) -> dict[str, str]:
+    """The templates of all tasks, by task; those that a folder doesn't have are left out."""
+    found = {task: prompt(folder, name) for task, name in PROMPTS.items()}
+    return {task: text for task, text in found.items() if text}
 
 
 def prompt(folder: str, name: str, *, named: bool = False) -> str:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import library as L
+from lectern.storage import Scratch
 
 
 def _fs(spark: SparkSession, path: str):
@@ -16,36 +18,102 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_decks(decks: DataFrame, path: str) -> None:
-    """One JSON row for each deck, partitioned by document; Spark's committer makes it all or nothing."""
-    decks.select("doc_id", F.to_json(F.struct(*[c for c in decks.columns if c != "doc_id"])).alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str, provider: str, model: str, debug: bool = False) -> DataFrame:
+    """Writes decks(doc_id, deck_id, mode, chapter, title, doc_hash, slides, images, ...) as files; returns them with `file`.
+
+    Single decks are SLUG_HASH_STAMP.json; a multi deck is such a folder, with NN_CHAPTER.json for each deck that worked
+    out, numbered in order, and index.json, which comes last. Names that are taken get a counter. Files are written by the
+    executors into a folder of their own and then moved into place one by one, so no file is ever half there and none is
+    replaced; a run cut short leaves only new files. Decks without slides are left out.
+    """
+    spark = decks.sparkSession
+    key = uuid.uuid4().hex
+    fresh = Scratch(spark, "publish")
+    good = fresh.save(decks.where("slides is not null"), "good")
+    docs = good.groupBy("doc_id", "mode", "doc_hash").agg(F.min_by("title", "deck_id").alias("_title"))
+    docs = docs.withColumn("stem", F.concat_ws("_", T.output_slug(F.col("_title")), "doc_hash")).withColumn("stamp", F.lit(stamp))
+    taken = spark.createDataFrame([(re.sub(r"\.json$", "", n),) for n in _names(spark, path)] or [("",)], "taken string")
+    named = L.free_names(docs, taken, "stem", "stamp", "doc_id").select("doc_id", "name")
+    rows = L.deck_numbers(good.withColumn("failed", F.lit(False)).withColumn("_c", F.col("chapter")).withColumn("chapter", F.col("deck_id")).drop("deck_no")).withColumn("chapter", F.col("_c")).join(named, "doc_id")
+    multi = F.col("mode") == "multi"
+    inner = F.concat("deck_no", F.lit("_"), T.slug(F.col("chapter")), F.lit(".json"))
+    rows = rows.withColumn("part", F.when(multi, inner)).withColumn("file", F.concat(F.lit("/"), "name", F.when(multi, F.lit("/index.json")).otherwise(F.lit(".json"))))
+    rows = fresh.save(rows.drop("_c", "failed"), "rows")
+    head = [F.lit(generated_at).alias("generated_at"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.col("doc_hash")]
+    deck = F.to_json(F.struct("title", F.lit("single_deck").alias("type"), *head, "slides", "images"))
+    files = rows.select(F.when(multi, F.concat("name", F.lit("/"), "part")).otherwise(F.concat("name", F.lit(".json"))).alias("to"), deck.alias("value"), F.lit(0).alias("turn"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("deck_no", F.col("chapter").alias("chapter_title"), F.col("part").alias("file")))), lambda x: x.dropFields("deck_no"))
+    index = rows.where(multi).groupBy("name", "doc_hash").agg(F.min_by("title", "deck_id").alias("title"), entries.alias("decks"))
+    index = index.select(F.concat("name", F.lit("/index.json")).alias("to"), F.to_json(F.struct("title", F.lit("multi_deck").alias("type"), *head, "decks")).alias("value"), F.lit(1).alias("turn"))
+    every = files.union(index)
+    if debug:
+        every = every.union(rows.select(F.concat(F.lit("debug/"), "name", F.lit("_"), "deck_no", F.lit(".json")), F.to_json(F.struct("*")), F.lit(0)))
+    _moved(every, f"{path}/.publish-{key}", path)
+    return rows.drop("deck_no", "part", "name")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    target, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
-def write_index(index: DataFrame, chapters: DataFrame, path: str) -> None:
-    """Chapter decks first, then the index that names them."""
-    write_decks(chapters, f"{path}/chapters")
-    write_decks(index, f"{path}/index")
+def _moved(files: DataFrame, staged: str, path: str) -> None:
+    """files(to, value, turn) as single files below path: written in parallel, then renamed, in order of turn."""
+    spark = files.sparkSession
+    files.repartition("to").write.partitionBy("turn", "to").text(staged)
+    root, fs = _fs(spark, staged)
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for turn in sorted((s.getPath() for s in fs.listStatus(root) if s.isDirectory()), key=lambda p: p.getName()):
+        for folder in [s.getPath() for s in fs.listStatus(turn)]:
+            target, _ = _fs(spark, f"{path}/{unescape(folder.getName().split('=', 1)[1])}")
+            fs.mkdirs(target.getParent())
+            part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+            fs.rename(part, target)
+    fs.delete(root, True)
+
+
+def delete_outputs(spark: SparkSession, path: str, files: DataFrame) -> None:
+    """Deletes the decks of files(file): the file, or the whole folder of an index. Only names go through the driver."""
+    for row in files.select("file").distinct().toLocalIterator():
+        target, fs = _fs(spark, f"{path}{row.file}")
+        fs.delete(target.getParent() if target.getName() == "index.json" else target, True)
 
 
 def write_library(library: DataFrame, path: str) -> None:
-    """The manifest as a new version of its folder, swapped in by renaming, newest entries first.
+    """The manifest as a new version in its folder; one rename of a pointer makes it the current one.
 
-    The manifest has one row for each deck and is sorted into a single file, as readers expect.
+    Whoever reads at any moment, or after a crash at any step, sees the old manifest or the new one. The version
+    before stays, for readers that have just begun; older ones go.
     """
     spark = library.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    L.newest_first(library.select(*L.COLUMNS)).coalesce(1).write.json(fresh)
-    target, fs = _fs(spark, path)
-    if fs.exists(target):
-        fs.rename(target, _fs(spark, old)[0])
-    fs.rename(_fs(spark, fresh)[0], target)
-    fs.delete(_fs(spark, old)[0], True)
+    name = f"v-{uuid.uuid4().hex}"
+    library.select(*L.COLUMNS).write.json(f"{path}/{name}")
+    before = _current(spark, path)
+    pointer, fs = _fs(spark, f"{path}/.{name}.pointer")
+    out = fs.create(pointer, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    jvm = spark._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    qualified = fs.makeQualified(pointer)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(qualified, fs.makeQualified(_fs(spark, f"{path}/CURRENT")[0]), how)
+    for old in _names(spark, path):
+        if old.startswith("v-") and old not in (name, before):
+            fs.delete(_fs(spark, f"{path}/{old}")[0], True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    target, fs = _fs(spark, f"{path}/CURRENT")
+    return spark.read.text(f"{path}/CURRENT").first().value.strip() if fs.exists(target) else None
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """What write_library() wrote; empty if there is nothing."""
-    target, fs = _fs(spark, path)
-    return spark.read.schema(L.ENTRY).json(path) if fs.exists(target) else spark.createDataFrame([], L.ENTRY)
+    """What write_library() wrote, newest entries first; empty if there is nothing."""
+    name = _current(spark, path)
+    found = spark.read.schema(L.ENTRY).json(f"{path}/{name}") if name else spark.createDataFrame([], L.ENTRY)
+    return L.newest_first(found)
 
 
 def save_stage(df: DataFrame, root: str, key: str, name: str) -> DataFrame:
@@ -68,13 +136,3 @@ def output_of(spark: SparkSession, root: str, key: str) -> str | None:
     target, fs = _fs(spark, f"{root}/outputs/{key}")
     row = spark.read.schema("run_key string, output string").json(f"{root}/outputs/{key}").first() if fs.exists(target) else None
     return row.output if row else None
-
-
-def write_debug(stages: dict[str, DataFrame], path: str) -> None:
-    for name, df in stages.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
-
-
-def settings_file(path: str, values: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(values, f, indent=2)

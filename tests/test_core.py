@@ -335,8 +335,13 @@ def test_stages_and_settings(spark, tmp_path):
     assert writers.output_of(spark, str(tmp_path), "k") == "/out" and writers.output_of(spark, str(tmp_path), "z") is None
     writers.clear_stages(spark, str(tmp_path), "k")
     assert readers.stage(spark, str(tmp_path), "k", "s", resume=True) is None
-    (tmp_path / "s.json").write_text('{"chunk_size": 5}')
-    assert registry.settings(str(tmp_path / "s.json")).chunk_size == 5
+    (tmp_path / "s.json").write_text('{"PROVIDER": "mine", "MODELS": {"mine": "m"}, "PIPELINE": {"chunk_size": 5}}')
+    said = registry.settings(str(tmp_path / "s.json"))
+    assert (said.chunk_size, said.overlap_size, said.model, list(said.models)) == (5, 1500, "m", ["mine"])
+    for bad in ('{"PIPELINE": {"nothing": 1}}', '{"PROVIDER": "none"}', "{", '{"chunk_size": 5}'):
+        (tmp_path / "s.json").write_text(bad)
+        with pytest.raises(ValueError):
+            registry.settings(str(tmp_path / "s.json"))
     with pytest.raises(ValueError):
         registry.settings(nothing=1)
     with pytest.raises(ValueError):
@@ -364,5 +369,37 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.txt").write_text("# One\n" + "word " * 400)
     main(["estimate", str(tmp_path)])
     assert "claude-sonnet" in capsys.readouterr().out
-    main(["run", str(tmp_path), "--fast"])
-    assert "single" in capsys.readouterr().out
+    main(["run", str(tmp_path), "--fast", "--provider", "stub", "--out", f"{tmp_path}/out", "--cache", f"{tmp_path}/cache", "--resume", "--max-concurrent", "2"])
+    assert "single" in capsys.readouterr().out and len(list((tmp_path / "out").glob("one_*.json"))) == 1
+
+
+def test_providers():
+    from lectern.model import providers
+
+    said = []
+
+    def post(url, headers, body, timeout):
+        said.append((headers, body))
+        return (200, json.dumps({"choices": [{"message": {"content": '{"a": 1}'}}]})) if len(said) == 1 else (int(body["model"]), "no")
+
+    http = lambda model: providers.Http(model, "k", post=post)
+    assert http("m").call("t", {"prompt": "p", "rejected": ["x", "wrong"]}) == '{"a": 1}'
+    assert said[0][0] == {"Authorization": "Bearer k"} and [(m["role"], m["content"]) for m in said[0][1]["messages"]] == [("user", "p"), ("assistant", "x"), ("user", "wrong")]
+    for status, kind in (("429", client.Transient), ("503", client.Transient), ("400", client.Fatal), ("401", client.Fatal)):
+        with pytest.raises(kind):
+            http(status).call("t", {})
+    with pytest.raises(client.Transient):
+        providers.Http("m", url="http://127.0.0.1:9/", timeout=1).call("t", {})
+    assert providers.client_for("google-fast", "m").provider == "google"
+    with pytest.raises(ValueError, match="anthropic"):
+        providers.client_for("nobody", "m")
+
+
+def test_corrections_name_what_is_wrong():
+    from lectern.model.answers import SHAPES
+
+    script = Script('{"title": "t", "total_slides": 99, "slides": [{"index": 1}]}', "{}", "{}")
+    with pytest.raises(ValueError, match="total_slides: needed"):
+        client.Caller(script, shapes=SHAPES)("plan", {"max_slides": 3})
+    wrong = SHAPES["plan"].errors({"title": "t", "total_slides": 5, "slides": [{"index": 1, "tag": "odd"}] * 4}, {"max_slides": 3})
+    assert any(e.startswith("slides[0].tag: needed, one of Introduction") for e in wrong) and "slides: at most 3" in wrong
