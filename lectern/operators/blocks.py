@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-#: Kinds of blocks that are page furniture.
+# Kinds of blocks that are page furniture.
 FURNITURE = ("header", "footer", "page_number", "page_footnote", "discarded")
 BLOCK = (
     "doc_id long, ord int, type string, text string, text_level int, page_idx int, img_path string, "
@@ -53,10 +53,21 @@ def figures(parts: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return parts.where("figure_id is not null").select(key, "figure_id", "caption", "page")
 
 
+# Tags that begin or end a block; all others are inside one.
+BLOCK_TAGS = "address|article|aside|blockquote|body|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+
+
 def html_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ord, type, text: headings and paragraphs of web pages, scripts and styles left out; paragraphs may lack their end."""
-    body = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", "")
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(r"(?i)(<(?:h1|p)>[^<]*)"), 1)).alias("ord", "m"))
-    text = F.trim(F.regexp_replace("m", r"^<[^>]*>", ""))
-    kind = F.when(F.lower(F.substring("m", 1, 4)) == "<h1>", "title").otherwise("text")
-    return found.select(key, F.col("ord").cast("long").alias("ord"), kind.alias("type"), text.alias("text")).where("text != ''")
+    """key, ord, type, text: headings and paragraphs of web pages, whole; scripts, styles and comments are left out.
+
+    A heading or paragraph ends at the next tag of a block, or with the page; tags inside it go, a line break becomes a
+    space, character references are resolved. Empty ones are left out; null pages have none.
+    """
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>|<!--.*?-->", "")
+    blocks = F.regexp_extract_all(body, F.lit(rf"(?is)(<(?:h1|p)(?=[\s>/])[^>]*>.*?)(?=</?(?:{BLOCK_TAGS})(?=[\s>/])|\z)"), 1)
+    found = pages.select(key, F.posexplode(blocks).alias("ord", "m"))
+    text = F.regexp_replace(F.regexp_replace("m", r"(?i)(?<=.)<br\b[^>]*>", " "), r"<[^>]*>", "")
+    for mark, char in T.ENTITIES:
+        text = F.replace(text, F.lit(mark), F.lit(char))
+    kind = F.when(F.lower(F.substring("m", 1, 3)) == "<h1", "title").otherwise("text")
+    return found.select(key, F.col("ord").cast("long").alias("ord"), kind.alias("type"), T.strip(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text")).where("text != ''")

@@ -62,11 +62,9 @@ def inject_figure_ids(docs: DataFrame, figures: DataFrame, *, key: str = "doc_id
     wanted = wanted.groupBy(key, "_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("figure_id")), lambda n: F.concat(F.lit(" [FIGURE_ID: "), n.cast("string"), F.lit("]"))), "").alias("_tags"))
     first = lines.where("_k is not null and _clear").groupBy(key, "_k").agg(F.min("line").alias("line"))
     tagged = first.join(wanted, [key, "_k"]).select(key, "line", "_tags")
-    body = lines.join(tagged, [key, "line"], "left").withColumn("l", F.concat("l", F.coalesce("_tags", F.lit(""))))
-    body = body.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), "\n").alias("_body"))
-    out = docs.join(body, key, "left")
-    end = F.when(F.col("text").endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
-    return out.select(key, F.coalesce(F.concat("_body", end), "text").alias("text"))
+    body = lines.join(tagged, [key, "line"], "left").withColumn("l", F.concat("l", F.coalesce("_tags", F.lit("")), "eol"))
+    body = body.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), "").alias("_body"))
+    return docs.join(body, key, "left").select(key, F.coalesce("_body", "text").alias("text"))
 
 
 def format_catalog(catalog: DataFrame, *, key: str = "doc_id") -> DataFrame:

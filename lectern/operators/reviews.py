@@ -69,6 +69,15 @@ def merged_lists(rows: DataFrame, *keys: str, lists: list[str], order: str, scal
     return rows.groupBy(*keys).agg(*out)
 
 
+def two_level_merge(rows: DataFrame, key: str, part: str, *, lists: list[str], order: str, scalars: list[str] = []) -> DataFrame:
+    """One row for each key: rows are merged by part first, then the parts in order of their first row; parts and items count both."""
+    inner = merged_lists(rows, key, part, lists=lists, order=order, scalars=scalars)
+    sizes = rows.groupBy(key, part).agg(F.count("*").alias("_items"), F.min(order).alias("_first"))
+    both = inner.join(sizes, [key, part])
+    whole = merged_lists(both, key, lists=lists, order="_first", scalars=scalars)
+    return whole.join(both.groupBy(key).agg(F.count("*").alias("parts"), F.sum("_items").alias("items")), key)
+
+
 def failure_runs(events: DataFrame, *, key: str, order: list[str], bad: Column) -> DataFrame:
     """key, run, length: runs of consecutive failures between successes."""
     good = F.sum(F.when(bad, 0).otherwise(1)).over(W.partitionBy(key).orderBy(*order))

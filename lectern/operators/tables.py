@@ -14,14 +14,20 @@ LEAST_CONSISTENT = 0.8
 LEAST_FILLED = 0.2
 
 
+# What ends a line.
+LINE_ENDS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\u0085\\u2028\\u2029"
+
+
 def lines_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, l: the lines of each text without their ends; an end at the very last gives no further line."""
-    cut = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
-    return docs.where(F.col(text) != "").select(key, F.posexplode(cut).alias("line", "l"))
+    """key, line, l, eol: the lines of each text and what ends them; an end at the very last gives no further line."""
+    whole = F.regexp_extract_all(F.col(text), F.lit(f"([^{LINE_ENDS}]*(?:\\r\\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+\\z)"), 1)
+    rows = docs.where(F.col(text) != "").select(key, F.posexplode(whole).alias("line", "_w"))
+    rows = rows.withColumn("eol", F.regexp_extract("_w", f"(\\r\\n|[{LINE_ENDS}])\\z", 1))
+    return rows.select(key, "line", F.expr("substring(_w, 1, char_length(_w) - char_length(eol))").alias("l"), "eol")
 
 
 def table_islands(lines: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """lines(key, line, l) with island: null outside of tables, else the number of the first line.
+    """lines(key, line, l, ...) with island: null outside of tables, else the number of the first line.
 
     A table begins at a line that starts or ends with a pipe and goes on while lines hold any pipe.
     """
@@ -32,7 +38,7 @@ def table_islands(lines: DataFrame, *, key: str = "doc_id") -> DataFrame:
     run = F.sum(F.when(pipe, 0).otherwise(1)).over(order)
     marked = lines.withColumn("_pipe", pipe).withColumn("_begins", begins).withColumn("_run", run)
     first = F.min(F.when(F.col("_begins"), F.col("line"))).over(W.partitionBy(key, "_run"))
-    return marked.withColumn("_first", first).select(key, "line", "l", F.when(F.col("_pipe") & (F.col("line") >= F.col("_first")), F.col("_first")).alias("island"))
+    return marked.withColumn("_first", first).select(*lines.columns, F.when(F.col("_pipe") & (F.col("line") >= F.col("_first")), F.col("_first")).alias("island"))
 
 
 def check_tables(islands: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -63,9 +69,7 @@ def clean_tables(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     bad = check_tables(islands, key=key).where("malformed").select(key, "island", "caption")
     kept = islands.join(bad, [key, "island"], "left")
     mark = F.concat(F.lit("[TABLE"), F.when(F.col("caption") != "", F.concat(F.lit(": "), "caption")).otherwise(F.lit("")), F.lit("]"))
-    kept = kept.where("caption is null or line = island").withColumn("l", F.when(F.col("caption").isNotNull(), mark).otherwise(F.col("l")))
-    body = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), "\n").alias("_body"), F.max_by("caption", "line").alias("_last"))
-    out = docs.join(body, key, "left")
-    # a placeholder always ends its line, any other last line as it was
-    end = F.when(F.col(text).endswith("\n") | F.col("_last").isNotNull(), F.lit("\n")).otherwise(F.lit(""))
-    return out.select(key, F.when(F.col("_body").isNull(), F.col(text)).otherwise(F.concat("_body", end)).alias("text"))
+    # a placeholder ends its line with a line feed, all others as they did
+    kept = kept.where("caption is null or line = island").withColumn("l", F.when(F.col("caption").isNotNull(), F.concat(mark, F.lit("\n"))).otherwise(F.concat("l", "eol")))
+    body = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), "").alias("_body"))
+    return docs.join(body, key, "left").select(key, F.coalesce("_body", text).alias("text"))

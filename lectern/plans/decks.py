@@ -50,7 +50,7 @@ def _payload(prompts: dict[str, str], task: str, **fields: Column) -> Column:
     return F.to_json(F.struct(*values)).alias("payload")
 
 
-def _ordered(rows: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
+def ordered(rows: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
     """keys, name: the values of each key as a list, in order."""
     held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("_v"))))
     return rows.groupBy(*keys).agg(F.transform(held, lambda x: x["_v"]).alias(name))
@@ -77,7 +77,7 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     chars = chunks.groupBy("doc_id").agg(F.sum(F.char_length("chunk").cast("long")).alias("total_chars"))
     routes = sections.routed(chars.join(tops, "doc_id", "left").withColumn("chapters", F.coalesce("chapters", F.lit(0))), most_chapters=settings.chapters_for_multi, most_chars=settings.chars_for_multi)
     titles = sections.skeleton(outline, docs.select("doc_id", F.lit(None).cast("string").alias("title")))
-    headings = _ordered(outline, ["doc_id"], "ord", F.col("heading"), "headings")
+    headings = ordered(outline, ["doc_id"], "ord", F.col("heading"), "headings")
     placed = sections.chapter_of(chunks.drop("section").join(routes.select("doc_id", "mode"), "doc_id"), outline)
     placed = placed.withColumn("deck", F.when(F.col("mode") == "multi", F.col("chapter")).otherwise(F.lit("")))
     number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("_first")) - 1
@@ -86,16 +86,16 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     placed = steps.kept(placed, "placed")
 
     # chunks are analysed under the headings that matter there, their maps merged by chapter, then by document
-    near = _ordered(sections.trimmed_outline(chunks.select("doc_id", "chunk_idx"), outline), ["doc_id", "chunk_idx"], "ord", F.col("heading"), "headings")
+    near = ordered(sections.trimmed_outline(chunks.select("doc_id", "chunk_idx"), outline), ["doc_id", "chunk_idx"], "ord", F.col("heading"), "headings")
     asked = placed.join(near, ["doc_id", "chunk_idx"], "left").withColumn("headings", F.coalesce("headings", F.array().cast("array<string>")))
     asked = asked.select(*DECK, "chunk_idx", "chapter", _payload(prompts, "analyse", text=F.col("chunk"), title=F.col("title"), chunk_index=F.col("chunk_idx") + 1, headings=F.col("headings")))
     maps = steps.answers(asked, "maps", "analyse", [*DECK, "chunk_idx", "chapter"]).withColumn("m", F.from_json("answer", _MAP))
     whole = F.to_json(F.struct("m.core_thesis", "m.key_concepts"))  # without the figures' purposes
-    parts = _ordered(maps.where("error is null").withColumn("_w", whole), ["doc_id", "chapter"], "chunk_idx", F.col("_w"), "maps").join(maps.groupBy("doc_id", "chapter").agg(F.min("chunk_idx").alias("_first")), ["doc_id", "chapter"])
+    parts = ordered(maps.where("error is null").withColumn("_w", whole), ["doc_id", "chapter"], "chunk_idx", F.col("_w"), "maps").join(maps.groupBy("doc_id", "chapter").agg(F.min("chunk_idx").alias("_first")), ["doc_id", "chapter"])
     several = chunks.groupBy("doc_id").agg((F.count("*") > 1).alias("_several"))
     parts = steps.kept(parts.join(several, "doc_id"), "parts")
     merged = steps.answers(parts.where("_several").select("doc_id", "chapter", "_first", _payload(prompts, "merge_chapter", chapter=F.col("chapter"), maps=F.col("maps"))), "chapters", "merge_chapter", ["doc_id", "chapter", "_first"])
-    both = _ordered(merged.where("error is null"), ["doc_id"], "_first", F.col("answer"), "maps")
+    both = ordered(merged.where("error is null"), ["doc_id"], "_first", F.col("answer"), "maps")
     document = steps.answers(both.select("doc_id", _payload(prompts, "merge_document", maps=F.col("maps"))), "documents", "merge_document", ["doc_id"])
     alone = parts.where("not _several").select("doc_id", F.get("maps", F.lit(0)).alias("answer"))
     doc_map = document.where("error is null").select("doc_id", "answer").union(alone).select("doc_id", F.col("answer").alias("doc_map"))
@@ -118,7 +118,7 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     requests = planned.select("deck", "slide_index", "chunk_indices", F.explode("figure_ids").alias("figure_id"))
     choices = heads.select("doc_id", F.struct(*DECK).alias("deck")).join(catalog, "doc_id")
     owned = figures.capped_figures(figures.figure_owners(requests, choices, key="deck"), key="deck")
-    refs = _ordered(owned, ["deck", "slide_index"], "place", F.col("figure_id"), "figure_ids").select("deck.*", "slide_index", "figure_ids")
+    refs = ordered(owned, ["deck", "slide_index"], "place", F.col("figure_id"), "figure_ids").select("deck.*", "slide_index", "figure_ids")
 
     # drafts in batches of slides with the chunks that they draw on
     batched = reviews.batches(planned, settings.writer_batch, key=DECK, order="ord")
@@ -167,14 +167,14 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     final = steps.kept(draft.unionByName(last.select(*draft.columns)), "final")
 
     fields = ["index", "tag", "heading", "body", "latex", "image_refs"]
-    slides = _ordered(final.withColumnRenamed("slide_index", "index"), DECK, "ord", F.struct(*fields), "slides")
+    slides = ordered(final.withColumnRenamed("slide_index", "index"), DECK, "ord", F.struct(*fields), "slides")
     shown = figures.referenced_images(heads.select(*DECK).join(images, "doc_id"), final.select(*DECK, F.explode("image_refs").alias("figure_id")).distinct(), [*DECK, "figure_id"])
-    shown = _ordered(shown, DECK, "figure_id", F.struct(F.col("figure_id").alias("index"), "caption", "page", "data_uri"), "images")
+    shown = ordered(shown, DECK, "figure_id", F.struct(F.col("figure_id").alias("index"), "caption", "page", "data_uri"), "images")
     none = F.array().cast("array<struct<index:long,caption:string,page:long,data_uri:string>>")
     out = heads.join(errors.groupBy(*DECK).agg(F.min("error").alias("_error")), DECK, "left").withColumn("error", F.coalesce("error", "_error")).join(slides, DECK, "left").join(shown, DECK, "left")
     open_ = F.array().cast("array<string>")
     if verdict is not None:
-        out = out.join(_ordered(reviews.unresolved(verdict, *DECK), DECK, "slide_index", F.col("note"), "unresolved"), DECK, "left")
+        out = out.join(ordered(reviews.unresolved(verdict, *DECK), DECK, "slide_index", F.col("note"), "unresolved"), DECK, "left")
         open_ = F.coalesce("unresolved", open_)
     hashes = docs.select("doc_id", library.content_hash(F.col("text").cast("binary")).alias("doc_hash"))
     good = F.col("error").isNull()
@@ -191,13 +191,13 @@ def _slides(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 def _whole(draft: DataFrame) -> DataFrame:
     """A deck's slides in order, as one list."""
-    return _ordered(draft, DECK, "ord", F.struct(F.col("slide_index").alias("index"), "tag", "heading", "body", "latex", "image_refs"), "slides")
+    return ordered(draft, DECK, "ord", F.struct(F.col("slide_index").alias("index"), "tag", "heading", "body", "latex", "image_refs"), "slides")
 
 
 def _context(sources: DataFrame, draft: DataFrame) -> DataFrame:
     """The source texts behind a deck's slides."""
     mine = sources.join(draft.select(*DECK, "slide_index"), [*DECK, "slide_index"], "left_semi")
-    return _ordered(mine, DECK, "slide_index", F.col("l"), "_l").select(*DECK, F.array_join("_l", "\n\n").alias("sources"))
+    return ordered(mine, DECK, "slide_index", F.col("l"), "_l").select(*DECK, F.array_join("_l", "\n\n").alias("sources"))
 
 
 def run(docs: DataFrame, client: Client, settings: Settings, path: str, *, stamp: str, generated_at: str, debug: bool = False, **how) -> DataFrame:

@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import images
 from lectern.functions import text as T
 from lectern.operators import blocks, chunking, cost, figures, geometry, library, reviews, sections, tables, validation
-from lectern.plans import estimate
+from lectern.plans import decks, estimate
 from lectern.session import table
+from lectern.sources import readers, writers
+from lectern.storage import Scratch
 from lectern.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,11 +190,15 @@ def section_split(spark, d):
     return chunking.chunk_sections(_markdown(spark, d), 500, 100).select("doc_id", "chunk_idx", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+# cut at every tag of a block, where the operator looks for blocks as wholes
 _BLOCKS = """
-b AS (SELECT page_id, p - 1 AS ord, x[p] AS m FROM (
-        SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)(<(?:h1|p)>[^<]*)', 1) AS x FROM pages),
-      unnest(range(1, len(x) + 1)) AS t(p)),
-k AS (SELECT page_id, ord, CASE WHEN lower(left(m, 4)) = '<h1>' THEN 'title' ELSE 'text' END AS type, trim(regexp_replace(m, '^<[^>]*>', '')) AS text FROM b)"""
+c AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gsi'),
+        '</?(article|blockquote|body|div|footer|h[2-6]|head|header|html|li|nav|ol|section|table|title|ul|td|tr)(\\s[^>]*)?>|</(p|h1)>', chr(1) || 'x', 'gi'), '<(p|h1)(\\s[^>]*)?>', chr(1) || '\\1', 'gi'), chr(1)) AS x FROM pages),
+b AS (SELECT page_id, p, x[p] AS m FROM c, unnest(range(1, len(x) + 1)) AS t(p) WHERE x[p][1] IN ('p', 'P', 'h', 'H')),
+k AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p) - 1 AS ord, CASE WHEN lower(m[1]) = 'h' THEN 'title' ELSE 'text' END AS type,
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(CASE WHEN lower(m[1]) = 'h' THEN substr(m, 3) ELSE substr(m, 2) END, '<br[^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM b)"""
 
 
 @query(f"WITH {_BLOCKS} SELECT page_id, CAST(ord AS BIGINT) AS ord, type, text FROM k WHERE text <> ''")
@@ -253,7 +260,7 @@ def _tables(spark):
 
 @query(f"WITH {_ISLANDS} SELECT doc_id, CAST(line AS INTEGER) AS line, l, CAST(island AS INTEGER) AS island FROM i")
 def table_islands(spark, d):
-    return tables.table_islands(tables.lines_of(_tables(spark)))
+    return tables.table_islands(tables.lines_of(_tables(spark))).drop("eol")
 
 
 @query(
@@ -290,8 +297,12 @@ def slug_ascii(spark, d):
     return table(spark, d, "part").select("p_partkey", T.slug_ascii(F.concat("p_name", F.lit(": "), "p_brand", F.lit(" / "), "p_type")).alias("slug"))
 
 
-@query()
+@query(
+    """WITH a AS (SELECT doc_id, regexp_replace(lower(regexp_replace(strip_accents(string_split(text, chr(10))[1]), '[^\\x00-\\x7F]', '', 'g')), '[^\\w\\s-]', '', 'g') AS s FROM documents)
+SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(s, '[-\\s]+', '_', 'g'), '^_+|_+$', '', 'g'), 80), ''), 'untitled_document') AS slug FROM a"""
+)
 def slug_unicode(spark, d):
+    # a title is one line: the first of each text
     return table(spark, d, "documents").select("doc_id", T.output_slug(F.regexp_extract("text", r"^([^\n]*)", 1)).alias("slug"))
 
 
@@ -575,13 +586,24 @@ def merge_array(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT o_custkey, l_orderkey, list(DISTINCT l_shipmode ORDER BY l_shipmode) AS k, count(*) AS n FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
-SELECT o_custkey, count(*) AS chapters, CAST(sum(n) AS BIGINT) AS chunks, list_sort(list_distinct(flatten(list(k)))) AS key_concepts FROM c GROUP BY o_custkey"""
+    """WITH r AS (SELECT o_custkey, l_orderkey, l_returnflag || l_linestatus AS k, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus) AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT o_custkey, l_orderkey, k, min(o) AS o FROM r GROUP BY ALL),
+f AS (SELECT o_custkey, l_orderkey, min(o) AS first FROM r GROUP BY ALL),
+u AS (SELECT p.o_custkey, p.k, min((f.first, p.o)) AS pos FROM p JOIN f USING (o_custkey, l_orderkey) GROUP BY ALL)
+SELECT c.o_custkey, c.parts, c.items, l.k AS key_concepts FROM (SELECT o_custkey, count(DISTINCT l_orderkey) AS parts, count(*) AS items FROM r GROUP BY 1) c JOIN (SELECT o_custkey, list(k ORDER BY pos) AS k FROM u GROUP BY 1) l USING (o_custkey)"""
 )
 def two_level_merge(spark, d):
     items = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    chapter = items.groupBy("o_custkey", "l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("k"), F.count("*").alias("n"))
-    return chapter.groupBy("o_custkey").agg(F.count("*").alias("chapters"), F.sum("n").alias("chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("k")))).alias("key_concepts"))
+    concept = F.concat("l_returnflag", "l_linestatus")
+    rows = items.select("o_custkey", "l_orderkey", F.array(concept).alias("key_concepts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", concept.alias("c")).alias("at"))
+    return reviews.two_level_merge(rows, "o_custkey", "l_orderkey", lists=["key_concepts"], order="at").select("o_custkey", "parts", "items", "key_concepts")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN [] ELSE [CAST(l.quality AS BIGINT), CAST(l.toxic AS BIGINT)] END AS image_refs FROM documents d LEFT JOIN labels l USING (doc_id)")
+def planned_refs(spark, d):
+    draft = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("slide_index"), F.array(F.lit(999).cast("long")).alias("image_refs"))
+    plan = table(spark, d, "labels").select("doc_id", F.col("doc_id").alias("slide_index"), F.array(F.col("quality").cast("long"), F.col("toxic").cast("long")).alias("figure_ids"))
+    return reviews.with_planned_figures(draft, plan, key=["doc_id"]).select("doc_id", "image_refs")
 
 
 def _reviews(spark, d):
@@ -660,7 +682,19 @@ def region_pairs(spark, d):
     return geometry.caption_pairs(r.where("region_id % 2 = 1"), r.where("region_id % 2 = 0"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PAIRS},
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap, figure_id, caption_id) AS n FROM pairs WHERE gap <= 80),
+g(doc_id, page, n, fs, cs) AS (
+  SELECT doc_id, page, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM k GROUP BY ALL
+  UNION ALL
+  SELECT g.doc_id, g.page, k.n, CASE WHEN list_contains(fs, k.figure_id) OR list_contains(cs, k.caption_id) THEN fs ELSE list_append(fs, k.figure_id) END,
+         CASE WHEN list_contains(fs, k.figure_id) OR list_contains(cs, k.caption_id) THEN cs ELSE list_append(cs, k.caption_id) END
+  FROM g JOIN k ON k.doc_id = g.doc_id AND k.page = g.page AND k.n = g.n + 1),
+m AS (SELECT doc_id, page, unnest(fs) AS figure_id, unnest(cs) AS caption_id FROM (SELECT doc_id, page, arg_max(fs, n) AS fs, arg_max(cs, n) AS cs FROM g GROUP BY ALL))
+SELECT f.doc_id, f.page, f.region_id AS figure_id, m.caption_id FROM r f LEFT JOIN m ON m.doc_id = f.doc_id AND m.page = f.page AND m.figure_id = f.region_id WHERE f.region_id % 2 = 1
+UNION ALL SELECT c.doc_id, c.page, NULL, c.region_id FROM r c WHERE c.region_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = c.doc_id AND m.page = c.page AND m.caption_id = c.region_id)"""
+)
 def greedy_match(spark, d):
     r = _rects(spark, d)
     return geometry.paired_figures(r.where("region_id % 2 = 1"), r.where("region_id % 2 = 0"))
@@ -726,7 +760,6 @@ def json_fields(spark, d):
 
 def _decks(spark, d, multi: bool):
     from lectern.model.stub import Stub
-    from lectern.plans import decks
     from lectern.sources.registry import settings
 
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Part one\n"), F.regexp_replace("text", "\n", "\n# Part of ")).alias("text"))
@@ -734,11 +767,201 @@ def _decks(spark, d, multi: bool):
     return made.select("doc_id", "deck_id", "mode", "title", "error", F.size("slides").alias("slides"), F.size("unresolved").alias("open"))
 
 
-@query()
+# one chunk for each heading and its line, unless they are longer than a chunk; slides as many as the stand-in plans
+_DECKS = """
+l AS (SELECT doc_id, p, x[p] AS l FROM (SELECT doc_id, string_split('# Part one' || chr(10) || replace(text, chr(10), chr(10) || '# Part of '), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(p)),
+s AS (SELECT doc_id, p, l, sum(CASE WHEN starts_with(l, '# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM l),
+h AS (SELECT doc_id, n, trim(substr(arg_min(l, p), 2)) AS chapter, length(arg_min(l, p)) AS head, length(trim(string_agg(l, chr(10) ORDER BY p))) AS size FROM s GROUP BY ALL),
+c AS (SELECT *, CASE WHEN size <= 8000 THEN 1 WHEN size <= head THEN 0 ELSE ceil((size - head - 1) / (8000.0 - head - 1 - 1500)) END AS chunks FROM h)"""
+
+
+@query(f"WITH {_DECKS} SELECT doc_id, CAST(0 AS BIGINT) AS deck_id, 'single' AS mode, 'Part one' AS title, CAST(NULL AS VARCHAR) AS error, CAST(least(20, greatest(4, sum(chunks) + 2)) AS INTEGER) AS slides, CAST(0 AS INTEGER) AS open FROM c GROUP BY doc_id")
 def deck_stub_single(spark, d):
     return _decks(spark, d, False)
 
 
-@query()
+@query(
+    f"""WITH {_DECKS},
+m AS (SELECT doc_id, count(*) > 1 AS multi FROM c GROUP BY doc_id),
+g AS (SELECT doc_id, multi, CASE WHEN multi THEN chapter ELSE 'Part one' END AS title, min(n) AS first, sum(chunks) AS chunks FROM c JOIN m USING (doc_id) GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS deck_id, CASE WHEN multi THEN 'multi' ELSE 'single' END AS mode, left(title, 60) AS title,
+  CAST(NULL AS VARCHAR) AS error, CAST(least(20, greatest(4, chunks + 2)) AS INTEGER) AS slides, CAST(0 AS INTEGER) AS open FROM g"""
+)
 def deck_stub_multi(spark, d):
     return _decks(spark, d, True)
+
+
+# ---------------------------------------------------------------- pages with captions
+
+_PAGE_BLOCKS = """b AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(l_linenumber % 5 = 4 AS INTEGER) AS kind,
+    CASE WHEN l_linenumber % 3 = 1 THEN 'Figure ' || l_linenumber || ': of ' ELSE '' END || 'block ' || l_linenumber || CASE WHEN q % 2 = 0 THEN '-' ELSE '' END AS text,
+    CAST(q % 7 * 10 AS DOUBLE) AS x0, CAST(l_linenumber * 22 + q % 9 AS DOUBLE) AS y0, CAST(q % 7 * 10 + 200 AS DOUBLE) AS x1, CAST(l_linenumber * 22 + q % 9 + 10 + q % 5 AS DOUBLE) AS y1
+  FROM (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL))"""
+
+
+def _page_blocks(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("ord")).agg(F.max("l_quantity").cast("long").alias("q"))
+    opening = F.when(F.col("ord") % 3 == 1, F.format_string("Figure %d: of ", "ord")).otherwise(F.lit(""))
+    top = F.col("ord") * 22 + F.col("q") % 9
+    return rows.select(
+        "doc_id", F.lit(1).alias("page"), "ord", (F.col("ord") % 5 == 4).cast("int").alias("kind"), F.concat(opening, F.lit("block "), F.col("ord").cast("string"), F.when(F.col("q") % 2 == 0, "-").otherwise("")).alias("text"),
+        (F.col("q") % 7 * 10).cast("double").alias("x0"), top.cast("double").alias("y0"), (F.col("q") % 7 * 10 + 200).cast("double").alias("x1"), (top + 10 + F.col("q") % 5).cast("double").alias("y1"), (F.col("q") % 4 * 4).cast("double").alias("size"),
+    )
+
+
+_CAPTION_FOLD = f"""{_PAGE_BLOCKS},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, regexp_matches(text, '(?i)^(fig\\.?|figure|chart|table)\\b') AS opens FROM b),
+f(doc_id, n, cap, text, x0, y0, x1, y1) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.doc_id, o.n,
+    CASE WHEN o.kind <> 0 THEN NULL WHEN o.opens THEN o.ord WHEN o.y0 - f.y1 <= 8 THEN f.cap END,
+    CASE WHEN o.opens THEN o.text WHEN f.text LIKE '%-' THEN left(f.text, length(f.text) - 1) || o.text ELSE f.text || ' ' || o.text END,
+    CASE WHEN o.opens THEN o.x0 ELSE least(f.x0, o.x0) END, CASE WHEN o.opens THEN o.y0 ELSE least(f.y0, o.y0) END,
+    CASE WHEN o.opens THEN o.x1 ELSE greatest(f.x1, o.x1) END, CASE WHEN o.opens THEN o.y1 ELSE greatest(f.y1, o.y1) END
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1),
+cap AS (SELECT doc_id, 1 AS page, CAST(cap AS INTEGER) AS caption_ord, arg_max(text, n) AS text, arg_max(x0, n) AS x0, arg_max(y0, n) AS y0, arg_max(x1, n) AS x1, arg_max(y1, n) AS y1 FROM f WHERE cap IS NOT NULL GROUP BY doc_id, cap)"""
+
+
+@query(f"WITH RECURSIVE {_CAPTION_FOLD} SELECT * FROM cap")
+def caption_blocks(spark, d):
+    return geometry.scan_captions(_page_blocks(spark, d).drop("size"))
+
+
+# the best of each way to find a figure: shapes above or below, images likewise, the space up to the next text
+_FIGURE_SQL = f"""{_CAPTION_FOLD},
+c AS (SELECT doc_id, caption_ord, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1, greatest(x1 - x0, 1.0) AS wide FROM cap),
+shape AS (
+  SELECT doc_id, 1 AS rank, x0, y0 - 9 AS y0, x1, y0 - 9 + ord * 7 AS y1 FROM b WHERE kind = 1 AND (ord % 2 = 0 OR ord * 7 >= 2) AND ord < 6
+  UNION ALL SELECT doc_id, 2, x0, y0, x1, y1 FROM b WHERE kind = 1),
+s AS (
+  SELECT c.*, rank, 0 AS side, shape.x0, shape.y0, shape.x1, shape.y1 FROM c JOIN shape USING (doc_id) WHERE (least(shape.x1, cx1) - greatest(shape.x0, cx0)) / wide >= 0.4 AND shape.y1 <= cy0 + 2 AND shape.y0 >= greatest(0.0, cy0 - 500)
+  UNION ALL SELECT c.*, rank, 1, shape.x0, shape.y0, shape.x1, shape.y1 FROM c JOIN shape USING (doc_id) WHERE (least(shape.x1, cx1) - greatest(shape.x0, cx0)) / wide >= 0.4 AND shape.y0 >= cy1 - 2 AND shape.y1 <= least(800.0, cy1 + 500)),
+u AS (SELECT doc_id, caption_ord, rank, side, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM s GROUP BY ALL),
+best AS (SELECT doc_id, caption_ord, rank, greatest(x0 - 8, 0.0) AS x0, greatest(y0 - 8, 0.0) AS y0, least(x1 + 8, 600.0) AS x1, least(y1 + 8, 800.0) AS y1
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, caption_ord, rank ORDER BY (x1 - x0) * (y1 - y0) DESC, side) AS k FROM u) WHERE k = 1),
+t AS (SELECT doc_id, x0, y0, x1, y1, z FROM (SELECT b.*, q % 4 * 4 AS z FROM b JOIN (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL) USING (doc_id, ord)) WHERE kind = 0 AND NOT regexp_matches(text, '(?i)^(fig\\.?|figure|chart|table)\\b')),
+e AS (
+  SELECT c.*, greatest(greatest(0.0, cy0 - 500), coalesce((SELECT max(t.y1) FROM t WHERE t.doc_id = c.doc_id AND t.y1 <= cy0 - 2 AND least(t.x1, cx1) > greatest(t.x0, cx0) AND z >= 8), 0.0)) AS up,
+    least(least(800.0, cy1 + 500), coalesce((SELECT min(t.y0) FROM t WHERE t.doc_id = c.doc_id AND t.y0 >= cy1 + 2 AND least(t.x1, cx1) > greatest(t.x0, cx0) AND z >= 8), 800.0)) AS down FROM c),
+gap AS (
+  SELECT doc_id, caption_ord, 3 AS rank, cx0, cx1, up AS y0, cy0 AS y1 FROM e UNION ALL SELECT doc_id, caption_ord, 4, cx0, cx1, cy1, down FROM e),
+w AS (SELECT gap.doc_id, caption_ord, rank, greatest(least(cx0, coalesce((SELECT min(x0) FROM b WHERE b.doc_id = gap.doc_id AND b.y0 >= gap.y0 AND b.y1 <= gap.y1), cx0)) - 8, 0.0) AS x0, y0,
+        least(greatest(cx1, coalesce((SELECT max(x1) FROM b WHERE b.doc_id = gap.doc_id AND b.y0 >= gap.y0 AND b.y1 <= gap.y1), cx1)) + 8, 600.0) AS x1, y1 FROM gap WHERE gap.y1 - gap.y0 >= 20),
+every AS (SELECT * FROM best WHERE y1 - y0 >= 20 AND x1 > x0 UNION ALL SELECT * FROM w)
+SELECT doc_id, 1 AS page, caption_ord, x0, y0, x1, y1, CASE rank WHEN 1 THEN 'drawing' WHEN 2 THEN 'raster' WHEN 3 THEN 'above' ELSE 'below' END AS source
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, caption_ord ORDER BY rank > 1, (x1 - x0) * (y1 - y0) DESC, rank) AS k FROM every) WHERE k = 1"""
+
+
+@query(f"WITH RECURSIVE {_FIGURE_SQL}")
+def figure_search(spark, d):
+    found = _page_blocks(spark, d)
+    drawings = found.where("kind = 1 and ord < 6").select("doc_id", "page", (F.col("ord") % 2 == 0).alias("filled"), "x0", (F.col("y0") - 9).alias("y0"), "x1", (F.col("y0") - 9 + F.col("ord") * 7).alias("y1"))
+    pages = found.select("doc_id", "page").distinct().selectExpr("*", "0D as px0", "0D as py0", "600D as px1", "800D as py1", "10D as body_size")
+    return geometry.figure_regions(geometry.scan_captions(found.drop("size")), drawings, found, pages)
+
+
+# ---------------------------------------------------------------- texts, images and tables of contents
+
+
+@query("SELECT doc_id, 'Use ' || lang || ' for ' || source || ' (' || n_chars || ') $langs ${none} and ' || lang || '.' AS prompt FROM documents".replace("$langs", "' || 'LL' || '").replace("'LL'", "lang || 's'"))
+def prompt_fill(spark, d):
+    values = {"lang": F.col("lang"), "source": F.col("source"), "n": F.col("n_chars"), "langs": F.concat("lang", F.lit("s"))}
+    return table(spark, d, "documents").select("doc_id", T.substitute("Use $lang for $source ($n) $langs ${none} and ${lang}.", values).alias("prompt"))
+
+
+@query("SELECT p_partkey, p_size % 4 = 0 OR p_size < 3 AS blank FROM part")
+def blank_images(spark, d):
+    # 100 pixels of three channels, white but for p_size % 4 bytes in the middle; none at all for small sizes
+    pixels = F.concat(F.repeat(F.lit("FF"), 150), F.repeat(F.lit("F9"), (F.col("p_size") % 4).cast("int")), F.repeat(F.lit("FA"), (150 - F.col("p_size") % 4).cast("int")))
+    return table(spark, d, "part").select("p_partkey", images.is_blank(F.when(F.col("p_size") >= 3, F.unhex(pixels)), F.lit(3)).alias("blank"))
+
+
+@query("SELECT p_brand, CAST(r - 1 AS BIGINT) AS position, level, trim(heading) AS heading, p_size AS page FROM (SELECT p_brand, p_size, p_size % 3 + 1 AS level, CASE WHEN p_size % 7 = 0 THEN '  ' ELSE ' ' || p_name || ' ' END AS heading, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE trim(heading) <> ''")
+def toc_rows(spark, d):
+    entry = F.struct("p_partkey", (F.col("p_size") % 3 + 1).alias("level"), F.when(F.col("p_size") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("heading"), F.col("p_size").alias("page"))
+    docs = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(entry)).alias("toc"))
+    return sections.toc_rows(docs, key="p_brand")
+
+
+@query("SELECT event_id, k, k IS NOT NULL AND k BETWEEN 10 AND 60 AS valid FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def json_validate(spark, d):
+    noisy = F.concat(F.lit("So: "), "props", F.lit(" - done."))
+    parsed = table(spark, d, "events").select("event_id", F.from_json(T.json_slice(noisy), "k long")["k"].alias("k"))
+    return validation.validated(parsed, [validation.Rule("k", least=10, most=60)]).select("event_id", "k", "valid")
+
+
+@query(f"SELECT doc_id, page, region_id, greatest(x0 - 8, 50.0) AS x0, greatest(y0 - 8, 50.0) AS y0, least(x1 + 8, 350.0) AS x1, least(y1 + 8, 400.0) AS y1 FROM (SELECT {_RECT} FROM lineitem)")
+def padded_rects(spark, d):
+    r = _rects(spark, d).selectExpr("*", "50D as px0", "50D as py0", "350D as px1", "400D as py1")
+    return geometry.padded(r).select("doc_id", "page", "region_id", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Plan slides for the chapter \"' || p_name || '\" and no other. Keep its definitions and terms in line with the outline of the whole document.' ELSE '' END AS scope FROM part")
+def scope_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", decks.scope_of(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("")).alias("scope"))
+
+
+@query("SELECT user_id, event_type AS chapter, string_agg(event_id, ',' ORDER BY event_id) AS maps FROM events GROUP BY ALL")
+def chapter_maps(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("chapter"), "event_id")
+    return decks.ordered(rows, ["user_id", "chapter"], "event_id", F.col("event_id").cast("string"), "maps").select("user_id", "chapter", F.array_join("maps", ",").alias("maps"))
+
+
+# ---------------------------------------------------------------- by way of files
+
+
+@query(f"WITH {_LIB} SELECT file, type, CAST(slide_count AS BIGINT) AS slide_count FROM lib WHERE NOT (archived AND k % 2 = 0)")
+def library_delete(spark, d):
+    lib = _library(spark, d)
+    held = Scratch(spark, "library")
+    path = held.path("manifest")
+    writers.write_library(_entries(lib), path)
+    writers.write_library(library.deleted(writers.read_library(spark, path), lib.where("c_custkey % 2 = 0")), path)
+    return writers.read_library(spark, path).select("file", "type", "slide_count")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def stage_cache(spark, d):
+    root = Scratch(spark, "stages").root
+    writers.save_stage(table(spark, d, "part").select("p_partkey", "p_name"), root, "key", "parts")
+    return readers.stage(spark, root, "key", "parts", resume=True)
+
+
+_NATION_DECKS = """
+k AS (SELECT n_nationkey, n_name, n_regionkey % 2 = 0 AS multi, left(sha256(n_name), 8) AS h FROM nation),
+s AS (SELECT k.*, s_suppkey, s_name FROM k JOIN supplier ON s_nationkey = n_nationkey)"""
+
+
+@query(
+    f"""WITH {_NATION_DECKS}
+SELECT CASE WHEN multi THEN min_by(s_name, s_suppkey) ELSE n_name END AS title,
+  '/' || lower(replace(replace(CASE WHEN multi THEN min_by(s_name, s_suppkey) ELSE n_name END, '#', ''), ' ', '_')) || '_' || h || '_20260101T000000' || CASE WHEN multi THEN '/index.json' ELSE '.json' END AS file,
+  CASE WHEN multi THEN 'multi_deck' ELSE 'single_deck' END AS type, h AS doc_hash, CAST(count(*) AS BIGINT) AS slide_count, CASE WHEN multi THEN count(*) ELSE 1 END AS deck_count, false AS archived
+FROM s GROUP BY n_nationkey, n_name, multi, h"""
+)
+def published_decks(spark, d):
+    """Decks of nations written as files, one for each supplier in every other region, and the manifest that the files give."""
+    both = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    multi = F.col("n_regionkey") % 2 == 0
+    slide = F.struct("s_suppkey", F.col("s_suppkey").alias("index"), F.lit("Definition").alias("tag"), F.col("s_name").alias("heading"), F.lit("b").alias("body"), F.array().cast("array<long>").alias("image_refs"))
+    rows = both.groupBy(F.col("n_nationkey").alias("doc_id"), "n_name", multi.alias("multi"), F.when(multi, F.col("s_suppkey")).otherwise(0).alias("deck_id")).agg(F.array_sort(F.collect_list(slide)).alias("slides"), F.min("s_name").alias("s_name"))
+    made = rows.select(
+        "doc_id", "deck_id", F.when(F.col("multi"), "multi").otherwise("single").alias("mode"), F.when(F.col("multi"), F.col("s_name")).otherwise("").alias("chapter"), F.when(F.col("multi"), F.col("s_name")).otherwise(F.col("n_name")).alias("title"),
+        library.content_hash(F.col("n_name").cast("binary")).alias("doc_hash"), F.transform("slides", lambda s: s.dropFields("s_suppkey")).alias("slides"), F.array().cast("array<struct<index:long,caption:string,page:long,data_uri:string>>").alias("images"),
+    )
+    path = Scratch(spark, "decks").path("out")
+    writers.publish_decks(made, path, stamp="20260101T000000", generated_at="2026-01-01", provider="p", model="m")
+    return readers.rebuilt_library(spark, path).select("title", "file", "type", "doc_hash", "slide_count", "deck_count", "archived")
+
+
+@query("SELECT n_nationkey, CAST(p - 1 AS INTEGER) AS ord, x[p] AS type, CASE x[p] WHEN 'text' THEN n_name END AS text, CAST(n_regionkey AS INTEGER) AS page_idx FROM (SELECT *, ['text', 'image', 'table'] AS x FROM nation), unnest(range(1, 4)) AS t(p)")
+def block_files(spark, d):
+    """Content blocks written as one JSON list for each nation, and read back."""
+    block = lambda kind: F.struct(F.lit(kind).alias("type"), F.when(F.lit(kind == "text"), F.col("n_name")).alias("text"), F.col("n_regionkey").alias("page_idx"), F.col("n_name").alias("img_path"))
+    path = Scratch(spark, "blocks").path("lists")
+    lists = table(spark, d, "nation").select("n_nationkey", F.to_json(F.array(*(block(k) for k in ("text", "image", "table")))).alias("value"))
+    lists.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    names = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("img_path"))
+    return readers.block_lists(spark, path).join(names, "img_path").select("n_nationkey", "ord", "type", "text", "page_idx")
