@@ -39,7 +39,7 @@ class Template:
     def header(self, role: str | None) -> str:
         if role in self.before:
             return self.before[role]
-        name = "-" if role is None else "+" + self.escape(role).replace(":", "\\:").replace("\n", "\\n")
+        name = "-" if role is None else "+" + self.escape(role).replace(":", "\\:")
         return f"{self.other}{name}{self.named}"
 
     def escape(self, text: str) -> str:
@@ -86,7 +86,8 @@ SEGMENT = "conv_id long, segment long, text string, loss boolean, valid boolean,
 def segments(turns: DataFrame, template: Template = Template()) -> DataFrame:
     """The text segments of all conversations, in order, with their loss flags (schema SEGMENT).
 
-    The last segment of a conversation is empty and carries the machine's verdict: valid, and the
+    Null texts are empty ones; turns that repeat come as often as they occur; no conversation gives no segment; other
+    columns aren't read. The last segment of a conversation is empty and carries the machine's verdict: valid, and the
     first turn that may not stand where it does, if any. Invalid conversations are formatted like any other.
     """
     ship(turns.sparkSession)
@@ -160,7 +161,7 @@ class Reader:
                 break
         else:
             m = re.match(re.escape(self.template.other) + r"([-+])((?:\\.|[^\\:])*)" + re.escape(self.template.named), text, re.S)
-            role = "" if m[1] == "-" else self.template.unescape(m[2].replace("\\n", "\n"))
+            role = "" if m[1] == "-" else self.template.unescape(m[2])
             body = text[m.end() :]
         self.turns += 1
         self.sha.update(f"{role}\n{self.template.unescape(body)}\n".encode("utf-8", "surrogatepass"))

@@ -602,6 +602,13 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.segments(df.where("false"))).count() == 0
 
 
+def test_chat_reads_any_role_back(spark):
+    roles = ["\\n", "\n", "\\\n", "a:b\\:", "\\", "### User: ", " </turn>\n", "+", "-", ": "]
+    rows = [(1, k, r, "t") for k, r in enumerate(roles)]
+    got = chat_format.read_back(chat_format.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.n_turns == len(roles) and got.turns_sha256 == hashlib.sha256("".join(f"{r}\nt\n" for r in roles).encode()).hexdigest()
+
+
 def test_chat_nulls_and_machine(spark):
     df = spark.createDataFrame([(None, 1, "user", "a"), (None, None, None, "b"), (3, 0, "system", "s"), (3, 1, "user", "u")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.n_turns, r.valid, r.bad_turn) for r in chat_format.read_back(chat_format.segments(df)).collect()}
