@@ -8,21 +8,14 @@ line so survives where its window, or a window that removed it there, occurs fir
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.storage import Scratch
+from lectern.storage import Scratch, free_name, small
 
 WINDOW = 3
-
-
-def _free(df: DataFrame, name: str) -> str:
-    """`name`, with underscores until no column of df is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+#: Documents and positions that are broadcast at most, about 20 MB.
+MOST_SPANS = 1_000_000
 
 
 def later_windows(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> DataFrame:
@@ -41,45 +34,36 @@ def later_windows(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> Data
     windows = scratch.save(windows, "windows")
     firsts = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("uses"))
     firsts = scratch.save(firsts.where("uses > 1").select("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "repeated")
-    return windows.join(firsts, ["h", "g"]).where("doc_id != first_doc or pos != first_pos").select("doc_id", "pos")
+    return windows.join(small(firsts), ["h", "g"]).where("doc_id != first_doc or pos != first_pos").select("doc_id", "pos")
 
 
 def _cleaned(docs: DataFrame, size: int) -> tuple[DataFrame, str, str]:
     """docs with text changed and two more columns: lines before, lines removed."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone, total, lost = (_free(docs, c) for c in ("_gone", "_lines", "_removed"))
+    gone, total, lost = (free_name(docs, c) for c in ("_gone", "_lines", "_removed"))
     later = later_windows(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), scratch, size)
     spans = scratch.save(later.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_set("pos")).alias(gone)), "spans")
+    # texts are shuffled only where the spans of all documents are too many to send around
+    most = spans.agg(F.count("*") + F.sum(F.size(gone))).first()[0] or 0
+    spans = F.broadcast(spans) if most <= MOST_SPANS else spans.hint("merge")
     joined = docs.join(spans, docs["doc_id"] == spans["_d"], "left").select(*(docs[c] for c in docs.columns), gone)
-    at = docs.columns.index("text")
-
-    def cut(batches):
-        for batch in batches:
-            texts, before, removed = [], [], []
-            for text, spans_ in zip(batch.column(at), batch.column(batch.num_columns - 1)):
-                text, spans_ = text.as_py(), spans_.as_py()
-                if text is None:
-                    texts.append(None), before.append(0), removed.append(0)
-                    continue
-                n = text.count("\n") + 1
-                if spans_:
-                    lines, kept, done = text.split("\n"), [], 0
-                    for pos in spans_:
-                        if pos > done:
-                            kept += lines[done:pos]
-                        done = max(done, pos + size)
-                    kept += lines[done:]
-                    text = "\n".join(kept)
-                    removed.append(n - len(kept))
-                else:
-                    removed.append(0)
-                texts.append(text), before.append(n)
-            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[:-1], total, lost])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{total}` long, `{lost}` long"
-    return joined.mapInArrow(cut, schema), total, lost
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    last, n = F.size(gone), F.size(lines)
+
+    def between(k):
+        """The lines from the end of one removed window to the begin of the next; none where they overlap or touch."""
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1) + size)
+        return F.slice(lines, begin + 1, F.greatest(F.when(k == last, n).otherwise(F.get(gone, k)) - begin, F.lit(0)))
+
+    left = F.flatten(F.transform(F.sequence(F.lit(0), last), between))
+    rest = free_name(joined, "_left")
+    joined = joined.withColumn(rest, F.when(F.col(gone).isNotNull() & F.col("text").isNotNull(), left))
+    none = F.lit(0).cast("long")
+    before = F.when(F.col("text").isNotNull(), F.size(lines).cast("long")).otherwise(none)
+    removed = F.when(F.col(rest).isNotNull(), before - F.size(rest)).otherwise(none)
+    text = F.coalesce(F.array_join(rest, "\n"), F.col("text").cast("string"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, before.alias(total), removed.alias(lost)), total, lost
 
 
 def dedup_lines(docs: DataFrame, *, size: int = WINDOW) -> DataFrame:
