@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from lectern.llm import hashing as H
-from lectern.storage import Scratch
+from lectern.storage import Scratch, free_name
 
 #: Labelled rows to fit on, at most about so many, chosen by a hash of doc_id.
 TRAIN_ROWS = 200_000
@@ -138,14 +139,17 @@ def pooled(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return b[:, 0] / b[:, 2], b[:, 1] / b[:, 2]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, stats of docs(doc_id, text)."""
+def with_statistics(docs: DataFrame, name: str = "stats", columns: list[str] = ["doc_id"]) -> DataFrame:
+    """columns of docs, and `name`: the statistics of text."""
+    rows = docs.select(*columns, F.col("text").cast("string").alias(free_name(docs, "_text")))
 
     def made(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), H.lists(statistics(batch.column(1)).ravel().astype(np.float32), np.full(batch.num_rows, N_STATS), pa.float32())], ["doc_id", "stats"])
+            last = batch.num_columns - 1
+            stats = H.lists(statistics(batch.column(last)).ravel().astype(np.float32), np.full(batch.num_rows, N_STATS), pa.float32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(last)), stats], [*batch.schema.names[:last], name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id long, stats array<float>")
+    return rows.mapInArrow(made, ST.StructType([rows.schema[c] for c in columns]).add(name, ST.ArrayType(ST.FloatType())))
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, seed: int = 11) -> QualityModel:
@@ -202,7 +206,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out. Repeated rows are scored alike. With no usable label every score is 0.5.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(with_statistics(docs), "stats")
+    stats = scratch.save(with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "stats")
     model = fit(stats, _to_learn(labels))
 
     def scored(batches):
@@ -222,15 +226,20 @@ def _to_learn(labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
+    """The rows of docs, all columns, whose score reaches the threshold.
+
+    Null and empty texts are scored like those of quality_scores(); repeated rows stay or go together; a null doc_id
+    is never learnt from; with no usable label every row stays. Columns may have any names.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(with_statistics(docs), "stats")
-    model = fit(stats, _to_learn(labels))
-    scratch.drop("stats")
-    at = docs.columns.index("text")
+    name = free_name(docs, "_stats")
+    whole = scratch.save(with_statistics(docs, name, docs.columns), "whole")  # statistics are made once
+    model = fit(whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("stats")), _to_learn(labels))
 
     def kept(batches):
         for batch in batches:
-            yield batch.filter(pa.array(model.score(statistics(batch.column(at))) >= threshold))
+            last = batch.num_columns - 1
+            found = pa.RecordBatch.from_arrays([batch.column(last)], ["stats"])
+            yield batch.select(list(range(last))).filter(pa.array(model.score(_stats_of(found, "stats")) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return whole.mapInArrow(kept, docs.schema)
