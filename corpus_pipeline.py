@@ -50,7 +50,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -59,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        scratch.drop(f"stage{k - 1}")
     return docs
