@@ -127,6 +127,60 @@ def test_quality_of_empty_tables(spark):
     assert [r.score for r in quality.quality_scores(spark.createDataFrame([(1, "x")], docs.schema), labels).collect()] == [0.5]
 
 
+def plain_statistics(text):
+    """What quality.statistics() says of one text, from strings and counters."""
+    found, raw = words(text), (text or "").encode()
+    if not found:
+        return [0.0] * quality.N_STATS
+    n, m = len(raw), len(found)
+    kinds = [lambda c: 65 <= c < 91, lambda c: 97 <= c < 123, lambda c: 48 <= c < 58, lambda c: 128 <= c < 192, lambda c: c >= 192, lambda c: c in (9, 10, 11, 12, 13, 32), lambda c: c == 10, lambda c: c < 9 or 14 <= c < 32]
+    kinds += [lambda c, x=ord(x): c == x for x in quality.MARKS]
+    size = [len(w.encode()) for w in found]
+    mean = sum(size) / m
+    share = [k / m for k in collections.Counter(found).values()]
+    runs = [tuple(found[i : i + 3]) for i in range(m - 2)] or [tuple(found)]
+    return [math.sqrt(sum(map(kind, raw)) / n) for kind in kinds] + [
+        math.log(n), math.log(m), mean / 8, math.sqrt(sum((x - mean) ** 2 for x in size) / m) / 8, min(max(size), 200) / 50, sum(x <= 2 for x in size) / m, sum(x >= 12 for x in size) / m,
+        len(share) / m, max(share), -sum(x * math.log(x) for x in share) / max(1.0, math.log(m)), sum(a == b for a, b in zip(found, found[1:])) / (m - 1) if m > 1 else 0.0, 1 - len(set(runs)) / len(runs),
+    ]
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_quality_is_that_of_one_plain_fit(spark, single):
+    """Statistics, kernel ridge and calibration at once over all rows; with `single`, all labels are alike."""
+    rnd = random.Random(12)
+    texts = corpus(13, 60) + [" ".join(rnd.choice(["BUY!!", "now", "x"]) for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    label = [1 if single else int(i < 60 or rnd.random() < 0.2) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")).collect()}
+    x = np.array([plain_statistics(t) for t in texts], np.float32).astype(np.float64)
+    late = {r.doc_id: r.late for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0).alias("late")).collect()}
+    learn = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    early, late = [i for i in learn if not late[i]], [i for i in learn if late[i]]
+    y = np.array(label, float)
+    mean, scale = x[early].mean(0), x[early].std(0)
+    scale[scale < 1e-6] = 1.0
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(size=(quality.N_STATS, quality.FEATURES)) / np.sqrt(2.0 * quality.N_STATS), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.cos(np.clip((x - mean) / scale, -6, 6) @ w + b) * np.sqrt(2 / quality.FEATURES), np.ones((len(x), 1))])
+    # ridge as least squares over rows for the penalty
+    root = np.sqrt(np.append(np.full(quality.FEATURES, quality.RIDGE * len(early) / quality.FEATURES), 1e-9 * len(early)))
+    beta = np.linalg.lstsq(np.vstack([z[early], np.diag(root)]), np.concatenate([y[early], np.zeros(len(root))]), rcond=None)[0]
+    raw = z @ beta
+    bins = sorted({int(v) for v in np.rint(np.clip(raw[late], -1, 2) * quality.BINS)})
+    rows = [[i for i in late if int(np.rint(np.clip(raw[i], -1, 2) * quality.BINS)) == k] for k in bins]
+    weight = np.array([len(r) for r in rows], float)
+    value = np.array([(y[r].sum() + 1 / len(bins)) / (len(r) + 2 / len(bins)) for r in rows])
+    # isotonic regression by its formula: the largest over begins of the smallest mean over ends
+    fit = [max(min(np.average(value[a : e + 1], weights=weight[a : e + 1]) for e in range(i, len(bins))) for a in range(i + 1)) for i in range(len(bins))]
+    at, to = [], []
+    for v in sorted(set(np.round(fit, 12))):
+        block = [i for i in range(len(bins)) if round(fit[i], 12) == v]
+        at.append(np.average(np.array(bins)[block] / quality.BINS, weights=weight[block])), to.append(v)
+    want = np.clip(np.interp(raw, at, to), 0, 1)
+    assert max(abs(got[i] - want[i]) for i in range(len(texts))) < 2e-3 and len(set(np.round(want, 3))) > (0 if single else 10)
+
+
 def test_pooling():
     x, y = quality.pooled(np.arange(5.0), np.array([0.1, 0.5, 0.3, 0.3, 0.9]), np.ones(5))
     assert np.all(np.diff(y) >= 0) and abs(y[1] - 1.1 / 3) < 1e-12
