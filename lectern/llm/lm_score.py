@@ -1,9 +1,9 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 Tokens are lower-cased words and an end of text. Counts of all training tokens give the smoothed
-unigram model. The softmax is factored by classes, in three steps of WIDE branches each: class, subclass, member.
+unigram model. The softmax is factored by classes, in four steps of WIDE branches each: class, two levels of subclasses, member.
 The SINGLES most frequent words have members of their own. All other words of the vocabulary, whatever its
-size, are dealt to the remaining members: classes are bands of equal frequency mass, subclass and member come from
+size, are dealt to the remaining members: classes are bands of equal frequency mass, subclasses and member come from
 the hash; words that share a member are told apart by their smoothed counts. Each step's softmax sums the
 weights of hashed features: the word before, the pair before, and single words further back (skips), joined
 with the branch taken so far. Weights start from zero and biases from the counts, so an untrained
@@ -31,12 +31,15 @@ from lectern.storage import Scratch
 
 #: Words whose counts every task holds (16 bytes each); the others are joined.
 HEAD = 1 << 18
-#: Branches of each of the three steps; the first OWN classes are made of single words.
-WIDE, OWN = 16, 8
-SINGLES = OWN * WIDE * WIDE
-LEAVES = WIDE**3
-#: Weight rows (64 bytes each): one for each ROW_WORDS words of the vocabulary, within bounds.
-ROW_WORDS, LEAST_ROWS, MOST_ROWS = 2, 1 << 14, 1 << 17
+#: Branches of each step; the first OWN classes are made of single words. For each step, the contexts whose weights
+#: it sums: the words one and two back, and the pair before.
+WIDE, OWN = 8, 4
+CONTEXTS = (("1", "pair"), ("1", "2"), ("1",), ("1",))
+LEAVES = WIDE ** len(CONTEXTS)
+INNER = LEAVES // WIDE
+SINGLES = OWN * INNER
+#: Weight rows (32 bytes each): one for each ROW_WORDS words of the vocabulary, within bounds.
+ROW_WORDS, LEAST_ROWS, MOST_ROWS = 2, 1 << 14, 1 << 18
 #: Each training document gives its gradients at every position; each round takes its share of documents.
 ROUNDS = 2
 STEP, MINI = 0.15, 4096
@@ -65,7 +68,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashed_leaf(h: np.ndarray) -> np.ndarray:
     """Subclass and member, as one number, of words that have no member of their own."""
-    return ((h >> np.uint64(40)) & np.uint64(WIDE * WIDE - 1)).astype(np.int64)
+    return ((h >> np.uint64(40)) & np.uint64(INNER - 1)).astype(np.int64)
 
 
 @dataclass
@@ -90,20 +93,20 @@ class Model:
         band = np.minimum((run - weight[rest]) / max(run[-1] if len(run) else 1, 1e-9) * bands, bands - 1).astype(np.int64)
         self.leaf = np.zeros(len(self.words), np.int64)
         self.leaf[single] = np.arange(len(single))
-        self.leaf[rest] = (OWN + band) * WIDE * WIDE + _hashed_leaf(self.words[rest])
-        self.mass = np.bincount(self.leaf, weight, LEAVES)
-        self.mass[-WIDE * WIDE :] += self.tail
+        self.leaf[rest] = (OWN + band) * INNER + _hashed_leaf(self.words[rest])
+        self.mass = np.bincount(self.leaf, weight, LEAVES).astype(np.float64)
+        self.mass[-INNER:] += self.tail
         self.mass[SINGLES:] += ALPHA  # an unknown word in each
         with np.errstate(divide="ignore"):
-            logs = [np.log(self.mass.reshape(WIDE ** (k + 1), -1).sum(1)).reshape(-1, WIDE) for k in range(3)]
-            above = [np.log(self.mass.sum()).reshape(1, 1), logs[0].reshape(-1, 1), logs[1].reshape(-1, 1)]
-        self.bias = [np.maximum(np.nan_to_num(x - np.maximum(up, -1e9), nan=-1e9, neginf=-1e9), -1e9).astype(np.float32) for x, up in zip(logs, above)]
+            logs = [np.log(self.mass.reshape(WIDE**k, -1).sum(1)) for k in range(len(CONTEXTS) + 1)]
+        above = [np.maximum(x, -1e9).reshape(-1, 1) for x in logs]
+        self.bias = [np.maximum(x.reshape(-1, WIDE) - up, -1e9).astype(np.float32) for x, up in zip(logs[1:], above)]
         rows = 1 << max(0, int(self.distinct) // ROW_WORDS).bit_length()
         self.w = np.zeros((min(max(rows, LEAST_ROWS), MOST_ROWS), WIDE), np.float32)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into the head words or -1, leaf) of words."""
-        beyond = (WIDE - 1) * WIDE * WIDE + _hashed_leaf(h)
+        beyond = (WIDE - 1) * INNER + _hashed_leaf(h)
         if not len(self.words):
             return np.full(len(h), -1), beyond
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
@@ -111,33 +114,32 @@ class Model:
         return np.where(known, at, -1), np.where(known, self.leaf[at], beyond)
 
     @staticmethod
-    def contexts(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """The three words before each token, nearest first."""
-        out, last = [], h
-        for _ in range(3):
+    def contexts(h: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        """What stands before each token: the words one and two back, and both."""
+        c, last = [], h
+        for _ in range(2):
             back = np.empty_like(h)
             back[1:] = last[:-1]
             back[offsets[:-1]] = _START
-            out.append(back)
+            c.append(back)
             last = back
-        return out
+        return {"1": c[0], "2": c[1], "pair": c[0] * _ODD[6] + (c[1] ^ (c[1] >> np.uint64(31))) * _ODD[7]}
 
-    def features(self, c: list[np.ndarray], leaf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For each step: the node that it starts from, the branch taken, and the weight rows, from contexts and leaves."""
-        pair = c[0] * _ODD[6] + (c[1] ^ (c[1] >> np.uint64(31))) * _ODD[7]
-        top, inner = leaf // (WIDE * WIDE), leaf // WIDE
+    def features(self, c: dict[str, np.ndarray], leaf: np.ndarray, some: slice) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each step, at some positions: the node that it starts from, the branch taken, and the weight rows."""
         shift = np.uint64(64 - (len(self.w) - 1).bit_length())
-
-        def row(x: np.ndarray, salt: int, node: np.ndarray | None = None) -> np.ndarray:
-            x = x + np.uint64(salt) if node is None else x + (node.astype(np.uint64) + np.uint64(salt)) * _ODD[5]
-            x ^= x >> np.uint64(29)
-            return (x * _ODD[salt % 5] >> shift).view(np.int64)
-
-        return [
-            (np.zeros(len(leaf), np.int64), top, [row(c[0], 1), row(c[1], 2), row(c[2], 3), row(pair, 4)]),
-            (top, inner % WIDE, [row(c[0], 1001, top), row(c[1], 2002, top)]),
-            (inner, leaf % WIDE, [row(c[0], 3003, inner), row(pair, 4004, inner)]),
-        ]
+        out = []
+        for k, names in enumerate(CONTEXTS):
+            taken = leaf[some] // (LEAVES // WIDE ** (k + 1))
+            node = taken // WIDE
+            path = (node + WIDE**k).astype(np.uint64) * _ODD[5]
+            rows = []
+            for name in names:
+                x = c[name][some] + path * np.uint64(2 * len(name) + (name == "2"))
+                x ^= x >> np.uint64(29)
+                rows.append((x * _ODD[k] >> shift).view(np.int64))
+            out.append((node, taken % WIDE, rows))
+        return out
 
     def weights(self, step: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         """The exponents of all branches."""
@@ -152,7 +154,7 @@ class Model:
         c = self.contexts(h, offsets)
         for lo in range(0, len(h), MINI):
             some = slice(lo, lo + MINI)
-            for k, (node, branch, rows) in enumerate(self.features([x[some] for x in c], leaf[some])):
+            for k, (node, branch, rows) in enumerate(self.features(c, leaf, some)):
                 z = self.weights(k, node, rows)
                 own = z[np.arange(len(z)), branch]
                 out[some] += own - np.log(np.exp(z, out=z) @ _ONES)
@@ -167,8 +169,7 @@ def descend(model: Model, squares: np.ndarray, seen: np.ndarray, h: np.ndarray,
     _, leaf = model.look_up(h)
     c = model.contexts(h, offsets)
     for lo in range(0, len(h), MINI):
-        some = slice(lo, lo + MINI)
-        for k, (node, branch, rows) in enumerate(model.features([x[some] for x in c], leaf[some])):
+        for k, (node, branch, rows) in enumerate(model.features(c, leaf, slice(lo, lo + MINI))):
             error = np.exp(model.weights(k, node, rows))
             error /= (error @ _ONES)[:, None]
             error[np.arange(len(error)), branch] -= 1
@@ -178,9 +179,9 @@ def descend(model: Model, squares: np.ndarray, seen: np.ndarray, h: np.ndarray,
             cut = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
             g = np.add.reduceat(error[order % len(error)], cut, axis=0)
             hit = every[cut]
-            s = squares[hit] + g * g
+            s = squares[hit] + np.einsum("ij,ij->i", g, g)
             squares[hit] = s
-            model.w[hit] -= STEP * g / np.sqrt(s + 1.0)
+            model.w[hit] -= (STEP / np.sqrt(s / 4 + 1))[:, None] * g
             seen[hit] += np.diff(np.append(cut, len(every)))
 
 
@@ -195,7 +196,7 @@ def _train(docs: DataFrame, model: Model) -> None:
 
             mine = copy.copy(model)
             mine.w = model.w.copy()
-            squares, seen = np.zeros_like(mine.w), np.zeros(len(mine.w), np.int64)
+            squares, seen = np.zeros(len(mine.w), np.float32), np.zeros(len(mine.w), np.int64)
             for batch in (part for whole in batches for part in H.parts(whole, 0, 2 << 20)):
                 descend(mine, squares, seen, *tokens(batch.column(0)))
             for s in range(SLICES):
@@ -268,8 +269,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     order = np.argsort(words)
     words, c = words[order], c[order]
     beyond = counts.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64)}))), "word", "left_anti") if len(words) else counts
-    spot = F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(WIDE * WIDE - 1).cast("long"))
-    tail = np.zeros(WIDE * WIDE)
+    spot = F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(INNER - 1).cast("long"))
+    tail = np.zeros(INNER)
     for row in beyond.where("c > 0").groupBy(spot.alias("spot")).agg(F.sum(F.col("c") + F.lit(ALPHA)).alias("mass")).collect():
         tail[row.spot] = row.mass
     model = Model(words, c, float(total), float(distinct), tail)

@@ -17,6 +17,7 @@ No piece holds a space mark after another character, so inputs are composed run
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -138,40 +139,78 @@ class Transducer:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = (p, -self.score[p])
+            node[""] = (p, -self.score[p], {})
         self.runs: dict[str, bytes] = {}
-        self.pairs: dict[str, dict[str, bool]] = {}  # by right piece, then by left
-        self.known = 0
+        self.fallback: dict[str, dict[str, bool]] = {}
+        self.spines: dict[str, tuple | None] = {}
+        #: For each right piece and left one, whether the arc is finite; as many as the lists at the leaves hold.
+        self.pairs: list[tuple[dict, str]] = []
         byte_of = {n: b for b, n in self.byte.items()}
         self.out = [bytes([byte_of[n]]) if n in byte_of else (p.replace(MARK, " ").encode() if p in self.id and self.id[p] == n else b"") for n, p in enumerate(self.pieces)]
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of the characters of a short text: best score first, then leftmost."""
-        parts = list(text)
-        while True:
+    def spine(self, piece: str) -> tuple | None:
+        """(right, left): what stands at the right and at the left end of a piece while its characters merge.
+
+        Each is a list of (piece, score of the merge that ends it), from the character up to the piece itself, which
+        nothing ends. None if merging the characters doesn't give the piece.
+        """
+        if piece in self.spines:
+            return self.spines[piece]
+        parts = list(piece)
+        right, left = [], []
+        while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = self.score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if at < 0:
-                return parts
+                break
+            if at == len(parts) - 2:
+                right.append((parts[-1], best))
+            if at == 0:
+                left.append((parts[0], best))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        whole = [(piece, -math.inf)]
+        self.spines[piece] = (right + whole, left + whole) if len(parts) == 1 else None
+        return self.spines[piece]
 
     def joins(self, left: str, right: str) -> bool:
-        """Whether the arc from a state with piece `left` (empty: the start) to piece `right` has finite weight."""
-        ok = self.pairs.setdefault(right, {})[left] = self.merged(left + right) == ([left, right] if left else [right])
-        self.known += 1
-        return ok
+        """Whether the arc from a state with piece `left` (empty: the start) to piece `right` has finite weight.
+
+        Both merge by themselves, best score first and leftmost among equals, unless at some time what stands on either side of
+        the boundary would merge before either is merged into more of its own piece.
+        """
+        inner = self.spine(right)
+        if inner is None or not left:
+            return inner is not None
+        outer = self.spine(left)
+        if outer is None:
+            return False
+        a, b = outer[0], inner[1]
+        i = j = 0
+        while True:
+            (x, ends_x), (y, ends_y) = a[i], b[j]
+            s = self.score.get(x + y)
+            if s is not None and s > ends_x and s >= ends_y:
+                return False
+            if ends_x == ends_y == -math.inf:
+                return True
+            # the better merge comes first, the left one of equals
+            if ends_x >= ends_y:
+                i += 1
+            else:
+                j += 1
 
     def path(self, run: str) -> list[str]:
         """The pieces (or characters for byte fallback) on the shortest path through what the normaliser wrote.
 
         A state is (last piece, least weight so far, the state before it); states are grouped by position.
         """
-        if self.known > KEPT:
+        if len(self.pairs) > KEPT:
+            for known, left in self.pairs:
+                known.pop(left, None)
             self.pairs.clear()
-            self.known = 0
         end = len(run)
         states: list[list[tuple]] = [[] for _ in range(end + 1)]
         states[0].append(("", 0.0, None))
@@ -179,8 +218,8 @@ class Transducer:
             here = states[at]
             if not here:
                 continue
-            node, to = self.trie, at
-            arcs = [] if run[at] in self.id else [(run[at], FALLBACK)]
+            node, to, c = self.trie, at, run[at]
+            arcs = [] if c in self.id else [(c, FALLBACK, self.fallback.setdefault(c, {}))]
             while to < end:
                 node = node.get(run[to])
                 if node is None:
@@ -188,13 +227,13 @@ class Transducer:
                 to += 1
                 if "" in node:
                     arcs.append(node[""])
-            for piece, weight in arcs:
-                known = self.pairs.get(piece) or self.pairs.setdefault(piece, {})
+            for piece, weight, known in arcs:
                 best = None
                 for state in here:
                     ok = known.get(state[0])
                     if ok is None:
-                        ok = self.joins(state[0], piece)
+                        ok = known[state[0]] = self.joins(state[0], piece)
+                        self.pairs.append((known, state[0]))
                     if ok and (best is None or state[1] < best[1]):
                         best = state
                 if best is not None:
