@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 HEADING = r"(?mdU)^#{1,2}\s"
 HEADING_AHEAD = r"(?mdU)(?=^#{1,2}\s)"
 FIGURE_TAG = r"(?U)\[FIGURE_ID:\s*([0-9]+)\]"
-CAPTION = r"(?iU)^(fig\.?|figure|chart|table)\b"
+CAPTION_WORDS = r"^(fig\.?|figure|chart|table)\b"
+CAPTION = "(?iU)" + CAPTION_WORDS
 CAPTION_KEY = r"(?iU)^((?:fig\.?\s*|figure\s*|chart\s*|table\s*)\d+)"
 TABLE_RULE = r"(?U)^\s*\|[\s\-:|]+\|\s*$"
 SLUG_LENGTH = 80

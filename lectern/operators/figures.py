@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.tables import lines_of
+from lectern.operators.tables import LINE_ENDS, whole_lines
 
 #: Figures that a slide may own.
 PER_SLIDE = 3
@@ -55,16 +55,20 @@ def inject_figure_ids(docs: DataFrame, figures: DataFrame, *, key: str = "doc_id
     figures(key, figure_id, caption). Lines may open with up to two asterisks. Tags of several figures
     with one keyword and number come in order of figure_id.
     """
-    lines = lines_of(docs, key=key)
-    bare = F.regexp_replace("l", r"^\*{0,2}", "")
-    lines = lines.withColumn("_k", T.caption_key(bare)).withColumn("_clear", bare.rlike(T.CAPTION_KEY + r"\b"))
+    numbered = F.transform(whole_lines(F.col("text")), lambda w, i: F.struct(i.cast("long").alias("line"), F.regexp_replace(w, r"^\*{0,2}", "").alias("l")))
+    opening = docs.select(key, F.explode(F.filter(numbered, lambda x: x["l"].rlike(T.CAPTION_KEY + r"\b"))).alias("x")).select(key, "x.line", T.caption_key(F.col("x.l")).alias("_k"))
     wanted = figures.withColumn("_k", T.caption_key(F.col("caption"))).where("_k is not null")
     wanted = wanted.groupBy(key, "_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("figure_id")), lambda n: F.concat(F.lit(" [FIGURE_ID: "), n.cast("string"), F.lit("]"))), "").alias("_tags"))
-    first = lines.where("_k is not null and _clear").groupBy(key, "_k").agg(F.min("line").alias("line"))
-    tagged = first.join(wanted, [key, "_k"]).select(key, "line", "_tags")
-    body = lines.join(tagged, [key, "line"], "left").withColumn("l", F.concat("l", F.coalesce("_tags", F.lit("")), "eol"))
-    body = body.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), "").alias("_body"))
-    return docs.join(body, key, "left").select(key, F.coalesce("_body", "text").alias("text"))
+    first = opening.where("_k is not null").groupBy(key, "_k").agg(F.min("line").alias("line"))
+    tags = first.join(wanted, [key, "_k"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("line", "_tags"))).alias("_tags"))
+    out = docs.select(key, "text").join(tags, key, "left")
+    end = f"((?:\\r\\n|[{LINE_ENDS}])?)\\z"
+
+    def tagged(w: Column, i: Column) -> Column:
+        tag = F.try_element_at("_tags", i.cast("long"))
+        return F.when(tag.isNotNull(), F.concat(F.regexp_replace(w, end, ""), tag, F.regexp_extract(w, end, 1))).otherwise(w)
+
+    return out.select(key, F.when(F.col("_tags").isNotNull(), F.array_join(F.transform(whole_lines(F.col("text")), tagged), "")).otherwise(F.col("text")).alias("text"))
 
 
 def format_catalog(catalog: DataFrame, *, key: str = "doc_id") -> DataFrame:

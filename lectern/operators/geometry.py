@@ -47,6 +47,12 @@ def confident(regions: DataFrame, *, scale: float = 1.0) -> DataFrame:
     return kept.withColumns({c: F.col(c) * scale for c in ("x0", "y0", "x1", "y1")})
 
 
+def detected(regions: DataFrame, *, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(figures, captions) of regions(label, confidence, x0..y1): confident ones, by label; all other labels are left out."""
+    sure = confident(regions, scale=scale)
+    return sure.where(F.col("label").isin(*FIGURES)), sure.where(F.col("label").isin(*CAPTIONS))
+
+
 def padded(df: DataFrame, padding: float = PADDING) -> DataFrame:
     """Rectangles grown by `padding` and clipped to the page (px0, py0, px1, py1)."""
     return df.withColumns({"x0": F.greatest(F.col("x0") - padding, F.col("px0")), "y0": F.greatest(F.col("y0") - padding, F.col("py0")), "x1": F.least(F.col("x1") + padding, F.col("px1")), "y1": F.least(F.col("y1") + padding, F.col("py1"))})
@@ -180,7 +186,7 @@ def scan_captions(blocks: DataFrame) -> DataFrame:
     caption ends it; a hyphen at the end of a part joins words. Each step depends on the one
     before, so a page is one ordered fold.
     """
-    opening = re.compile(r"^(fig\.?|figure|chart|table)\b", re.IGNORECASE)
+    opening = re.compile(T.CAPTION_WORDS, re.IGNORECASE)
     box = ("x0", "y0", "x1", "y1")
 
     def folded(page: list[dict]) -> list[tuple]:

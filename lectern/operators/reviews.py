@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Tags of slides that sum up.
 SUMMARY_TAGS = ("Summary", "Takeaway")
 
 

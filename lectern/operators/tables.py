@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,10 +18,14 @@ LEAST_FILLED = 0.2
 LINE_ENDS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\u0085\\u2028\\u2029"
 
 
+def whole_lines(text: Column) -> Column:
+    """The lines of a text as an array, each with what ends it; an end at the very last gives no further line."""
+    return F.regexp_extract_all(text, F.lit(f"([^{LINE_ENDS}]*(?:\\r\\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+\\z)"), 1)
+
+
 def lines_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, l, eol: the lines of each text and what ends them; an end at the very last gives no further line."""
-    whole = F.regexp_extract_all(F.col(text), F.lit(f"([^{LINE_ENDS}]*(?:\\r\\n|[{LINE_ENDS}])|[^{LINE_ENDS}]+\\z)"), 1)
-    rows = docs.where(F.col(text) != "").select(key, F.posexplode(whole).alias("line", "_w"))
+    """key, line, l, eol: the lines of each text and what ends them."""
+    rows = docs.where(F.col(text) != "").select(key, F.posexplode(whole_lines(F.col(text))).alias("line", "_w"))
     rows = rows.withColumn("eol", F.regexp_extract("_w", f"(\\r\\n|[{LINE_ENDS}])\\z", 1))
     return rows.select(key, "line", F.expr("substring(_w, 1, char_length(_w) - char_length(eol))").alias("l"), "eol")
 
@@ -64,12 +68,22 @@ def check_tables(islands: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
 
 def clean_tables(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text: malformed tables replaced by a placeholder with the caption from next to them."""
-    islands = table_islands(lines_of(docs, key=key, text=text), key=key)
-    bad = check_tables(islands, key=key).where("malformed").select(key, "island", "caption")
-    kept = islands.join(bad, [key, "island"], "left")
-    mark = F.concat(F.lit("[TABLE"), F.when(F.col("caption") != "", F.concat(F.lit(": "), "caption")).otherwise(F.lit("")), F.lit("]"))
-    # a placeholder ends its line with a line feed, all others as they did
-    kept = kept.where("caption is null or line = island").withColumn("l", F.when(F.col("caption").isNotNull(), F.concat(mark, F.lit("\n"))).otherwise(F.concat("l", "eol")))
-    body = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), "").alias("_body"))
-    return docs.join(body, key, "left").select(key, F.coalesce("_body", text).alias("text"))
+    """key, text: malformed tables replaced by a placeholder with the caption from next to them.
+
+    Only the lines of texts with a pipe are looked at one by one; texts themselves stay in their rows and are cut there.
+    """
+    piped = docs.where(F.contains(F.col(text), F.lit("|")))
+    bad = check_tables(table_islands(lines_of(piped, key=key, text=text), key=key), key=key).where("malformed")
+    mark = F.concat(F.lit("[TABLE"), F.when(F.col("caption") != "", F.concat(F.lit(": "), "caption")).otherwise(F.lit("")), F.lit("]\n"))
+    spans = bad.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("island", "last", mark.alias("mark")))).alias("_spans"))
+    joined = docs.select(key, F.col(text).alias("_text")).join(spans, key, "left")
+    lines, n = whole_lines(F.col("_text")), F.size("_spans")
+
+    def between(k: Column) -> Column:
+        """The lines after table k - 1 and before table k, then the placeholder of table k."""
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get("_spans", k - 1)["last"] + 1)
+        end = F.when(k == n, F.size(lines)).otherwise(F.get("_spans", k)["island"])
+        return F.concat(F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0))), F.filter(F.array(F.get("_spans", k)["mark"]), lambda x: x.isNotNull()))
+
+    joined = joined.withColumn("_cut", F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n), between))))
+    return joined.select(key, F.coalesce(F.array_join("_cut", ""), "_text").alias("text"))

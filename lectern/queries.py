@@ -16,7 +16,7 @@ from lectern.functions import text as T
 from lectern.operators import blocks, chunking, cost, figures, geometry, library, reviews, sections, tables, validation
 from lectern.plans import decks, estimate
 from lectern.session import table
-from lectern.sources import readers, writers
+from lectern.sources import readers, registry, writers
 from lectern.storage import Scratch
 from lectern.streaming import jobs
 
@@ -700,6 +700,26 @@ def greedy_match(spark, d):
     return geometry.paired_figures(r.where("region_id % 2 = 1"), r.where("region_id % 2 = 0"))
 
 
+@query(
+    f"""WITH r AS (SELECT doc_id, page, region_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT {_RECT} FROM lineitem) GROUP BY ALL)
+SELECT a.doc_id, a.page, a.region_id AS a, b.region_id AS b FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.page = b.page AND a.region_id < b.region_id
+AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 18 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 18"""
+)
+def panel_pairs(spark, d):
+    return geometry.panel_links(geometry.bounding_boxes(_rects(spark, d), "doc_id", "page", "region_id"))
+
+
+@query(
+    f"""WITH r AS (SELECT {_RECT} FROM lineitem), l AS (SELECT *, ['Text', 'Figure', 'Caption', 'Picture', 'Title'][region_id % 5 + 1] AS label FROM r WHERE confidence * 10 >= 0.5)
+SELECT doc_id, page, region_id, label IN ('Figure', 'Picture') AS is_figure FROM l WHERE label IN ('Figure', 'Picture', 'Caption')"""
+)
+def region_labels(spark, d):
+    labels = F.array(*(F.lit(x) for x in ("Text", "Figure", "Caption", "Picture", "Title")))
+    r = _rects(spark, d).withColumn("label", F.get(labels, (F.col("region_id") % 5).cast("int"))).withColumn("confidence", F.col("confidence") * 10)
+    found, captions = geometry.detected(r)
+    return found.withColumn("is_figure", F.lit(True)).unionByName(captions.withColumn("is_figure", F.lit(False))).select("doc_id", "page", "region_id", "is_figure")
+
+
 @query(f"SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(confidence) AS confidence FROM (SELECT {_RECT} FROM lineitem) GROUP BY ALL")
 def bbox_union(spark, d):
     return geometry.bounding_boxes(_rects(spark, d), "doc_id", "page")
@@ -965,3 +985,38 @@ def block_files(spark, d):
     lists.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     names = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("img_path"))
     return readers.block_lists(spark, path).join(names, "img_path").select("n_nationkey", "ord", "type", "text", "page_idx")
+
+
+@query(f"WITH {_LIB} SELECT file, type, CAST(slide_count AS BIGINT) AS slide_count, archived FROM lib")
+def manifest_read(spark, d):
+    """A manifest that is one JSON list, as older libraries have it."""
+    path = Scratch(spark, "manifest").path("library.json")
+    _entries(_library(spark, d)).agg(F.to_json(F.collect_list(F.struct(*library.COLUMNS))).alias("value")).coalesce(1).write.text(path)
+    return readers.library(spark, path).select("file", "type", "slide_count", "archived")
+
+
+def _nation_files(spark, d) -> str:
+    """A folder for each nation, with its name in a text file."""
+    path = Scratch(spark, "files").path("texts")
+    table(spark, d, "nation").repartition("n_nationkey").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+def _nation_of(path):
+    return F.regexp_extract(path, "n_nationkey=([0-9]+)", 1).cast("long")
+
+
+@query("SELECT n_nationkey, left(sha256(n_name || chr(10)), 8) AS doc_hash, n_name || chr(10) AS text FROM nation")
+def extracted_texts(spark, d):
+    found = registry.extractor("text")(spark, _nation_files(spark, d))
+    return found.select(_nation_of(F.col("path")).alias("n_nationkey"), "doc_hash", "text")
+
+
+@query("SELECT n_nationkey, left(sha256(n_name || chr(10)), 8) AS doc_hash, 'done' AS status FROM nation")
+def upload_jobs(spark, d):
+    """Files as a stream of jobs, each batch hashed, and the last word on each job."""
+    out = Scratch(spark, "jobs")
+    stream = jobs.uploads(spark, f"{_nation_files(spark, d)}/*", suffix=".txt", per_batch=8)
+    jobs.run_jobs(stream, lambda batch: batch.select("job_id", "doc_hash"), out.path("out"), out.path("checkpoint"), once=True).awaitTermination()
+    hashes = spark.read.parquet(f"{out.path('out')}/results").select("job_id", "doc_hash")
+    return jobs.statuses(spark, out.path("out")).join(hashes, "job_id").select(_nation_of(F.col("path")).alias("n_nationkey"), "doc_hash", "status")

@@ -30,7 +30,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, path, doc_hash, text of the text files below path, one document each."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), L.content_hash(F.col("value").cast("binary")).alias("doc_hash"), F.col("value").alias("text"))
 
 
@@ -61,6 +61,15 @@ def parsed_documents(documents: DataFrame, parser: Callable[[bytes], tuple[str,
     return out.withColumn("markdown", preferred(F.col("layout"), F.col("plain"))).withColumn("sparse", F.char_length(T.strip(F.col("markdown"))) < SPARSE).drop("layout", "plain")
 
 
+def with_parser(parser: Callable[[bytes], tuple[str, str]], suffix: str = ".pdf") -> Callable[[SparkSession, str], DataFrame]:
+    """An extractor (for register()) of binary documents: doc_id, path, doc_hash, text, sparse."""
+
+    def extract(spark: SparkSession, path: str) -> DataFrame:
+        return parsed_documents(binary_documents(spark, path, suffix), parser).withColumnRenamed("markdown", "text")
+
+    return extract
+
+
 def preferred(layout: Column, plain: Column) -> Column:
     """The layout text, unless it has less than half the characters of the plain one."""
     size = lambda c: F.char_length(T.strip(F.coalesce(c, F.lit(""))))
@@ -71,7 +80,7 @@ def block_lists(spark: SparkSession, path: str) -> DataFrame:
     """Rows of BLOCK from JSON files, each a list of content blocks in order."""
     fields = [x for x in BLOCK.replace(", ", ",").split(",") if x.split()[0] not in ("doc_id", "ord", "has_crop")]
     schema = "array<struct<" + ",".join(":".join(x.split(" ", 1)) for x in fields) + ">>"
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     rows = files.select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.posexplode(F.from_json("value", schema)).alias("ord", "b"))
     return rows.select("doc_id", "ord", *(F.col(f"b.{x.split()[0]}") for x in fields), F.col("b.img_path").isNotNull().alias("has_crop"))
 
@@ -80,7 +89,7 @@ def library(spark: SparkSession, path: str) -> DataFrame:
     """The library manifest at path (JSON lines or one list); a missing or unreadable one is empty."""
     if not _exists(spark, path):
         return spark.createDataFrame([], L.ENTRY)
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     schema = "array<struct<" + ",".join(":".join(x.split()) for x in L.ENTRY.split(", ")) + ">>"
     rows = text.select(F.explode(F.from_json("value", schema)).alias("e"))
     return rows.select("e.*").where("file is not null")
@@ -92,7 +101,7 @@ def deck_files(spark: SparkSession, path: str) -> DataFrame:
     Files at the top, and an index in a folder there, are decks; likewise below archive/. Other files in such
     folders are chapters. Anything deeper, the manifest, and what isn't JSON is left out.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     base = spark._jvm.org.apache.hadoop.fs.Path(path)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()
     inner = F.regexp_replace(F.regexp_replace(F.url_decode("_metadata.file_path"), "^[a-z]+:/+", "/"), "^" + base.rstrip("/").replace("\\", "\\\\"), "")

@@ -306,7 +306,7 @@ def test_rebuild_from_files(spark, tmp_path):
     slide = {"index": 1, "tag": "t", "heading": "h", "body": "b", "image_refs": []}
     (out / "one.json").write_text(json.dumps({"title": "One", "type": "single_deck", "generated_at": "2", "slides": [slide, slide]}))
     (out / "archive" / "old.json").write_text(json.dumps({"title": "Old", "slides": [slide]}))
-    (out / "book" / "index.json").write_text(json.dumps({"title": "Book", "type": "multi_deck", "decks": [{"chapter_title": "c", "file": "01.json"}, {"chapter_title": "d", "file": "none.json"}]}))
+    (out / "book" / "index.json").write_text(json.dumps(indent=2, obj={"title": "Book", "type": "multi_deck", "decks": [{"chapter_title": "c", "file": "01.json"}, {"chapter_title": "d", "file": "none.json"}]}))
     (out / "book" / "01.json").write_text(json.dumps({"slides": [slide] * 3}))
     (out / "broken.json").write_text("{")
     got = {r.title: (r.file, r.type, r.slide_count, r.deck_count, r.archived) for r in readers.rebuilt_library(spark, str(out)).collect()}
@@ -314,7 +314,7 @@ def test_rebuild_from_files(spark, tmp_path):
 
 
 def test_block_lists(spark, tmp_path):
-    (tmp_path / "d.json").write_text(json.dumps([{"type": "text", "text": "Hi", "text_level": 1, "page_idx": 0}, {"type": "table", "table_body": "<tr><td>a</td></tr>", "table_caption": ["T"]}]))
+    (tmp_path / "d.json").write_text(json.dumps(indent=2, obj=[{"type": "text", "text": "Hi", "text_level": 1, "page_idx": 0}, {"type": "table", "table_body": "<tr><td>a</td></tr>", "table_caption": ["T"]}]))
     got = readers.block_lists(spark, str(tmp_path))
     assert blocks.markdown(blocks.rendered_blocks(got)).first().text == "# Hi\n\nT\n\n| a |\n| --- |"
 
@@ -366,7 +366,9 @@ def test_blank_images(spark):
 def test_command_line(spark, tmp_path, capsys):
     from lectern.__main__ import main
 
-    (tmp_path / "a.txt").write_text("# One\n" + "word " * 400)
+    (tmp_path / "a.txt").write_text("# One\n" + "word " * 400 + "\nsecond line\n")
+    docs = readers.text_documents(spark, str(tmp_path)).collect()
+    assert [d.text for d in docs] == [(tmp_path / "a.txt").read_text()]
     main(["estimate", str(tmp_path)])
     assert "claude-sonnet" in capsys.readouterr().out
     main(["run", str(tmp_path), "--fast", "--provider", "stub", "--out", f"{tmp_path}/out", "--cache", f"{tmp_path}/cache", "--resume", "--max-concurrent", "2"])

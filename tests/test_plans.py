@@ -5,6 +5,7 @@ import pathlib
 import sys
 import uuid
 
+import pytest
 from pyspark import cloudpickle
 
 from lectern.model.stub import Stub
@@ -168,6 +169,17 @@ def test_uploads_run_as_a_stream(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r.status for r in jobs.statuses(spark, out).collect()}
     assert got == {"a.pdf": "done", "c.pdf": "error"}
     assert jobs.resumable(jobs.statuses(spark, out)).count() == 1
+    jobs.resume_jobs(spark, f"{tmp_path}/in", lambda b: b.select("job_id", "doc_hash"), out)
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in jobs.statuses(spark, out).collect()} == {"a.pdf": "done", "c.pdf": "done"}
+    (tmp_path / "in" / "d.pdf").write_bytes(b"q")
+
+    def lost(batch):
+        raise RuntimeError("Job aborted: ExecutorLostFailure (executor 3 exited)")
+
+    with pytest.raises(Exception, match="ExecutorLostFailure"):
+        run(lost)
+    run(lambda b: b.select("job_id", "doc_hash"))  # the same batch again
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in jobs.statuses(spark, out).collect()}["d.pdf"] == "done"
 
 
 def test_progress(spark):
