@@ -75,7 +75,10 @@ def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """dim, n, ids, vectors: up to `size` vectors of one length in a row, as bytes."""
+    """dim, ids, vectors, codes, step, lost: up to `size` vectors of one length in a row, as bytes, with their int8 codes.
+
+    Vectors travel in single precision where that holds all of a block's numbers.
+    """
 
     def packed(batches):
         held: dict[int, list] = {}
@@ -97,14 +100,23 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         ids, x = (np.concatenate([p[k] for p in held[d]]) for k in (0, 1))
         held[d] = [(ids[size:], x[size:])] if len(ids) > size else []
         ids, x = ids[:size], x[:size]
-        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())], ["dim", "n", "ids", "vectors"])
+        with np.errstate(over="ignore"):
+            slim = x.astype(np.float32)
+        parts = [ids.astype(np.int64), slim if (slim == x).all() else x, *quantised(unit(x))]
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)], ["dim", *PARTS])
+
+    return rows.mapInArrow(packed, "dim int, " + ", ".join(f"{p} binary" for p in PARTS))
+
 
-    return rows.mapInArrow(packed, "dim int, n int, ids binary, vectors binary")
+PARTS = ("ids", "vectors", "codes", "step", "lost")
 
 
-def unpacked(batch: pa.RecordBatch, i: int, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(batch.column(ids)[i].as_buffer(), np.int64)
-    return x, np.frombuffer(batch.column(vectors)[i].as_buffer(), np.float64).reshape(len(x), -1)
+def unpacked(batch: pa.RecordBatch, i: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(ids, vectors, codes with steps and what rounding took) of a block."""
+    ids, x, codes, step, lost = (batch.column(prefix + p)[i].as_buffer() for p in PARTS)
+    ids = np.frombuffer(ids, np.int64)
+    codes = np.frombuffer(codes, np.int8).reshape(len(ids), -1)
+    return ids, np.frombuffer(x, np.float32 if len(x) == 4 * codes.size else np.float64).reshape(codes.shape), (codes, np.frombuffer(step), np.frombuffer(lost))
 
 
 class Heaps:
@@ -145,17 +157,17 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 5) -> DataFrame:
     ship(rows.sparkSession)
     # candidate blocks are dealt to lanes, query blocks go to every lane: each tile is made once, in the task of its lane
     lanes = max(LANES, min(4096, rows.count() // (8 * BLOCK)))
-    asked = blocks(usable(queries), QUERY_BLOCK).select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("ids").alias("qids"), F.col("vectors").alias("qv"))
+    asked = blocks(usable(queries), QUERY_BLOCK).select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), *(F.col(p).alias(f"q{p}") for p in PARTS))
     held = blocks(usable(rows), BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    tiles = held.join(asked, ["dim", "lane"]).select("ids", "vectors", "qids", "qv")
+    tiles = held.join(asked, ["dim", "lane"]).select(*PARTS, *(f"q{p}" for p in PARTS))
 
     def scored(batches):
         heaps = Heaps(k)
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x = unpacked(batch, i, "ids", "vectors")
-                qids, q = unpacked(batch, i, "qids", "qv")
-                low, high = bounds(quantised(unit(q)), quantised(unit(x)))
+                ids, x, coded = unpacked(batch, i)
+                qids, q, qcoded = unpacked(batch, i, "q")
+                low, high = bounds(qcoded, coded)
                 own = qids[:, None] == ids[None, :]
                 low[own] = high[own] = -np.inf
                 # repeated vec_ids may hide others behind them: the k-th bound is taken over distinct ids
@@ -166,7 +178,7 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 5) -> DataFrame:
                 a, b = np.nonzero((high >= edge[:, None]) & ~own)
                 for at in range(0, len(a), 65536):
                     p, r = a[at : at + 65536], b[at : at + 65536]
-                    for query, vec, score in zip(qids[p].tolist(), ids[r].tolist(), cosines(q[p], x[r]).tolist()):
+                    for query, vec, score in zip(qids[p].tolist(), ids[r].tolist(), cosines(q[p].astype(np.float64), x[r].astype(np.float64)).tolist()):
                         heaps.add(query, vec, score)
             if len(heaps.of) > 50_000:
                 yield heaps.batch()

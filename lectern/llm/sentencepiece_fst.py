@@ -31,8 +31,8 @@ from lectern.llm import hashing as H
 from lectern.session import ship
 
 MARK = "▁"
-#: Runs and pairs of pieces that a worker remembers.
-KEPT = 400_000
+#: Runs (twice as many) and pairs of pieces that a worker remembers.
+KEPT = 500_000
 #: Characters of a run from which on it isn't remembered.
 LONG = 4096
 #: Weight of a character by byte fallback, beyond that of any piece.
@@ -140,7 +140,9 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = (p, -self.score[p], {})
+        #: Ids of runs met lately, and of those met before these.
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fallback: dict[str, dict[str, bool]] = {}
         self.spines: dict[str, tuple | None] = {}
         #: For each right piece and left one, whether the arc is finite; as many as the lists at the leaves hold.
@@ -211,33 +213,40 @@ class Transducer:
             for known, left in self.pairs:
                 known.pop(left, None)
             self.pairs.clear()
-        end = len(run)
-        states: list[list[tuple]] = [[] for _ in range(end + 1)]
-        states[0].append(("", 0.0, None))
+        end, trie, pieces = len(run), self.trie, self.id
+        states: list[list[tuple] | None] = [None] * (end + 1)
+        states[0] = [("", 0.0, None)]
         for at in range(end):
             here = states[at]
-            if not here:
+            if here is None:
                 continue
-            node, to, c = self.trie, at, run[at]
-            arcs = [] if c in self.id else [(c, FALLBACK, self.fallback.setdefault(c, {}))]
-            while to < end:
+            c = run[at]
+            leaf = None if c in pieces else (c, FALLBACK, self.fallback.setdefault(c, {}))
+            node, to = trie, at
+            while True:
+                if leaf is not None:
+                    piece, weight, known = leaf
+                    best = None
+                    for state in here:
+                        ok = known.get(state[0])
+                        if ok is None:
+                            ok = known[state[0]] = self.joins(state[0], piece)
+                            self.pairs.append((known, state[0]))
+                        if ok and (best is None or state[1] < best[1]):
+                            best = state
+                    if best is not None:
+                        reached = at + len(piece)
+                        if states[reached] is None:
+                            states[reached] = [(piece, best[1] + weight, best)]
+                        else:
+                            states[reached].append((piece, best[1] + weight, best))
+                if to == end:
+                    break
                 node = node.get(run[to])
                 if node is None:
                     break
                 to += 1
-                if "" in node:
-                    arcs.append(node[""])
-            for piece, weight, known in arcs:
-                best = None
-                for state in here:
-                    ok = known.get(state[0])
-                    if ok is None:
-                        ok = known[state[0]] = self.joins(state[0], piece)
-                        self.pairs.append((known, state[0]))
-                    if ok and (best is None or state[1] < best[1]):
-                        best = state
-                if best is not None:
-                    states[at + len(piece)].append((piece, best[1] + weight, best))
+                leaf = node.get("")
         state = min(states[end], key=lambda s: s[1])
         out = []
         while state[2] is not None:
@@ -254,16 +263,17 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """The piece ids as little-endian unsigned 32-bit numbers."""
-        runs = self.runs
-        if len(runs) > KEPT:
-            runs.clear()
+        if len(self.runs) > KEPT:
+            self.older, self.runs = self.runs, {}
+        runs, older = self.runs, self.older
         found = self.run.findall(text.replace(MARK, " "))
         if not found:
             return b""
         first, rest = found[0], found[1:]
         for run in set(rest).difference(runs):
             if len(run) <= LONG:
-                runs[run] = self._ids(run, 1)
+                ids = older.get(run)
+                runs[run] = ids if ids is not None else self._ids(run, 1)
         return b"".join([self._ids(first, 0), *(runs[r] if len(r) <= LONG else self._ids(r, 1) for r in rest)])
 
     def decode(self, ids: bytes) -> str:

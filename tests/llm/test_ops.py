@@ -512,6 +512,21 @@ def test_nearest(spark):
     assert ann.nearest(df.where("false"), df).count() == 0 and ann.nearest(df, df.where("false")).count() == 0
 
 
+def test_nearest_in_many_dimensions(spark):
+    """Beyond 1,024 dimensions products of codes no longer fit single precision; numbers here need double precision."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 1500)) * 10.0 ** rng.integers(-3, 3, size=(60, 1))
+    x[1] = x[0] + 1e-9 * rng.normal(size=1500)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = ann.unit(x)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df, k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(60):
+        want = sorted((-c, i) for i, c in enumerate(u @ u[q]) if i != q)[:3]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([c for _, c in got[q]], [-c for c, _ in want], atol=1e-12)
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(4)
     x, y = ann.unit(rng.normal(size=(60, 33)) ** 3), ann.unit(rng.normal(size=(70, 33)))
