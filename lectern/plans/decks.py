@@ -67,12 +67,12 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     steps = Stages(docs, client, settings, root=root, key=key, resume=resume)
     images = images if images is not None else docs.sparkSession.createDataFrame([], IMAGE)
     docs = docs.where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    chunks = steps.kept(chunking.chunk_sections(docs, settings.chunk_size, settings.overlap_size), "chunks")
+    chunks = steps.kept(chunking.chunk_sections(docs, settings.chunk_size, settings.overlap_size), "chunks", fixed=True)
     outline = outline_of(docs)
     if not settings.ordinal_positions:
         firsts = chunks.where("section > 0").groupBy("doc_id", (F.col("section") - 1).alias("ord")).agg(F.min("chunk_idx").alias("_at"))
         outline = outline.join(firsts, ["doc_id", "ord"], "left").withColumn("position", F.coalesce("_at", "position")).drop("_at")
-    outline = steps.kept(outline, "outline")
+    outline = steps.kept(outline, "outline", fixed=True)
     tops = outline.where("level = 1").groupBy("doc_id").agg(F.count("*").alias("chapters"))
     chars = chunks.groupBy("doc_id").agg(F.sum(F.char_length("chunk").cast("long")).alias("total_chars"))
     routes = sections.routed(chars.join(tops, "doc_id", "left").withColumn("chapters", F.coalesce("chapters", F.lit(0))), most_chapters=settings.chapters_for_multi, most_chars=settings.chars_for_multi)
@@ -83,7 +83,7 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("_first")) - 1
     firsts = placed.groupBy("doc_id", "deck").agg(F.min("chunk_idx").alias("_first")).withColumn("deck_id", number.cast("long")).drop("_first")
     placed = placed.join(firsts, ["doc_id", "deck"]).join(titles, "doc_id", "left").withColumn("title", F.coalesce(F.nullif("deck", F.lit("")), "title", F.lit("Untitled")))
-    placed = steps.kept(placed, "placed")
+    placed = steps.kept(placed, "placed", fixed=True)
 
     # chunks are analysed under the headings that matter there, their maps merged by chapter, then by document
     near = ordered(sections.trimmed_outline(chunks.select("doc_id", "chunk_idx"), outline), ["doc_id", "chunk_idx"], "ord", F.col("heading"), "headings")

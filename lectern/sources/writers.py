@@ -24,7 +24,7 @@ def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str,
     Single decks are SLUG_HASH_STAMP.json; a multi deck is such a folder, with NN_CHAPTER.json for each deck that worked
     out, numbered in order, and index.json, which comes last. Names that are taken get a counter. Files are written by the
     executors into a folder of their own and then moved into place one by one, so no file is ever half there and none is
-    replaced; a run cut short leaves only new files. Decks without slides are left out.
+    replaced; a run cut short leaves only new files. Decks without slides are left out. The driver renames once for each file.
     """
     spark = decks.sparkSession
     key = uuid.uuid4().hex
@@ -32,7 +32,7 @@ def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str,
     good = fresh.save(decks.where("slides is not null"), "good")
     docs = good.groupBy("doc_id", "mode", "doc_hash").agg(F.min_by("title", "deck_id").alias("_title"))
     docs = docs.withColumn("stem", F.concat_ws("_", T.output_slug(F.col("_title")), "doc_hash")).withColumn("stamp", F.lit(stamp))
-    taken = spark.createDataFrame([(re.sub(r"\.json$", "", n),) for n in _names(spark, path)] or [("",)], "taken string")
+    taken = spark.createDataFrame([(re.sub(r"\.json$", "", n),) for n in _names(spark, path, f"*_{stamp}*")] or [("",)], "taken string")  # of this second alone
     named = L.free_names(docs, taken, "stem", "stamp", "doc_id").select("doc_id", "name")
     rows = L.deck_numbers(good.withColumn("failed", F.lit(False)).withColumn("_c", F.col("chapter")).withColumn("chapter", F.col("deck_id")).drop("deck_no")).withColumn("chapter", F.col("_c")).join(named, "doc_id")
     multi = F.col("mode") == "multi"
@@ -52,9 +52,9 @@ def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str,
     return rows.drop("deck_no", "part", "name")
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    target, fs = _fs(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+def _names(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    target, fs = _fs(spark, f"{path}/{pattern}")
+    return [s.getPath().getName() for s in fs.globStatus(target) or []]
 
 
 def _moved(files: DataFrame, staged: str, path: str) -> None:

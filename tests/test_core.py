@@ -1,6 +1,7 @@
 """Operators on small literals."""
 
 import json
+import pathlib
 
 import pytest
 from hypothesis import given, settings
@@ -350,6 +351,29 @@ def test_stages_and_settings(spark, tmp_path):
         registry.extractor("none")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lectern import storage
+
+    none = SimpleNamespace(get=lambda *a: None)
+    context = lambda master: SimpleNamespace(master=master, getConf=lambda: none, getCheckpointDir=lambda: None)
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            storage.shared_dir(SimpleNamespace(sparkContext=context(master), conf=none))
+
+
+def test_scratch_tables_can_be_deleted(spark, tmp_path):
+    from lectern import storage
+
+    scratch = storage.Scratch(spark, "t")
+    folder = pathlib.Path(scratch.path("a").removeprefix("file:"))
+    scratch.save(spark.range(3), "a")
+    assert folder.exists()
+    storage.clean(spark)
+    assert not folder.exists()
+
+
 def test_library_manifest_missing_or_corrupt(spark, tmp_path):
     assert readers.library(spark, f"{tmp_path}/none.json").count() == 0
     (tmp_path / "bad.json").write_text("{[")

@@ -88,7 +88,8 @@ def test_resume_asks_only_for_what_is_missing(spark, tmp_path):
     client = Counting(second)
     made = {r.doc_id: r for r in decks.decks(docs, client, settings(review_cycles=1), resume=True, **how).collect()}
     assert made[1].error is None and made[1].slides
-    assert [p["text"].split()[1] for p in client.calls("analyse")] == ["Two"]
+    assert made[2].error is None and made[2].slides
+    assert [p["text"].split()[1] for p in client.calls("analyse")] == ["Two"] and len(client.calls("plan")) == 1
 
 
 def test_lists_of_objects_are_merged_and_failures_are_told(spark):
