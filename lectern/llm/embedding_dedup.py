@@ -102,7 +102,8 @@ def _around(lists: DataFrame, step: int) -> DataFrame:
 def _compared(groups: DataFrame, coded: DataFrame, state: DataFrame, threshold: float) -> DataFrame:
     """id, near, sim, slack: for the members of each group, others in it that beat their lists.
 
-    All that may reach the threshold, MOST_K at most, and the BEST others.
+    All that may reach the threshold, or the BEST others where there are no more. Members with MOST_K and more such others
+    come as their own neighbours, and with the K best alone.
     """
     rows = groups.join(coded, "id").join(state, "id", "left").select("grp", "id", "codes", "step", "lost", F.coalesce("bar", F.lit(-2.0)).alias("bar"))
     rows = rows.repartition("grp").sortWithinPartitions("grp")
@@ -117,18 +118,17 @@ def _compared(groups: DataFrame, coded: DataFrame, state: DataFrame, threshold:
             sim = (x @ x.T) * step[:, None] * step[None, :]
             sim[ids[:, None] == ids[None, :]] = -3
             reach = sim + lost[:, None] + lost[None, :] + 3 * lost[:, None] * lost[None, :] + 1e-6 >= threshold
-            many = min(m - 1, MOST_K)
+            links = reach.sum(1)
             row, col = [], []
-            crowd = np.flatnonzero(reach.sum(1) > BEST)
-            if len(crowd):
-                top = np.argpartition(-sim[crowd], many - 1, axis=1)[:, :many]
-                ok = reach[crowd[:, None], top]
-                row.append(np.repeat(crowd, many)[ok.ravel()]), col.append(top[ok])
-            few = np.flatnonzero(reach.sum(1) <= BEST)
-            if len(few):
-                best = min(m - 1, BEST)
-                top = np.argpartition(-sim[few], best - 1, axis=1)[:, :best]
-                row.append(np.repeat(few, best)), col.append(top.ravel())
+            for low, high, most in ((0, BEST, BEST), (BEST + 1, MOST_K - 1, MOST_K), (MOST_K, m, K)):
+                some = np.flatnonzero((links >= low) & (links <= high))
+                most = min(m - 1, most)
+                if len(some):
+                    top = np.argpartition(-sim[some], most - 1, axis=1)[:, :most]
+                    ok = reach[some[:, None], top] | (low == 0)
+                    row.append(np.repeat(some, most)[ok.ravel()]), col.append(top[ok])
+            crowded = np.flatnonzero(links >= MOST_K)
+            out.append((ids[crowded], ids[crowded], np.full(len(crowded), 2.0), np.zeros(len(crowded))))
             row, col = np.concatenate(row), np.concatenate(col)
             s = sim[row, col]
             ok = s > bar[row]
@@ -176,7 +176,7 @@ def _columns(held: list[pa.RecordBatch]) -> list:
 
 def _updated(lists: DataFrame | None, found: DataFrame, state: DataFrame) -> DataFrame:
     """The k best of old and new entries of each list; fresh tells which are new."""
-    found = found.withColumn("fresh", F.lit(1))
+    found = found.where("id != near").withColumn("fresh", F.lit(1))
     every = found if lists is None else lists.select("id", "near", "sim", "slack").withColumn("fresh", F.lit(0)).union(found)
     every = every.groupBy("id", "near").agg(F.max("sim").alias("sim"), F.max("slack").alias("slack"), F.min("fresh").alias("fresh"))
     every = every.join(state.select("id", "k"), "id", "left").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("sim"), "near")))
@@ -426,7 +426,7 @@ def _sparse(pairs: DataFrame, dense: DataFrame) -> DataFrame:
 
 def _pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """u, v, sim, slack of the list entries that may reach the threshold, each pair once."""
-    rows = entries.where(F.col("sim") + F.col("slack") >= threshold)
+    rows = entries.where((F.col("sim") + F.col("slack") >= threshold) & (F.col("id") != F.col("near")))
     return rows.groupBy(F.least("id", "near").alias("u"), F.greatest("id", "near").alias("v")).agg(F.max("sim").alias("sim"), F.max("slack").alias("slack"))
 
 
@@ -438,8 +438,9 @@ class Descent:
         self.state = scratch.save(coded.where("false").selectExpr("id", "cast(0 as int) as k", "0D as bar"), "state0")
         self.lists: DataFrame | None = None
         self.known: DataFrame | None = None
-        #: Vectors with MOST_K pairs and more.
+        #: Vectors with MOST_K pairs and more, and those that a group has shown to have as many.
         self.dense: DataFrame | None = None
+        self.crowded = scratch.save(coded.where("false").select("id"), "crowded0")
         self.step = self.passes = 0
 
     def _step(self, groups: DataFrame) -> DataFrame:
@@ -448,6 +449,7 @@ class Descent:
         found = self.scratch.save(_compared(groups, self.coded, self.state, self.threshold), f"found{self.step}")
         self.lists = self.scratch.save(_updated(self.lists, found, self.state), f"lists{self.step}")
         self.state = self.scratch.save(_states(self.lists, self.state, self.threshold), f"state{self.step}")
+        self.crowded = self.scratch.save(self.crowded.union(found.where("id = near").select("id")).distinct(), f"crowded{self.step}")
         return found
 
     def run(self) -> float:
@@ -470,14 +472,15 @@ class Descent:
             union = more if union is None else union.union(more)
         self.known = self.scratch.save(union.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("slack").alias("slack")), f"known{self.passes}")
         ends = self.known.select(F.col("u").alias("id")).union(self.known.select("v"))
-        self.dense = self.scratch.save(ends.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= MOST_K).select("id"), f"dense{self.passes}")
+        many = ends.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= MOST_K).select("id")
+        self.dense = self.scratch.save(many.union(self.crowded).distinct(), f"dense{self.passes}")
         lost = 1.0
         if before is not None:
             mine = self.scratch.save(_sparse(met, self.dense), f"mine{self.passes}")
             before = self.scratch.save(_sparse(before, self.dense), f"before{self.passes}")
             found, held, again = mine.count(), before.count(), mine.join(before, ["u", "v"], "left_semi").count()
             lost = (1 - again / max(found, 1)) * (1 - again / max(held, 1)) if found else float(held > 0)
-        old = [f"{name}{k}" for name in ("found", "lists", "state") for k in range(self.step)]
+        old = [f"{name}{k}" for name in ("found", "lists", "state", "crowded") for k in range(self.step)]
         self.scratch.drop(*old, f"known{self.passes - 1}", f"dense{self.passes - 1}")
         return lost
 
