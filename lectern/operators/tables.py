@@ -77,13 +77,16 @@ def clean_tables(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     mark = F.concat(F.lit("[TABLE"), F.when(F.col("caption") != "", F.concat(F.lit(": "), "caption")).otherwise(F.lit("")), F.lit("]\n"))
     spans = bad.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("island", "last", mark.alias("mark")))).alias("_spans"))
     joined = docs.select(key, F.col(text).alias("_text")).join(spans, key, "left")
-    lines, n = whole_lines(F.col("_text")), F.size("_spans")
+    n = F.size("_spans")
 
-    def between(k: Column) -> Column:
+    def between(z: Column) -> Column:
         """The lines after table k - 1 and before table k, then the placeholder of table k."""
+        k, lines = z["k"], z["lines"]
         begin = F.when(k == 0, F.lit(0)).otherwise(F.get("_spans", k - 1)["last"] + 1)
         end = F.when(k == n, F.size(lines)).otherwise(F.get("_spans", k)["island"])
         return F.concat(F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0))), F.filter(F.array(F.get("_spans", k)["mark"]), lambda x: x.isNotNull()))
 
-    joined = joined.withColumn("_cut", F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n), between))))
+    # the lines go along with each place: what else stands inside a lambda is evaluated for every element
+    places = F.arrays_zip(F.sequence(F.lit(0), n).alias("k"), F.array_repeat(whole_lines(F.col("_text")), n + 1).alias("lines"))
+    joined = joined.withColumn("_cut", F.when(n > 0, F.flatten(F.transform(places, between))))
     return joined.select(key, F.coalesce(F.array_join("_cut", ""), "_text").alias("text"))
