@@ -188,7 +188,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 3, percent: int = 90)
     bits = [f"b{k}" for k in range(PARITY)]
 
     def signed(batches):
-        for batch in (part for whole in batches for part in H.parts(whole, 1, 16 << 20)):
+        for batch in (part for whole in batches for part in H.parts(whole, 1)):
             sizes, signs, groups, prefixes, parity = [], [], [], [], []
             for _, values in _documents(batch, shingle):
                 keys = _ordered(values, heavy)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lectern.storage import Scratch, free_name, small
 
 WINDOW = 3
-#: Documents and positions that are broadcast at most, about 20 MB.
-MOST_SPANS = 1_000_000
+#: Documents and positions that are broadcast at most, about 6 MB.
+MOST_SPANS = 300_000
 
 
 def later_windows(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> DataFrame:
@@ -34,7 +34,7 @@ def later_windows(docs: DataFrame, scratch: Scratch, size: int = WINDOW) -> Data
     windows = scratch.save(windows, "windows")
     firsts = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("uses"))
     firsts = scratch.save(firsts.where("uses > 1").select("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "repeated")
-    return windows.join(small(firsts), ["h", "g"]).where("doc_id != first_doc or pos != first_pos").select("doc_id", "pos")
+    return windows.join(small(firsts, 50_000), ["h", "g"]).where("doc_id != first_doc or pos != first_pos").select("doc_id", "pos")
 
 
 def _cleaned(docs: DataFrame, size: int) -> tuple[DataFrame, str, str]:
@@ -47,16 +47,18 @@ def _cleaned(docs: DataFrame, size: int) -> tuple[DataFrame, str, str]:
     most = spans.agg(F.count("*") + F.sum(F.size(gone))).first()[0] or 0
     spans = F.broadcast(spans) if most <= MOST_SPANS else spans.hint("merge")
     joined = docs.join(spans, docs["doc_id"] == spans["_d"], "left").select(*(docs[c] for c in docs.columns), gone)
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    last, n = F.size(gone), F.size(lines)
+    rest = free_name(joined, "_left")
+    lines, last = F.split(F.col("text").cast("string"), "\n", -1), F.size(gone)
 
-    def between(k):
+    def between(z):
         """The lines from the end of one removed window to the begin of the next; none where they overlap or touch."""
+        k, whole = z["k"], z["lines"]
         begin = F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1) + size)
-        return F.slice(lines, begin + 1, F.greatest(F.when(k == last, n).otherwise(F.get(gone, k)) - begin, F.lit(0)))
+        return F.slice(whole, begin + 1, F.greatest(F.when(k == last, F.size(whole)).otherwise(F.get(gone, k)) - begin, F.lit(0)))
 
-    left = F.flatten(F.transform(F.sequence(F.lit(0), last), between))
-    rest = free_name(joined, "_left")
+    # the lines go along with each place: what else stands inside a lambda is evaluated for every element
+    places = F.arrays_zip(F.sequence(F.lit(0), last).alias("k"), F.array_repeat(lines, last + 1).alias("lines"))
+    left = F.flatten(F.transform(places, between))
     joined = joined.withColumn(rest, F.when(F.col(gone).isNotNull() & F.col("text").isNotNull(), left))
     none = F.lit(0).cast("long")
     before = F.when(F.col("text").isNotNull(), F.size(lines).cast("long")).otherwise(none)
