@@ -70,7 +70,7 @@ def frequent_shingles(docs: DataFrame, size: int, scratch: Scratch) -> np.ndarra
     """Sorted hashes of the shingles that most documents share, as far as batches show; FREQUENT at most."""
 
     def counted(batches):
-        for batch in (part for whole in batches for part in H.parts(whole, 1, 16 << 20)):
+        for batch in (part for whole in batches for part in H.parts(whole, 1, 8 << 20)):
             sets = [s for _, s in _documents(batch, size)]
             values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             often = counts >= OFTEN

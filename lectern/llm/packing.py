@@ -28,8 +28,8 @@ from lectern.storage import Scratch
 
 #: Pieces in a numbering bucket, on average; the sums by bucket and length are few beside so many.
 BUCKET = 50_000
-#: Words that a worker keeps the ids of, about 150 bytes each.
-CACHE = 400_000
+#: Words (twice as many) that a worker keeps the ids of, about 200 bytes each.
+CACHE = 80_000
 #: Id that ends each document.
 END = 1
 
@@ -69,7 +69,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of words met lately, and of those met before these.
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -84,11 +86,15 @@ class WordIds:
             text = _apart(text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode())
         words = text.split()
         ids = self.ids
-        new = list(set(words).difference(ids))
+        new = set(words).difference(ids)
         if new:
             if len(ids) > CACHE:
-                ids.clear()
-                new = list(set(words))
+                self.older, self.ids = ids, {}
+                ids, new = self.ids, set(words)
+            held = new.intersection(self.older)
+            for w in held:
+                ids[w] = self.older[w]
+            new = list(new.difference(held))
             for at in range(0, len(new), 2048):
                 self._add([w.decode("utf-8", "replace") for w in new[at : at + 2048]], new[at : at + 2048])
         return b"".join([ids[w] for w in words])
