@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, sentencepiece_fst
+from lectern.llm import chat_format, fill_in_middle, sentencepiece_fst
 from lectern.llm.ann import nearest
+from lectern.llm.divergence import divergence
 from lectern.llm.embedding_dedup import near_duplicates
+from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.jaccard_join import jaccard_components
 from lectern.llm.line_dedup import dedup_lines
 from lectern.llm.lm_score import lm_scores
@@ -66,6 +68,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"), rate=100, suffix_first=50, seed=7)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), least=3, ranks=200)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Words and 3-word shingles of the documents, as op3 defines them.
 _OP3_SQL = r"""
 WITH RECURSIVE words AS (
@@ -170,6 +184,53 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, co
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
 
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS r FROM d),
+c AS (
+  SELECT *, len(u) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+              WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM (SELECT row_number() OVER () AS doc_id, lang, source, text FROM documents)),
+o AS (SELECT lang, source, doc_id, t.w AS term FROM d, unnest(d.w) AS t(w)),
+kept AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + 1000000000 * (n + 1) // (sum(n) OVER w + count(*) OVER w) AS p FROM x WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY 1, 2),
+q AS (SELECT *, 1 + 1000000000 * (n + 1) // (sum(n) OVER w + count(*) OVER w) AS q FROM l WINDOW w AS (PARTITION BY lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL
+          SELECT p.lang, p.source, 'term', p.term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY chars DESC, doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -183,6 +244,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_sentencepiece_coding": op10_sentencepiece_coding,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -194,4 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": _OP7_SQL,
         "op8_embedding_near_dedup": _OP8_SQL,
         "op9_line_dedup": _OP9_SQL,
+        "op11_fill_in_middle": _OP11_SQL,
+        "op12_source_divergence": _OP12_SQL,
+        "op13_exact_dedup": _OP13_SQL,
     }
