@@ -86,8 +86,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same for the same lower-cased bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np.ndarray = _LOWER) -> np.ndarray:
+    """A 64-bit hash of each word, the same for the same lower-cased bytes; `lower` says what becomes of each byte."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -96,7 +96,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         if j == i + 1 and hi - lo > BLOCK:  # one very long word, by pieces
             total = np.uint64(0)
             for at in range(lo, hi, BLOCK):
-                part = _LOWER[data[at : min(hi, at + BLOCK)]]
+                part = lower[data[at : min(hi, at + BLOCK)]]
                 place = _PLACE[np.arange(at - lo, at - lo + len(part)) % len(_PLACE)]
                 with np.errstate(over="ignore"):
                     total += (_BYTE[part] * place * (np.uint64(2 * ((at - lo) // BLOCK)) + np.uint64(1))).sum(dtype=np.uint64)
@@ -107,7 +107,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             length = ends[i:j] - starts[i:j]
             gap = np.diff(np.append(begin, hi - lo))
             place = np.arange(hi - lo) - np.repeat(begin, gap)
-            v = _BYTE[_LOWER[block]] * _PLACE[place % len(_PLACE) if length.max() >= len(_PLACE) else np.minimum(place, len(_PLACE) - 1)]
+            v = _BYTE[lower[block]] * _PLACE[place % len(_PLACE) if length.max() >= len(_PLACE) else np.minimum(place, len(_PLACE) - 1)]
             v[~_SOLID[block]] = 0
             out[i:j] = np.add.reduceat(v, begin) + length.astype(np.uint64) * _MIX[0]
         i = j
@@ -119,14 +119,12 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < size:
-        total = np.uint64(len(words)) * _MIX[7]
-        with np.errstate(over="ignore"):
-            for k, w in enumerate(words):
-                total = total + w * _MIX[1 + k % 6] + np.uint64(k // 6)
-        return mixed(np.array([total], np.uint64))
+        total = np.uint64(len(words)) * _MIX[7:8]  # arrays of one: they wrap around without a warning
+        for k in range(len(words)):
+            total = total + words[k : k + 1] * _MIX[1 + k % 6] + np.uint64(k // 6)
+        return mixed(total)
     n = len(words) - size + 1
-    with np.errstate(over="ignore"):
-        total = np.full(n, np.uint64(size) * _MIX[7], np.uint64)
+    total = np.full(n, 1, np.uint64) * np.uint64(size) * _MIX[7]
     for k in range(size):
         total += words[k : k + n] * _MIX[1 + k % 6] + np.uint64(k // 6)
     return mixed(total)
