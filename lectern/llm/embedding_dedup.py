@@ -38,7 +38,7 @@ MOST_K = 64
 GROUP, BEST = 256, 2
 #: Share of pairs at the threshold that one pass may miss, and all passes together (estimated); most tables of a pass.
 MISS, LOST, MOST_TABLES = 0.05, 0.001, 48
-PASSES, DESCENTS = 6, 3
+PASSES, DESCENTS = 16, 3
 #: Vectors whose links are audited against all vectors.
 AUDIT = 512
 #: Rounds in which dense vectors are put into cells; who has found none is a cell.
@@ -481,9 +481,14 @@ class Descent:
             found, held, again = mine.count(), before.count(), mine.join(before, ["u", "v"], "left_semi").count()
             lost = (1 - again / max(found, 1)) * (1 - again / max(held, 1)) if found else float(held > 0)
         old = [f"{name}{k}" for name in ("found", "lists", "state", "crowded") for k in range(self.step)]
-        self.scratch.drop(*old, f"known{self.passes - 1}", f"dense{self.passes - 1}")
+        self.scratch.drop(*old, f"known{self.passes - 1}", f"told{self.passes - 1}", f"dense{self.passes - 1}")
         return lost
 
+    def learn(self, links: DataFrame) -> None:
+        """Adds links(u, v) that were proved elsewhere to the pairs known, above any doubt."""
+        more = self.known.union(links.select("u", "v", F.lit(2.0).alias("sim"), F.lit(0.0).alias("slack")))
+        self.known = self.scratch.save(more.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("slack").alias("slack")), f"told{self.passes}")
+
     def links(self, vectors: DataFrame) -> DataFrame:
         """The pairs known that reach the threshold."""
         sure = self.known.where(f"sim - slack >= {self.threshold}").select("u", "v")
@@ -525,7 +530,7 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, report: dict | N
         recall = 1 - short / max(audited, 1)
         if not short or graph.passes >= PASSES:
             break
-        links, lost = links.union(missed), 1.0
+        graph.learn(missed)
         lost = graph.run()
     exact = short > 0 or lost > LOST
     if report is not None:

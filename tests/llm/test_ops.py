@@ -797,3 +797,48 @@ def test_sentencepiece_ids_and_round_trip(spark):
     digest = sentencepiece_fst.coding_digest(df, model=PIECES).collect()
     assert len(digest) == len(texts) + 4 and {r.doc_id: r.n_ids for r in digest if r.doc_id is not None} == {i: len(x) for i, x in got.items()}
     assert sentencepiece_fst.encode(df.where("false"), model=PIECES).count() == 0
+
+
+def test_near_duplicates_keep_what_only_the_audit_finds(spark, monkeypatch):
+    """A descent that finds nothing, and an audit that looks only once."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(60, 32))
+    x[7] = x[3] + 0.1 * rng.normal(size=32)
+    audit, calls = embedding_dedup._audited, []
+
+    def once(links, *rest):
+        calls.append(1)
+        n, missed = audit(links, *rest)
+        return (n, missed) if len(calls) == 1 else (0, missed.where("false"))
+
+    monkeypatch.setattr(embedding_dedup, "_compared", lambda groups, coded, state, threshold: coded.where("false").selectExpr("id", "id as near", "0D as sim", "0D as slack"))
+    monkeypatch.setattr(embedding_dedup, "_audited", once)
+    monkeypatch.setattr(embedding_dedup, "PASSES", 4)
+    # whatever the estimate says, the result comes from the links known
+    edges = lambda vectors, links, threshold, scratch: embedding_dedup._by_edges(vectors, links, vectors.where("false").select("id"), threshold, scratch, None)
+    monkeypatch.setattr(embedding_dedup, "_all_pairs", edges)
+    links, root = deduplicated(spark, x)
+    assert links.tolist() == [int(i in (3, 7)) for i in range(60)] and root[7] == root[3] == 3
+
+
+# ---------------------------------------------------------------- ids of words
+
+
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    """Every character below U+0180 beside marks, and odd texts, with a cache that forgets."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    monkeypatch.setattr(packing, "CACHE", 700)
+    coder = packing.WordIds(WORD_BPE)
+    texts = [w + m for c in map(chr, range(0x21, 0x180)) for w in (c, "a" + c, c + "a", "A" + c + "B") for m in (", y", ". y", " z", ",\nq", ".\nq", ".")]
+    rnd = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyzäöüßéèñçåøœřżłšđABCÄÖİıſŉ×÷ªº'.,-!?0123 \n\t<|>    жя日本"
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
+    texts += ["", "   ", "<|endoftext|> a", "İ, ", "aİ, x", "it's don't WE'LL", "a" * 31, "ab" * 16, "ab" * 17, "é" * 16, "x" * 5000, "Ö ж Ö"]
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        ids, where = coder.encode([t.encode() for t in part])
+        for k, t in enumerate(part):
+            assert ids[where[k] : where[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+        assert len(coder.keys) <= packing.CACHE and len(coder.ids) == coder.size.sum()
