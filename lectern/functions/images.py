@@ -1,7 +1,9 @@
-"""Checks on raw pixels."""
+"""Pixels of images and checks on them."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -29,3 +31,39 @@ def is_blank(samples: Column, channels: Column) -> Column:
         return pd.Series([one(raw, int(c or 0)) for raw, c in zip(data, n)])
 
     return blank(samples, channels)
+
+
+def unfiltered(data: bytes, width: int, step: int) -> np.ndarray:
+    """Rows of `width` bytes, each behind a byte that names its filter, as they were before; `step` bytes are a pixel."""
+    rows = np.frombuffer(data, np.uint8)
+    n = len(rows) // (width + 1)
+    rows = rows[: n * (width + 1)].reshape(n, width + 1)
+    out = np.zeros((n, width), np.uint8)
+    above = np.zeros(width, np.uint8)
+    pad = -width % step
+    for i, kind in enumerate(rows[:, 0].tolist()):
+        row = rows[i, 1:]
+        if kind == 1:  # sums along each channel
+            row = np.add.accumulate(np.pad(row, (0, pad)).reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[:width]
+        elif kind == 2:
+            row = row + above
+        elif kind in (3, 4):
+            row = _by_left(row.tolist(), above.tolist(), step, kind == 4)
+        elif kind:
+            raise ValueError(f"row filter {kind}")
+        out[i] = above = row
+    return out
+
+
+def _by_left(row: list[int], above: list[int], step: int, paeth: bool) -> np.ndarray:
+    """A row whose bytes depend on the byte to the left as it was: its mean with the one above, or the nearest of three."""
+    for k in range(len(row)):
+        left, up = row[k - step] if k >= step else 0, above[k]
+        if paeth:
+            corner = above[k - step] if k >= step else 0
+            guess = left + up - corner
+            a, b, c = abs(guess - left), abs(guess - up), abs(guess - corner)
+            row[k] = row[k] + (left if a <= b and a <= c else up if b <= c else corner) & 255
+        else:
+            row[k] = row[k] + (left + up) // 2 & 255
+    return np.array(row, np.uint8)
