@@ -27,12 +27,14 @@ from lectern.llm import hashing as H
 from lectern.llm.graph import most_frequent
 from lectern.storage import Scratch, small
 
-#: Terms in the automata that all tasks have, and in the automaton of a shard: some 60 MB of a worker.
-HEAD = SHARD = 150_000
+#: Terms in the automata that all tasks have, and in the automata of a shard: some 150 bytes of a worker each.
+HEAD = SHARD = 1_000_000
 #: Counters and terms that a task holds before it passes them on.
-HELD = 400_000
+HELD = 1_000_000
 #: Terms in a row for a shard.
 LOAD = 8_000
+#: Kept terms whose counts one task brings together, on average, where there are more than shuffle partitions ask for.
+BUCKET = 50_000
 #: Values are shares of a billion.
 UNIT = 1_000_000_000
 _GAP = "\n"
@@ -80,24 +82,62 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(counted, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
-def _automaton(terms: list[str]):
-    """Finds the terms between delimiters; its values are the terms' bytes."""
+def _automata(langs: list[str], terms: list[str]) -> dict:
+    """By language, an automaton that finds the terms between delimiters; its values are the terms' places in the list."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for t in terms:
-        found.add_word(_GAP + t + _GAP, t.encode())
-    found.make_automaton()
+    found: dict = {}
+    for k, (lang, term) in enumerate(zip(langs, terms)):
+        if lang not in found:
+            found[lang] = ahocorasick.Automaton()
+        found[lang].add_word(_GAP + term + _GAP, k)
+    for machine in found.values():
+        machine.make_automaton()
     return found
 
 
-def _automata(by_lang: dict[str, list[str]]) -> dict:
-    return {lang: _automaton(terms) for lang, terms in by_lang.items() if terms}
+class Tally:
+    """Occurrences by group and place of a term, summed up as they come."""
 
+    def __init__(self, ids: np.ndarray, buckets: int):
+        self.ids, self.buckets, self.groups = ids, buckets, {}
+        self.codes, self.sums, self.more, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-def _recount(into: Counter, machine, text: bytes) -> None:
-    """Adds how often each of the machine's terms stands in a marked text."""
-    into.update(map(itemgetter(1), machine.iter(f"{_GAP}{text.decode('utf-8', 'replace')}{_GAP}")))
+    def add(self, group: int, machine, text: bytes) -> None:
+        """Counts the machine's terms in a marked text."""
+        found = np.fromiter(map(_SECOND, machine.iter(f"{_GAP}{text.decode('utf-8', 'replace')}{_GAP}")), np.int64)
+        if len(found):
+            self.more.append(found | self.groups.setdefault(group, len(self.groups)) << 32)
+            self.waiting += len(found)
+            if self.waiting > HELD:
+                self._sum()
+
+    def _sum(self) -> None:
+        if self.more:
+            codes, counts = np.unique(np.concatenate(self.more), return_counts=True)
+            self.codes, inverse = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+            sums = np.zeros(len(self.codes), np.int64)
+            np.add.at(sums, inverse, np.concatenate([self.sums, counts]))
+            self.sums, self.more, self.waiting = sums, [], 0
+
+    def full(self) -> bool:
+        return len(self.codes) > HELD
+
+    def rows(self) -> pa.RecordBatch:
+        """A row for each bucket of terms: gids, ids, ns; and starts afresh."""
+        self._sum()
+        ids, gids = self.ids[self.codes & 0xFFFFFFFF], np.array(list(self.groups), np.int64)[self.codes >> 32] if len(self.codes) else np.zeros(0, np.int64)
+        bucket = (ids ^ ids >> 33) % self.buckets
+        order = np.argsort(bucket, kind="stable")
+        which, sizes = np.unique(bucket, return_counts=True)
+        made = pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *(H.lists(x[order], sizes) for x in (gids, ids, self.sums))], ["bucket", "gids", "ids", "ns"])
+        self.__init__(self.ids, self.buckets)
+        return made
+
+
+_SECOND = itemgetter(1)
+#: The automata of the last run in this process, which its tasks share.
+_LAST: dict = {}
 
 
 def shard_of(term: bytes, shards: int) -> int:
@@ -105,89 +145,124 @@ def shard_of(term: bytes, shards: int) -> int:
 
 
 def occurrences(docs: DataFrame, kept: DataFrame, scratch: Scratch, *, head: int = HEAD, shard: int = SHARD) -> DataFrame:
-    """lang, source, term, n of kept(lang, term, n) in docs(lang, source, text): partial counts, to be summed."""
+    """id, used (the groups that hold the term and how often) for kept(lang, term, n, id) in docs(lang, gid, text)."""
+    spark = docs.sparkSession
     terms = kept.count()
-    first = scratch.save(most_frequent(kept, "n", head).select("lang", "term"), "head") if terms > head else kept.select("lang", "term")
-    shards = -(-(terms - first.count()) // shard) if terms > head else 0
-    by_lang: dict[str, list[str]] = defaultdict(list)
-    for lang, term in first.toLocalIterator():  # at most `head` of them
-        by_lang[lang].append(term)
-    sent = docs.sparkSession.sparkContext.broadcast(dict(by_lang))
+    first = scratch.save(most_frequent(kept, "n", head).select("lang", "term", "id"), "head") if terms > head else kept.select("lang", "term", "id")
+    table = first.toArrow()  # at most `head` of them
+    shards = -(-(terms - table.num_rows) // shard) if terms > table.num_rows else 0
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    sent, run = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), scratch.root
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-terms // BUCKET))
+    del table
 
     def scanned(batches):
-        machines = _automata(sent.value)
-        heads = {lang: {t.encode() for t in of} for lang, of in sent.value.items()} if shards else {}
-        counts: dict[tuple, Counter] = defaultdict(Counter)
+        if run not in _LAST:
+            _LAST.clear()
+            known = pa.ipc.open_stream(sent.value).read_all()
+            langs, names = known.column(0).to_pylist(), known.column(1).to_pylist()
+            heads: dict[str, set] = defaultdict(set)
+            for lang, name in zip(langs, names) if shards else ():
+                heads[lang].add(name.encode())
+            _LAST[run] = _automata(langs, names), heads, known.column(2).to_numpy()
+        machines, heads, ids = _LAST[run]
+        tally = Tally(ids, buckets)
         loads: dict[tuple, list[bytes]] = defaultdict(list)
         waiting = 0
         for batch in batches:
-            langs, sources = (batch.column(k).to_pylist() for k in range(2))
+            langs, gids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, text in _marked(batch):
-                group = langs[i], sources[i]
-                if group[0] in machines:
-                    _recount(counts[group], machines[group[0]], text)
+                lang = langs[i]
+                if lang in machines:
+                    tally.add(gids[i], machines[lang], text)
                 if shards:
-                    ours = heads.get(group[0], ())
-                    for t in text.split():
-                        if t not in ours:
-                            loads[(*group, shard_of(t, shards))].append(t)
-                            waiting += 1
-                if sum(map(len, counts.values())) > HELD:
-                    yield _with_loads(counts, {})
-                    counts.clear()
+                    ours = heads.get(lang, ())
+                    for t in [t for t in text.split() if t not in ours]:
+                        loads[lang, gids[i], shard_of(t, shards)].append(t)
+                        waiting += 1
+                if tally.full():
+                    yield _with_loads(tally.rows(), {})
                 if waiting > HELD:
-                    yield _with_loads({}, loads)
+                    yield _with_loads(tally.rows(), loads)
                     loads.clear()
                     waiting = 0
-        yield _with_loads(counts, loads)
-
-    found = docs.mapInArrow(scanned, "lang string, source string, term string, n long, shard int, load string")
-    if not shards:
-        return found.select("lang", "source", "term", "n")
-    found = scratch.save(found, "scanned")
-    # the terms of a shard come first, then its loads, in any number
-    of = (F.crc32(F.col("term").cast("binary")) % shards).cast("int")
-    rest = kept.join(first, ["lang", "term"], "left_anti").select("lang", F.lit("").alias("source"), of.alias("shard"), F.lit(0).alias("kind"), F.col("term").alias("load"))
-    both = rest.union(found.where("load is not null").select("lang", "source", "shard", F.lit(1).alias("kind"), "load"))
-    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
-
-    def recounted(batches):
-        at, built, machines, vocabulary = None, False, {}, defaultdict(list)
-        counts: dict[tuple, Counter] = defaultdict(Counter)
+        yield _with_loads(tally.rows(), loads)
+
+    sums = "bucket int, gids array<long>, ids array<long>, ns array<long>"
+    found = docs.select("lang", "gid", "text").mapInArrow(scanned, f"{sums}, lang string, gid long, shard int, load string")
+    names = ["bucket", "gids", "ids", "ns"]
+    if shards:
+        found = scratch.save(found, "scanned")
+        # the terms of a shard come first, then its loads, in any number
+        of = (F.crc32(F.col("term").cast("binary")) % shards).cast("int")
+        rest = kept.join(first, "id", "left_anti").select("lang", F.col("id").alias("gid"), of.alias("shard"), F.lit(0).alias("kind"), F.col("term").alias("load"))
+        both = rest.union(found.where("load is not null").select("lang", "gid", "shard", F.lit(1).alias("kind"), "load"))
+        dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
+
+        def recounted(batches):
+            at, tally, machines, langs_, terms_, ids_ = None, None, {}, [], [], []
+            for batch in batches:
+                langs, gids, which, kinds, loads = (c.to_pylist() for c in batch.columns)
+                for i, load in enumerate(loads):
+                    if which[i] != at:
+                        if tally is not None:
+                            yield tally.rows()
+                        at, tally, machines, langs_, terms_, ids_ = which[i], None, {}, [], [], []
+                    if not kinds[i]:
+                        langs_.append(langs[i]), terms_.append(load), ids_.append(gids[i])
+                        continue
+                    if tally is None:
+                        tally, machines = Tally(np.array(ids_, np.int64), buckets), _automata(langs_, terms_)
+                    if langs[i] in machines:
+                        tally.add(gids[i], machines[langs[i]], load.encode())
+                    if tally.full():
+                        yield tally.rows()
+            if tally is not None:
+                yield tally.rows()
+
+        found = found.where("load is null").select(*names).union(dealt.mapInArrow(recounted, sums))
+
+    def together(batches):
+        codes, sums = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+
+        def summed(codes, sums):
+            if not codes.shape[1]:
+                return codes, sums
+            order = np.lexsort(codes)
+            codes, sums = codes[:, order], sums[order]
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0).any(axis=0)]))
+            return codes[:, begin], np.add.reduceat(sums, begin)
+
+        last = 0
         for batch in batches:
-            langs, sources, which, kinds = (batch.column(k).to_pylist() for k in range(4))
-            for i, load in enumerate(batch.column(4).to_pylist()):
-                if which[i] != at:
-                    at, built, machines, vocabulary = which[i], False, {}, defaultdict(list)
-                if not kinds[i]:
-                    vocabulary[langs[i]].append(load)
-                    continue
-                if not built:
-                    built, machines = True, _automata(vocabulary)
-                    vocabulary.clear()
-                if langs[i] in machines:
-                    _recount(counts[langs[i], sources[i]], machines[langs[i]], load.encode())
-                if sum(map(len, counts.values())) > HELD:
-                    yield _rows(counts, _GROUP)
-                    counts.clear()
-        yield _rows(counts, _GROUP)
-
-    more = dealt.mapInArrow(recounted, "lang string, source string, term string, n long")
-    return found.where("load is null").select("lang", "source", "term", "n").union(more)
-
-
-def _with_loads(counts: dict[tuple, Counter], loads: dict[tuple, list[bytes]]) -> pa.RecordBatch:
-    """Counts, and rows of terms that go to a shard."""
-    rows = _rows(counts, _GROUP)
+            gids, ids, ns = (c.flatten().to_numpy() for c in batch.columns[1:])
+            codes, sums = np.concatenate([codes, np.stack([gids, ids])], axis=1), np.concatenate([sums, ns])
+            if len(sums) > 2 * last + HELD:
+                codes, sums = summed(codes, sums)
+                last = len(sums)
+        codes, sums = summed(codes, sums)
+        ids, sizes = np.unique(codes[1], return_counts=True)
+        for at in range(0, len(ids), 10_000):
+            to = at + 10_000
+            lo, hi = sizes[:at].sum(), sizes[:to].sum()
+            used = pa.StructArray.from_arrays([pa.array(codes[0, lo:hi]), pa.array(sums[lo:hi])], ["gid", "n"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[at:to])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at:to]), pa.ListArray.from_arrays(offsets, used)], ["id", "used"])
+
+    return found.select(*names).repartitionById(buckets, "bucket").mapInArrow(together, "id long, used array<struct<gid:long,n:long>>")
+
+
+def _with_loads(rows: pa.RecordBatch, loads: dict[tuple, list[bytes]]) -> pa.RecordBatch:
+    """Rows of counts, and rows of terms that go to a shard."""
     sent = [(*k, _GAP.encode().join(terms[at : at + LOAD])) for k, terms in loads.items() for at in range(0, len(terms), LOAD)]
-    lang, source, shard, load = zip(*sent) if sent else ((), (), (), ())
-    n, m = rows.num_rows, len(sent)
-    columns = [
-        pa.concat_arrays([rows.column(0), pa.array(lang, pa.string())]), pa.concat_arrays([rows.column(1), pa.array(source, pa.string())]),
-        pa.concat_arrays([rows.column(2), pa.nulls(m, pa.string())]), pa.concat_arrays([rows.column(3), pa.nulls(m, pa.int64())]),
-        pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(shard, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(load, pa.binary()).cast(pa.string())]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "shard", "load"])
+    lang, gid, shard, load = zip(*sent) if sent else ((), (), (), ())
+    more = [pa.array(lang, pa.string()), pa.array(gid, pa.int64()), pa.array(shard, pa.int32()), pa.array(load, pa.binary()).cast(pa.string())]
+    none = lambda kinds, n: [pa.nulls(n, k) for k in kinds]
+    left = [pa.concat_arrays([c, x]) for c, x in zip(rows.columns, none((c.type for c in rows.columns), len(sent)))]
+    right = [pa.concat_arrays([x, c]) for c, x in zip(more, none((c.type for c in more), rows.num_rows))]
+    return pa.RecordBatch.from_arrays([*left, *right], [*rows.schema.names, "lang", "gid", "shard", "load"])
 
 
 def _whole(a: Column, b: Column) -> Column:
@@ -247,21 +322,24 @@ def divergence(docs: DataFrame, *, least: int = 3, ranks: int = 200, head: int =
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     texts = _texts(docs)
-    kept = scratch.save(document_frequencies(texts).where(F.col("n") >= least), "kept")
-    found = occurrences(texts, kept, scratch, head=head, shard=shard)
-    counts = scratch.save(found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")), "counts")
+    kept = document_frequencies(texts).where(F.col("n") >= least)
+    kept = scratch.save(kept.withColumn("id", F.monotonically_increasing_id()), "kept")
+    named = scratch.save(texts.select(*_GROUP).distinct().withColumn("gid", F.monotonically_increasing_id()), "named")
+    grouped = texts.join(small(named), list(_GROUP))
+    lists = scratch.save(occurrences(grouped, kept, scratch, head=head, shard=shard), "lists")
+    counts = lists.select("id", F.inline("used"))
     none = F.lit(0).cast("long")
-    sizes = counts.groupBy(*_GROUP).agg(F.sum("n").alias("total"), F.count("*").alias("uses"))
+    sizes = counts.groupBy("gid").agg(F.sum("n").alias("total"), F.count("*").alias("uses"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    groups = texts.select(*_GROUP).distinct().join(sizes, list(_GROUP), "left").join(vocabulary, "lang", "left")
-    groups = groups.select(*_GROUP, *(F.coalesce(c, none).alias(c) for c in ("total", "uses", "terms")))
+    groups = named.join(sizes, "gid", "left").join(vocabulary, "lang", "left")
+    groups = groups.select("gid", *_GROUP, *(F.coalesce(c, none).alias(c) for c in ("total", "uses", "terms")))
     groups = scratch.save(groups.withColumn("p0", share(none, F.col("total"), F.col("terms"))), "groups")
     langs = scratch.save(groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms")), "langs")
 
-    shares = counts.join(small(groups), list(_GROUP)).select("lang", "term", "source", "n", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "p0")
+    shares = counts.join(small(groups), "gid").select("id", "source", "n", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "p0")
     # a term's list has an entry for each source of its language at most
-    lists = shares.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "p0")).alias("used"))
-    postings = lists.join(small(langs), "lang").select("lang", "term", share(F.col("n"), F.col("total"), F.col("terms")).alias("q"), "used")
+    used = shares.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "p0")).alias("used"))
+    postings = used.join(kept.select("id", "lang", "term"), "id").join(small(langs), "lang").select("lang", "term", share(F.col("n"), F.col("total"), F.col("terms")).alias("q"), "used")
     postings = scratch.save(postings, "postings")
 
     single = postings.select("lang", "term", "q", F.inline("used"))

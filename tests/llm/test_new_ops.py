@@ -98,7 +98,7 @@ def sourced(spark, texts):
     return rows, spark.createDataFrame(rows, "lang string, source string, text string, n long, term string").repartition(3)
 
 
-@pytest.mark.parametrize("head,shard", [(150_000, 150_000), (20, 90), (0, 10_000)])
+@pytest.mark.parametrize("head,shard", [(1_000_000, 1_000_000), (20, 90), (0, 10_000)])
 def test_divergence(spark, head, shard):
     texts = corpus(seed=5) + ["É é Ää _x_ don't A1b2", "word\x00word\x7fword", "É", "日本 語", "É 日本"] * 4
     rows, docs = sourced(spark, texts)
