@@ -211,13 +211,13 @@ def run(docs: DataFrame, client: Client, settings: Settings, path: str, *, stamp
     published = writers.publish_decks(made, path, stamp=stamp, generated_at=generated_at, provider=settings.provider, model=settings.model, debug=debug)
     entries = library_entries(published, generated_at=generated_at, provider=settings.provider, model=settings.model)
     manifest = f"{path}/library"
-    held = library.upserted(writers.read_library(spark, manifest), entries)
-    writers.write_library(held, manifest)
+    entries = Scratch(spark, "run").save(entries, "entries")
+    writers.update_library(spark, manifest, lambda held: library.upserted(held, entries))
     if settings.duplicate_policy == "overwrite":
-        held = writers.read_library(spark, manifest)
-        left = library.pruned(held, entries.select("doc_hash", F.col("file").alias("keep_file")))
-        stale = Scratch(spark, "run").save(held.join(left.select("file"), "file", "left_anti").select("file"), "stale")
-        writers.write_library(left, manifest)
+        mine = entries.select("doc_hash", F.col("file").alias("keep_file"))
+        held = Scratch(spark, "run").save(writers.read_library(spark, manifest), "held")
+        stale = Scratch(spark, "run").save(held.join(library.pruned(held, mine).select("file"), "file", "left_anti").select("file"), "stale")
+        writers.update_library(spark, manifest, lambda held: held.join(stale, "file", "left_anti").select(*held.columns))
         writers.delete_outputs(spark, path, stale)
     return made
 

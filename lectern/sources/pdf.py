@@ -525,6 +525,26 @@ def parsed(data: bytes):
         yield {"error": "no pages"}
 
 
+_ARROW_BOX = [pa.field(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]
+_ARROW = {
+    "page": pa.int32(), "page_count": pa.int32(), "width": pa.float64(), "height": pa.float64(), "pdf_title": pa.string(),
+    "lines": pa.list_(pa.struct([pa.field("text", pa.string()), pa.field("size", pa.float64()), *_ARROW_BOX])), "drawings": pa.list_(pa.struct([pa.field("filled", pa.bool_()), *_ARROW_BOX])),
+    "images": pa.list_(pa.struct(_ARROW_BOX)), "toc": pa.list_(pa.struct([pa.field("level", pa.int32()), pa.field("heading", pa.string()), pa.field("page", pa.int32())])), "error": pa.string(),
+}
+
+
+def page_columns(data: bytes) -> list[pa.Array]:
+    """The columns PAGES of one file."""
+    found, made = list(parsed(data)), []
+    for name, kind in _ARROW.items():
+        rows = [x.get(name) for x in found]
+        if pa.types.is_list(kind):
+            names = [x.name for x in kind.value_type]
+            rows = [None if r is None else [dict(zip(names, x)) for x in r] for r in rows]
+        made.append(pa.array(rows, kind))
+    return made
+
+
 def pages(documents: DataFrame) -> DataFrame:
     """documents(..., content) with the columns PAGES in place of the content: a row a page.
 
@@ -535,26 +555,13 @@ def pages(documents: DataFrame) -> DataFrame:
     columns = [c for c in documents.columns if c != "content"]
     own = ST._parse_datatype_string(PAGES)
     schema = ST.StructType([documents.schema[c] for c in columns] + own.fields)
-    kinds = {"page": pa.int32(), "page_count": pa.int32(), "width": pa.float64(), "height": pa.float64(), "pdf_title": pa.string(), "error": pa.string()}
-    box = [pa.field(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]
-    kinds |= {
-        "lines": pa.list_(pa.struct([pa.field("text", pa.string()), pa.field("size", pa.float64()), *box])), "drawings": pa.list_(pa.struct([pa.field("filled", pa.bool_()), *box])),
-        "images": pa.list_(pa.struct(box)), "toc": pa.list_(pa.struct([pa.field("level", pa.int32()), pa.field("heading", pa.string()), pa.field("page", pa.int32())])),
-    }
 
     def read(batches):
         for batch in batches:
             content = batch.column(batch.schema.get_field_index("content"))
             for i in range(batch.num_rows):  # a file at a time: pages of one are many
-                found = list(parsed(content[i].as_py()))
-                heads = [batch.column(batch.schema.get_field_index(c)).take(pa.array([i] * len(found))) for c in columns]
-                made = []
-                for f in own.fields:
-                    kind, rows = kinds[f.name], [x.get(f.name) for x in found]
-                    if pa.types.is_list(kind):
-                        names = [x.name for x in kind.value_type]
-                        rows = [None if r is None else [dict(zip(names, x)) for x in r] for r in rows]
-                    made.append(pa.array(rows, kind))
+                made = page_columns(content[i].as_py())
+                heads = [batch.column(batch.schema.get_field_index(c)).take(pa.array([i] * len(made[0]))) for c in columns]
                 yield pa.RecordBatch.from_arrays([*heads, *made], [*columns, *own.names])
 
     return documents.mapInArrow(read, schema)

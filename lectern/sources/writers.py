@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import library as L
+from lectern.sources import files
 from lectern.storage import Scratch
 
 
@@ -22,12 +27,11 @@ def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str,
     """Writes decks(doc_id, deck_id, mode, chapter, title, doc_hash, slides, images, ...) as files; returns them with `file`.
 
     Single decks are SLUG_HASH_STAMP.json; a multi deck is such a folder, with NN_CHAPTER.json for each deck that worked
-    out, numbered in order, and index.json, which comes last. Names that are taken get a counter. Files are written by the
-    executors into a folder of their own and then moved into place one by one, so no file is ever half there and none is
-    replaced; a run cut short leaves only new files. Decks without slides are left out. The driver renames once for each file.
+    out, numbered in order, and index.json, which comes last. Names that are taken get a counter. The executors write files and
+    move each into place, so none is ever half there and none is replaced; a run cut short leaves only new files. Decks without
+    slides are left out. The driver sees a count from each task.
     """
     spark = decks.sparkSession
-    key = uuid.uuid4().hex
     fresh = Scratch(spark, "publish")
     good = fresh.save(decks.where("slides is not null"), "good")
     docs = good.groupBy("doc_id", "mode", "doc_hash").agg(F.min_by("title", "deck_id").alias("_title"))
@@ -41,14 +45,14 @@ def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str,
     rows = fresh.save(rows.drop("_c", "failed"), "rows")
     head = [F.lit(generated_at).alias("generated_at"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.col("doc_hash")]
     deck = F.to_json(F.struct("title", F.lit("single_deck").alias("type"), *head, "slides", "images"))
-    files = rows.select(F.when(multi, F.concat("name", F.lit("/"), "part")).otherwise(F.concat("name", F.lit(".json"))).alias("to"), deck.alias("value"), F.lit(0).alias("turn"))
+    parts = rows.select(F.when(multi, F.concat("name", F.lit("/"), "part")).otherwise(F.concat("name", F.lit(".json"))).alias("to"), deck.alias("value"), F.lit(0).alias("turn"))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("deck_no", F.col("chapter").alias("chapter_title"), F.col("part").alias("file")))), lambda x: x.dropFields("deck_no"))
     index = rows.where(multi).groupBy("name", "doc_hash").agg(F.min_by("title", "deck_id").alias("title"), entries.alias("decks"))
     index = index.select(F.concat("name", F.lit("/index.json")).alias("to"), F.to_json(F.struct("title", F.lit("multi_deck").alias("type"), *head, "decks")).alias("value"), F.lit(1).alias("turn"))
-    every = files.union(index)
+    every = parts.union(index)
     if debug:
         every = every.union(rows.select(F.concat(F.lit("debug/"), "name", F.lit("_"), "deck_no", F.lit(".json")), F.to_json(F.struct("*")), F.lit(0)))
-    _moved(every, f"{path}/.publish-{key}", path)
+    _placed(every, path)
     return rows.drop("deck_no", "part", "name")
 
 
@@ -57,19 +61,13 @@ def _names(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
     return [s.getPath().getName() for s in fs.globStatus(target) or []]
 
 
-def _moved(files: DataFrame, staged: str, path: str) -> None:
-    """files(to, value, turn) as single files below path: written in parallel, then renamed, in order of turn."""
-    spark = files.sparkSession
-    files.repartition("to").write.partitionBy("turn", "to").text(staged)
-    root, fs = _fs(spark, staged)
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    for turn in sorted((s.getPath() for s in fs.listStatus(root) if s.isDirectory()), key=lambda p: p.getName()):
-        for folder in [s.getPath() for s in fs.listStatus(turn)]:
-            target, _ = _fs(spark, f"{path}/{unescape(folder.getName().split('=', 1)[1])}")
-            fs.mkdirs(target.getParent())
-            part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-            fs.rename(part, target)
-    fs.delete(root, True)
+def _placed(pieces: DataFrame, path: str) -> None:
+    """pieces(to, value, turn) as single files below path, each put in place by the executor that writes it, in order of turn."""
+    spark = pieces.sparkSession
+    files.register(spark)
+    pieces = Scratch(spark, "place").save(pieces, "files")
+    for turn in (0, 1):
+        pieces.where(F.col("turn") == turn).select("to", "value").write.format("lectern").mode("append").save(path)
 
 
 def delete_outputs(spark: SparkSession, path: str, files: DataFrame) -> None:
@@ -79,41 +77,93 @@ def delete_outputs(spark: SparkSession, path: str, files: DataFrame) -> None:
         fs.delete(target.getParent() if target.getName() == "index.json" else target, True)
 
 
-def write_library(library: DataFrame, path: str) -> None:
-    """The manifest as a new version in its folder; one rename of a pointer makes it the current one.
+class Conflict(Exception):
+    """Another writer was first, time after time."""
+
+
+#: Versions that stay for readers that have just begun, and how often a change is made anew after losing to another writer.
+KEPT_VERSIONS, TRIES = 4, 50
+_LOG = re.compile(r"^(\d{12})\.version$")
+
+
+def update_library(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Replaces the manifest by change(manifest); returns the number of the version that is then the latest.
 
-    Whoever reads at any moment, or after a crash at any step, sees the old manifest or the new one. The version
-    before stays, for readers that have just begun; older ones go.
+    The manifest is a folder of versions and a log of their names. A version counts once its log entry is there, and
+    an entry is put under its number only if there is none: of two writers at once, one finds the number taken, reads what the
+    other wrote, and applies its change to that. So no change is lost, and whoever reads at any moment, or after a crash at any
+    step, sees one version or the next.
     """
-    spark = library.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    library.select(*L.COLUMNS).write.json(f"{path}/{name}")
-    before = _current(spark, path)
-    pointer, fs = _fs(spark, f"{path}/.{name}.pointer")
-    out = fs.create(pointer, True)
-    out.write(bytearray(name.encode()))
-    out.close()
+    for _ in range(TRIES):
+        number, name = _latest(spark, path)
+        version = f"v-{uuid.uuid4().hex}"
+        change(_version(spark, path, name)).select(*L.COLUMNS).write.json(f"{path}/{version}")
+        if _put_if_absent(spark, f"{path}/{number + 1:012d}.version", version):
+            _forget_versions(spark, path, number + 1)
+            return number + 1
+        target, fs = _fs(spark, f"{path}/{version}")
+        fs.delete(target, True)
+    raise Conflict(f"{path}: {TRIES} times another writer was first")
+
+
+def write_library(library: DataFrame, path: str) -> None:
+    """The manifest as it is to be, whatever it was; see update_library() for changes."""
+    update_library(library.sparkSession, path, lambda _: library)
+
+
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with a text in one step, unless there is one."""
     jvm = spark._jvm
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    qualified = fs.makeQualified(pointer)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(qualified, fs.makeQualified(_fs(spark, f"{path}/CURRENT")[0]), how)
-    for old in _names(spark, path):
-        if old.startswith("v-") and old not in (name, before):
-            fs.delete(_fs(spark, f"{path}/{old}")[0], True)
+    target, fs = _fs(spark, path)
+    target = fs.makeQualified(target)
+    staged = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if target.toUri().getScheme() == "file":  # a rename there would replace; a link doesn't
+            of = lambda p: jvm.java.nio.file.Paths.get(jvm.java.net.URI(f"file://{p.toUri().getRawPath()}"))
+            jvm.java.nio.file.Files.createLink(of(target), of(staged))
+        else:
+            how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, target, how)
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(staged, False)
+
+
+def _log(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(m[1]) for n in _names(spark, path) if (m := _LOG.match(n)))
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """(number, name) of the latest version; (0, None) where there is none."""
+    numbers = _log(spark, path)
+    return (numbers[-1], spark.read.text(f"{path}/{numbers[-1]:012d}.version").first().value.strip()) if numbers else (0, None)
+
+
+def _forget_versions(spark: SparkSession, path: str, number: int) -> None:
+    """Deletes all but the last versions that the log knows; what no entry names may still become one."""
+    for old in _log(spark, path):
+        if old <= number - KEPT_VERSIONS:
+            entry, fs = _fs(spark, f"{path}/{old:012d}.version")
+            with contextlib.suppress(AnalysisException, Py4JJavaError):  # another writer tidies up as well
+                name = spark.read.text(f"{path}/{old:012d}.version").first().value.strip()
+                fs.delete(_fs(spark, f"{path}/{name}")[0], True)
+                fs.delete(entry, False)
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
-    target, fs = _fs(spark, f"{path}/CURRENT")
-    return spark.read.text(f"{path}/CURRENT").first().value.strip() if fs.exists(target) else None
+def _version(spark: SparkSession, path: str, name: str | None) -> DataFrame:
+    return spark.read.schema(L.ENTRY).json(f"{path}/{name}") if name else spark.createDataFrame([], L.ENTRY)
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """What write_library() wrote, newest entries first; empty if there is nothing."""
-    name = _current(spark, path)
-    found = spark.read.schema(L.ENTRY).json(f"{path}/{name}") if name else spark.createDataFrame([], L.ENTRY)
-    return L.newest_first(found)
+    """The latest manifest, newest entries first; empty if there is nothing."""
+    return L.newest_first(_version(spark, path, _latest(spark, path)[1]))
 
 
 def save_stage(df: DataFrame, root: str, key: str, name: str) -> DataFrame:

@@ -347,7 +347,7 @@ def test_stages_and_settings(spark, tmp_path):
         registry.settings(nothing=1)
     with pytest.raises(ValueError):
         registry.settings(duplicate_policy="maybe")
-    with pytest.raises(ValueError, match="blocks, text"):
+    with pytest.raises(ValueError, match="blocks, pdf, text"):
         registry.extractor("none")
 
 

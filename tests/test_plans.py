@@ -143,7 +143,7 @@ def test_a_crash_before_the_manifest_loses_nothing(spark, tmp_path, monkeypatch)
     one = (1, "# Alpha\n" + "first text " * 9)
     run(spark, tmp_path, [one], "20260101T000000")
     before = [r.file for r in writers.read_library(spark, f"{tmp_path}/library").collect()]
-    for step in ("write_library", "delete_outputs"):
+    for step in ("update_library", "delete_outputs"):
         with monkeypatch.context() as m:
             m.setattr(writers, step, lambda *a: 1 / 0)
             try:
