@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Patterns and lengths that results depend on. White space, digits and word ends are those of Unicode;
 # of lines, only line feeds count.
 HEADING = r"(?mdU)^#{1,2}\s"
-HEADING_AHEAD = r"(?mdU)(?=^#{1,2}\s)"
+HEADING_AHEAD = r"(?mdU)^(?=#{1,2}\s)"
 FIGURE_TAG = r"(?U)\[FIGURE_ID:\s*([0-9]+)\]"
 CAPTION_WORDS = r"^(fig\.?|figure|chart|table)\b"
 CAPTION = "(?iU)" + CAPTION_WORDS
@@ -23,13 +23,17 @@ MOST_HASHES = 6
 JPEG = ("jpg", "jpeg")
 
 
+# White space in the sense of Unicode.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space, in the Unicode sense, at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(SPACE))
 
 
 def tokens(c: Column) -> Column:

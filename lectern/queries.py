@@ -213,40 +213,37 @@ def page_markdown(spark, d):
     return blocks.markdown(parts, key="page_id").select("page_id", F.md5(F.col("text").cast("binary")).alias("markdown_md5"))
 
 
-_LITERAL_BLOCKS = [
-    (1, 0, "text", "Introduction", 1, 0, None, None, None, None, None),
-    (1, 1, "text", "Body text here.", None, 0, None, None, None, None, None),
-    (1, 2, "equation", "$$E=mc^2$$", None, 0, None, None, None, None, None),
-    (1, 3, "image", None, None, 0, "images/fig1.jpg", ["Figure 1: A plot."], None, None, None),
-    (1, 4, "table", None, None, 1, None, None, None, ["Table 1: Results."], "<table><tr><td>a</td><td>b</td></tr><tr><td colspan=2>1|2</td></tr></table>"),
-    (2, 0, "header", "Page 3", None, 2, None, None, None, None, None),
-    (2, 1, "title", "Deep", 9, 2, None, None, None, None, None),
-    (2, 2, "chart", None, None, 2, "c.png", None, ["Figure 2:", " split "], None, None),
-    (2, 3, "image", None, None, 2, "x.png", [], None, None, None),
-    (2, 4, "equation", "x^2", None, 3, None, None, None, None, None),
-    (2, 5, "table", None, None, 3, "t.png", None, None, ["Table 2"], "<tr><th>h</th></tr><tr></tr><tr><td> v <b>w</b></td></tr>"),
-]
-_LITERAL_MD = {
-    1: "# Introduction\n\nBody text here.\n\n$$E=mc^2$$\n\nFigure 1: A plot. [FIGURE_ID: 0]\n\nTable 1: Results.\n\n| a | b |\n| --- | --- |\n| 1\\|2 |  |",
-    2: "###### Deep\n\nFigure 2: split [FIGURE_ID: 0]\n\n$$\nx^2\n$$\n\nTable 2 [FIGURE_ID: 1]\n\n| h |\n| --- |\n| v w |",
-}
-
-
-@query("SELECT CAST(k AS BIGINT) AS doc_id, t AS text FROM (VALUES " + ", ".join("(%d, '%s')" % (k, v.replace("\n", "' || chr(10) || '")) for k, v in _LITERAL_MD.items()) + ") AS x(k, t)")
+_CELLS = "'<table><tr><th>' || p_type || '</th><th>size</th></tr><tr><td> ' || p_brand || '|x</td></tr><tr></tr><tr><td colspan=2>' || p_size || ' <b>&amp;</b></td></tr></table>'"
+_PART_BLOCKS = f"""
+array(
+  named_struct('type', 'text', 'text', p_name, 'text_level', nullif(p_size % 9, 0), 'img_path', null, 'image_caption', null, 'table_caption', null, 'table_body', null),
+  named_struct('type', 'equation', 'text', if(p_partkey % 2 = 0, concat('$', p_type, '$'), p_type), 'text_level', null, 'img_path', null, 'image_caption', null, 'table_caption', null, 'table_body', null),
+  named_struct('type', 'image', 'text', null, 'text_level', null, 'img_path', if(p_partkey % 3 != 0, 'i.png', null), 'image_caption', array('Figure ' || p_size || ':', ' ' || p_name || ' '), 'table_caption', null, 'table_body', null),
+  named_struct('type', 'table', 'text', null, 'text_level', null, 'img_path', if(p_partkey % 4 < 2, 't.png', null), 'image_caption', null, 'table_caption', array(p_brand), 'table_body', {_CELLS}),
+  named_struct('type', 'header', 'text', 'Page', 'text_level', null, 'img_path', null, 'image_caption', null, 'table_caption', null, 'table_body', null))"""
+
+
+@query(
+    """WITH b AS (
+  SELECT p_partkey AS doc_id, 0 AS ord, CASE WHEN p_size % 9 = 0 THEN p_name ELSE repeat('#', least(p_size % 9, 6)) || ' ' || p_name END AS part FROM part
+  UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 2 = 0 THEN '$' || p_type || '$' ELSE '$$' || chr(10) || p_type || chr(10) || '$$' END FROM part
+  UNION ALL SELECT p_partkey, 2, 'Figure ' || p_size || ': ' || p_name || ' [FIGURE_ID: 0]' FROM part WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT p_partkey, 3, p_brand || CASE WHEN p_partkey % 4 < 2 THEN ' [FIGURE_ID: ' || CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END || ']' ELSE '' END || chr(10) || chr(10) ||
+         concat_ws(chr(10), '| ' || p_type || ' | size |', '| --- | --- |', '| ' || p_brand || '\\|x |  |', '| ' || p_size || ' & |  |') FROM part)
+SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY ord) AS text FROM b GROUP BY 1"""
+)
 def block_markdown(spark, d):
-    schema = blocks.BLOCK.replace(", has_crop boolean", "")
-    rows = spark.createDataFrame(_LITERAL_BLOCKS, schema).withColumn("has_crop", F.col("img_path").isNotNull())
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.expr(_PART_BLOCKS)).alias("ord", "b"))
+    rows = rows.select("doc_id", "ord", "b.*").withColumns({"page_idx": F.lit(0), "chart_caption": F.lit(None).cast("array<string>"), "has_crop": F.col("img_path").isNotNull()})
     return blocks.markdown(blocks.rendered_blocks(rows))
 
 
-_TABLES = [
-    (1, "intro\nTable 1: sizes\n| a | b |\n| --- | --- |\n| 1 | 2 |\nend"),
-    (2, "| a | b | c |\n| 1 |\n| x | y |\n|| 5 |\nFigure 7 shows | this\nafter"),
-    (3, "no table | here\nplain"),
-    (4, "Table 2. empty\n|  |  |  |  |\n|  |  |  |  |\n"),
-    (5, "\n".join(["| r | s |"] * 75) + "\nChart 3 below\n"),
-]
-_TABLE_SQL = "t(doc_id, text) AS (VALUES " + ", ".join("(%d, '%s')" % (k, v.replace("\n", "' || chr(10) || '")) for k, v in _TABLES) + ")"
+#: Documents of which every six lines begin with a caption and three table rows, even in every other document; each seventh is one table.
+_TABLE_SQL = """
+raw AS (SELECT doc_id, p - 1 AS i, x[p] AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS u(p)),
+t AS (SELECT doc_id, string_agg(CASE
+    WHEN doc_id % 7 = 0 OR i % 6 IN (1, 2, 3) THEN CASE WHEN doc_id % 2 = 0 THEN '| ' || left(l, 5) || ' | ' || length(l) || ' |' ELSE '| ' || replace(left(l, 40), ' ', ' | ') || ' |' END
+    WHEN i % 6 = 0 AND doc_id % 3 <> 0 THEN 'Table ' || i || ': ' || left(l, 20) ELSE l END, chr(10) ORDER BY i) || CASE WHEN doc_id % 2 = 1 THEN chr(10) ELSE '' END AS text FROM raw GROUP BY doc_id)"""
 _ISLANDS = f"""{_TABLE_SQL},
 l AS (SELECT doc_id, p - 1 AS line, x[p] AS l FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS x FROM t), unnest(range(1, len(x) + 1)) AS u(p)),
 r AS (SELECT *, sum(CASE WHEN contains(l, '|') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS run, contains(l, '|') AS pipe FROM l),
@@ -254,39 +251,47 @@ i AS (SELECT doc_id, line, l, CASE WHEN pipe AND line >= f THEN f END AS island
   SELECT *, min(CASE WHEN pipe AND regexp_matches(trim(l), '^\\||\\|$') THEN line END) OVER (PARTITION BY doc_id, run) AS f FROM r))"""
 
 
-def _tables(spark):
-    return spark.createDataFrame(_TABLES, "doc_id int, text string")
+def _tables(spark, d):
+    def line(l, i):
+        row = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("| "), F.substring(l, 1, 5), F.lit(" | "), F.char_length(l).cast("string"), F.lit(" |"))).otherwise(F.concat(F.lit("| "), F.replace(F.substring(l, 1, 40), F.lit(" "), F.lit(" | ")), F.lit(" |")))
+        caption = F.concat(F.lit("Table "), i.cast("string"), F.lit(": "), F.substring(l, 1, 20))
+        return F.when((F.col("doc_id") % 7 == 0) | (i % 6).isin(1, 2, 3), row).when((i % 6 == 0) & (F.col("doc_id") % 3 != 0), caption).otherwise(l)
+
+    end = F.when(F.col("doc_id") % 2 == 1, "\n").otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat(F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"), end).alias("text"))
 
 
 @query(f"WITH {_ISLANDS} SELECT doc_id, CAST(line AS INTEGER) AS line, l, CAST(island AS INTEGER) AS island FROM i")
 def table_islands(spark, d):
-    return tables.table_islands(tables.lines_of(_tables(spark))).drop("eol")
+    return tables.table_islands(tables.lines_of(_tables(spark, d))).drop("eol")
 
 
-@query(
-    f"""WITH {_ISLANDS},
+_CHECKED = f"""{_ISLANDS},
 n AS (SELECT *, lag(l) OVER w AS b, lead(l) OVER w AS a, NOT regexp_matches(l, '^\\s*\\|[\\s\\-:|]+\\|\\s*$') AS is_row, length(l) - length(replace(l, '|', '')) AS pipes,
         len(string_split(l, '|')) AS cells, len(list_filter(string_split(l, '|'), lambda c: trim(c) <> '')) AS filled FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 q AS (SELECT doc_id, island, pipes, count(*) AS n FROM n WHERE island IS NOT NULL AND is_row GROUP BY ALL),
 g AS (SELECT doc_id, island, max(line) AS last, count(*) FILTER (WHERE is_row) AS rows, sum(filled) FILTER (WHERE is_row) AS f, sum(cells) FILTER (WHERE is_row) AS c,
         max(b) FILTER (WHERE line = island) AS b, arg_max(a, line) AS a0 FROM n WHERE island IS NOT NULL GROUP BY ALL),
-z AS (SELECT g.*, (SELECT max(n) FROM q WHERE q.doc_id = g.doc_id AND q.island = g.island) AS modal, (SELECT l FROM n WHERE n.doc_id = g.doc_id AND n.line = g.last + 1) AS a FROM g)
-SELECT doc_id, CAST(island AS INTEGER) AS island, CAST(last AS INTEGER) AS last, rows, coalesce(rows > 70 OR (rows > 0 AND (modal / rows < 0.8 OR f / c < 0.2)), false) AS malformed,
-       coalesce(left(CASE WHEN regexp_matches(trim(b), '(?i)^(fig\\.?|figure|chart|table)\\b') THEN trim(b) WHEN regexp_matches(trim(a), '(?i)^(fig\\.?|figure|chart|table)\\b') THEN trim(a) END, 120), '') AS caption
-FROM z"""
-)
-def table_check(spark, d):
-    return tables.check_tables(tables.table_islands(tables.lines_of(_tables(spark))))
+z AS (SELECT g.*, (SELECT max(n) FROM q WHERE q.doc_id = g.doc_id AND q.island = g.island) AS modal, (SELECT l FROM n WHERE n.doc_id = g.doc_id AND n.line = g.last + 1) AS a FROM g),
+checked AS (SELECT doc_id, CAST(island AS INTEGER) AS island, CAST(last AS INTEGER) AS last, rows, coalesce(rows > 70 OR (rows > 0 AND (modal / rows < 0.8 OR f / c < 0.2)), false) AS malformed,
+       coalesce(left(CASE WHEN regexp_matches(trim(b), '(?i)^(fig\\.?|figure|chart|table)\\b') THEN trim(b) WHEN regexp_matches(trim(a), '(?i)^(fig\\.?|figure|chart|table)\\b') THEN trim(a) END, 120), '') AS caption FROM z)"""
 
 
-_CLEAN = {
-    1: _TABLES[0][1], 2: "[TABLE]\nafter", 3: _TABLES[2][1], 4: _TABLES[3][1], 5: "[TABLE: Chart 3 below]\nChart 3 below\n",
-}
+@query(f"WITH {_CHECKED} SELECT * FROM checked")
+def table_check(spark, d):
+    return tables.check_tables(tables.table_islands(tables.lines_of(_tables(spark, d))))
 
 
-@query("SELECT CAST(k AS INTEGER) AS doc_id, t AS text FROM (VALUES " + ", ".join("(%d, '%s')" % (k, v.replace("\n", "' || chr(10) || '")) for k, v in _CLEAN.items()) + ") AS x(k, t)")
+@query(
+    f"""WITH {_CHECKED},
+w AS (SELECT i.doc_id, i.line, i.l, i.island, coalesce(c.malformed, false) AS bad, c.caption, i.line = max(i.line) OVER (PARTITION BY i.doc_id) AS last
+      FROM i LEFT JOIN checked c ON c.doc_id = i.doc_id AND c.island = i.island)
+SELECT t.doc_id, md5(string_agg(CASE WHEN bad AND line = w.island THEN '[TABLE' || CASE WHEN caption <> '' THEN ': ' || caption ELSE '' END || ']' || chr(10) WHEN bad THEN ''
+       ELSE l || CASE WHEN last AND NOT t.text LIKE '%' || chr(10) THEN '' ELSE chr(10) END END, '' ORDER BY line)) AS text_md5
+FROM t JOIN w USING (doc_id) GROUP BY t.doc_id"""
+)
 def table_clean(spark, d):
-    return tables.clean_tables(_tables(spark))
+    return tables.clean_tables(_tables(spark, d)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 # ---------------------------------------------------------------- slugs and stamps
@@ -338,15 +343,24 @@ def caption_scan(spark, d):
     return _captioned(spark, d).select("p_partkey", "caption", T.is_caption(F.col("caption")).alias("is_caption"), T.caption_key(F.col("caption")).alias("caption_key"))
 
 
-_INJECT = [(1, "See Figure 3 first.\n**Figure  3** Bold one\nFigure 3 again\nTable 1. T\nFigure 30 not\n"), (2, "fig. 2 low\nFIG. 2 twice"), (3, "nothing")]
-_INJECT_FIGURES = [(1, 0, "Figure 3: x"), (1, 1, "table 1"), (1, 2, "Chart 9"), (2, 0, "Fig. 2"), (2, 1, "Fig.  2 too"), (3, 0, "no keyword 1")]
-_INJECTED = [(1, "See Figure 3 first.\n**Figure  3** Bold one [FIGURE_ID: 0]\nFigure 3 again\nTable 1. T [FIGURE_ID: 1]\nFigure 30 not\n"), (2, "fig. 2 low [FIGURE_ID: 0] [FIGURE_ID: 1]\nFIG. 2 twice"), (3, "nothing")]
+_INJECT_TEXT = "concat_ws('\n', 'See Figure ' || p_size || ' first.', '**Figure  ' || p_size || '** ' || p_name, 'Figure ' || p_size || ' again', 'Table ' || p_partkey || '. T', 'TABLE  ' || p_partkey || ' twice', 'Figure ' || p_size || '0 not')"
+_INJECT_CAPTIONS = "['Figure ' || p_size || ': x', 'table ' || p_partkey, 'Chart 9', CASE WHEN p_partkey % 5 = 0 THEN 'figure   ' || p_size || ' too' ELSE 'no keyword 1' END]"
+_KEY_SQL = "lower(regexp_replace(trim(regexp_extract({}, '(?i)^\\*{{0,2}}((?:fig\\.?\\s*|figure\\s*|chart\\s*|table\\s*)\\d+)\\b', 1)), '\\s+', ' ', 'g'))"
 
 
-@query("SELECT CAST(k AS INTEGER) AS doc_id, t AS text FROM (VALUES " + ", ".join("(%d, '%s')" % (k, v.replace("\n", "' || chr(10) || '")) for k, v in _INJECTED) + ") AS x(k, t)")
+@query(
+    f"""WITH d AS (SELECT p_partkey AS doc_id, string_split({_INJECT_TEXT.replace("'" + chr(92) + "n'", 'chr(10)')}, chr(10)) AS x, {_INJECT_CAPTIONS} AS c FROM part),
+l AS (SELECT doc_id, p, x[p] AS l, {_KEY_SQL.format("x[p]")} AS k FROM d, unnest(range(1, len(x) + 1)) AS t(p)),
+f AS (SELECT doc_id, p - 1 AS id, {_KEY_SQL.format("c[p]")} AS k FROM d, unnest(range(1, len(c) + 1)) AS t(p)),
+g AS (SELECT doc_id, k, string_agg(' [FIGURE_ID: ' || id || ']', '' ORDER BY id) AS tags FROM f WHERE k <> '' GROUP BY 1, 2),
+n AS (SELECT doc_id, k, min(p) AS p FROM l WHERE k <> '' GROUP BY 1, 2)
+SELECT l.doc_id, string_agg(l || coalesce(tags, ''), chr(10) ORDER BY l.p) AS text
+FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.p = l.p LEFT JOIN g ON g.doc_id = n.doc_id AND g.k = n.k GROUP BY 1"""
+)
 def figure_inject(spark, d):
-    docs = spark.createDataFrame(_INJECT, "doc_id int, text string")
-    return figures.inject_figure_ids(docs, spark.createDataFrame(_INJECT_FIGURES, "doc_id int, figure_id int, caption string"))
+    part = table(spark, d, "part")
+    captions = F.expr(_INJECT_CAPTIONS.replace("[", "array(", 1).replace("]", ")"))
+    return figures.inject_figure_ids(part.select(F.col("p_partkey").alias("doc_id"), F.expr(_INJECT_TEXT).alias("text")), part.select(F.col("p_partkey").alias("doc_id"), F.posexplode(captions).alias("figure_id", "caption")))
 
 
 _CATALOG = """
