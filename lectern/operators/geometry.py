@@ -1,6 +1,7 @@
 """Rectangles on pages: pairing, merging, containment, figure regions.
 
-Rectangles are four columns x0, y0, x1, y1. Joins always carry the page, so a page's rectangles only meet each other.
+Rectangles are four columns x0, y0, x1, y1. Joins always carry the page and a cell of a grid, of a size that follows the rectangles',
+so a rectangle only meets those around it, however many a page has.
 """
 
 from __future__ import annotations
@@ -63,12 +64,52 @@ def bounding_boxes(regions: DataFrame, *keys: str) -> DataFrame:
     return regions.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("confidence").alias("confidence"))
 
 
+#: Powers of two, in points, of the sides of cells.
+FINEST, COARSEST = 4, 12
+
+
+def _in_cells(df: DataFrame, box: tuple, side: str, visiting: int | None) -> DataFrame:
+    """df with its box as `side` columns, a row for each cell that the box meets: at the level of its size, or, visiting,
+    at all levels from `visiting` above it."""
+    x0, y0, x1, y1 = box
+    low = {f"_{side}x": F.least(x0, x1), f"_{side}y": F.least(y0, y1), f"_{side}u": F.greatest(x0, x1), f"_{side}v": F.greatest(y0, y1)}
+    df = df.where(x0.isNotNull() & y0.isNotNull() & x1.isNotNull() & y1.isNotNull()).withColumns({k: c.cast("double") for k, c in low.items()})
+    x, y, u, v = (F.col(k) for k in low)
+    level = F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.ceil(F.log2(F.greatest(u - x, v - y, F.lit(1.0)))))).cast("int")
+    own = F.array(level) if visiting is None else F.when(level + visiting <= COARSEST, F.sequence(level + visiting, F.lit(COARSEST)))
+    df = df.withColumn("_level", F.explode(own)).withColumn("_size", F.call_function("shiftleft", F.lit(1), F.col("_level")))
+    cell = lambda a: F.floor(a / F.col("_size"))
+    return df.withColumn("_cx", F.explode(F.sequence(cell(x), cell(u)))).withColumn("_cy", F.explode(F.sequence(cell(y), cell(v)))).drop("_size")
+
+
+def meeting(a: DataFrame, b: DataFrame, a_box: tuple, b_box: tuple) -> DataFrame:
+    """Rows of a and b on one page whose boxes meet, each pair once; but for the page they share no column names.
+
+    Boxes are (x0, y0, x1, y1) as columns; nulls meet nothing. A box has at most four cells at the level of its size, and at each
+    coarser one, where it visits the larger boxes that live there; a pair counts in the cell where its intersection begins.
+    """
+    here = lambda axis: F.floor(F.greatest(F.col(f"_a{axis}"), F.col(f"_b{axis}")) / F.call_function("shiftleft", F.lit(1), F.col("_level")))
+    meets = (F.least("_au", "_bu") >= F.greatest("_ax", "_bx")) & (F.least("_av", "_bv") >= F.greatest("_ay", "_by"))
+    columns = [*PAGE, *(c for c in a.columns if c not in PAGE), *(c for c in b.columns if c not in PAGE)]
+
+    def met(a_visits: int | None, b_visits: int | None) -> DataFrame:
+        both = _in_cells(a, a_box, "a", a_visits).join(_in_cells(b, b_box, "b", b_visits), [*PAGE, "_level", "_cx", "_cy"])
+        return both.where(meets & (F.col("_cx") == here("x")) & (F.col("_cy") == here("y"))).select(*columns)
+
+    return met(0, None).union(met(None, 1))
+
+
+def _grown(box: tuple, dx: float, dy: float) -> tuple:
+    x0, y0, x1, y1 = box
+    return F.least(x0, x1) - dx, F.least(y0, y1) - dy, F.greatest(x0, x1) + dx, F.greatest(y0, y1) + dy
+
+
 def caption_pairs(figures: DataFrame, captions: DataFrame, most: float = CAPTION_GAP) -> DataFrame:
     """doc_id, page, figure_id, caption_id, gap of all pairs that share some width and are at most `most` apart."""
     f = figures.select(*PAGE, F.col("region_id").alias("figure_id"), *(F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")))
     c = captions.select(*PAGE, F.col("region_id").alias("caption_id"), *(F.col(x).alias(f"c{x}") for x in ("x0", "y0", "x1", "y1")))
     gap = F.greatest(F.lit(0.0), F.col("fy0") - F.col("cy1"), F.col("cy0") - F.col("fy1"))
-    pairs = f.join(c, list(PAGE)).where("least(fx1, cx1) - greatest(fx0, cx0) > 0").withColumn("gap", gap)
+    pairs = meeting(f, c, _grown(rect("f"), 0.0, most), rect("c")).where("least(fx1, cx1) - greatest(fx0, cx0) > 0").withColumn("gap", gap)
     return pairs.where(F.col("gap") <= most).select(*PAGE, "figure_id", "caption_id", "gap")
 
 
@@ -133,30 +174,29 @@ def panel_links(regions: DataFrame, gap: float = PANEL_GAP) -> DataFrame:
     a = regions.select(*PAGE, F.col("region_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
     b = regions.select(*PAGE, F.col("region_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     near = f"greatest(ax0, bx0) - least(ax1, bx1) <= {gap} and greatest(ay0, by0) - least(ay1, by1) <= {gap}"
-    return a.join(b, list(PAGE)).where(f"a < b and {near}").select(*PAGE, "a", "b")
+    return meeting(a, b, _grown(rect("a"), gap, gap), rect("b")).where(f"a < b and {near}").select(*PAGE, "a", "b")
 
 
 def panel_components(regions: DataFrame, gap: float = PANEL_GAP) -> DataFrame:
-    """regions with component: the smallest region_id of all panels reachable."""
+    """regions with component: the smallest region_id of all panels reachable. region_id names a region of a page."""
+
+    def merged(links: list[dict]) -> list[tuple]:
+        root: dict = {}
 
-    def near(a: dict, b: dict) -> bool:
-        return max(a["x0"], b["x0"]) - min(a["x1"], b["x1"]) <= gap and max(a["y0"], b["y0"]) - min(a["y1"], b["y1"]) <= gap
+        def find(v):
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
 
-    def merged(page: list[dict]) -> list[tuple]:
-        # rows come by region_id: whoever isn't reached yet begins a component
-        out, left = [], page
-        while left:
-            reached, left = left[:1], left[1:]
-            least = reached[0]["region_id"]
-            while reached:
-                row = reached.pop()
-                out.append((*row.values(), least))
-                reached += [x for x in left if near(row, x)]
-                left = [x for x in left if not near(row, x)]
-        return out
+        for row in links:
+            a, b = sorted((find(row["a"]), find(row["b"])))
+            root[b] = a  # the smaller one stays, so a root is the smallest of its own
+        return [(*(links[0][c] for c in PAGE), v, find(v)) for v in list(root)]
 
-    kind = regions.schema["region_id"].dataType.simpleString()
-    return page_folds(regions, ["region_id"], merged, f"{_schema(regions)}, component {kind}")
+    key, page, kind = (regions.schema[c].dataType.simpleString() for c in (*PAGE, "region_id"))
+    found = page_folds(panel_links(regions, gap), ["a", "b"], merged, f"doc_id {key}, page {page}, region_id {kind}, _root {kind}")
+    out = regions.join(found, [*PAGE, "region_id"], "left")
+    return out.select(*(regions[c] for c in regions.columns), F.coalesce("_root", regions["region_id"]).alias("component"))
 
 
 def merged_panels(regions: DataFrame, gap: float = PANEL_GAP) -> DataFrame:
@@ -170,7 +210,7 @@ def text_inside(rects: DataFrame, blocks: DataFrame) -> DataFrame:
     rects(doc_id, page, rect_id, x0..y1), blocks(doc_id, page, ord, text, x0..y1).
     """
     b = blocks.select(*PAGE, "ord", "text", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    both = rects.join(b, list(PAGE))
+    both = meeting(rects.select(*PAGE, "rect_id", "x0", "y0", "x1", "y1"), b, rect(""), rect("b"))
     inside = area(F.greatest("x0", "bx0"), F.greatest("y0", "by0"), F.least("x1", "bx1"), F.least("y1", "by1"))
     own = area(*rect("b"))
     both = both.where((own > 0) & (inside > 0) & (inside / own >= CONTAINED) & (F.trim("text") != ""))
@@ -223,7 +263,7 @@ def figure_regions(captions: DataFrame, drawings: DataFrame, blocks: DataFrame,
     keys = [*PAGE, "caption_ord"]
 
     def side(shapes: DataFrame, source: str) -> DataFrame:
-        near = c.join(shapes.select(*PAGE, "x0", "y0", "x1", "y1"), list(PAGE)).where((F.least("x1", "cx1") - F.greatest("x0", "cx0")) / wide >= OVERLAP)
+        near = meeting(c, shapes.select(*PAGE, "x0", "y0", "x1", "y1"), _grown(rect("c"), 0.0, SEARCH), rect("")).where((F.least("x1", "cx1") - F.greatest("x0", "cx0")) / wide >= OVERLAP)
         above = (F.col("y1") <= F.col("cy0") + 2) & (F.col("y0") >= F.greatest(F.col("py0"), F.col("cy0") - SEARCH))
         below = (F.col("y0") >= F.col("cy1") - 2) & (F.col("y1") <= F.least(F.col("py1"), F.col("cy1") + SEARCH))
         # a shape within two points of a thin caption can be on both sides
@@ -240,14 +280,16 @@ def figure_regions(captions: DataFrame, drawings: DataFrame, blocks: DataFrame,
         text = blocks.where("kind = 0").where(~T.is_caption(F.trim("text"))).select(*PAGE, "size", *(F.col(x).alias(f"b{x}") for x in ("x0", "y0", "x1", "y1")))
         beyond = F.col("by1") <= F.col("cy0") - 2 if up else F.col("by0") >= F.col("cy1") + 2
         counts = beyond & (F.least("bx1", "cx1") - F.greatest("bx0", "cx0") > 0) & (F.coalesce("size", F.lit(0.0)) >= F.col("body_size") * 0.8)
-        seen = c.join(text, list(PAGE), "left").groupBy(*keys, "cx0", "cy0", "cx1", "cy1", "px0", "py0", "px1", "py1")
+        # what is farther off than the search goes decides nothing
+        near = meeting(c.select(*keys, "cx0", "cy0", "cx1", "cy1", "body_size"), text, _grown(rect("c"), 0.0, SEARCH), rect("b")).where(counts)
+        known = near.groupBy(*keys).agg((F.max("by1") if up else F.min("by0")).alias("_e"))
         limit = F.greatest(F.col("py0"), F.col("cy0") - SEARCH) if up else F.least(F.col("py1"), F.col("cy1") + SEARCH)
-        edge = seen.agg((F.max(F.when(counts, F.col("by1"))) if up else F.min(F.when(counts, F.col("by0")))).alias("_e"))
-        edge = edge.withColumn("_edge", (F.greatest if up else F.least)(limit, F.coalesce("_e", limit)))
+        edge = c.join(known, keys, "left").withColumn("_edge", (F.greatest if up else F.least)(limit, F.coalesce("_e", limit)))
         lo, hi = ("_edge", "cy0") if up else ("cy1", "_edge")
         every = blocks.select(*PAGE, *(F.col(x).alias(f"b{x}") for x in ("x0", "y0", "x1", "y1")))
-        spread = edge.join(every, list(PAGE), "left").withColumn("_in", (F.col(lo) <= F.col("by0")) & (F.col("by1") <= F.col(hi)))
-        out = spread.groupBy(*keys, "cx0", "cx1", lo, hi, "px0", "py0", "px1", "py1").agg(F.min(F.when(F.col("_in"), F.col("bx0"))).alias("_l"), F.max(F.when(F.col("_in"), F.col("bx1"))).alias("_r"))
+        band = lambda y0, y1: (F.lit(0.0), F.col(y0), F.lit(0.0), F.col(y1))  # noqa: E731  the whole width of the page
+        between = meeting(edge.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), every, band("_lo", "_hi"), band("by0", "by1")).where("_lo <= by0 and by1 <= _hi")
+        out = edge.join(between.groupBy(*keys).agg(F.min("bx0").alias("_l"), F.max("bx1").alias("_r")), keys, "left")
         out = out.select(*keys, (F.least("cx0", F.coalesce("_l", "cx0")) - PADDING).alias("x0"), F.col(lo).alias("y0"), (F.greatest("cx1", F.coalesce("_r", "cx1")) + PADDING).alias("x1"), F.col(hi).alias("y1"), "px0", "py0", "px1", "py1")
         return padded(out.where(f"x1 > x0 and y1 - y0 >= {LEAST_HEIGHT}"), 0.0).select(*keys, "x0", "y0", "x1", "y1", F.lit("above" if up else "below").alias("source"))
 
