@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -33,6 +34,80 @@ def is_blank(samples: Column, channels: Column) -> Column:
     return blank(samples, channels)
 
 
+#: Of each kind of PNG: channels, by colour type.
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Of the seven passes of an interlaced image: first column and row, and the steps between.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def png(data: bytes) -> np.ndarray:
+    """Height, width and channels of the 8-bit pixels of a PNG file; palettes are resolved, of 16 bits the upper eight count."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, chunks = 8, {}
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        chunks[kind] = chunks.get(kind, b"") + data[at + 8 : at + 8 + size]
+        at += size + 12
+    width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", chunks[b"IHDR"])
+    channels = _CHANNELS[colour]
+    raw = zlib.decompress(chunks[b"IDAT"])
+    out = np.zeros((height, width, channels), np.uint8)
+    at = 0
+    for x, y, dx, dy in _PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = len(range(x, width, dx)), len(range(y, height, dy))
+        if w and h:
+            row = (w * channels * depth + 7) // 8
+            part = unfiltered(raw[at : at + h * (row + 1)], row, max(1, channels * depth // 8))
+            at += h * (row + 1)
+            out[y::dy, x::dx] = _samples(part, w * channels, depth, colour != 3).reshape(h, w, channels)
+    return np.frombuffer(chunks[b"PLTE"], np.uint8).reshape(-1, 3)[out[:, :, 0]] if colour == 3 else out
+
+
+def _samples(rows: np.ndarray, n: int, depth: int, spread: bool) -> np.ndarray:
+    """Rows of n samples of some bits each, as bytes; spread: so that the largest value is 255."""
+    if depth == 16:
+        return rows[:, ::2]
+    if depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)[:, :n]
+        rows = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+        return rows * np.uint8(255 // ((1 << depth) - 1)) if spread else rows
+    return rows
+
+
+def png_pixels(content: Column) -> Column:
+    """Struct of width, height, channels, samples (see is_blank) and error of PNG files; null files have nulls."""
+
+    @F.pandas_udf("width int, height int, channels int, samples binary, error string")
+    def decoded(files: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in files:
+            try:
+                pixels = None if data is None else png(bytes(data))
+                rows.append((None,) * 5 if pixels is None else (pixels.shape[1], pixels.shape[0], pixels.shape[2], pixels.tobytes(), None))
+            except Exception as e:  # a broken file is a row like any other
+                rows.append((None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+        return pd.DataFrame(rows, columns=["width", "height", "channels", "samples", "error"]).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
+
+    return decoded(content)
+
+
+def made_png(pixels: np.ndarray, colour: int, depth: int = 8, palette: bytes = b"") -> bytes:
+    """A PNG file of rows of samples as bytes, each row with a filter of its own kind, for queries and tests."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    height, row = pixels.shape
+    step = max(1, _CHANNELS[colour] * depth // 8)
+    body, above = b"", np.zeros(row, np.int64)
+    for k, now in enumerate(pixels.astype(np.int64)):
+        left, corner = (np.concatenate([np.zeros(step, np.int64), x])[:row] for x in (now, above))
+        near = np.array([min((abs(u - c), 0, l), (abs(l - c), 1, u), (abs(l + u - 2 * c), 2, c))[2] for l, u, c in zip(left, above, corner)], np.int64)
+        guess = (0, left, above, (left + above) // 2, near)[k % 5]
+        body += bytes([k % 5]) + ((now - guess) & 255).astype(np.uint8).tobytes()
+        above = now
+    head = struct.pack(">IIBBBBB", row * 8 // (_CHANNELS[colour] * depth), height, depth, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
 def unfiltered(data: bytes, width: int, step: int) -> np.ndarray:
     """Rows of `width` bytes, each behind a byte that names its filter, as they were before; `step` bytes are a pixel."""
     rows = np.frombuffer(data, np.uint8)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.tables import LINE_ENDS, whole_lines
+from lectern.storage import Scratch, small
 
 #: Figures that a slide may own.
 PER_SLIDE = 3
@@ -61,7 +62,7 @@ def inject_figure_ids(docs: DataFrame, figures: DataFrame, *, key: str = "doc_id
     wanted = wanted.groupBy(key, "_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("figure_id")), lambda n: F.concat(F.lit(" [FIGURE_ID: "), n.cast("string"), F.lit("]"))), "").alias("_tags"))
     first = opening.where("_k is not null").groupBy(key, "_k").agg(F.min("line").alias("line"))
     tags = first.join(wanted, [key, "_k"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("line", "_tags"))).alias("_tags"))
-    out = docs.select(key, "text").join(tags, key, "left")
+    out = docs.select(key, "text").join(small(Scratch(docs.sparkSession, "figures").save(tags, "tags"), 100_000), key, "left")
     end = f"((?:\\r\\n|[{LINE_ENDS}])?)\\z"
 
     def tagged(w: Column, i: Column) -> Column:

@@ -60,23 +60,20 @@ def split_summary(slides: DataFrame, *, key: list[str]) -> tuple[DataFrame, Data
     return joined.where("_first is null or ord != _first").drop("_first"), joined.where("ord = _first").drop("_first")
 
 
-def merged_lists(rows: DataFrame, *keys: str, lists: list[str], order: str, scalars: list[str] = []) -> DataFrame:
-    """One row for each key: lists become their distinct elements in the order of first appearance, other fields the first non-null one."""
+def merged_lists(rows: DataFrame, *keys: str, lists: list[str], order: str, scalars: list[str] = [], more: list[Column] = []) -> DataFrame:
+    """One row for each key: lists become their distinct elements in the order of first appearance, other fields the first non-null one; `more` are aggregates."""
     out = []
     for c in lists:
         parts = F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])  # noqa: B023
         out.append(F.array_distinct(F.flatten(F.filter(parts, lambda x: x.isNotNull()))).alias(c))
     out += [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
-    return rows.groupBy(*keys).agg(*out)
+    return rows.groupBy(*keys).agg(*out, *more)
 
 
 def two_level_merge(rows: DataFrame, key: str, part: str, *, lists: list[str], order: str, scalars: list[str] = []) -> DataFrame:
     """One row for each key: rows are merged by part first, then the parts in order of their first row; parts and items count both."""
-    inner = merged_lists(rows, key, part, lists=lists, order=order, scalars=scalars)
-    sizes = rows.groupBy(key, part).agg(F.count("*").alias("_items"), F.min(order).alias("_first"))
-    both = inner.join(sizes, [key, part])
-    whole = merged_lists(both, key, lists=lists, order="_first", scalars=scalars)
-    return whole.join(both.groupBy(key).agg(F.count("*").alias("parts"), F.sum("_items").alias("items")), key)
+    inner = merged_lists(rows, key, part, lists=lists, order=order, scalars=scalars, more=[F.count("*").alias("_items"), F.min(order).alias("_first")])
+    return merged_lists(inner, key, lists=lists, order="_first", scalars=scalars, more=[F.count("*").alias("parts"), F.sum("_items").alias("items")])
 
 
 def failure_runs(events: DataFrame, *, key: str, order: list[str], bad: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.storage import Scratch, small
 
 # What makes a table malformed.
 MOST_ROWS = 70
@@ -76,7 +77,8 @@ def clean_tables(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     bad = check_tables(table_islands(lines_of(piped, key=key, text=text), key=key), key=key).where("malformed")
     mark = F.concat(F.lit("[TABLE"), F.when(F.col("caption") != "", F.concat(F.lit(": "), "caption")).otherwise(F.lit("")), F.lit("]\n"))
     spans = bad.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("island", "last", mark.alias("mark")))).alias("_spans"))
-    joined = docs.select(key, F.col(text).alias("_text")).join(spans, key, "left")
+    # the spans of few texts are sent to the texts; of very many, both are sorted
+    joined = docs.select(key, F.col(text).alias("_text")).join(small(Scratch(docs.sparkSession, "tables").save(spans, "spans"), 100_000), key, "left")
     n = F.size("_spans")
 
     def between(z: Column) -> Column:

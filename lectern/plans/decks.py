@@ -56,6 +56,34 @@ def ordered(rows: DataFrame, keys: list[str], order: str, value: Column, name: s
     return rows.groupBy(*keys).agg(F.transform(held, lambda x: x["_v"]).alias(name))
 
 
+#: Maps that one call merges at most; more are merged in levels.
+FAN_IN = 40
+
+
+def merged_in_levels(steps: Stages, maps: DataFrame, keys: list[str], name: str, task: str, payload: Column) -> tuple[DataFrame, DataFrame]:
+    """(keys, ord, map) with at most FAN_IN rows for each key, and (keys, error) of calls that failed, from maps(keys, ord, map).
+
+    Each level merges neighbours, FAN_IN at a time, in one wave of calls; keys with no more stay as they are. `payload` is
+    made of keys and maps, the list of one call. So no call, row or group holds all maps of a chapter, however many it has.
+    """
+    errors, level = [], 0
+    while True:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy("ord")) - 1
+        maps = steps.kept(maps.select(*keys, "ord", "map", place.alias("_at"), F.count("*").over(W.partitionBy(*keys)).alias("_n")), f"{name}-{level}")
+        large = maps.where(F.col("_n") > FAN_IN)
+        if large.isEmpty():
+            break
+        asked = ordered(large.withColumn("ord", F.floor(F.col("_at") / FAN_IN)), [*keys, "ord"], "_at", F.col("map"), "maps")
+        said = steps.answers(asked.select(*keys, "ord", payload), f"{name}-merged-{level}", task, [*keys, "ord"])
+        errors.append(said.where("error is not null").select(*keys, "error"))
+        whole = maps.where(F.col("_n") <= FAN_IN).select(*keys, F.col("ord").cast("long").alias("ord"), "map")
+        maps, level = whole.union(said.where("error is null").select(*keys, "ord", F.col("answer").alias("map"))), level + 1
+    lost = maps.select(*keys, F.lit(None).cast("string").alias("error")).where("false")
+    for more in errors:
+        lost = lost.union(more)
+    return maps.select(*keys, "ord", "map"), lost
+
+
 def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, images: DataFrame | None = None, prompts: dict[str, str] | None = None, root: str | None = None, key: str = "run", resume: bool = False) -> DataFrame:
     """doc_id, deck_id, mode, chapter, title, doc_hash, error, slides, images, unresolved of docs(doc_id, text).
 
@@ -91,16 +119,19 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     asked = asked.select(*DECK, "chunk_idx", "chapter", _payload(prompts, "analyse", text=F.col("chunk"), title=F.col("title"), chunk_index=F.col("chunk_idx") + 1, headings=F.col("headings")))
     maps = steps.answers(asked, "maps", "analyse", [*DECK, "chunk_idx", "chapter"]).withColumn("m", F.from_json("answer", _MAP))
     whole = F.to_json(F.struct("m.core_thesis", "m.key_concepts"))  # without the figures' purposes
-    parts = ordered(maps.where("error is null").withColumn("_w", whole), ["doc_id", "chapter"], "chunk_idx", F.col("_w"), "maps").join(maps.groupBy("doc_id", "chapter").agg(F.min("chunk_idx").alias("_first")), ["doc_id", "chapter"])
+    merge = lambda task: _payload(prompts, task, **({"chapter": F.col("chapter")} if task == "merge_chapter" else {}), maps=F.col("maps"))
+    single, lost_parts = merged_in_levels(steps, maps.where("error is null").select("doc_id", "chapter", F.col("chunk_idx").alias("ord"), whole.alias("map")), ["doc_id", "chapter"], "chapter-maps", "merge_chapter", merge("merge_chapter"))
+    parts = ordered(single, ["doc_id", "chapter"], "ord", F.col("map"), "maps").join(maps.groupBy("doc_id", "chapter").agg(F.min("chunk_idx").alias("_first")), ["doc_id", "chapter"])
     several = chunks.groupBy("doc_id").agg((F.count("*") > 1).alias("_several"))
     parts = steps.kept(parts.join(several, "doc_id"), "parts")
     merged = steps.answers(parts.where("_several").select("doc_id", "chapter", "_first", _payload(prompts, "merge_chapter", chapter=F.col("chapter"), maps=F.col("maps"))), "chapters", "merge_chapter", ["doc_id", "chapter", "_first"])
-    both = ordered(merged.where("error is null"), ["doc_id"], "_first", F.col("answer"), "maps")
+    chapters, lost_chapters = merged_in_levels(steps, merged.where("error is null").select("doc_id", F.col("_first").alias("ord"), F.col("answer").alias("map")), ["doc_id"], "document-maps", "merge_document", merge("merge_document"))
+    both = ordered(chapters, ["doc_id"], "ord", F.col("map"), "maps")
     document = steps.answers(both.select("doc_id", _payload(prompts, "merge_document", maps=F.col("maps"))), "documents", "merge_document", ["doc_id"])
     alone = parts.where("not _several").select("doc_id", F.get("maps", F.lit(0)).alias("answer"))
     doc_map = document.where("error is null").select("doc_id", "answer").union(alone).select("doc_id", F.col("answer").alias("doc_map"))
     failed = maps.select(*DECK, "error").where("error is not null")
-    lost = merged.select("doc_id", "error").union(document.select("doc_id", "error")).where("error is not null").groupBy("doc_id").agg(F.min("error").alias("_lost"))
+    lost = merged.select("doc_id", "error").union(document.select("doc_id", "error")).union(lost_parts.select("doc_id", "error")).union(lost_chapters).where("error is not null").groupBy("doc_id").agg(F.min("error").alias("_lost"))
 
     heads = placed.groupBy(*DECK, "mode", "title", F.col("deck").alias("chapter")).agg(F.sort_array(F.collect_list("chunk_idx")).alias("chunks"))
     heads = heads.join(failed.groupBy(*DECK).agg(F.min("error").alias("error")), DECK, "left").join(lost, "doc_id", "left").withColumn("error", F.coalesce("error", "_lost")).drop("_lost")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -912,6 +914,26 @@ def blank_images(spark, d):
     return table(spark, d, "part").select("p_partkey", images.is_blank(F.when(F.col("p_size") >= 3, F.unhex(pixels)), F.lit(3)).alias("blank"))
 
 
+@query("SELECT p_partkey, CAST(8 + p_size AS INTEGER) AS width, 6 AS height, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 4 END AS channels, p_size % 3 = 0 AS blank FROM part")
+def png_images(spark, d):
+    """PNG files of five colour types and all row filters, white but for one sample, decoded and looked at."""
+
+    @F.pandas_udf("binary")
+    def files(key: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for k, s in zip(key, size):
+            colour = (0, 2, 3, 4, 6)[k % 5]
+            white = 1 if colour == 3 else 255
+            pixels = np.full((6, (8 + s) * images._CHANNELS[colour]), white, np.uint8)
+            pixels[s % 6, s] = white if s % 3 == 0 else 0 if colour == 3 else 249
+            out.append(images.made_png(pixels, colour, palette=bytes([9, 9, 9, 255, 255, 255]) if colour == 3 else b""))
+        return pd.Series(out)
+
+    made = Scratch(spark, "png").save(table(spark, d, "part").select("p_partkey", files("p_partkey", "p_size").alias("content")), "files")
+    found = made.select("p_partkey", images.png_pixels(F.col("content")).alias("x")).select("p_partkey", "x.*")
+    return found.select("p_partkey", "width", "height", "channels", images.is_blank(F.col("samples"), F.col("channels")).alias("blank"))
+
+
 @query("SELECT p_brand, CAST(r - 1 AS BIGINT) AS position, level, trim(heading) AS heading, p_size AS page FROM (SELECT p_brand, p_size, p_size % 3 + 1 AS level, CASE WHEN p_size % 7 = 0 THEN '  ' ELSE ' ' || p_name || ' ' END AS heading, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE trim(heading) <> ''")
 def toc_rows(spark, d):
     entry = F.struct("p_partkey", (F.col("p_size") % 3 + 1).alias("level"), F.when(F.col("p_size") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("heading"), F.col("p_size").alias("page"))
@@ -1003,9 +1025,11 @@ def block_files(spark, d):
 
 @query(f"WITH {_LIB} SELECT file, type, CAST(slide_count AS BIGINT) AS slide_count, archived FROM lib")
 def manifest_read(spark, d):
-    """A manifest that is one JSON list, as older libraries have it."""
+    """Manifests that are JSON lists, as older libraries have them: one for each of 16 shelves."""
     path = Scratch(spark, "manifest").path("library.json")
-    _entries(_library(spark, d)).agg(F.to_json(F.collect_list(F.struct(*library.COLUMNS))).alias("value")).coalesce(1).write.text(path)
+    shelf = F.pmod(F.xxhash64("file"), F.lit(16)).alias("shelf")
+    lists = _entries(_library(spark, d)).groupBy(shelf).agg(F.to_json(F.collect_list(F.struct(*library.COLUMNS))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.library(spark, path).select("file", "type", "slide_count", "archived")
 
 

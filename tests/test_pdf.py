@@ -101,3 +101,44 @@ def test_row_filters_of_predictors():
     nearest = b"\x04" + bytes((rows[2][k] - paeth(rows[2][k - 2] if k > 1 else 0, rows[1][k], rows[1][k - 2] if k > 1 else 0)) & 255 for k in range(8))
     assert unfiltered(sub + average + nearest, 8, 2).tobytes() == raw
     assert zlib.crc32(struct.pack(">I", 1)) and unfiltered(b"", 8, 2).shape == (0, 8)
+
+
+@pytest.mark.parametrize("colour,depth", [(0, 8), (2, 8), (3, 8), (4, 8), (6, 8), (0, 1), (0, 4), (3, 2), (2, 16)])
+def test_png_files(colour, depth):
+    import numpy as np
+
+    from lectern.functions import images
+
+    rng = np.random.default_rng(colour * 20 + depth)
+    channels = images._CHANNELS[colour]
+    row = 16 * channels * depth // 8
+    raw = rng.integers(0, 256, (11, row), np.uint8)
+    if colour == 3 and depth == 8:
+        raw %= 4
+    palette = bytes(rng.integers(0, 256, 12, np.uint8))
+    got = images.png(images.made_png(raw, colour, depth, palette if colour == 3 else b""))
+    if depth < 8:
+        bits = np.unpackbits(raw, axis=1).reshape(11, 16, depth)
+        values = sum(bits[:, :, k].astype(int) << (depth - 1 - k) for k in range(depth))
+        want = np.frombuffer(palette, np.uint8).reshape(-1, 3)[values] if colour == 3 else (values * (255 // (2**depth - 1)))[:, :, None]
+    else:
+        want = raw[:, :: depth // 8].reshape(11, 16, channels)
+        want = np.frombuffer(palette, np.uint8).reshape(-1, 3)[want[:, :, 0]] if colour == 3 else want
+    assert got.shape == want.shape and (got == want).all()
+
+
+def test_interlaced_and_broken_png_files(spark):
+    import numpy as np
+    import pyspark.sql.functions as F
+
+    from lectern.functions import images
+
+    pixels = np.arange(7 * 9, dtype=np.uint8).reshape(7, 9)
+    body = b"".join(bytes([0]) + pixels[r, x::dx].tobytes() for x, y, dx, dy in images._PASSES for r in range(y, 7, dy) if len(range(x, 9, dx)))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"\0\0\0\0"
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 7, 8, 0, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(body))
+    assert (images.png(data)[:, :, 0] == pixels).all()
+    rows = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"GIF")), (3, None), (4, bytearray(data[:40]))], "k int, c binary").select("k", images.png_pixels(F.col("c")).alias("x")).select("k", "x.*").collect()
+    got = {r.k: r for r in rows}
+    assert (got[1].width, got[1].height, got[1].channels, bytes(got[1].samples)) == (9, 7, 1, pixels.tobytes())
+    assert got[2].error and got[4].error and got[3].error is None and got[3].samples is None

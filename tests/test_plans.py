@@ -186,3 +186,19 @@ def test_uploads_run_as_a_stream(spark, tmp_path):
 def test_progress(spark):
     df = spark.createDataFrame([("j", "s", 1, 3, 1, 1), ("j", "s", 2, 3, 2, 2), ("j", "t", 0, 1, 1, 3)], "job_id string, stage string, completed long, total long, ts long, event_id long")
     assert {(r.stage, r.completed) for r in jobs.progress(df).collect()} == {("s", 2), ("t", 0)}
+
+
+def test_chapters_with_very_many_maps_are_merged_in_levels(spark, monkeypatch):
+    text = "# One\n" + " ".join(f"wordnumber{i:04d}" for i in range(500))
+    run_ = lambda: decks.decks(spark.createDataFrame([(1, text)], "doc_id long, text string"), Stub(), settings(chunk_size=500, overlap_size=0)).collect()
+    at_once, most, levels = run_(), [], decks.merged_in_levels
+
+    def counted(steps, maps, keys, *rest):
+        out = levels(steps, maps, keys, *rest)
+        most.append((maps.groupBy(*keys).count().agg({"count": "max"}).first()[0], out[0].groupBy(*keys).count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(decks, "FAN_IN", 3)
+    monkeypatch.setattr(decks, "merged_in_levels", counted)
+    assert run_() == at_once and at_once[0].slides
+    assert most[0][0] > 9 and most[0][1] <= 3
