@@ -162,8 +162,9 @@ def _markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("\n# "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("text"))
 
 
-_SECTIONS = f"""
-l AS (SELECT doc_id, p, x[p] AS l, p = len(x) AS last FROM (SELECT doc_id, string_split({_MD}, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(p)),
+def _sections_sql(text: str) -> str:
+    return f"""
+l AS (SELECT doc_id, p, x[p] AS l, p = len(x) AS last FROM (SELECT doc_id, string_split({text}, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(p)),
 h AS (SELECT *, regexp_matches(l, '^#{{1,2}}\\s') OR (regexp_matches(l, '^#{{1,2}}$') AND NOT last) AS head FROM l),
 s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS section FROM h),
 g AS (SELECT doc_id, CAST(section AS BIGINT) AS section, max(l) FILTER (WHERE head) AS heading, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (WHERE NOT head), '') AS body FROM s GROUP BY 1, 2),
@@ -172,22 +173,27 @@ cut AS (
          CASE WHEN section = 0 THEN regexp_replace(body, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(body, '\\s+$', '') END AS body FROM g)"""
 
 
+_SECTIONS = _sections_sql(_MD)
+
+
 @query(f"WITH {_SECTIONS} SELECT doc_id, section, heading, md5(body) AS body_md5 FROM cut WHERE heading IS NOT NULL OR body <> ''")
 def heading_sections(spark, d):
     return chunking.sections(_markdown(spark, d)).select("doc_id", "section", "heading", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query(
-    f"""WITH {_SECTIONS},
+def _section_chunks_sql(size: int, overlap: int) -> str:
+    """c: doc_id, section, heading, part, chunk, after _sections_sql()."""
+    return f"""
 f AS (SELECT *, regexp_replace(CASE WHEN heading IS NULL THEN body ELSE heading || chr(10) || body END, '^\\s+|\\s+$', '', 'g') AS whole, coalesce(length(heading), 0) AS hl FROM cut WHERE heading IS NOT NULL OR body <> ''),
 c AS (
-  SELECT doc_id, section, 0 AS part, whole AS chunk FROM f WHERE length(whole) <= 500 AND whole <> ''
+  SELECT doc_id, section, heading, 0 AS part, whole AS chunk FROM f WHERE length(whole) <= {size} AND whole <> ''
   UNION ALL
-  SELECT doc_id, section, p, regexp_replace(coalesce(heading || chr(10), '') || regexp_replace(substr(body, CAST(p AS BIGINT) + 1, 500 - hl - 1), '^\\s+|\\s+$', '', 'g'), '^\\s+|\\s+$', '', 'g')
-  FROM f, unnest(CASE WHEN length(body) <= 500 - hl - 1 THEN [0] ELSE range(0, length(body), 500 - hl - 1 - 100) END) AS t(p)
-  WHERE length(whole) > 500 AND regexp_matches(substr(body, CAST(p AS BIGINT) + 1, 500 - hl - 1), '\\S'))
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS chunk_idx, md5(chunk) AS chunk_md5 FROM c"""
-)
+  SELECT doc_id, section, heading, p, regexp_replace(coalesce(heading || chr(10), '') || regexp_replace(substr(body, CAST(p AS BIGINT) + 1, {size} - hl - 1), '^\\s+|\\s+$', '', 'g'), '^\\s+|\\s+$', '', 'g')
+  FROM f, unnest(CASE WHEN length(body) <= {size} - hl - 1 THEN [0] ELSE range(0, length(body), {size} - hl - 1 - {overlap}) END) AS t(p)
+  WHERE length(whole) > {size} AND regexp_matches(substr(body, CAST(p AS BIGINT) + 1, {size} - hl - 1), '\\S'))"""
+
+
+@query(f"WITH {_SECTIONS}, {_section_chunks_sql(500, 100)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS chunk_idx, md5(chunk) AS chunk_md5 FROM c")
 def section_split(spark, d):
     return chunking.chunk_sections(_markdown(spark, d), 500, 100).select("doc_id", "chunk_idx", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
@@ -800,28 +806,37 @@ def _decks(spark, d, multi: bool):
 
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Part one\n"), F.regexp_replace("text", "\n", "\n# Part of ")).alias("text"))
     made = decks.decks(docs, Stub(flag=1), settings(chapters_for_multi=1 if multi else 10**9, chars_for_multi=0, chunk_size=8000, review_cycles=2))
-    return made.select("doc_id", "deck_id", "mode", "title", "error", F.size("slides").alias("slides"), F.size("unresolved").alias("open"))
-
-
-# one chunk for each heading and its line, unless they are longer than a chunk; slides as many as the stand-in plans
-_DECKS = """
-l AS (SELECT doc_id, p, x[p] AS l FROM (SELECT doc_id, string_split('# Part one' || chr(10) || replace(text, chr(10), chr(10) || '# Part of '), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(p)),
-s AS (SELECT doc_id, p, l, sum(CASE WHEN starts_with(l, '# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM l),
-h AS (SELECT doc_id, n, trim(substr(arg_min(l, p), 2)) AS chapter, length(arg_min(l, p)) AS head, length(trim(string_agg(l, chr(10) ORDER BY p))) AS size FROM s GROUP BY ALL),
-c AS (SELECT *, CASE WHEN size <= 8000 THEN 1 WHEN size <= head THEN 0 ELSE ceil((size - head - 1) / (8000.0 - head - 1 - 1500)) END AS chunks FROM h)"""
-
-
-@query(f"WITH {_DECKS} SELECT doc_id, CAST(0 AS BIGINT) AS deck_id, 'single' AS mode, 'Part one' AS title, CAST(NULL AS VARCHAR) AS error, CAST(least(20, greatest(4, sum(chunks) + 2)) AS INTEGER) AS slides, CAST(0 AS INTEGER) AS open FROM c GROUP BY doc_id")
+    said = F.filter("slides", lambda x: x["tag"] != "Summary")  # whose words come from all headings
+    text = F.array_join(F.transform(said, lambda x: F.concat_ws("|", x["index"].cast("string"), x["tag"], x["body"], F.array_join(x["image_refs"].cast("array<string>"), ","))), "\n")
+    return made.select("doc_id", "deck_id", "mode", "title", "error", F.size("slides").alias("slides"), F.md5(text.cast("binary")).alias("slides_md5"), F.size("images").alias("images"), F.size("unresolved").alias("open"))
+
+
+# What the stand-in answers: a slide for each chunk, of all chunks of its batch of five; odd lengths fail the first review and
+# are refined by a stop.
+_DECK_TEXT = "'# Part one' || chr(10) || replace(text, chr(10), chr(10) || '# Part of ')"
+_DECKS = f"""{_sections_sql(_DECK_TEXT)}, {_section_chunks_sql(8000, 1500)},
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS chunk_idx, trim(substr(heading, 2)) AS chapter, chunk FROM c)"""
+_DECK_SLIDES = """
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, deck ORDER BY chunk_idx) - 1 AS at, count(*) OVER (PARTITION BY doc_id, deck) AS m FROM d),
+n AS (SELECT doc_id, deck, min(chunk_idx) AS first, CAST(least(20, greatest(4, count(*) + 2)) AS INTEGER) AS slides, count(*) AS m FROM d GROUP BY 1, 2),
+i AS (SELECT n.*, i, least(greatest(i - 1, 0), m - 1) AS at FROM n, unnest(range(0, slides)) AS t(i)),
+b AS (SELECT DISTINCT i.doc_id, i.deck, i // 5 AS batch, o.chunk_idx, o.chunk FROM i JOIN o ON o.doc_id = i.doc_id AND o.deck = i.deck AND o.at = i.at),
+x AS (SELECT doc_id, deck, batch, string_agg('[chunk ' || chunk_idx || ']' || chr(10) || chunk, chr(10) || chr(10) ORDER BY chunk_idx) AS context FROM b GROUP BY 1, 2, 3),
+y AS (SELECT i.*, CASE WHEN i = 0 THEN 'Introduction' ELSE 'Key Concept' END AS tag, left((i + 1) || ': ' || context, 400) AS body FROM i JOIN x ON x.doc_id = i.doc_id AND x.deck = i.deck AND x.batch = i // 5 WHERE i < slides - 1),
+z AS (SELECT doc_id, deck, min(first) AS first, min(slides) AS slides, md5(string_agg((i + 1) || '|' || tag || '|' || body || CASE WHEN length(body) % 2 = 1 THEN '.' ELSE '' END || '|', chr(10) ORDER BY i)) AS slides_md5 FROM y GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_DECKS}, d AS (SELECT *, 'Part one' AS deck FROM k), {_DECK_SLIDES} SELECT doc_id, CAST(0 AS BIGINT) AS deck_id, 'single' AS mode, 'Part one' AS title, CAST(NULL AS VARCHAR) AS error, slides, slides_md5, CAST(0 AS INTEGER) AS images, CAST(0 AS INTEGER) AS open FROM z")
 def deck_stub_single(spark, d):
     return _decks(spark, d, False)
 
 
 @query(
     f"""WITH {_DECKS},
-m AS (SELECT doc_id, count(*) > 1 AS multi FROM c GROUP BY doc_id),
-g AS (SELECT doc_id, multi, CASE WHEN multi THEN chapter ELSE 'Part one' END AS title, min(n) AS first, sum(chunks) AS chunks FROM c JOIN m USING (doc_id) GROUP BY ALL)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS deck_id, CASE WHEN multi THEN 'multi' ELSE 'single' END AS mode, left(title, 60) AS title,
-  CAST(NULL AS VARCHAR) AS error, CAST(least(20, greatest(4, chunks + 2)) AS INTEGER) AS slides, CAST(0 AS INTEGER) AS open FROM g"""
+m AS (SELECT doc_id, count(DISTINCT section) > 1 AS multi FROM cut GROUP BY doc_id),
+d AS (SELECT k.*, CASE WHEN multi THEN chapter ELSE 'Part one' END AS deck, multi FROM k JOIN m USING (doc_id)), {_DECK_SLIDES}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS deck_id, CASE WHEN multi THEN 'multi' ELSE 'single' END AS mode, left(deck, 60) AS title,
+  CAST(NULL AS VARCHAR) AS error, slides, slides_md5, CAST(0 AS INTEGER) AS images, CAST(0 AS INTEGER) AS open FROM z JOIN m USING (doc_id)"""
 )
 def deck_stub_multi(spark, d):
     return _decks(spark, d, True)
