@@ -83,9 +83,69 @@ class Http:
         return self.text(json.loads(reply))
 
 
+#: What providers with a field for it are told beside the messages.
+SYSTEM = "You return one valid JSON value and nothing else."
+
+
+@dataclass
+class Gemini(Http):
+    """Google's own form: contents of parts in, the parts of the first candidate out; errors have a status by name."""
+
+    url: str = "https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent"
+    provider: str = "google"
+    thinking: str = "MEDIUM"
+
+    #: Statuses that are worth another try, whatever the HTTP code says.
+    TRANSIENT = ("RESOURCE_EXHAUSTED", "UNAVAILABLE", "DEADLINE_EXCEEDED", "INTERNAL", "ABORTED")
+
+    def headers(self) -> dict:
+        return {"x-goog-api-key": self.key}
+
+    def body(self, messages: list[dict]) -> dict:
+        contents = [{"role": "model" if m["role"] == "assistant" else "user", "parts": [{"text": m["content"]}]} for m in messages]
+        # no schema of the answer: it would have to do without fields of any name
+        how = {"responseMimeType": "application/json", "thinkingConfig": {"thinkingLevel": self.thinking}}
+        return {"contents": contents, "systemInstruction": {"parts": [{"text": SYSTEM}]}, "generationConfig": how}
+
+    def text(self, reply: dict) -> str:
+        if not reply.get("candidates"):
+            raise Fatal(f"no candidate: {json.dumps(reply.get('promptFeedback', {}))[:300]}")
+        parts = reply["candidates"][0].get("content", {}).get("parts", [])
+        return "".join(p.get("text", "") for p in parts if not p.get("thought"))
+
+    def call(self, task: str, payload: dict) -> str:
+        status, text = self.post(self.url.format(model=self.model), self.headers(), self.body(self.messages(task, payload)), self.timeout)
+        if status >= 400:
+            try:
+                said = json.loads(text)["error"]["status"]
+            except (ValueError, KeyError, TypeError):
+                said = None
+            if said in self.TRANSIENT:
+                raise Transient(f"HTTP {status} {said}: {text[:300]}")
+        return self.text(json.loads(checked(status, text)))
+
+
+@dataclass
+class Messages(Http):
+    """Anthropic's own form: messages beside the system's words in, blocks of text out."""
+
+    url: str = "https://api.anthropic.com/v1/messages"
+    provider: str = "anthropic"
+    most_tokens: int = 16_000
+
+    def headers(self) -> dict:
+        return {"x-api-key": self.key, "anthropic-version": "2023-06-01"}
+
+    def body(self, messages: list[dict]) -> dict:
+        return {"model": self.model, "max_tokens": self.most_tokens, "system": SYSTEM, "messages": messages}
+
+    def text(self, reply: dict) -> str:
+        return "".join(b["text"] for b in reply["content"] if b.get("type") == "text")
+
+
 register("stub", lambda **_: Stub())
 register("ollama", lambda **how: Http(provider="ollama", **how))
 register("openai", lambda **how: Http(provider="openai", url="https://api.openai.com/v1/chat/completions", **how))
 register("groq", lambda **how: Http(provider="groq", url="https://api.groq.com/openai/v1/chat/completions", **how))
-register("google", lambda **how: Http(provider="google", url="https://generativelanguage.googleapis.com/v1beta/openai/chat/completions", **how))
-register("anthropic", lambda **how: Http(provider="anthropic", url="https://api.anthropic.com/v1/chat/completions", **how))
+register("google", Gemini)
+register("anthropic", Messages)

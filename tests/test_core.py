@@ -399,6 +399,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert "single" in capsys.readouterr().out and len(list((tmp_path / "out").glob("one_*.json"))) == 1
 
 
+def test_providers_of_their_own_form():
+    from lectern.model import providers
+
+    sent, replies = [], []
+
+    def post(url, headers, body, timeout):
+        sent.append((url, headers, body))
+        return replies.pop(0)
+
+    google = providers.Gemini("gem", "k", post=post)
+    replies.append((200, json.dumps({"candidates": [{"content": {"parts": [{"text": "hm", "thought": True}, {"text": '{"a":'}, {"text": " 1}"}]}}]})))
+    assert google.call("t", {"prompt": "p", "rejected": ["bad", "again"]}) == '{"a": 1}'
+    url, headers, body = sent[-1]
+    assert url.endswith("/models/gem:generateContent") and headers == {"x-goog-api-key": "k"}
+    assert [(c["role"], c["parts"][0]["text"]) for c in body["contents"]] == [("user", "p"), ("model", "bad"), ("user", "again")]
+    assert body["generationConfig"]["responseMimeType"] == "application/json" and body["systemInstruction"]
+    for reply, kind in (
+        ((400, '{"error": {"status": "RESOURCE_EXHAUSTED"}}'), client.Transient), ((503, "down"), client.Transient), ((429, "[]"), client.Transient),
+        ((400, '{"error": {"status": "INVALID_ARGUMENT"}}'), client.Fatal), ((200, '{"promptFeedback": {"blockReason": "SAFETY"}}'), client.Fatal),
+    ):
+        replies.append(reply)
+        with pytest.raises(kind):
+            google.call("t", {})
+    other = providers.Messages("m", "k", post=post)
+    replies.append((200, json.dumps({"content": [{"type": "thinking", "thinking": "x"}, {"type": "text", "text": "[]"}]})))
+    assert other.call("t", {"prompt": "p"}) == "[]" and sent[-1][1]["x-api-key"] == "k" and sent[-1][2]["max_tokens"] > 0 and sent[-1][2]["messages"] == [{"role": "user", "content": "p"}]
+    replies.append((529, "overloaded"))
+    with pytest.raises(client.Transient):
+        other.call("t", {})
+
+
 def test_providers():
     from lectern.model import providers
 
