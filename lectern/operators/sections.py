@@ -30,12 +30,33 @@ def chapter_of(items: DataFrame, outline: DataFrame, *, key: str = "doc_id", at:
     return found.where("_side = 1").select(*items.columns, "chapter")
 
 
+def outline_starts(items: DataFrame, outline: DataFrame, *, key: str = "doc_id", at: str = "chunk_idx") -> DataFrame:
+    """key, at, start: for each distinct item the position of its chapter, from which its part of the outline begins.
+
+    The last level-1 section at or before the item, else the first one, else 0; in one sorted pass by key.
+    """
+    marks = outline.where("level = 1").select(key, F.col("position").alias("_at"), F.lit(0).alias("_side"), F.col("position").alias("start")).distinct()
+    rows = items.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(outline.schema["position"].dataType).alias("start")).distinct()
+    order = W.partitionBy(key).orderBy("_at", "_side")
+    so_far = F.last("start", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    first = F.min("start").over(W.partitionBy(key))
+    found = marks.union(rows).withColumn("start", F.coalesce(so_far, first, F.lit(0)))
+    return found.where("_side = 1").select(key, F.col("_at").cast(items.schema[at].dataType).alias(at), "start")
+
+
+def outlines_from(starts: DataFrame, outline: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """key, start, ord, heading: all level-1 sections and whatever stands at or after `start`, once for each start of a key."""
+    return starts.select(key, "start").distinct().join(outline, key).where((F.col("level") == 1) | (F.col("position") >= F.col("start"))).select(key, "start", "ord", "heading")
+
+
 def trimmed_outline(items: DataFrame, outline: DataFrame, *, key: str = "doc_id", at: str = "chunk_idx") -> DataFrame:
-    """key, at, ord, heading: for each item, all level-1 sections and whatever stands at or after its chapter's position."""
-    begins = items.join(outline.where("level = 1").select(key, F.col("position").alias("_p")), key, "left")
-    begins = begins.groupBy(key, at).agg(F.coalesce(F.max(F.when(F.col("_p") <= F.col(at), F.col("_p"))), F.min("_p"), F.lit(0)).alias("_start"))
-    joined = begins.join(outline, key).where((F.col("level") == 1) | (F.col("position") >= F.col("_start")))
-    return joined.select(key, at, "ord", "heading")
+    """key, at, ord, heading: for each item, all level-1 sections and whatever stands at or after its chapter's position.
+
+    This has a row for each item and section; where many items share a chapter, outline_starts() and outlines_from() say the same
+    with a row for each chapter and section.
+    """
+    starts = outline_starts(items, outline, key=key, at=at)
+    return starts.join(outlines_from(starts, outline, key=key), [key, "start"]).select(key, at, "ord", "heading")
 
 
 def level_histogram(outline: DataFrame, *, key: str = "doc_id") -> DataFrame:

@@ -114,7 +114,8 @@ def decks(docs: DataFrame, client: Client, settings: Settings = Settings(), *, i
     placed = steps.kept(placed, "placed", fixed=True)
 
     # chunks are analysed under the headings that matter there, their maps merged by chapter, then by document
-    near = ordered(sections.trimmed_outline(chunks.select("doc_id", "chunk_idx"), outline), ["doc_id", "chunk_idx"], "ord", F.col("heading"), "headings")
+    starts = sections.outline_starts(chunks.select("doc_id", "chunk_idx"), outline)
+    near = starts.join(ordered(sections.outlines_from(starts, outline), ["doc_id", "start"], "ord", F.col("heading"), "headings"), ["doc_id", "start"], "left").drop("start")
     asked = placed.join(near, ["doc_id", "chunk_idx"], "left").withColumn("headings", F.coalesce("headings", F.array().cast("array<string>")))
     asked = asked.select(*DECK, "chunk_idx", "chapter", _payload(prompts, "analyse", text=F.col("chunk"), title=F.col("title"), chunk_index=F.col("chunk_idx") + 1, headings=F.col("headings")))
     maps = steps.answers(asked, "maps", "analyse", [*DECK, "chunk_idx", "chapter"]).withColumn("m", F.from_json("answer", _MAP))

@@ -1,16 +1,19 @@
 """Operators on small literals."""
 
+import collections
 import json
 import pathlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.model import client
 from lectern.operators import blocks, chunking, cost, figures, geometry, library, reviews, sections, tables, validation
+from lectern.session import ship
 from lectern.sources import readers, registry, writers
 
 
@@ -399,6 +402,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert "single" in capsys.readouterr().out and len(list((tmp_path / "out").glob("one_*.json"))) == 1
 
 
+def test_unions_of_partitioned_rows_lose_nothing(spark):
+    """What trimmed_outline() makes of many items and sections: a union of two inputs partitioned by key, used twice."""
+    ship(spark)
+    events = spark.range(4000).select((F.col("id") % 37).alias("doc_id"), F.col("id").alias("e"), (F.col("id") * 7919 % 5).alias("kind"))
+    numbered = events.withColumn("chunk_idx", F.row_number().over(W.partitionBy("doc_id").orderBy("e")).cast("long"))
+    items = numbered.where("kind = 4").select("doc_id", "chunk_idx")
+    outline = numbered.where("kind < 3").select("doc_id", F.col("chunk_idx").alias("ord"), F.col("chunk_idx").alias("position"), F.when(F.col("kind") == 0, 1).otherwise(2).alias("level"), F.col("e").cast("string").alias("heading"))
+    got = {tuple(r) for r in sections.trimmed_outline(items, outline).collect()}
+    rows, tops = outline.collect(), collections.defaultdict(list)
+    for r in rows:
+        if r.level == 1:
+            tops[r.doc_id].append(r.position)
+    want = set()
+    for i in items.collect():
+        start = max([p for p in tops[i.doc_id] if p <= i.chunk_idx] or [min(tops[i.doc_id], default=0)])
+        want |= {(i.doc_id, i.chunk_idx, r.ord, r.heading) for r in rows if r.doc_id == i.doc_id and (r.level == 1 or r.position >= start)}
+    assert got == want and len(want) > 10_000
+
+
 def test_providers_of_their_own_form():
     from lectern.model import providers
 
