@@ -29,8 +29,8 @@ from lectern.storage import Scratch, small
 
 #: Terms in the automata that all tasks have, and in the automata of a shard: some 150 bytes of a worker each.
 HEAD = SHARD = 1_000_000
-#: Counters and terms that a task holds before it passes them on.
-HELD = 1_000_000
+#: Counters, 16 bytes each, and terms that a task holds before it passes them on; and counters by term, some 150 bytes each.
+HELD, HELD_TERMS = 1_000_000, 300_000
 #: Terms in a row for a shard.
 LOAD = 8_000
 #: Kept terms whose counts one task brings together, on average, where there are more than shuffle partitions ask for.
@@ -74,10 +74,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             langs = batch.column(0).to_pylist()
             for i, text in _marked(batch):
                 counts[(langs[i],)].update(set(text.split()))
-                if sum(map(len, counts.values())) > HELD:
+                if sum(map(len, counts.values())) > HELD_TERMS:
                     yield _rows(counts, ("lang",))
                     counts.clear()
         yield _rows(counts, ("lang",))
+        counts.clear()
+        H.trimmed()
 
     return docs.select("lang", "text").mapInArrow(counted, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
@@ -167,6 +169,8 @@ def occurrences(docs: DataFrame, kept: DataFrame, scratch: Scratch, *, head: int
             for lang, name in zip(langs, names) if shards else ():
                 heads[lang].add(name.encode())
             _LAST[run] = _automata(langs, names), heads, known.column(2).to_numpy()
+            del known, langs, names
+            H.trimmed()
         machines, heads, ids = _LAST[run]
         tally = Tally(ids, buckets)
         loads: dict[tuple, list[bytes]] = defaultdict(list)

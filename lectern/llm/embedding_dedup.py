@@ -38,7 +38,9 @@ MOST_K = 64
 GROUP, BEST = 256, 2
 #: Share of pairs at the threshold that one pass may miss, and all passes together (estimated); most tables of a pass.
 MISS, LOST, MOST_TABLES = 0.05, 0.001, 48
-PASSES, DESCENTS = 16, 3
+PASSES, DESCENTS = 6, 3
+#: Vectors up to which, after PASSES, all pairs are compared in tiles at once; more go on to so many passes first.
+TILES_TO, MORE_PASSES = 300_000, 16
 #: Vectors whose links are audited against all vectors.
 AUDIT = 512
 #: Rounds in which dense vectors are put into cells; who has found none is a cell.
@@ -521,14 +523,15 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, report: dict | N
     graph = Descent(scratch.save(_coded(vectors), "coded"), threshold, scratch)
 
     audited, recall, lost = 0, 1.0, 1.0
+    passes = PASSES if graph.total <= TILES_TO else MORE_PASSES
     while True:
-        while graph.passes < 2 or lost > LOST and graph.passes < PASSES:
+        while graph.passes < 2 or lost > LOST and graph.passes < passes:
             lost = graph.run()
         links, dense = graph.links(vectors), graph.dense
         audited, missed = _audited(links, vectors, dense, threshold, scratch, graph.passes)
         short = missed.count()
         recall = 1 - short / max(audited, 1)
-        if not short or graph.passes >= PASSES:
+        if not short or graph.passes >= passes:
             break
         graph.learn(missed)
         lost = graph.run()

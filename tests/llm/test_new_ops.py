@@ -109,6 +109,7 @@ def test_divergence(spark, head, shard):
 
 def test_divergence_passes_counters_on(spark, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 50)
+    monkeypatch.setattr(divergence, "HELD_TERMS", 20)
     monkeypatch.setattr(divergence, "LOAD", 30)
     rows, docs = sourced(spark, corpus(seed=6, n=20))
     assert rows_of(divergence.divergence(docs, least=2, ranks=3, head=30, shard=40)) == diverged([r[:3] for r in rows], 2, 3)

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+"""The first ten operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import collections
 import hashlib
