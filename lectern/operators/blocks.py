@@ -22,21 +22,23 @@ def rendered_blocks(blocks: DataFrame, *, key: str = "doc_id") -> DataFrame:
     Images and charts need a caption and a crop, and become figures; a table becomes one if it has both, and
     its cells always stay. Figures are numbered from 0 in order, per document.
     """
-    kept = blocks.where(~F.coalesce(F.col("type"), F.lit("text")).isin(*FURNITURE))
+    # dealt by document before the work on texts, so that a corpus of few input splits is rendered by as many tasks as there are
+    kept = blocks.where(~F.coalesce(F.col("type"), F.lit("text")).isin(*FURNITURE)).repartition(key)
     picture = F.col("type").isin("image", "chart")
     caption = F.when(F.col("type") == "chart", T.join_caption(F.col("chart_caption"))).when(F.col("type") == "image", T.join_caption(F.col("image_caption"))).when(F.col("type") == "table", T.join_caption(F.col("table_caption"))).otherwise(F.lit(""))
     kept = kept.withColumn("caption", caption)
     is_figure = F.col("type").isin("image", "chart", "table") & (F.col("caption") != "") & F.coalesce("has_crop", F.col("img_path").isNotNull()) & (F.coalesce("img_path", F.lit("")) != "")
-    kept = kept.withColumn("_figure", F.coalesce(is_figure, F.lit(False)))
+    # texts and cells are made below the window, through which no filter is pushed that would make them again
+    cells = T.table_markdown(F.when(F.col("type") == "table", F.col("table_body")))
+    kept = kept.withColumns({"_figure": F.coalesce(is_figure, F.lit(False)), "_cells": cells, "_text": T.strip(F.coalesce("text", F.lit("")))})
     number = F.sum(F.col("_figure").cast("long")).over(W.partitionBy(key).orderBy("ord")) - 1
     kept = kept.withColumn("figure_id", F.when(F.col("_figure"), number))
     tagged = F.concat("caption", F.lit(" [FIGURE_ID: "), F.col("figure_id").cast("string"), F.lit("]"))
-    text = T.strip(F.coalesce("text", F.lit("")))
+    text = F.col("_text")
     head = F.when(F.col("_figure"), tagged).otherwise(F.nullif("caption", F.lit("")))
-    cells = F.nullif(T.table_markdown(F.when(F.col("type") == "table", F.col("table_body"))), F.lit(""))
     part = (
         F.when(picture, F.when(F.col("_figure"), tagged))
-        .when(F.col("type") == "table", F.nullif(F.concat_ws("\n\n", head, cells), F.lit("")))
+        .when(F.col("type") == "table", F.nullif(F.concat_ws("\n\n", head, F.nullif("_cells", F.lit(""))), F.lit("")))
         .when(F.col("type") == "equation", F.when(text != "", T.wrap_latex(text)))
         .otherwise(F.when(text != "", T.heading_line(F.col("text_level"), text)))
     )
