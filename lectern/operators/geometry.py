@@ -1,12 +1,13 @@
 """Rectangles on pages: pairing, merging, containment, figure regions.
 
-Rectangles are four columns x0, y0, x1, y1. Joins always carry the page and a cell of a grid, of a size that follows the rectangles',
-so a rectangle only meets those around it, however many a page has.
+Rectangles are four columns x0, y0, x1, y1. Joins always carry the page; those of a page with many rectangles also a cell of a grid, of
+a size that follows the rectangles', so a rectangle only meets those around it, however many a page has.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from lectern.functions import text as T
 from lectern.session import ship
+from lectern.storage import Scratch
 
 # Fixed values, in points.
 CAPTION_GAP = 80.0
@@ -64,17 +66,23 @@ def bounding_boxes(regions: DataFrame, *keys: str) -> DataFrame:
     return regions.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("confidence").alias("confidence"))
 
 
+#: Rectangles on a page of which all pairs are looked at; in cells, each would be some thirty rows.
+FEW = 64
 #: Powers of two, in points, of the sides of cells.
 FINEST, COARSEST = 4, 12
 
 
-def _in_cells(df: DataFrame, box: tuple, side: str, visiting: int | None) -> DataFrame:
-    """df with its box as `side` columns, a row for each cell that the box meets: at the level of its size, or, visiting,
-    at all levels from `visiting` above it."""
+def _boxed(df: DataFrame, box: tuple, side: str) -> DataFrame:
+    """Rows of df with a page and a whole box, which they have as `side` columns too."""
     x0, y0, x1, y1 = box
     low = {f"_{side}x": F.least(x0, x1), f"_{side}y": F.least(y0, y1), f"_{side}u": F.greatest(x0, x1), f"_{side}v": F.greatest(y0, y1)}
-    df = df.where(x0.isNotNull() & y0.isNotNull() & x1.isNotNull() & y1.isNotNull()).withColumns({k: c.cast("double") for k, c in low.items()})
-    x, y, u, v = (F.col(k) for k in low)
+    whole = df.where(x0.isNotNull() & y0.isNotNull() & x1.isNotNull() & y1.isNotNull()).where(" and ".join(f"{c} is not null" for c in PAGE))
+    return whole.withColumns({k: c.cast("double") for k, c in low.items()})
+
+
+def _in_cells(df: DataFrame, side: str, visiting: int | None) -> DataFrame:
+    """A row of df for each cell that its box meets: at the level of its size, or, visiting, at all levels from `visiting` above it."""
+    x, y, u, v = (F.col(f"_{side}{c}") for c in "xyuv")
     level = F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.ceil(F.log2(F.greatest(u - x, v - y, F.lit(1.0)))))).cast("int")
     own = F.array(level) if visiting is None else F.when(level + visiting <= COARSEST, F.sequence(level + visiting, F.lit(COARSEST)))
     df = df.withColumn("_level", F.explode(own)).withColumn("_size", F.call_function("shiftleft", F.lit(1), F.col("_level")))
@@ -82,21 +90,34 @@ def _in_cells(df: DataFrame, box: tuple, side: str, visiting: int | None) -> Dat
     return df.withColumn("_cx", F.explode(F.sequence(cell(x), cell(u)))).withColumn("_cy", F.explode(F.sequence(cell(y), cell(v)))).drop("_size")
 
 
-def meeting(a: DataFrame, b: DataFrame, a_box: tuple, b_box: tuple) -> DataFrame:
+def crowded_pages(*rects: DataFrame) -> DataFrame:
+    """doc_id, page of the pages with more than FEW rows in all."""
+    return reduce(DataFrame.unionAll, [r.select(*PAGE) for r in rects]).groupBy(*PAGE).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*PAGE)
+
+
+def meeting(a: DataFrame, b: DataFrame, a_box: tuple, b_box: tuple, *, crowded: DataFrame | bool = True) -> DataFrame:
     """Rows of a and b on one page whose boxes meet, each pair once; but for the page they share no column names.
 
-    Boxes are (x0, y0, x1, y1) as columns; nulls meet nothing. A box has at most four cells at the level of its size, and at each
-    coarser one, where it visits the larger boxes that live there; a pair counts in the cell where its intersection begins.
+    Boxes are (x0, y0, x1, y1) as columns; nulls meet nothing. On a page of at most FEW boxes all pairs are looked at, by one join on
+    the page. On others a box has at most four cells at the level of its size, and at each coarser one, where it visits the larger
+    boxes that live there; a pair counts in the cell where its intersection begins. crowded: the pages to be joined by cells where they
+    are known, False if there are none; else they are counted.
     """
     here = lambda axis: F.floor(F.greatest(F.col(f"_a{axis}"), F.col(f"_b{axis}")) / F.call_function("shiftleft", F.lit(1), F.col("_level")))
     meets = (F.least("_au", "_bu") >= F.greatest("_ax", "_bx")) & (F.least("_av", "_bv") >= F.greatest("_ay", "_by"))
     columns = [*PAGE, *(c for c in a.columns if c not in PAGE), *(c for c in b.columns if c not in PAGE)]
+    a, b = _boxed(a, a_box, "a"), _boxed(b, b_box, "b")
+    if crowded is False:
+        return a.join(b, list(PAGE)).where(meets).select(*columns)
+    crowded = crowded_pages(a, b) if crowded is True else crowded
+    few = [x.join(crowded, list(PAGE), "left_anti") for x in (a, b)]
+    many = [x.join(crowded, list(PAGE), "left_semi") for x in (a, b)]
 
     def met(a_visits: int | None, b_visits: int | None) -> DataFrame:
-        both = _in_cells(a, a_box, "a", a_visits).join(_in_cells(b, b_box, "b", b_visits), [*PAGE, "_level", "_cx", "_cy"])
+        both = _in_cells(many[0], "a", a_visits).join(_in_cells(many[1], "b", b_visits), [*PAGE, "_level", "_cx", "_cy"])
         return both.where(meets & (F.col("_cx") == here("x")) & (F.col("_cy") == here("y"))).select(*columns)
 
-    return met(0, None).union(met(None, 1))
+    return few[0].join(few[1], list(PAGE)).where(meets).select(*columns).union(met(0, None)).union(met(None, 1))
 
 
 def _grown(box: tuple, dx: float, dy: float) -> tuple:
@@ -259,11 +280,16 @@ def figure_regions(captions: DataFrame, drawings: DataFrame, blocks: DataFrame,
     the largest of the images found likewise and the space up to the next body text above and below.
     """
     c = captions.select(*PAGE, "caption_ord", *(F.col(x).alias(f"c{x}") for x in ("x0", "y0", "x1", "y1"))).join(pages, list(PAGE))
+    # each way to find a figure joins these again
+    scratch = Scratch(captions.sparkSession, "figures")
+    c, blocks = scratch.save(c, "captions"), scratch.save(blocks, "blocks")
+    crowded = scratch.save(crowded_pages(c, drawings, blocks), "crowded")
+    meets = partial(meeting, crowded=False if crowded.isEmpty() else crowded)
     wide = F.greatest(F.col("cx1") - F.col("cx0"), F.lit(1.0))
     keys = [*PAGE, "caption_ord"]
 
     def side(shapes: DataFrame, source: str) -> DataFrame:
-        near = meeting(c, shapes.select(*PAGE, "x0", "y0", "x1", "y1"), _grown(rect("c"), 0.0, SEARCH), rect("")).where((F.least("x1", "cx1") - F.greatest("x0", "cx0")) / wide >= OVERLAP)
+        near = meets(c, shapes.select(*PAGE, "x0", "y0", "x1", "y1"), _grown(rect("c"), 0.0, SEARCH), rect("")).where((F.least("x1", "cx1") - F.greatest("x0", "cx0")) / wide >= OVERLAP)
         above = (F.col("y1") <= F.col("cy0") + 2) & (F.col("y0") >= F.greatest(F.col("py0"), F.col("cy0") - SEARCH))
         below = (F.col("y0") >= F.col("cy1") - 2) & (F.col("y1") <= F.least(F.col("py1"), F.col("cy1") + SEARCH))
         # a shape within two points of a thin caption can be on both sides
@@ -281,14 +307,14 @@ def figure_regions(captions: DataFrame, drawings: DataFrame, blocks: DataFrame,
         beyond = F.col("by1") <= F.col("cy0") - 2 if up else F.col("by0") >= F.col("cy1") + 2
         counts = beyond & (F.least("bx1", "cx1") - F.greatest("bx0", "cx0") > 0) & (F.coalesce("size", F.lit(0.0)) >= F.col("body_size") * 0.8)
         # what is farther off than the search goes decides nothing
-        near = meeting(c.select(*keys, "cx0", "cy0", "cx1", "cy1", "body_size"), text, _grown(rect("c"), 0.0, SEARCH), rect("b")).where(counts)
+        near = meets(c.select(*keys, "cx0", "cy0", "cx1", "cy1", "body_size"), text, _grown(rect("c"), 0.0, SEARCH), rect("b")).where(counts)
         known = near.groupBy(*keys).agg((F.max("by1") if up else F.min("by0")).alias("_e"))
         limit = F.greatest(F.col("py0"), F.col("cy0") - SEARCH) if up else F.least(F.col("py1"), F.col("cy1") + SEARCH)
         edge = c.join(known, keys, "left").withColumn("_edge", (F.greatest if up else F.least)(limit, F.coalesce("_e", limit)))
         lo, hi = ("_edge", "cy0") if up else ("cy1", "_edge")
         every = blocks.select(*PAGE, *(F.col(x).alias(f"b{x}") for x in ("x0", "y0", "x1", "y1")))
         band = lambda y0, y1: (F.lit(0.0), F.col(y0), F.lit(0.0), F.col(y1))  # noqa: E731  the whole width of the page
-        between = meeting(edge.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), every, band("_lo", "_hi"), band("by0", "by1")).where("_lo <= by0 and by1 <= _hi")
+        between = meets(edge.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), every, band("_lo", "_hi"), band("by0", "by1")).where("_lo <= by0 and by1 <= _hi")
         out = edge.join(between.groupBy(*keys).agg(F.min("bx0").alias("_l"), F.max("bx1").alias("_r")), keys, "left")
         out = out.select(*keys, (F.least("cx0", F.coalesce("_l", "cx0")) - PADDING).alias("x0"), F.col(lo).alias("y0"), (F.greatest("cx1", F.coalesce("_r", "cx1")) + PADDING).alias("x1"), F.col(hi).alias("y1"), "px0", "py0", "px1", "py1")
         return padded(out.where(f"x1 > x0 and y1 - y0 >= {LEAST_HEIGHT}"), 0.0).select(*keys, "x0", "y0", "x1", "y1", F.lit("above" if up else "below").alias("source"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import blocks as B
+from lectern.operators import geometry as G
 
 
 def test_a_table_of_very_many_rows(spark):
@@ -22,3 +23,30 @@ def test_a_table_of_very_many_rows(spark):
 def test_a_bound_value_is_named_often(spark):
     got = spark.range(3).select(T.bound(F.col("id") + 1, lambda x: x * x).alias("x"), T.bound(F.lit(None).cast("long"), lambda x: F.coalesce(x, F.lit(7))).alias("y")).collect()
     assert [tuple(r) for r in got] == [(1, 7), (4, 7), (9, 7)]
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_pages_of_few_rectangles_are_not_dealt_by_cells(spark):
+    """Every rectangle is shuffled once a side, and what is counted of it, where one has some thirty cells."""
+    x, y = F.pmod(F.xxhash64("id"), F.lit(500)), F.pmod(F.xxhash64(F.col("id") + 7), F.lit(700))
+    rects = spark.range(60_000).select((F.col("id") % 12_000).alias("doc_id"), F.lit(0).alias("page"), F.col("id").alias("region_id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 40).cast("double").alias("x1"), (y + 30).cast("double").alias("y1"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert G.panel_links(rects).count() > 0
+        assert shuffled(spark) - before < 80 * rects.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crowded_pages_and_others_at_once(spark):
+    rows = [(1, page, k, 10.0 * k, 0.0, 10.0 * k + 5, 5.0) for page, n in ((0, G.FEW), (1, 5), (None, 3)) for k in range(n)]
+    rects = spark.createDataFrame(rows, "doc_id long, page int, region_id long, x0 double, y0 double, x1 double, y1 double")
+    assert [r.page for r in G.crowded_pages(rects, rects).collect()] in ([0], [0, None], [None, 0])
+    got = G.panel_links(rects).groupBy("page").count().collect()
+    assert {r.page: r["count"] for r in got} == {0: 2 * G.FEW - 3, 1: 7}
