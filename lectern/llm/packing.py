@@ -31,8 +31,8 @@ from lectern.storage import Scratch
 BUCKET = 50_000
 #: Words that a worker keeps the ids of, about 40 bytes each.
 CACHE = 1_000_000
-#: Bytes of text that are encoded at once.
-SLICE = 2 << 20
+#: Bytes of text that are encoded at once; the working arrays of a worker are some forty times as large.
+SLICE = 512 << 10
 #: Id that ends each document.
 END = 1
 

@@ -1,10 +1,15 @@
 """Operators whose work must grow no faster than their rows."""
 
+import random
 import time
+import tracemalloc
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.llm import hashing, packing
 from lectern.operators import blocks as B
 from lectern.operators import geometry as G
 
@@ -50,3 +55,18 @@ def test_crowded_pages_and_others_at_once(spark):
     assert [r.page for r in G.crowded_pages(rects, rects).collect()] in ([0], [0, None], [None, 0])
     got = G.panel_links(rects).groupBy("page").count().collect()
     assert {r.page: r["count"] for r in got} == {0: 2 * G.FEW - 3, 1: 7}
+
+
+def test_encoding_needs_little_memory_beside_the_cache():
+    """The slices of a batch are small, so that several workers fit beside what earlier stages hold."""
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choices("etaoinshr", k=rnd.randrange(2, 9))) for _ in range(3000)) for _ in range(240)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240)), pa.array(texts)], ["doc_id", "text"])
+    coder = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    peaks = []
+    for part in hashing.parts(batch, 1, packing.SLICE):
+        tracemalloc.start()
+        coder.encode([t.encode() for t in part.column(1).to_pylist()])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 64 << 20
