@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.llm import hashing, packing
+from lectern.model.stub import Stub
 from lectern.operators import blocks as B
 from lectern.operators import geometry as G
+from lectern.plans import stages
+from lectern.sources.registry import settings
 
 
 def test_a_table_of_very_many_rows(spark):
@@ -30,10 +33,10 @@ def test_a_bound_value_is_named_often(spark):
     assert [tuple(r) for r in got] == [(1, 7), (4, 7), (9, 7)]
 
 
-def shuffled(spark) -> int:
-    """Bytes that all stages so far have written to shuffles."""
-    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
-    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+def total(spark, measure: str) -> int:
+    """The sum of a measure of all stages so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(getattr(found.apply(k), measure)() for k in range(found.size()))
 
 
 def test_pages_of_few_rectangles_are_not_dealt_by_cells(spark):
@@ -42,9 +45,9 @@ def test_pages_of_few_rectangles_are_not_dealt_by_cells(spark):
     rects = spark.range(60_000).select((F.col("id") % 12_000).alias("doc_id"), F.lit(0).alias("page"), F.col("id").alias("region_id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + 40).cast("double").alias("x1"), (y + 30).cast("double").alias("y1"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        before = shuffled(spark)
+        before = total(spark, "shuffleWriteBytes")
         assert G.panel_links(rects).count() > 0
-        assert shuffled(spark) - before < 80 * rects.count()
+        assert total(spark, "shuffleWriteBytes") - before < 80 * rects.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -70,3 +73,14 @@ def test_encoding_needs_little_memory_beside_the_cache():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert max(peaks) < 64 << 20
+
+
+def test_a_wave_reads_its_own_calls(spark, tmp_path, monkeypatch):
+    """Rows read are in proportion to the calls, and not to calls times waves."""
+    monkeypatch.setattr(stages, "WAVE", 5)
+    docs = spark.range(60).selectExpr("id as doc_id", """concat('{"slides": [{"heading": "h', id, '"}], "summary_index": 1}') as payload""")
+    steps = stages.Stages(docs, Stub(), settings(max_concurrent=1), root=str(tmp_path))
+    before = total(spark, "inputRecords")
+    said = steps.answers(docs, "closing", "summarise", ["doc_id"])
+    assert total(spark, "inputRecords") - before <= 4 * 60
+    assert {r.doc_id for r in said.collect() if f'"body": "h{r.doc_id}"' in r.answer} == set(range(60))
