@@ -11,7 +11,7 @@ from lectern.functions import tables
 from lectern.operators import library
 from lectern.queries import ORACLES, query
 from lectern.session import table
-from lectern.sources import files, pdf, pdf_writer, readers, writers
+from lectern.sources import files, pdf, pdf_writer, writers
 from lectern.storage import Scratch
 from lectern.streaming import breaker
 
@@ -23,20 +23,25 @@ c AS (SELECT doc_id, p, k, substr(l, CAST(k AS BIGINT) + 1, {_PIECE}) AS s FROM
 v AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS i FROM c WHERE regexp_matches(s, '\\S'))"""
 
 
-def _pdf_files(spark: SparkSession, d: str, by: list[str] = []) -> str:
-    """The folder of PDF files that were written from the documents, one file each, whose title names the document."""
-    docs = table(spark, d, "documents")
+#: Bytes of archives that one task takes; reading them is work for the processor.
+_TASK = 8 << 20
+
+
+def _pdf_files(spark: SparkSession, d: str, by: list[str] = []) -> DataFrame:
+    """Pages of the PDF files that were written from the documents, one for each, whose title names the document; in archives, in folders by columns."""
+    files.register(spark)
+    # dealt by document, so that a table of few input splits is written by as many tasks as there are
+    docs = table(spark, d, "documents").select("doc_id", "text", *by).repartition("doc_id")
     cut = F.transform(F.split("text", "\n", -1), lambda l: F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(l) - 1, F.lit(0)), F.lit(_PIECE)), lambda k: F.substring(l, k + 1, F.lit(_PIECE))))
     lines = F.filter(F.flatten(cut), lambda s: s.rlike(r"(?U)\S"))
     path = Scratch(spark, "pdf").path("files")
     made = pdf_writer.pdf_texts(docs.select(F.struct("doc_id", *by).alias("key"), lines.alias("lines"), (F.col("doc_id") % 2 == 0).alias("packed"), F.concat(F.lit("Document "), "doc_id").alias("title")))
-    made.select("value", *(F.col(f"key.{c}") for c in by)).write.partitionBy(*by).option("maxRecordsPerFile", 1).text(path)
-    return path
+    writers.archive(made.select(F.concat(F.col("key.doc_id").cast("string"), F.lit(".pdf")).alias("name"), F.col("value").cast("binary").alias("content"), *(F.col(f"key.{c}") for c in by)), path, by)
+    return spark.read.format("lectern").option("archive", ".parquet").option("suffix", ".pdf").option("partitionBytes", _TASK).load(path)
 
 
 def _pdf_pages(spark: SparkSession, d: str) -> DataFrame:
-    found = readers.binary_documents(spark, _pdf_files(spark, d), suffix=".txt")
-    return pdf.pages(found.select("content")).withColumn("doc_id", F.regexp_extract("pdf_title", r"(\d+)$", 1).cast("long"))
+    return _pdf_files(spark, d).withColumn("doc_id", F.regexp_extract("pdf_title", r"(\d+)$", 1).cast("long"))
 
 
 @query(f"WITH {_PIECES} SELECT doc_id, CAST(i // 50 + 1 AS INTEGER) AS page, count(*) AS n_lines, md5(string_agg(s, chr(10) ORDER BY i)) AS lines_md5 FROM v GROUP BY 1, 2")
@@ -65,10 +70,8 @@ def pdf_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PIECES} SELECT v.doc_id, CAST(i // 50 + 1 AS INTEGER) AS page, count(*) AS n_lines FROM v JOIN documents USING (doc_id) WHERE lang = (SELECT min(lang) FROM documents) GROUP BY 1, 2")
 def source_pushdown(spark: SparkSession, d: str) -> DataFrame:
     """A folder of PDF files for each language, of which a filter on the path leaves one, before any file is opened."""
-    files.register(spark)
-    path = _pdf_files(spark, d, by=["lang"])
     first = table(spark, d, "documents").agg(F.min("lang")).first()[0]
-    pages = spark.read.format("lectern").option("suffix", ".txt").load(path).where(F.col("path").contains(f"/lang={first}/"))
+    pages = _pdf_files(spark, d, by=["lang"]).where(F.col("path").contains(f"/lang={first}/"))
     return pages.where(F.size("lines") > 0).select(F.regexp_extract("pdf_title", r"(\d+)$", 1).cast("long").alias("doc_id"), "page", F.size("lines").cast("long").alias("n_lines"))
 
 

@@ -4,6 +4,10 @@ Files are listed once, dealt to partitions by size, and read and written by the
 (local, HDFS, S3, GCS). Filters on `path` choose files before any is opened. Writers give each file its name in one move, so none is
 ever half there, and the driver gets a count from each task and no names.
 
+Very many small files are kept in archives: Parquet files of (name, content), as writers.archive() makes them. With the option `archive`,
+files of that suffix are read as folders of what they hold, by the paths ARCHIVE/NAME, on which filters work as on all others; archives
+that can hold nothing of what filters leave are not opened.
+
     register(spark)
     spark.read.format("lectern").option("kind", "pdf").load(folder).where("path like '%/2024/%'")
     files.select("to", "value").write.format("lectern").mode("append").save(folder)
@@ -18,6 +22,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
@@ -26,6 +31,8 @@ from lectern.sources import pdf
 
 #: Bytes of a partition, with those that opening a file counts for; option `partitionBytes`.
 PARTITION, OPENING = 64 << 20, 1 << 20
+#: Files of an archive that are read at once, and bytes of texts or contents that go to Spark at once.
+READ, SENT = 64, 8 << 20
 KINDS = {"pdf": pdf.PAGES, "text": "text string", "binary": "content binary"}
 
 
@@ -47,28 +54,48 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:", path, re.I) else (pafs.LocalFileSystem(), path)
 
 
+def _last_folder(value: str) -> str:
+    return value[: value.rfind("/") + 1]
+
+
+#: By kind of filter: whether a path passes, and whether any file right below a folder, whose path ends in a slash, can.
+_TESTS = {
+    EqualTo: (lambda p, v: p == v, lambda d, v: _last_folder(v) == d),
+    In: (lambda p, v: p in v, lambda d, v: any(_last_folder(x) == d for x in v if x is not None)),
+    StringStartsWith: (str.startswith, lambda d, v: d.startswith(v) or v.startswith(d)),
+    StringEndsWith: (str.endswith, lambda d, v: d.endswith(_last_folder(v))),
+    StringContains: (str.__contains__, lambda d, v: v in d or d.endswith(_last_folder(v))),
+}
+
+
 class FileReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.kind = options["path"], options.get("kind", "pdf")
-        self.suffix, self.most = options.get("suffix", ""), int(options.get("partitionbytes", PARTITION))
+        self.suffix, self.archive, self.most = options.get("suffix", ""), options.get("archive"), int(options.get("partitionbytes", PARTITION))
         self.tests: list = []
 
     def pushFilters(self, filters: list) -> Iterator:
         """Takes what filters say of `path`; Spark applies all others, and those on null paths, of which there are none."""
         for f in filters:
-            kind = {EqualTo: lambda p, v: p == v, In: lambda p, v: p in v, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: str.__contains__}.get(type(f))
-            if kind and f.attribute == ("path",):
-                self.tests.append((kind, f.value))
+            if type(f) in _TESTS and f.attribute == ("path",):
+                self.tests.append((*_TESTS[type(f)], f.value))
             else:
                 yield f
 
+    def _wanted(self, path: str) -> bool:
+        return path.lower().endswith(self.suffix) and all(test(path, v) for test, _, v in self.tests)
+
+    def _is_archive(self, path: str) -> bool:
+        return bool(self.archive) and path.lower().endswith(self.archive)
+
     def files(self) -> list[tuple[str, int]]:
-        """(path, bytes) of the files that filters leave, in order."""
+        """(path, bytes) of the files that filters leave, and of archives that may hold such, in order."""
         fs, root = _opened(self.root)
         scheme = self.root[: len(self.root) - len(root)] if self.root.endswith(root) else ""
         found = [(scheme + x.path, x.size or 0) for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.type == pafs.FileType.File]
         hidden = lambda p: any(part[:1] in "._" for part in p[len(scheme + root) :].split("/") if part)
-        return sorted(x for x in found if x[0].lower().endswith(self.suffix) and not hidden(x[0]) and all(test(x[0], v) for test, v in self.tests))
+        wanted = lambda p: all(may(f"{p}/", v) for _, may, v in self.tests) if self._is_archive(p) else self._wanted(p)
+        return sorted(x for x in found if not hidden(x[0]) and wanted(x[0]))
 
     def partitions(self) -> list[Files]:
         out, size = [Files([])], 0
@@ -80,19 +107,48 @@ class FileReader(DataSourceReader):
             size += n + OPENING
         return out
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
+    def _contents(self, paths: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(path, content) of files, and of those in archives that filters leave."""
+        for path in paths:
             fs, at = _opened(path)
-            with fs.open_input_stream(at) as f:
-                data = f.read()
-            if self.kind == "pdf":
-                made, names = pdf.page_columns(data), list(pdf._ARROW)
-            elif self.kind == "text":
-                made, names = [pa.array([data.decode("utf-8", "replace")])], ["text"]
-            else:
-                made, names = [pa.array([data], pa.binary())], ["content"]
-            n = len(made[0])
-            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([len(data)] * n, pa.int64()), *made], ["path", "length", *names])
+            if not self._is_archive(path):
+                with fs.open_input_stream(at) as f:
+                    yield path, f.read()
+                continue
+            with fs.open_input_file(at) as f:
+                for batch in pq.ParquetFile(f).iter_batches(READ, columns=["name", "content"]):
+                    for k, name in enumerate(batch.column("name").to_pylist()):
+                        if not name or "/" in name:
+                            raise ValueError(f"{path}: name {name!r} of a file in an archive")
+                        if self._wanted(f"{path}/{name}"):
+                            yield f"{path}/{name}", batch.column("content")[k].as_py() or b""
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        heads: list[tuple[str, int]] = []
+
+        def contents() -> Iterator[bytes]:
+            for path, data in self._contents(partition.paths):
+                heads.append((path, len(data)))
+                yield data
+
+        made = pdf.paged(contents()) if self.kind == "pdf" else self._slices(contents())
+        for at, columns in made:
+            paths, sizes = zip(*(heads[k] for k in at))
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sizes, pa.int64()), *columns], ["path", "length", *(list(pdf._ARROW) if self.kind == "pdf" else [KINDS[self.kind].split()[0]])])
+
+    def _slices(self, contents: Iterator[bytes]) -> Iterator[tuple[list[int], list[pa.Array]]]:
+        """Whole texts or contents, a few MB at a time."""
+        kind = pa.string() if self.kind == "text" else pa.binary()
+        at, found, size = [], [], 0
+        for k, data in enumerate(contents):
+            at.append(k)
+            found.append(data.decode("utf-8", "replace") if self.kind == "text" else data)
+            size += len(data)
+            if size >= SENT:
+                yield at, [pa.array(found, kind)]
+                at, found, size = [], [], 0
+        if at:
+            yield at, [pa.array(found, kind)]
 
 
 class FileWriter(DataSourceWriter):

@@ -56,6 +56,18 @@ def publish_decks(decks: DataFrame, path: str, *, stamp: str, generated_at: str,
     return rows.drop("deck_no", "part", "name")
 
 
+#: Files of an archive, and bytes of a part of it that readers hold at once.
+ARCHIVED, ARCHIVE_PART = 4096, 16 << 20
+
+
+def archive(pieces: DataFrame, path: str, by: list[str] = []) -> None:
+    """pieces(name, content, *by), very many small files, as archives below path that format("lectern") reads; folders by the columns `by`.
+
+    Names hold no slash. One file each would cost a creation, a move by the driver and an entry of its listing.
+    """
+    pieces.select("name", "content", *by).write.partitionBy(*by).option("maxRecordsPerFile", ARCHIVED).option("parquet.block.size", ARCHIVE_PART).parquet(path)
+
+
 def _names(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
     target, fs = _fs(spark, f"{path}/{pattern}")
     return [s.getPath().getName() for s in fs.globStatus(target) or []]

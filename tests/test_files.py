@@ -67,3 +67,59 @@ def test_executors_place_files(spark, tmp_path):
     assert sorted(p.read_text() for p in (tmp_path / "out").rglob("*.json")) == sorted(v for _, v in found) and not list((tmp_path / "out").glob(".placed*"))
     with pytest.raises(Exception, match="append"):
         rows.write.format("lectern").mode("overwrite").save(path)
+
+
+def in_archives(spark, path):
+    from lectern.sources import writers
+
+    rows = [(f"{k}.pdf", bytearray(pdf_writer.made([f"Title {k}", "more text that is longer"], bool(k % 3))), "de" if k % 2 else "fr") for k in range(40)]
+    writers.archive(spark.createDataFrame([*rows, ("notes.txt", bytearray(b"x"), "de")], "name string, content binary, lang string").repartition(3), path, ["lang"])
+    return path
+
+
+def test_reads_files_in_archives(spark, tmp_path):
+    files.register(spark)
+    path = in_archives(spark, str(tmp_path / "held"))
+    read = spark.read.format("lectern").option("archive", ".parquet").option("suffix", ".pdf")
+    rows = read.load(path).select("path", "error", F.col("lines")[0]["text"].alias("t")).collect()
+    assert sorted(r.t for r in rows) == sorted(f"Title {k}" for k in range(40)) and not any(r.error for r in rows)
+    assert all(r.path.endswith(f"/{r.t[6:]}.pdf") for r in rows)
+    assert read.load(path).where(F.col("path").endswith("/7.pdf")).count() == 1
+    text = spark.read.format("lectern").option("archive", ".parquet").option("kind", "text").option("suffix", ".txt").load(path).collect()
+    assert [(r.text, r.length) for r in text] == [("x", 1)]
+
+
+def test_filters_on_paths_choose_archives(spark, tmp_path):
+    """Archives of which no file can pass are not opened; of the others, the files that pass are read."""
+    from pyspark.sql.datasource import EqualTo, In, StringContains, StringEndsWith, StringStartsWith
+
+    path = in_archives(spark, str(tmp_path / "held"))
+    every = [p for p, _ in files.FileReader({"path": path, "archive": ".parquet"}).files()]
+    one = next(p for p in every if "/lang=de/" in p)
+    held = [f"{p}/{n}" for p in every for n in spark.read.parquet(p).select("name").toPandas()["name"]]
+    for f, test, opened in (
+        (StringContains(("path",), "/lang=de/"), lambda p: "/lang=de/" in p, sum("/lang=de/" in p for p in every)),
+        (StringContains(("path",), "=fr/part-"), lambda p: "=fr/part-" in p, sum("/lang=fr/" in p for p in every)),
+        (StringContains(("path",), "7.pd"), lambda p: "7.pd" in p, len(every)),
+        (StringContains(("path",), "parquet/7"), lambda p: "parquet/7" in p, len(every)),
+        (StringStartsWith(("path",), f"{path}/lang=d"), lambda p: "/lang=de/" in p, sum("/lang=de/" in p for p in every)),
+        (StringStartsWith(("path",), f"{one}/1"), lambda p: p.startswith(f"{one}/1"), 1),
+        (StringEndsWith(("path",), ".parquet/11.pdf"), lambda p: p.endswith("/11.pdf"), len(every)),
+        (StringEndsWith(("path",), "x/11.pdf"), lambda p: False, 0),
+        (EqualTo(("path",), f"{one}/1.pdf"), lambda p: p == f"{one}/1.pdf", 1),
+        (In(("path",), (f"{one}/1.pdf", None, f"{one}/x/1.pdf")), lambda p: p == f"{one}/1.pdf", 1),
+    ):
+        reader = files.FileReader({"path": path, "kind": "binary", "archive": ".parquet"})
+        assert list(reader.pushFilters([f])) == [] and len(reader.files()) == opened, f
+        assert sorted(p for part in reader.partitions() for b in reader.read(part) for p in b.column("path").to_pylist()) == sorted(filter(test, held)), f
+
+
+def test_queries_write_few_files(spark, tmp_path, monkeypatch):
+    """A file each would cost the driver a move and an entry of its listing."""
+    from lectern import file_queries, storage
+
+    for query in (file_queries.pdf_pages, file_queries.source_pushdown):
+        root = tmp_path / query.__name__
+        monkeypatch.setattr(storage, "shared_dir", lambda _: str(root))
+        assert query(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() > 20
+        assert 0 < len([p for p in root.rglob("*.*") if p.is_file() and p.suffix != ".crc"]) <= 40

@@ -142,3 +142,27 @@ def test_interlaced_and_broken_png_files(spark):
     got = {r.k: r for r in rows}
     assert (got[1].width, got[1].height, got[1].channels, bytes(got[1].samples)) == (9, 7, 1, pixels.tobytes())
     assert got[2].error and got[4].error and got[3].error is None and got[3].samples is None
+
+
+def test_groups_of_digits_and_zeros():
+    import base64
+    import os
+
+    for n in (*range(1, 30), 96, 97, 1000):
+        for data in (os.urandom(n), bytes(n), b"\xff" * n):
+            text = base64.a85encode(data, wrapcol=120)
+            assert pdf_writer._ascii85(data) == text and pdf.ascii85(text) == data
+    for bad in (b"s8W-\"", b"vvvvv", b"abc\x01d"):
+        with pytest.raises(ValueError):
+            pdf.ascii85(bad)
+    assert pdf.ascii85(b"") == b""
+
+
+def test_pages_of_small_files_go_on_together(monkeypatch):
+    made = [pdf_writer.made(LINES if k == 3 else [f"t{k}", "more"], bool(k % 2)) for k in range(8)]
+    one = list(pdf.paged(made))
+    assert len(one) == 1 and one[0][0] == [0, 1, 2, 3, 3, 3, 4, 5, 6, 7]
+    monkeypatch.setattr(pdf, "BATCH", 60)
+    parts = list(pdf.paged(made))
+    assert len(parts) > 2 and sum((at for at, _ in parts), []) == one[0][0]
+    assert sum((columns[5].to_pylist() for _, columns in parts), []) == one[0][1][5].to_pylist()
