@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+
 MAIN = "main"
 TITLE_LENGTH = 120
 
@@ -97,6 +99,14 @@ def page_title(spans: DataFrame, *, key: str = "doc_id", tolerance: float = 0.95
     return seen.groupBy(key).agg(F.trim(F.substring(text, 1, TITLE_LENGTH)).alias("title"))
 
 
+def title_of(spans: Column, *, tolerance: float = 0.95) -> Column:
+    """The title that page_title() gives, of a list of the spans(size, text) of page 1 in order; empty without any."""
+    seen = F.filter(spans, lambda x: F.trim(x["text"]) != "")
+    most = F.array_max(F.transform(seen, lambda x: x["size"]))
+    texts = T.bound(most, lambda m: F.transform(F.filter(seen, lambda x: x["size"] >= m * tolerance), lambda x: F.trim(x["text"])))
+    return F.trim(F.substring(F.array_join(texts, " "), 1, TITLE_LENGTH))
+
+
 def body_size(spans: DataFrame, *, key: str = "doc_id", value: str = "size") -> DataFrame:
     """key, body_size: the upper median of the positive sizes, 10.0 without any.
 

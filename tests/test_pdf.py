@@ -166,3 +166,23 @@ def test_pages_of_small_files_go_on_together(monkeypatch):
     parts = list(pdf.paged(made))
     assert len(parts) > 2 and sum((at for at, _ in parts), []) == one[0][0]
     assert sum((columns[5].to_pylist() for _, columns in parts), []) == one[0][1][5].to_pylist()
+
+
+def test_documents_parse_files_once(spark):
+    """Every other branch of the plan would parse all files again."""
+    made = [(1, bytearray(pdf_writer.made(["Head", "body of text", "more"], False)))]
+    found = pdf.documents_of(pdf.pages(spark.createDataFrame(made, "doc_id long, content binary")), key=["doc_id"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and found.first().text == "# Head\n\nbody of text\nmore"
+
+
+def test_levels_and_titles_of_odd_pages(spark):
+    line = lambda text, size, y: (text, float(size), 0.0, float(y), 9.0, float(y + size))
+    rows = [
+        (1, 2, 2, "", [line("last", 10, 0)], None), (1, 1, 2, "", [line(" ", 40, 0), line("a", 30, 40), line(" b ", 29, 70), line("c", 20, 100), line("d", 15, 130), line("x" * 40, 10, 150), line("y", 10, 160), line("z", 10, 180)], "bad"),
+        (2, 1, 1, "", [line("aa", 12, 0), line("bb", 10, 12)], None), (3, 1, 1, "", [], None), (4, None, None, None, None, "no pages"),
+    ]
+    pages = spark.createDataFrame([(d, p, n, 1.0, 1.0, t, x, [], [], [], e) for d, p, n, t, x, e in rows], "doc_id long, " + pdf.PAGES)
+    got = {r.doc_id: r for r in pdf.documents_of(pages, key=["doc_id"]).collect()}
+    assert got[1].text == "# \n\n## a\n\n### b\n\n### c\n\n### d\n\n" + "x" * 40 + "\ny\n\nz\n\nlast" and (got[1].title, got[1].page_count, got[1].error, got[1].sparse) == ("a b", 2, "bad", True)
+    assert got[2].text == "# aa\n\nbb" and got[2].title == "aa"  # of sizes with as many characters the smallest is usual
+    assert (got[3].text, got[3].title, got[3].page_count) == ("", "", 1) and (got[4].text, got[4].page_count, got[4].error) == ("", 0, "no pages")
