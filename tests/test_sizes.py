@@ -84,3 +84,16 @@ def test_a_wave_reads_its_own_calls(spark, tmp_path, monkeypatch):
     said = steps.answers(docs, "closing", "summarise", ["doc_id"])
     assert total(spark, "inputRecords") - before <= 4 * 60
     assert {r.doc_id for r in said.collect() if f'"body": "h{r.doc_id}"' in r.answer} == set(range(60))
+
+
+def test_waves_of_fast_calls_grow(spark, tmp_path, monkeypatch):
+    """Sixty fast calls take a few jobs and not twelve; where a wave takes long, the next has no more calls than the first."""
+    monkeypatch.setattr(stages, "WAVE", 5)
+    docs = spark.range(60).repartition(2).selectExpr("id as doc_id", """concat('{"slides": [{"heading": "h', id, '"}], "summary_index": 1}') as payload""")
+    waves, answered = [], stages.answered
+    monkeypatch.setattr(stages, "answered", lambda rows, *a, **how: waves.append(rows.count()) or answered(rows, *a, **how))
+    for seconds in (1000.0, 0.0):
+        monkeypatch.setattr(stages, "WAVE_SECONDS", seconds)
+        said = stages.Stages(docs, Stub(), settings(max_concurrent=1), root=str(tmp_path), key=str(seconds)).answers(docs, "closing", "summarise", ["doc_id"])
+        assert sorted(r.doc_id for r in said.collect() if f'"body": "h{r.doc_id}"' in r.answer) == list(range(60))
+    assert waves[:2] == [5, 55] and waves[2:] == [5] * 12
