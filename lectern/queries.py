@@ -944,7 +944,9 @@ def png_images(spark, d):
             out.append(images.made_png(pixels, colour, palette=bytes([9, 9, 9, 255, 255, 255]) if colour == 3 else b""))
         return pd.Series(out)
 
-    made = Scratch(spark, "png").save(table(spark, d, "part").select("p_partkey", files("p_partkey", "p_size").alias("content")), "files")
+    # dealt by key, so that a table of few input splits is drawn by as many tasks as there are
+    parts = table(spark, d, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    made = Scratch(spark, "png").save(parts.select("p_partkey", files("p_partkey", "p_size").alias("content")), "files")
     found = made.select("p_partkey", images.png_pixels(F.col("content")).alias("x")).select("p_partkey", "x.*")
     return found.select("p_partkey", "width", "height", "channels", images.is_blank(F.col("samples"), F.col("channels")).alias("blank"))
 

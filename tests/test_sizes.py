@@ -4,10 +4,13 @@ import random
 import time
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lectern import queries
+from lectern.functions import images
 from lectern.functions import text as T
 from lectern.llm import hashing, packing
 from lectern.model.stub import Stub
@@ -97,3 +100,21 @@ def test_waves_of_fast_calls_grow(spark, tmp_path, monkeypatch):
         said = stages.Stages(docs, Stub(), settings(max_concurrent=1), root=str(tmp_path), key=str(seconds)).answers(docs, "closing", "summarise", ["doc_id"])
         assert sorted(r.doc_id for r in said.collect() if f'"body": "h{r.doc_id}"' in r.answer) == list(range(60))
     assert waves[:2] == [5, 55] and waves[2:] == [5] * 12
+
+
+def test_drawing_takes_less_than_reading():
+    """Rows of pixels are filtered all at once."""
+    pixels = np.random.default_rng(1).integers(0, 256, (6, 4 * 58), dtype=np.uint8)
+    began = time.process_time()
+    files = [images.made_png(pixels, 6) for _ in range(500)]
+    drawn = time.process_time()
+    assert all((images.png(f).reshape(6, -1) == pixels).all() for f in files)
+    assert drawn - began < time.process_time() - drawn
+
+
+def test_images_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("id as p_partkey", "cast(1 + id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    saved, save = [], queries.Scratch.save
+    monkeypatch.setattr(queries.Scratch, "save", lambda self, df, name: saved.append(df.rdd.getNumPartitions()) or save(self, df, name))
+    assert queries.QUERIES["png_images"](spark, str(tmp_path)).count() == 400
+    assert saved == [spark.sparkContext.defaultParallelism]
