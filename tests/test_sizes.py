@@ -1,5 +1,6 @@
 """Operators whose work must grow no faster than their rows."""
 
+import json
 import random
 import time
 import tracemalloc
@@ -16,7 +17,7 @@ from lectern.llm import hashing, packing
 from lectern.model.stub import Stub
 from lectern.operators import blocks as B
 from lectern.operators import geometry as G
-from lectern.plans import stages
+from lectern.plans import decks, stages
 from lectern.sources.registry import settings
 
 
@@ -118,3 +119,24 @@ def test_images_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.Scratch, "save", lambda self, df, name: saved.append(df.rdd.getNumPartitions()) or save(self, df, name))
     assert queries.QUERIES["png_images"](spark, str(tmp_path)).count() == 400
     assert saved == [spark.sparkContext.defaultParallelism]
+
+
+def test_outlines_are_not_dealt_by_chunk_and_section(spark, monkeypatch):
+    """A text of n sections is analysed with n headings each, but shuffles bytes in proportion to n."""
+    n, asked = 600, []
+    heading = [f"Part {random.Random(k).getrandbits(128):032x}" for k in range(n)]
+
+    def answers(self, rows, *rest):
+        asked.append(rows)
+        raise StopIteration
+
+    monkeypatch.setattr(stages.Stages, "answers", answers)
+    text = "\n".join(f"{'#' * (1 + k % 2)} {heading[k]}\nwords" for k in range(n))
+    try:
+        decks.decks(spark.createDataFrame([(1, text)], "doc_id long, text string"), Stub(), settings())
+    except StopIteration:
+        pass
+    before = total(spark, "shuffleWriteBytes")
+    rows = {r.chunk_idx: json.loads(r.payload)["headings"] for r in asked[0].collect()}
+    assert total(spark, "shuffleWriteBytes") - before < 600 * n
+    assert len(rows) == n and all(rows[k] == [heading[i] for i in range(n) if i % 2 == 0 or i >= k - k % 2] for k in rows)
